@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, stored
 
 SALTS = 16
 
@@ -36,11 +36,11 @@ def _digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def winners(keyed: DataFrame, order: Column, row: Column, salts: int = SALTS) -> DataFrame:
-    """One row for each (digest, norm) of `keyed`: best (`row` of the smallest `order`), order, n (rows of the group)."""
-    local = keyed.withColumns({"_order": order, "_row": row}).withColumn("_salt", F.pmod(F.xxhash64("_order"), F.lit(salts)))
-    merged = local.groupBy("digest", "norm", "_salt").agg(F.min_by("_row", "_order").alias("_row"), F.min("_order").alias("_order"), F.count("*").alias("n"))
-    return merged.groupBy("digest", "norm").agg(F.min_by("_row", "_order").alias("best"), F.min("_order").alias("order"), F.sum("n").alias("n"))
+def winners(keyed: DataFrame, salt_by: Column, local: list[Column], final: list[Column], salts: int = SALTS) -> DataFrame:
+    """One row for each (digest, norm) of `keyed`: n (its rows) and the aggregates `final` of the aggregates `local`."""
+    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
+    merged = salted.groupBy("digest", "norm", "_salt").agg(F.count("*").alias("n"), *local)
+    return merged.groupBy("digest", "norm").agg(F.sum("n").alias("n"), *final)
 
 
 def keyed(docs: DataFrame, digest=_digest) -> DataFrame:
@@ -55,18 +55,17 @@ def groups(docs: DataFrame, salts: int = SALTS, digest=_digest) -> DataFrame:
     several texts share find theirs by the whole text.
     """
     rows = keyed(docs.select("doc_id", "text"), digest)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
-    won = winners(rows, order, F.col("doc_id"), salts).select("digest", "norm", "best", "n")
-    narrow = won.groupBy("digest").agg(F.count("*").alias("texts"), F.min("best").alias("best"), F.sum("n").alias("n"))
+    best = [F.min("doc_id").alias("best")]  # the smallest that isn't null
+    won = winners(rows, F.col("doc_id"), best, best, salts)
+    by_digest = stored(won.groupBy("digest").agg(F.count("*").alias("texts"), F.min("best").alias("best"), F.sum("n").alias("n")), "digests")
     # One row for each doc_id of a digest, counted: repeated rows never pile up in one task.
     ids = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
-    apart = narrow.where("texts = 1").select("digest", "best", "n")
-    found = ids.join(apart, "digest")
-    shared = narrow.where("texts > 1").select("digest")
-    clash = rows.join(shared, "digest", "left_semi").groupBy("digest", "norm", "doc_id").agg(F.count("*").alias("copies"))
-    exact = clash.join(won, ["digest", "norm"])
     columns = ["digest", "doc_id", "copies", "best", "n"]
-    both = found.select(*columns).unionByName(exact.select(*columns))
+    both = ids.join(by_digest.where("texts = 1"), "digest").select(*columns)
+    shared = by_digest.where("texts > 1").select("digest")
+    if not shared.isEmpty():  # two texts with one digest: their rows are joined by the whole text
+        apart = rows.join(shared, "digest", "left_semi").groupBy("digest", "norm", "doc_id").agg(F.count("*").alias("copies"))
+        both = both.unionByName(apart.join(won, ["digest", "norm"]).select(*columns))
     number = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return both.select("doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), "digest", number.alias("number")).select(
         "doc_id",
@@ -87,6 +86,7 @@ def deduplicated(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     comparable = [column[c] for c in docs.columns if c not in ("doc_id", "text") and not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
     order = F.struct(column["doc_id"].isNull(), column["doc_id"], kind, *comparable)
     rows = docs.select(norm.alias("norm"), _digest(norm).alias("digest"), row.alias("row"), order.alias("rank"))
-    won = winners(rows, F.col("rank"), F.col("row"), salts)
+    local = [F.min_by("row", "rank").alias("best"), F.min("rank").alias("rank")]
+    won = winners(rows, F.col("rank"), local, [F.min_by("best", "rank").alias("best")], salts)
     text = F.when(F.col("best.kind") == 0, F.col("norm")).otherwise(F.col("best.text"))
     return won.select(*(text.alias(c) if c == "text" else F.col(f"best.x{i}").alias(c) for i, c in enumerate(docs.columns)))
