@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that a kernel takes at once; one longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _own_folder: list[str] = []
 
@@ -61,7 +62,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def ordered_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str, per_bin: int = 20_000) -> DataFrame:
+def ordered_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str, per_bin: int = 4_000) -> DataFrame:
     """df with `out`: the sum of `value` over the rows of the same group that come before, by the columns of `order`.
 
     order[0] must hold a hash in lower-case hex of eight digits or more, by which groups are cut into bins of about
@@ -86,7 +87,7 @@ def ordered_totals(df: DataFrame, group: list[str], order: list[str], value: str
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices whose texts (column `text`) have about `limit` bytes, one row at least."""
     for batch in batches:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text").cast(pa.large_string())), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0), dtype=np.int64)
         start, total = 0, 0
         for i, n in enumerate(size):
             if i > start and total + n > limit:
@@ -117,11 +118,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 class Words:
     """The words of a block of texts, as hashes: `hashes`, `starts` and `ends` (bytes in the joined texts), `doc` and
-    `first` (index of each document's first word, and the end). A-Z counts as a-z."""
-
-    def __init__(self, texts: list[bytes], is_word: np.ndarray):
-        joined = b"\0".join([*texts, b""])  # byte 0 must not be a word's
-        data = np.frombuffer(joined, dtype=np.uint8)
+    `first` (index of each document's first word, and the end). A-Z counts as a-z; with `latin` also the capitals
+    that UTF-8 writes as C3 80 to C3 9E, which keeps every offset."""
+
+    def __init__(self, texts: list[bytes], is_word: np.ndarray, latin: bool = False):
+        data = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8)
+        if latin:
+            data = data.copy()
+            high = data[1:]
+            high[(data[:-1] == 0xC3) & (high >= 0x80) & (high <= 0x9E) & (high != 0x97)] += 0x20
         inside = np.zeros(len(data) + 2, dtype=np.int8)
         inside[1:-1] = is_word[data]
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
