@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing
-from .common import documents, labels
+from . import exact_dedup, language_id, license_scan, media_tiff, mixing
+from .common import documents, fold
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_tiff.digests(media_tiff.stored_texts(documents(spark, sf_dir)))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = language_id.identified(docs, ~held_out & F.col("lang").isNotNull())
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
@@ -24,7 +35,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op2_mixing, op3_media_tiff, op6_language_id, op9_exact_dedup, op10_license_scan)}
 
 
 ORACLES = {
