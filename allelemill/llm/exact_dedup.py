@@ -55,8 +55,8 @@ def groups(docs: DataFrame, salts: int = SALTS, digest=_digest) -> DataFrame:
     several texts share find theirs by the whole text.
     """
     rows = keyed(docs.select("doc_id", "text"), digest)
-    best = [F.min("doc_id").alias("best")]  # the smallest that isn't null
-    won = winners(rows, F.col("doc_id"), best, best, salts)
+    # min skips null doc_ids
+    won = winners(rows, F.col("doc_id"), [F.min("doc_id").alias("best")], [F.min("best").alias("best")], salts)
     by_digest = stored(won.groupBy("digest").agg(F.count("*").alias("texts"), F.min("best").alias("best"), F.sum("n").alias("n")), "digests")
     # One row for each doc_id of a digest, counted: repeated rows never pile up in one task.
     ids = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
