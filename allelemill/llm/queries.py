@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, media_tiff, mixing
-from .common import documents, fold
+from . import exact_dedup, language_id, license_scan, media_tiff, mixing, quality_zstd, toxicity_crf
+from .common import documents, fold, labels
+
+#: A document is predicted to have label 1 from this score on.
+LIMIT = 0.3
+
+
+def op1_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(F.col("doc_id"), 5) == 0
+    found = quality_zstd.scored(docs, quality_zstd.fitted(docs, labels(spark, sf_dir), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +35,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(F.col("doc_id"), 4) == 2
+    found = toxicity_crf.scored(docs, toxicity_crf.fitted(docs, labels(spark, sf_dir), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"), "spans")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
@@ -35,7 +50,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_media_tiff, op6_language_id, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_zstd, op2_mixing, op3_media_tiff, op6_language_id, op7_toxicity_crf, op9_exact_dedup, op10_license_scan)}
 
 
 ORACLES = {
