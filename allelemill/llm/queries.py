@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, media_tiff, mixing, quality_zstd, toxicity_crf
+from . import exact_dedup, language_id, license_scan, media_tiff, mixing, packing, quality_zstd, toxicity_crf
 from .common import documents, fold, labels
 
 #: A document is predicted to have label 1 from this score on.
@@ -41,6 +41,16 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"), "spans")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
@@ -50,7 +60,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_zstd, op2_mixing, op3_media_tiff, op6_language_id, op7_toxicity_crf, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_zstd, op2_mixing, op3_media_tiff, op6_language_id, op7_toxicity_crf, op8_packing, op9_exact_dedup, op10_license_scan)}
 
 
 ORACLES = {
