@@ -26,9 +26,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     x = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + penalty
-        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + penalty @ w)
+        p = sigmoid(np.einsum("ij,j->i", x, w))  # not BLAS, whose threads may wait for ever once a driver has forked
+        h = np.einsum("ij,i,ik->jk", x, weight * p * (1 - p), x) + penalty
+        step = np.linalg.solve(h, np.einsum("ij,i->j", x, weight * (p - y)) + np.diag(penalty) * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

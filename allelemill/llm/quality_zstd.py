@@ -69,7 +69,7 @@ class Model:
         if self.dictionaries is None:
             return lambda texts: np.full(len(texts), self.share)
         sizes = Sizes(*self.dictionaries)
-        return lambda texts: sigmoid(((sizes.features(texts) - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]) if texts else np.empty(0)
+        return lambda texts: sigmoid(np.einsum("ij,j->i", (sizes.features(texts) - self.mean) / self.scale, self.weights[:-1]) + self.weights[-1]) if texts else np.empty(0)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

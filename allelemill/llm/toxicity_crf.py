@@ -140,7 +140,7 @@ def forward_backward(grid: Grid, emission: np.ndarray, trans: np.ndarray, start:
             xi = before[:, :, None] * t * weighted[:, None, :]
             xi /= xi.sum(axis=(1, 2), keepdims=True)
             joint += xi[on].sum(axis=0)
-        step = np.column_stack([weighted @ t[0], weighted @ t[1]])
+        step = np.column_stack([weighted[:, 0] * t[a, 0] + weighted[:, 1] * t[a, 1] for a in (0, 1)])
         now = np.where(on[:, None], step, now)
         now = now / now.sum(axis=1, keepdims=True)
     out = marginal.reshape(-1)[grid.cell]
@@ -241,7 +241,7 @@ class Model:
             scores = np.full(len(texts), self.share)
             return (scores, [[] for _ in texts]) if spans else scores
         x, words, p = self._summary(texts)
-        scores = sigmoid(x @ self.calibration[:-1] + self.calibration[-1])
+        scores = sigmoid(np.einsum("ij,j->i", x, self.calibration[:-1]) + self.calibration[-1])
         if not spans:
             return scores
         found: list[list] = [[] for _ in texts]
