@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, license_scan, media_tiff, mixing, packing, quality_zstd, toxicity_crf
+from . import exact_dedup, jaccard_join, language_id, license_scan, media_tiff, mixing, packing, quality_zstd, toxicity_crf
 from .common import documents, fold, labels
 
 #: A document is predicted to have label 1 from this score on.
@@ -28,6 +28,10 @@ def op3_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.digests(media_tiff.stored_texts(documents(spark, sf_dir)))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -60,7 +64,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_zstd, op2_mixing, op3_media_tiff, op6_language_id, op7_toxicity_crf, op8_packing, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_zstd, op2_mixing, op3_media_tiff, op4_jaccard_join, op6_language_id, op7_toxicity_crf, op8_packing, op9_exact_dedup, op10_license_scan)}
 
 
 ORACLES = {
@@ -86,6 +90,23 @@ WITH sized AS (
 SELECT q.doc_id, q.size, g.source_size, CAST(g.target AS DOUBLE) AS target,
        CAST(greatest(0, least(q.size, floor(g.target) - q.start)) + greatest(0, least(q.size, floor(g.target) - q.start - g.source_size)) AS BIGINT) AS taken
 FROM queued q JOIN goals g ON q.source IS NOT DISTINCT FROM g.source
+""",
+    "op4_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING (doc_id)
 """,
     "op9_exact_dedup": r"""
 WITH norm AS (
