@@ -10,9 +10,11 @@ therefore cut into cells: two sets of similarity t share a shingle among the fir
 that both follow (frequent shingles come last here, others by hash). A set enters the cells of these shingles, and each
 cell is a tree of its own. No pair is lost by this.
 
-How large cells are kept linear. In a first round every point of a cell meets the cell's smallest point only. Verified
-links give components; points of one component need not be compared. In a second round the points of a cell that belong
-to different components meet in tiles of bounded size, each a small R-tree.
+How large cells are kept linear. In a first round every point of a cell meets the cell's HUBS most central points only
+(those that share most of their own cells with others). Verified links give components; points of one component need
+not be compared. In a second round the cells of one most central point are put together, so that a pair is met once or a
+few times however many shingles it shares; their points that belong to different components meet in tiles of bounded
+size, each a small R-tree. What its bound lets through meets the same bound once more with many more groups.
 
 Sets are handled once: equal sets have equal 64-bit digests (two sets with one digest would be taken for one set, about
 n^2 / 2^65 for n sets). Shingles are compared as 64-bit hashes.
@@ -30,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Words, mix64, stored, text_blocks, utf8, word_bytes
 from .components import components
@@ -37,6 +40,8 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: Order of shingles only: those in so many texts of a window of WINDOW shingles come last, FREQUENT of them at most.
 OFTEN, WINDOW, FREQUENT = 4, 2 << 20, 1 << 17
+#: Points of a cell that all others meet; shingles in a group of a point's coordinates, and of its finer coordinates.
+HUBS, COARSE, FINE = 6, 4, 0.5
 #: Points of a tile's two sides; points in a leaf of its tree; dimensions of the tree's boxes.
 SIDE_A, SIDE_B, LEAF, BOX = 256, 1024, 16, 16
 _WORDS = word_bytes("space")
@@ -69,9 +74,9 @@ def digest(shingles: np.ndarray) -> int:
     return int(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def vector(shingles: np.ndarray) -> bytes | None:
-    """Counts of the groups, a byte each: about four shingles in a group. None where a count needs more than a byte."""
-    groups = min(max(16, 1 << (len(shingles) // 4).bit_length()), 4096)
+def vector(shingles: np.ndarray, share: float = COARSE) -> bytes | None:
+    """Counts of the groups, a byte each, about `share` shingles in one. None where a count needs more than a byte."""
+    groups = min(max(16, 1 << int(len(shingles) / share).bit_length()), 1 << 16)
     counts = np.bincount((shingles >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
 
@@ -108,17 +113,16 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -
 
 
 def points(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row for each row of docs: doc_id, n, set (its digest, null without shingles), vec."""
+    """One row for each row of docs: doc_id, n, set (its digest, null without shingles), vec, fine."""
 
     def run(batches):
         for batch in batches:
             for part in text_blocks([batch]):
                 sets = shingle_sets(utf8(part.column("text")), words)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([vector(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "set", "vec"]
-                )
+                vectors = [pa.array([vector(s, share) if len(s) else None for s in sets], pa.binary()) for share in (COARSE, FINE)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), *vectors], ["doc_id", "n", "set", "vec", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set long, vec binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set long, vec binary, fine binary")
 
 
 def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -166,8 +170,8 @@ def entries(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent:
     return docs.select("text").mapInArrow(run, "cell long, set long")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the bound lets through."""
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, by: str) -> DataFrame:
+    """The pairs (a, b) that the bound lets through; by: the coordinates, vec or fine."""
 
     def run(batches):
         for batch in batches:
@@ -175,7 +179,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yes = pa.array([may_link(*row, percent) for row in zip(x, n, y, m, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(yes)
 
-    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b")), "b")
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col(by).alias("vec_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col(by).alias("vec_b")), "b")
     near = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return near.select("a", "b", "n_a", "vec_a", "n_b", "vec_b").mapInArrow(run, "a long, b long")
 
@@ -236,18 +240,15 @@ def tree_pairs(left: pd.DataFrame, right: pd.DataFrame, percent: int = PERCENT)
     return np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0)
 
 
-def _tiles(cells: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a cell and that the bound lets through.
+def _tiles(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a group (cell, set) and that the bound lets through.
 
-    In each cell the points of the component of its smallest point are the many; the others are the rest. Rest meets
-    rest, and rest meets many: points are dealt to chunks by hash, and each pair of chunks is a tile.
+    In each group the points of the component of its central point (cell) are the many; the others are the rest. Rest
+    meets rest, and rest meets many: points are dealt to chunks by hash, and each pair of chunks is a tile.
     """
-    rooted = cells.join(roots, cells["set"] == roots["node"], "left").select("cell", "set", F.coalesce("root", "set").alias("root"))
-    shape = rooted.groupBy("cell").agg(F.count("*").alias("size"), F.min_by("root", "set").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("sum"))
-    open_cells = shape.where("size > 2 and lo != hi")
-    # Cells with the same points need one look.
-    once = open_cells.groupBy("size", "sum").agg(F.min("cell").alias("cell"))
-    chosen = open_cells.join(once.select("cell"), "cell", "left_semi").select("cell", "main")
+    rooted = groups.join(roots, groups["set"] == roots["node"], "left").select("cell", "set", F.coalesce("root", "set").alias("root"))
+    shape = rooted.groupBy("cell").agg(F.count("*").alias("size"), F.max(F.when(F.col("set") == F.col("cell"), F.col("root"))).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    chosen = shape.where("size > 2 and lo != hi").select("cell", "main")
     members = stored(rooted.join(chosen, "cell").withColumn("many", F.col("root") == F.col("main")).drop("main"), "members")
     counts = members.groupBy("cell").agg(F.count(F.when(~F.col("many"), 1)).alias("rest"), F.count(F.when(F.col("many"), 1)).alias("most"))
     dealt = members.join(counts, "cell").withColumn("rests", F.ceil(F.col("rest") / SIDE_A)).withColumn("mosts", F.ceil(F.col("most") / SIDE_B))
@@ -272,14 +273,21 @@ def links(docs: DataFrame, placed: DataFrame, words: int = WORDS, percent: int =
 
     The links connect all that is similar; links within a component that others already connect may be missing.
     """
-    sets = stored(placed.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.min("doc_id").alias("one")), "sets")
+    sets = stored(placed.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine"), F.min("doc_id").alias("one")), "sets")
     entered = entries(docs, frequent_shingles(docs, words), words, percent)
-    hubs = entered.groupBy("cell").agg(F.min("set").alias("hub"), F.max("set").alias("top")).where("hub != top").select("cell", "hub")
-    cells = stored(entered.join(hubs, "cell").distinct(), "cells")
-    star = cells.where("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
-    first = stored(_verified(stored(_bounded(star, sets, percent), "pairs"), sets, docs, words, percent), "verified")
-    more = _tiles(cells.select("cell", "set"), components(first), sets, percent).join(first.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
-    second = stored(_verified(stored(more, "pairs"), sets, docs, words, percent), "verified")
+    shared = entered.groupBy("cell").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("cell")
+    cells = stored(entered.join(shared, "cell").distinct(), "cells")
+    # How central a set is: the share of its own cells that hold other sets too.
+    entered_cells = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    central = cells.groupBy("set").agg(F.count("*").alias("in")).join(sets.select("set", "n"), "set").select("set", F.round(F.col("in") / entered_cells, 4).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.col("score").desc(), "set"))  # cut in each task first
+    hubs = stored(cells.join(central, "set").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("cell", F.col("set").alias("hub"), "rank"), "hubs")
+    star = cells.join(hubs, "cell").where("set != hub").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
+    tried = stored(_bounded(star, sets, percent, "vec"), "pairs")
+    first = stored(_verified(stored(_bounded(tried, sets, percent, "fine"), "pairs"), sets, docs, words, percent), "verified")
+    groups = cells.join(hubs.where("rank = 1"), "cell").select(F.col("hub").alias("cell"), "set").distinct()
+    more = stored(_tiles(groups, components(first), sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    second = stored(_verified(stored(_bounded(more, sets, percent, "fine"), "pairs"), sets, docs, words, percent), "verified")
     return first.unionByName(second), sets
 
 
