@@ -146,6 +146,7 @@ def slice_sequence(sequence, positions, inversion: bool = False) -> Column:
     s, p = _col(sequence), _col(positions)
     pairs = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
     out = F.array_join(F.transform(pairs, lambda k: part(s, F.get(p, 2 * k).cast("long"), F.coalesce(F.get(p, 2 * k + 1).cast("long"), F.length(s).cast("long")))), "")
+    out = F.when(s.isNotNull() & p.isNotNull(), out)
     return reverse_complement(out) if inversion else out
 
 
