@@ -268,15 +268,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model, limit: float) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the limit."""
-    at = docs.columns.index("text")
+    # Plain names on the way: columns may have any.
+    plain = docs.toDF(*("text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
 
     def run(batches):
         for batch in batches:
-            for part in text_blocks([batch.rename_columns([f"c{i}" if i != at else "text" for i in range(batch.num_columns)])], 1 << 20):
-                stay = part.filter(pa.array(model.score(utf8(part.column("text"))) < limit))
-                yield stay.rename_columns(docs.columns)
+            for part in text_blocks([batch], 1 << 20):
+                yield part.filter(pa.array(model.score(utf8(part.column("text"))) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int = SAMPLE) -> Model:
