@@ -28,7 +28,6 @@ texts. Null doc_ids never name a component; a component without any doc_id has n
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ WORDS, PERCENT = 5, 75
 #: Order of shingles only: those in so many texts of a window of WINDOW shingles come last, FREQUENT of them at most.
 OFTEN, WINDOW, FREQUENT = 4, 2 << 20, 1 << 17
 #: Points of a cell that all others meet; shingles in a group of a point's coordinates, and of its finer coordinates.
-HUBS, COARSE, FINE = 6, 4, 0.5
+HUBS, COARSE, FINE = 4, 4, 0.5
 #: Points of a tile's two sides; points in a leaf of its tree; dimensions of the tree's boxes.
 SIDE_A, SIDE_B, LEAF, BOX = 256, 1024, 16, 16
 _WORDS = word_bytes("space")
@@ -112,45 +111,48 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -
     return shingles[:take]
 
 
+_POINT = ["doc_id", "n", "set", "vec", "fine", "often"]
+
+
 def points(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row for each row of docs: doc_id, n, set (its digest, null without shingles), vec, fine."""
+    """One row for each row of docs: doc_id, n, set (its digest, null without shingles), vec, fine; often is null.
+
+    Further rows, with n = -1, have in `often` the shingles that OFTEN or more texts of a window of a task's texts share.
+    """
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())]))
 
     def run(batches):
+        held, total, key = [], 0, None
+
+        def shared():
+            found, count = np.unique(np.concatenate(held), return_counts=True)
+            many = count >= OFTEN
+            pairs = [{"shingle": int(x), "n": int(n)} for x, n in zip(found[many].astype(np.int64), count[many], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([pairs], kind)], _POINT)
+
         for batch in batches:
+            key = batch.column("doc_id").type
             for part in text_blocks([batch]):
                 sets = shingle_sets(utf8(part.column("text")), words)
                 vectors = [pa.array([vector(s, share) if len(s) else None for s in sets], pa.binary()) for share in (COARSE, FINE)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), *vectors], ["doc_id", "n", "set", "vec", "fine"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), *vectors, pa.nulls(len(sets), kind)], _POINT)
+                held += sets
+                total += sum(map(len, sets))
+                if total >= WINDOW:
+                    yield shared()
+                    held, total = [], 0
+        if held:
+            yield shared()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set long, vec binary, fine binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set long, vec binary, fine binary, often array<struct<shingle: long, n: long>>")
 
 
-def frequent_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Shingles that are in OFTEN texts or more of some window of a task's texts; the most frequent, FREQUENT at most.
+def frequent_shingles(placed: DataFrame) -> np.ndarray:
+    """The most frequent of the shingles that `placed` (points) found in many texts, FREQUENT at most.
 
     Only the order of shingles follows from it, never which pairs link.
     """
-
-    def run(batches):
-        held, n = [], 0
-
-        def often():
-            found, count = np.unique(np.concatenate(held), return_counts=True)
-            many = count >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(found[many].astype(np.int64)), pa.array(count[many])], ["shingle", "n"])
-
-        for batch in batches:
-            for part in text_blocks([batch]):
-                for s in shingle_sets(utf8(part.column("text")), words):
-                    held.append(s)
-                    n += len(s)
-                if n >= WINDOW:
-                    yield often()
-                    held, n = [], 0
-        if n:
-            yield often()
-
-    counted = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = placed.where("n < 0").select(F.explode("often").alias("o")).groupBy("o.shingle").agg(F.sum("o.n").alias("n"))
     rows = counted.orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).select("shingle").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.uint64))
 
@@ -206,40 +208,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
     return both.mapInArrow(run, "u long, v long, overlap long, n_u long, n_v long").distinct()
 
 
-def tree_pairs(left: pd.DataFrame, right: pd.DataFrame, percent: int = PERCENT) -> np.ndarray:
-    """Pairs (a, b) of a tile's sides (set, n, root, vec) of different roots that the bound lets through.
+class _Side:
+    """A side of a tile, packed into leaves in the order of size and leading coordinate."""
+
+    def __init__(self, side):
+        self.set, self.n, self.root = (np.asarray(side[c]) for c in ("set", "n", "root"))
+        self.vec, self.fine = list(side["vec"]), list(side["fine"])
+        self.width = np.array([len(v) if v is not None else 1 << 30 for v in self.vec], dtype=np.int64)
+        self.counts: dict[int, np.ndarray] = {}
+        order = np.lexsort((self.at(BOX)[:, 0], self.n)) if len(self.n) else np.empty(0, dtype=np.int64)
+        self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
+
+    def at(self, groups: int) -> np.ndarray:
+        """All coordinates in so many groups. Without counts (one beyond a byte) any group may hold the whole set."""
+        if groups not in self.counts:
+            self.counts[groups] = np.array([folded(np.frombuffer(v, dtype=np.uint8), groups) if v is not None and len(v) >= groups else np.full(groups, n) for v, n in zip(self.vec, self.n, strict=True)]).reshape(-1, groups)
+        return self.counts[groups]
 
-    Either side is packed into leaves in the order of size and leading coordinate; leaves are paired by their boxes.
-    """
 
-    def packed(side: pd.DataFrame):
-        full = [np.frombuffer(v, dtype=np.uint8) if v is not None else None for v in side["vec"]]
-        n = side["n"].to_numpy()
-        # Without a vector (a count beyond a byte) every group may hold the whole set.
-        box = np.array([folded(v, BOX) if v is not None else np.full(BOX, k) for v, k in zip(full, n, strict=True)]).reshape(-1, BOX)
-        order = np.lexsort((box[:, 0], n)) if len(n) else np.empty(0, dtype=np.int64)
-        leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-        return side["set"].to_numpy(), n, side["root"].to_numpy(), side["vec"].to_numpy(), box, leaves
+def tree_pairs(left, right, percent: int = PERCENT) -> np.ndarray:
+    """Pairs (a, b) of a tile's sides (set, n, root, vec, fine) of different roots that the bounds let through.
 
-    (a, n, r, v, x, p), (b, m, s, w, y, q) = packed(left), packed(right)
+    Leaves are paired by their boxes, the points of paired leaves by their coordinates, then by their finer ones.
+    """
+    p, q = _Side(left), _Side(right)
+    x, y = p.at(BOX), q.at(BOX)
     out = []
-    top = np.array([y[leaf].max(axis=0) for leaf in q]).reshape(-1, BOX)
-    low, high = np.array([m[leaf].min() for leaf in q]), np.array([m[leaf].max() for leaf in q])
-    for leaf in p:
-        least, most = n[leaf].min(), n[leaf].max()
+    top = np.array([y[leaf].max(axis=0) for leaf in q.leaves]).reshape(-1, BOX)
+    low, high = np.array([q.n[leaf].min() for leaf in q.leaves]), np.array([q.n[leaf].max() for leaf in q.leaves])
+    for leaf in p.leaves:
+        least, most = p.n[leaf].min(), p.n[leaf].max()
         bound = np.minimum(x[leaf].max(axis=0), top).sum(axis=1)
-        open_leaves = np.flatnonzero((bound >= needed(least, low, percent)) & (100 * most >= percent * low) & (100 * high >= percent * least))
-        for k in open_leaves:
-            other = q[k]
-            close = np.minimum(x[leaf][:, None, :], y[other][None, :, :]).sum(axis=2) >= needed(n[leaf][:, None], m[other][None, :], percent)
-            close &= r[leaf][:, None] != s[other][None, :]
+        for k in np.flatnonzero((bound >= needed(least, low, percent)) & (100 * most >= percent * low) & (100 * high >= percent * least)):
+            other = q.leaves[k]
+            groups = int(min(p.width[leaf].min(), q.width[other].min(), 1024))
+            n, m = p.n[leaf][:, None], q.n[other][None, :]
+            close = np.minimum(p.at(groups)[leaf][:, None, :], q.at(groups)[other][None, :, :]).sum(axis=2) >= needed(n, m, percent)
+            close &= (p.root[leaf][:, None] != q.root[other][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             for i, j in zip(*np.nonzero(close), strict=True):
                 i, j = leaf[i], other[j]
-                if may_link(v[i], int(n[i]), w[j], int(m[j]), percent):
-                    out.append((min(a[i], b[j]), max(a[i], b[j])))
+                if may_link(p.fine[i], int(p.n[i]), q.fine[j], int(q.n[j]), percent):
+                    out.append((min(p.set[i], q.set[j]), max(p.set[i], q.set[j])))
     return np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0)
 
 
+def _whole_groups(batches, keys: list[str]):
+    """The rows of each group of equal keys, from batches sorted by them; a group may span batches."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.column_stack([batch.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(columns[a])
+            if last is not None and key != last:
+                yield kept
+                kept = []
+            kept.append(batch.slice(a, b - a))
+            last = key
+    if kept:
+        yield kept
+
+
 def _tiles(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a group (cell, set) and that the bound lets through.
 
@@ -258,14 +290,31 @@ def _tiles(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     with_many = F.transform(F.sequence(F.lit(0), F.col("mosts").cast("int") - 1), lambda j: F.struct(F.col("own").alias("i"), (-j - 1).cast("int").alias("j"), F.lit(0).alias("side")))
     with_rest = F.transform(F.sequence(F.lit(0), F.col("rests").cast("int") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side")))
     turns = turns.otherwise(F.concat(with_many, with_rest))
-    tiled = dealt.join(sets.select("set", "n", "vec"), "set").select("cell", "set", "root", "n", "vec", F.explode(turns).alias("t")).select("cell", "t.i", "t.j", "t.side", "set", "root", "n", "vec")
+    columns = ["cell", "i", "j", "side", "set", "root", "n", "vec", "fine"]
+    tiled = dealt.join(sets.select("set", "n", "vec", "fine"), "set").withColumn("t", F.explode(turns)).select("cell", "t.i", "t.j", "t.side", "set", "root", "n", "vec", "fine")
+
+    def run(batches):
+        found, n = [], 0
+        for parts in _whole_groups(batches, columns[:3]):
+            tile = {c: np.concatenate([p.column(c).to_numpy() for p in parts]) for c in columns[:7]} | {c: [v for p in parts for v in p.column(c).to_pylist()] for c in columns[7:]}
+            first = np.flatnonzero(tile["side"] == 0)
+            second = first if tile["i"][0] == tile["j"][0] else np.flatnonzero(tile["side"] == 1)
+            take = lambda at, t=tile: {c: v[at] if isinstance(v, np.ndarray) else [v[k] for k in at] for c, v in t.items()}
+            pairs = tree_pairs(take(first), take(second), percent)
+            found.append(pairs)
+            n += len(pairs)
+            if n > 100_000:
+                yield _pair_batch(found)
+                found, n = [], 0
+        if found:
+            yield _pair_batch(found)
+
+    return tiled.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long").where("a != b").distinct()
 
-    def run(key, tile):
-        left = tile[tile["side"] == 0]
-        right = left if key[1] == key[2] else tile[tile["side"] == 1]
-        return pd.DataFrame(tree_pairs(left, right, percent), columns=["a", "b"])
 
-    return tiled.groupBy("cell", "i", "j").applyInPandas(run, "a long, b long").where("a != b").distinct()
+def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def links(docs: DataFrame, placed: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +323,7 @@ def links(docs: DataFrame, placed: DataFrame, words: int = WORDS, percent: int =
     The links connect all that is similar; links within a component that others already connect may be missing.
     """
     sets = stored(placed.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine"), F.min("doc_id").alias("one")), "sets")
-    entered = entries(docs, frequent_shingles(docs, words), words, percent)
+    entered = entries(docs, frequent_shingles(placed), words, percent)
     shared = entered.groupBy("cell").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("cell")
     cells = stored(entered.join(shared, "cell").distinct(), "cells")
     # How central a set is: the share of its own cells that hold other sets too.
@@ -287,14 +336,15 @@ def links(docs: DataFrame, placed: DataFrame, words: int = WORDS, percent: int =
     first = stored(_verified(stored(_bounded(tried, sets, percent, "fine"), "pairs"), sets, docs, words, percent), "verified")
     groups = cells.join(hubs.where("rank = 1"), "cell").select(F.col("hub").alias("cell"), "set").distinct()
     more = stored(_tiles(groups, components(first), sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    second = stored(_verified(stored(_bounded(more, sets, percent, "fine"), "pairs"), sets, docs, words, percent), "verified")
+    second = stored(_verified(more, sets, docs, words, percent), "verified")
     return first.unionByName(second), sets
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
-    placed = stored(points(docs, words), "points")
-    found, _ = links(docs, placed, words, percent)
+    told = stored(points(docs, words), "points")
+    found, _ = links(docs, told, words, percent)
+    placed = told.where("n >= 0")
     roots = components(found)
     rooted = placed.join(roots, placed["set"] == roots["node"], "left").select("doc_id", "n", "set", F.coalesce("root", "set").alias("root"))
     names = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
