@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, license_scan, media_tiff, mixing, packing, quality_zstd, toxicity_crf
+from . import exact_dedup, jaccard_join, language_id, license_scan, media_tiff, mixing, packing, paragraph_dedup, quality_zstd, toxicity_crf
 from .common import documents, fold, labels
 
 #: A document is predicted to have label 1 from this score on.
@@ -32,6 +32,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(documents(spark, sf_dir))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeats(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -64,7 +68,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_zstd, op2_mixing, op3_media_tiff, op4_jaccard_join, op6_language_id, op7_toxicity_crf, op8_packing, op9_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_quality_zstd, op2_mixing, op3_media_tiff, op4_jaccard_join, op5_paragraph_dedup, op6_language_id, op7_toxicity_crf, op8_packing, op9_exact_dedup, op10_license_scan)}
 
 
 ORACLES = {
