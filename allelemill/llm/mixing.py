@@ -84,15 +84,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = B
     """
     column = {c: F.col(f"`{c}`") for c in docs.columns}
     rows = docs.select(column["doc_id"].alias("doc_id"), column["source"].alias("source"), words(column["text"]).alias("size"), F.struct(*(column[c].alias(f"x{i}") for i, c in enumerate(docs.columns))).alias("row"))
-    # Rows that agree in these three are numbered on both sides, so that each finds one place in the queue.
-    same = Window.partitionBy("doc_id", "source", "size")
-    queued = queue(stored(rows.select("doc_id", "source", "size"), "sizes"), weights, budget, rounds, seed).withColumn("no", F.row_number().over(same.orderBy("start")))
+    narrow = stored(rows.select("doc_id", "source", "size"), "sizes")
+    queued = queue(narrow, weights, budget, rounds, seed).withColumn("no", F.lit(1))
+    rows = rows.withColumn("no", F.lit(1))
+    if not narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        # Rows that agree in all three are numbered on both sides, so that each finds one place in the queue.
+        same = Window.partitionBy("doc_id", "source", "size")
+        queued = queued.withColumn("no", F.row_number().over(same.orderBy("start")))
+        rows = rows.withColumn("no", F.row_number().over(same.orderBy(F.xxhash64("row.x%d" % docs.columns.index("text")))))
     turns = F.array(*(F.struct(F.lit(r).alias("round"), served(r).alias("n")) for r in range(rounds)))
     turn = F.explode(F.filter(turns, lambda x: (x["n"] > 0) & (2 * x["n"] >= F.col("size"))))
     chosen = queued.withColumn("turn", turn)
     finish = (F.col("start") + F.col("size") + F.col("turn.round") * F.col("source_size")) / F.col("target")
     place = chosen.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "no")), finish.alias("_finish"))
-    rows = rows.withColumn("no", F.row_number().over(same.orderBy(F.xxhash64("row.x%d" % docs.columns.index("text")))))
     joined = rows.join(place, rows["doc_id"].eqNullSafe(F.col("_doc_id")) & rows["source"].eqNullSafe(F.col("_source")) & (rows["size"] == F.col("_size")) & (rows["no"] == F.col("_no")))
     ordered = joined.repartitionByRange("_finish").sortWithinPartitions("_finish")
     return ordered.select(*(F.col(f"row.x{i}").alias(c) for i, c in enumerate(docs.columns)))
