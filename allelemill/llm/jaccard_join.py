@@ -14,7 +14,7 @@ How large cells are kept linear. In a first round every point of a cell meets th
 (those that share most of their own cells with others). Verified links give components; points of one component need
 not be compared. In a second round the cells of one most central point are put together, so that a pair is met once or a
 few times however many shingles it shares; their points that belong to different components meet in tiles of bounded
-size, each a small R-tree. What its bound lets through meets the same bound once more with many more groups.
+size, each a small R-tree.
 
 Sets are handled once: equal sets have equal 64-bit digests (two sets with one digest would be taken for one set, about
 n^2 / 2^65 for n sets). Shingles are compared as 64-bit hashes.
@@ -39,8 +39,8 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: Order of shingles only: those in so many texts of a window of WINDOW shingles come last, FREQUENT of them at most.
 OFTEN, WINDOW, FREQUENT = 4, 2 << 20, 1 << 17
-#: Points of a cell that all others meet; shingles in a group of a point's coordinates, and of its finer coordinates.
-HUBS, COARSE, FINE = 4, 4, 0.5
+#: Points of a cell that all others meet; coordinates that any point may have.
+HUBS, PLENTY = 4, 512
 #: Points of a tile's two sides; points in a leaf of its tree; dimensions of the tree's boxes.
 SIDE_A, SIDE_B, LEAF, BOX = 256, 1024, 16, 16
 _WORDS = word_bytes("space")
@@ -73,9 +73,11 @@ def digest(shingles: np.ndarray) -> int:
     return int(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-def vector(shingles: np.ndarray, share: float = COARSE) -> bytes | None:
-    """Counts of the groups, a byte each, about `share` shingles in one. None where a count needs more than a byte."""
-    groups = min(max(16, 1 << int(len(shingles) / share).bit_length()), 1 << 16)
+def vector(shingles: np.ndarray) -> bytes | None:
+    """Counts of the groups, a byte each: as many groups as shingles up to PLENTY, then a quarter as many. None where a
+    count needs more than a byte."""
+    power = lambda k: 1 << int(k).bit_length()
+    groups = min(max(16, power(len(shingles))), max(PLENTY, power(len(shingles) // 4)), 1 << 16)
     counts = np.bincount((shingles >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
 
@@ -111,11 +113,11 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -
     return shingles[:take]
 
 
-_POINT = ["doc_id", "n", "set", "vec", "fine", "often"]
+_POINT = ["doc_id", "n", "set", "vec", "often"]
 
 
 def points(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row for each row of docs: doc_id, n, set (its digest, null without shingles), vec, fine; often is null.
+    """One row for each row of docs: doc_id, n, set (its digest, null without shingles), vec; often is null.
 
     Further rows, with n = -1, have in `often` the shingles that OFTEN or more texts of a window of a task's texts share.
     """
@@ -128,14 +130,14 @@ def points(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found, count = np.unique(np.concatenate(held), return_counts=True)
             many = count >= OFTEN
             pairs = [{"shingle": int(x), "n": int(n)} for x, n in zip(found[many].astype(np.int64), count[many], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([pairs], kind)], _POINT)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], kind)], _POINT)
 
         for batch in batches:
             key = batch.column("doc_id").type
             for part in text_blocks([batch]):
                 sets = shingle_sets(utf8(part.column("text")), words)
-                vectors = [pa.array([vector(s, share) if len(s) else None for s in sets], pa.binary()) for share in (COARSE, FINE)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), *vectors, pa.nulls(len(sets), kind)], _POINT)
+                vectors = pa.array([vector(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), vectors, pa.nulls(len(sets), kind)], _POINT)
                 held += sets
                 total += sum(map(len, sets))
                 if total >= WINDOW:
@@ -144,7 +146,7 @@ def points(docs: DataFrame, words: int = WORDS) -> DataFrame:
         if held:
             yield shared()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set long, vec binary, fine binary, often array<struct<shingle: long, n: long>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, set long, vec binary, often array<struct<shingle: long, n: long>>")
 
 
 def frequent_shingles(placed: DataFrame) -> np.ndarray:
@@ -172,8 +174,8 @@ def entries(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent:
     return docs.select("text").mapInArrow(run, "cell long, set long")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, by: str) -> DataFrame:
-    """The pairs (a, b) that the bound lets through; by: the coordinates, vec or fine."""
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bound lets through."""
 
     def run(batches):
         for batch in batches:
@@ -181,7 +183,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, by: str) -> DataFr
             yes = pa.array([may_link(*row, percent) for row in zip(x, n, y, m, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(yes)
 
-    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col(by).alias("vec_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col(by).alias("vec_b")), "b")
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b")), "b")
     near = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return near.select("a", "b", "n_a", "vec_a", "n_b", "vec_b").mapInArrow(run, "a long, b long")
 
@@ -213,7 +215,7 @@ class _Side:
 
     def __init__(self, side):
         self.set, self.n, self.root = (np.asarray(side[c]) for c in ("set", "n", "root"))
-        self.vec, self.fine = list(side["vec"]), list(side["fine"])
+        self.vec = list(side["vec"])
         self.width = np.array([len(v) if v is not None else 1 << 30 for v in self.vec], dtype=np.int64)
         self.counts: dict[int, np.ndarray] = {}
         order = np.lexsort((self.at(BOX)[:, 0], self.n)) if len(self.n) else np.empty(0, dtype=np.int64)
@@ -227,9 +229,9 @@ class _Side:
 
 
 def tree_pairs(left, right, percent: int = PERCENT) -> np.ndarray:
-    """Pairs (a, b) of a tile's sides (set, n, root, vec, fine) of different roots that the bounds let through.
+    """Pairs (a, b) of a tile's sides (set, n, root, vec) of different roots that the bound lets through.
 
-    Leaves are paired by their boxes, the points of paired leaves by their coordinates, then by their finer ones.
+    Leaves are paired by their boxes, the points of paired leaves by all coordinates that either leaf's points have.
     """
     p, q = _Side(left), _Side(right)
     x, y = p.at(BOX), q.at(BOX)
@@ -247,7 +249,7 @@ def tree_pairs(left, right, percent: int = PERCENT) -> np.ndarray:
             close &= (p.root[leaf][:, None] != q.root[other][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             for i, j in zip(*np.nonzero(close), strict=True):
                 i, j = leaf[i], other[j]
-                if may_link(p.fine[i], int(p.n[i]), q.fine[j], int(q.n[j]), percent):
+                if may_link(p.vec[i], int(p.n[i]), q.vec[j], int(q.n[j]), percent):
                     out.append((min(p.set[i], q.set[j]), max(p.set[i], q.set[j])))
     return np.unique(np.array(out, dtype=np.int64).reshape(-1, 2), axis=0)
 
@@ -290,8 +292,8 @@ def _tiles(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     with_many = F.transform(F.sequence(F.lit(0), F.col("mosts").cast("int") - 1), lambda j: F.struct(F.col("own").alias("i"), (-j - 1).cast("int").alias("j"), F.lit(0).alias("side")))
     with_rest = F.transform(F.sequence(F.lit(0), F.col("rests").cast("int") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side")))
     turns = turns.otherwise(F.concat(with_many, with_rest))
-    columns = ["cell", "i", "j", "side", "set", "root", "n", "vec", "fine"]
-    tiled = dealt.join(sets.select("set", "n", "vec", "fine"), "set").withColumn("t", F.explode(turns)).select("cell", "t.i", "t.j", "t.side", "set", "root", "n", "vec", "fine")
+    columns = ["cell", "i", "j", "side", "set", "root", "n", "vec"]
+    tiled = dealt.join(sets.select("set", "n", "vec"), "set").withColumn("t", F.explode(turns)).select("cell", "t.i", "t.j", "t.side", "set", "root", "n", "vec")
 
     def run(batches):
         found, n = [], 0
@@ -322,7 +324,7 @@ def links(docs: DataFrame, placed: DataFrame, words: int = WORDS, percent: int =
 
     The links connect all that is similar; links within a component that others already connect may be missing.
     """
-    sets = stored(placed.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.first("fine").alias("fine"), F.min("doc_id").alias("one")), "sets")
+    sets = stored(placed.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.min("doc_id").alias("one")), "sets")
     entered = entries(docs, frequent_shingles(placed), words, percent)
     shared = entered.groupBy("cell").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("cell")
     cells = stored(entered.join(shared, "cell").distinct(), "cells")
@@ -332,8 +334,8 @@ def links(docs: DataFrame, placed: DataFrame, words: int = WORDS, percent: int =
     rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.col("score").desc(), "set"))  # cut in each task first
     hubs = stored(cells.join(central, "set").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("cell", F.col("set").alias("hub"), "rank"), "hubs")
     star = cells.join(hubs, "cell").where("set != hub").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
-    tried = stored(_bounded(star, sets, percent, "vec"), "pairs")
-    first = stored(_verified(stored(_bounded(tried, sets, percent, "fine"), "pairs"), sets, docs, words, percent), "verified")
+    tried = stored(_bounded(star, sets, percent), "pairs")
+    first = stored(_verified(tried, sets, docs, words, percent), "verified")
     groups = cells.join(hubs.where("rank = 1"), "cell").select(F.col("hub").alias("cell"), "set").distinct()
     more = stored(_tiles(groups, components(first), sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     second = stored(_verified(more, sets, docs, words, percent), "verified")

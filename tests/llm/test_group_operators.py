@@ -119,13 +119,13 @@ def test_tree_loses_nothing():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
     sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(150, 300)], rng.integers(0, 2**63, rng.integers(0, 90), dtype=np.uint64)])) for _ in range(80)]
-    side = {"set": range(80), "n": [len(s) for s in sets], "root": range(80), "vec": [jaccard_join.vector(s) if i % 7 else None for i, s in enumerate(sets)], "fine": [jaccard_join.vector(s, 0.5) if i % 5 else None for i, s in enumerate(sets)]}
+    side = {"set": range(80), "n": [len(s) for s in sets], "root": range(80), "vec": [jaccard_join.vector(s) if i % 7 else None for i, s in enumerate(sets)]}
     found = {tuple(p) for p in jaccard_join.tree_pairs(side, side).tolist()}
     for i, j in itertools.combinations(range(80), 2):
         common = len(np.intersect1d(sets[i], sets[j]))
         if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
             assert (i, j) in found
-            assert jaccard_join.may_link(jaccard_join.vector(sets[i], 0.5), len(sets[i]), jaccard_join.vector(sets[j], 0.5), len(sets[j]))
+            assert jaccard_join.may_link(jaccard_join.vector(sets[i]), len(sets[i]), jaccard_join.vector(sets[j]), len(sets[j]))
 
 
 def test_components(spark):
