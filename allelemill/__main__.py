@@ -1,0 +1,125 @@
+"""One comparison, extraction, patch or slice from the command line, by the kernel alone (no Spark session).
+
+    python -m allelemill --reference CATATATC compare --lhs-hgvs 2_7AT[4] --rhs CATATTATC
+    python -m allelemill --reference CATATATC extract --observed CATATATATC --supremal
+"""
+
+from __future__ import annotations
+
+import argparse
+import random
+
+from .kernel import align, notation
+from .sources.random import random_allele
+
+FORMS = ("sequence", "hgvs", "spdi", "file", "random-variant", "random-sequence")
+
+
+def _from_file(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return "".join(line.strip() for line in f if not line.startswith(">"))
+
+
+def _random_text(most: int, least: int) -> str:
+    return "".join(random.choices(notation.NUCLEOTIDES, k=random.randint(least, most)))
+
+
+def _side(parser: argparse.ArgumentParser, name: str) -> None:
+    group = parser.add_mutually_exclusive_group()
+    group.add_argument(f"--{name}", help="an observed sequence")
+    for form in FORMS[1:4]:
+        group.add_argument(f"--{name}-{form}")
+    for form in FORMS[4:]:
+        group.add_argument(f"--{name}-{form}", action="store_true")
+
+
+def _observed(args: argparse.Namespace, name: str, reference: str) -> str:
+    """The observed sequence that the arguments of one side give; a random one if none does."""
+    given = lambda form: getattr(args, f"{name}_{form}".replace("-", "_"))
+    if getattr(args, name) is not None:
+        return getattr(args, name)
+    if given("file"):
+        return _from_file(given("file"))
+    if given("hgvs") is not None:
+        return align.patched(reference, notation.parse_hgvs(given("hgvs"), reference))
+    if given("spdi") is not None:
+        return align.patched(reference, notation.parse_spdi(given("spdi")))
+    if given("random-variant"):
+        edits = [align.Edit(**e) for e in random_allele(reference, random.randrange(1 << 30), args.random_variant_p)]
+        print(_text(edits, reference))
+        return align.patched(reference, edits)
+    observed = _random_text(args.random_sequence_max, args.random_sequence_min)
+    print(observed)
+    return observed
+
+
+def _text(edits: list[align.Edit], reference: str) -> str:
+    each = [notation.simple(e, reference) for e in edits]
+    return "=" if not each else each[0] if len(each) == 1 else f"[{';'.join(each)}]"
+
+
+def _extract(args: argparse.Namespace, reference: str) -> None:
+    whole = align.windowed(reference, _observed(args, "observed", reference))
+    print(notation.rich(whole.canonical(), reference))
+    if args.all:
+        for walk in whole.walks():
+            print(_text(walk, reference))
+    if args.atomics:
+        for position, symbol in whole.unit_edits():
+            print(notation.simple(align.Edit(position, position + (symbol == ""), symbol), reference))
+    if args.distance:
+        print(whole.distance)
+    if args.dot:
+        print("\n".join(notation.dot((s for s in whole.steps() if whole.distance), reference, whole.spanning())))
+    if args.local_supremal:
+        print(_text(whole.local_spanning(), reference))
+    if args.supremal:
+        s = whole.spanning()
+        print(f":{s.start}:{s.end - s.start}:{s.sequence}")
+
+
+def main(argv: list[str] | None = None) -> None:
+    parser = argparse.ArgumentParser(prog="allelemill", description=__doc__.split("\n")[0])
+    parser.add_argument("--random-sequence-min", type=int, default=0)
+    parser.add_argument("--random-sequence-max", type=int, default=1000)
+    parser.add_argument("--random-variant-p", type=float)
+    group = parser.add_mutually_exclusive_group()
+    group.add_argument("--reference")
+    group.add_argument("--reference-file")
+    group.add_argument("--reference-random-sequence", action="store_true")
+    commands = parser.add_subparsers(dest="command", required=True)
+    compare = commands.add_parser("compare", help="how two alleles relate")
+    for name in ("lhs", "rhs"):
+        _side(compare, name)
+    extract = commands.add_parser("extract", help="the canonical allele")
+    for flag in ("all", "atomics", "distance", "dot", "local-supremal", "supremal"):
+        extract.add_argument(f"--{flag}", action="store_true")
+    _side(extract, "observed")
+    patch = commands.add_parser("patch", help="the observed sequence of an allele")
+    _side(patch, "variant")
+    piece = commands.add_parser("slice", help="pieces of the reference")
+    piece.add_argument("--positions", type=int, nargs="+", required=True)
+    piece.add_argument("--reverse-complement", action="store_true")
+    args = parser.parse_args(argv)
+
+    if args.reference is not None:
+        reference = args.reference
+    elif args.reference_file:
+        reference = _from_file(args.reference_file)
+    else:
+        reference = _random_text(args.random_sequence_max, args.random_sequence_min)
+        print(reference)
+    if args.command == "compare":
+        print(align.relation(reference, _observed(args, "lhs", reference), _observed(args, "rhs", reference)))
+    elif args.command == "extract":
+        _extract(args, reference)
+    elif args.command == "patch":
+        print(_observed(args, "variant", reference))
+    else:
+        at = args.positions
+        cut = "".join(reference[at[k] : at[k + 1] if k + 1 < len(at) else None] for k in range(0, len(at), 2))
+        print(notation.reverse_complement(cut) if args.reverse_complement else cut)
+
+
+if __name__ == "__main__":
+    main()
