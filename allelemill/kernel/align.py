@@ -14,7 +14,7 @@ import numpy as np
 
 #: Cells of a table at most; beyond it the alignment is refused rather than run out of memory.
 MOST_CELLS = 1 << 26
-PAD = 16
+PAD = 4
 
 
 class Edit(NamedTuple):
