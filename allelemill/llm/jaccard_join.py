@@ -38,7 +38,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 75
 #: Order of shingles only: those in so many texts of a window of WINDOW shingles come last, FREQUENT of them at most.
-OFTEN, WINDOW, FREQUENT = 4, 2 << 20, 1 << 17
+OFTEN, WINDOW, FREQUENT = 4, 1 << 20, 1 << 17
 #: Points of a cell that all others meet; coordinates that any point may have.
 HUBS, PLENTY = 4, 512
 #: Points of a tile's two sides; points in a leaf of its tree; dimensions of the tree's boxes.

@@ -259,7 +259,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in text_blocks([batch], 1 << 20):
+            for part in text_blocks([batch], 1 << 18):
                 scores, spans = model.score(utf8(part.column("text")), spans=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
@@ -273,7 +273,7 @@ def kept(docs: DataFrame, model: Model, limit: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in text_blocks([batch], 1 << 20):
+            for part in text_blocks([batch], 1 << 18):
                 yield part.filter(pa.array(model.score(utf8(part.column("text"))) < limit))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
