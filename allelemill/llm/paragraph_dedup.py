@@ -3,12 +3,13 @@
 A paragraph ends at a line break or after a word that ends in a full stop, an exclamation or a question mark, so that a
 passage pasted into other text keeps its own paragraphs wherever it stands. Paragraphs of LEAST words or more are sets
 of five-word shingles; BANDS bands of ROWS minimal hashes each (tuned below: recall 0.98 at a similarity of 0.75, 0.99 at
-0.8) name buckets, colliding paragraphs are paired with the bucket's two ends, exact Jaccard similarity is verified, and the
-removals are clustered by connected components. Of each cluster the first occurrence (smallest doc_id, then paragraph)
-stays.
+0.8) name buckets, all colliding paragraphs are compared, exact Jaccard similarity is verified, and the removals are
+clustered by connected components. Of each cluster the first occurrence (smallest doc_id, then paragraph) stays.
 
 Equal paragraphs have equal 64-bit digests and are one node, however many there are; so groups of copies never meet in
-one task, and a bucket's pairs grow with its distinct paragraphs only. Whole texts are cut.
+one task, and a bucket's pairs grow with its distinct paragraphs only. In a first round a bucket's paragraphs meet its two
+ends. Those that verified links have not joined by then meet in a second round, in tiles of bounded size (as in the Jaccard
+join), where a bound by counts of shingles, which loses no pair, comes before verification. Whole texts are cut.
 
 Defined results: null and empty texts have no paragraphs, shorter paragraphs take no part. A paragraph repeated within
 one document counts like any other. Rows that repeat a doc_id have equal places; of such an equal place every row stays
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, mix64, stored, text_blocks, utf8, word_bytes
 from .components import components
+from .jaccard_join import _tiles, vector
 
 WORDS, PERCENT, LEAST = 5, 75, 8
 BANDS, ROWS = 5, 2
@@ -121,6 +123,17 @@ def _shingles(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set long, shingles binary")
 
 
+def _vectors(sets: DataFrame) -> DataFrame:
+    """(set, n, vec) of (set, shingles): how many shingles are distinct, and the counts of their groups."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(np.frombuffer(x, dtype=np.uint64)) for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([len(x) for x in found], pa.int64()), pa.array([vector(x) for x in found], pa.binary())], ["set", "n", "vec"])
+
+    return sets.select("set", "shingles").mapInArrow(run, "set long, n long, vec binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sufficient exact similarity, as (u, v)."""
 
@@ -143,11 +156,15 @@ def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, bands:
     found = stored(paragraphs(docs, least), "paragraphs")
     entered = buckets(docs, least, bands, rows)
     ends = entered.groupBy("bucket").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi")
-    met = entered.join(ends, "bucket").select("set", F.explode(F.array("lo", "hi")).alias("end")).where("set != end")
-    pairs = stored(met.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    met = stored(entered.join(ends, "bucket").select("set", "lo", "hi").distinct(), "met")
+    star = met.select("set", F.explode(F.array("lo", "hi")).alias("end")).where("set != end")
+    pairs = stored(star.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct(), "pairs")
+    wanted = met.select("set").distinct()
     sets = stored(_shingles(docs, least).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles")), "shingles")
-    roots = components(_verified(pairs, sets, percent))
+    linked = components(_verified(pairs, sets, percent))
+    groups = met.select(F.col("lo").alias("cell"), "set").distinct()  # buckets of one lower end are put together
+    more = stored(_tiles(groups, linked, stored(_vectors(sets), "vectors"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_verified(more, sets, percent)))
     rooted = found.join(roots, found["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set")).drop("node", "set")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("paragraph"))
     clusters = rooted.groupBy("root").agg(F.count("*").alias("copies"), F.min(place).alias("keep")).where("copies > 1")

@@ -81,3 +81,24 @@ def test_against_brute_force(spark, rows):
     assert exact <= set(want) and len(exact) >= len(want) - 3
     assert P.repeats(docs.where("false")).count() == 0
     assert P.recall(0.75) > 0.98 and P.recall(0.8) > 0.99
+
+
+def test_all_pairs_of_a_bucket(spark):
+    """Clusters that share boilerplate meet in many buckets, whose ends are of other clusters; still all pairs count."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    shared = [word() for _ in range(40)]
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(16)]
+        other = [*own[:-4], *(word() for _ in range(4))]
+        texts += [" ".join([*shared, *own]), " ".join([*shared, *other])]
+    p = P.Paragraphs([t.encode() for t in texts])
+    sets = [set(p.shingles[a:b].tolist()) for a, b in itertools.pairwise(p.first)]
+    near = lambda i, j: 100 * len(sets[i] & sets[j]) >= P.PERCENT * len(sets[i] | sets[j])
+    keys = p.buckets()
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (keys[:, i] == keys[:, j]).any() and near(i, j)}
+    assert len(want) > 140 and len(set(keys.ravel().tolist())) < keys.size / 2
+    got = {r["doc_id"]: r["keep_doc_id"] for r in P.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    lost = {(i, j) for i, j in want if i not in got or got[i] != got.get(j)}
+    assert not lost
