@@ -11,7 +11,13 @@ one task, and a bucket's pairs grow with its distinct paragraphs only. In a firs
 ends. Those that verified links have not joined by then meet in a second round, in tiles of bounded size (as in the Jaccard
 join), where a bound by counts of shingles, which loses no pair, comes before verification. Whole texts are cut.
 
-Defined results: null and empty texts have no paragraphs, shorter paragraphs take no part. A paragraph repeated within
+Short paragraphs, and passages pasted in mid-sentence, which are glued to what surrounds them, are found as pieces: runs of
+PIECE words, across sentence ends and line breaks, at content-defined places (the least hash of each SPREAD neighbouring
+runs, at both ends of a text of those there are). Equal words choose equal places, so any passage of PIECE + SPREAD - 1
+words or more that repeats word for word shares a piece, wherever it stands. `passages` gives a row for each repeated
+piece that no listed paragraph contains; `deduplicated` gives both.
+
+Defined results: null and empty texts have no paragraphs, shorter paragraphs are covered by pieces only. A paragraph repeated within
 one document counts like any other. Rows that repeat a doc_id have equal places; of such an equal place every row stays
 or goes alike. Null doc_ids come last. Extra columns are ignored; an empty table gives an empty result.
 """
@@ -29,8 +35,9 @@ from .jaccard_join import _tiles, vector
 
 WORDS, PERCENT, LEAST = 5, 75, 8
 BANDS, ROWS = 5, 2
+PIECE, SPREAD = 16, 16
 _WORDS = word_bytes("space")
-_STEP = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(WORDS)]
+_STEP = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(max(WORDS, PIECE))]
 _SEED = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[33, 46, 63]] = True
@@ -41,18 +48,23 @@ def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
+def paragraph_ends(w: Words, texts: list[bytes]) -> np.ndarray:
+    """Whether each word ends a paragraph."""
+    data, n = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8), len(w.hashes)
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    ends = np.ones(n, dtype=bool)
+    if n:
+        ends[:-1] = _STOPS[data[w.ends[:-1] - 1]] | (breaks[w.starts[1:]] > breaks[w.ends[:-1]]) | (w.doc[1:] != w.doc[:-1])
+    return ends
+
+
 class Paragraphs:
     """The paragraphs of a block of texts: doc (index), number, start (word), words; `shingles` and each one's `first`."""
 
     def __init__(self, texts: list[bytes], least: int = LEAST):
         w = Words(texts, _WORDS)
-        data = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8)
         n = len(w.hashes)
-        breaks = np.concatenate([[0], np.cumsum(data == 10)])
-        ends = np.ones(n, dtype=bool)  # whether a word ends a paragraph
-        if n:
-            ends[:-1] = _STOPS[data[w.ends[:-1] - 1]] | (breaks[w.starts[1:]] > breaks[w.ends[:-1]]) | (w.doc[1:] != w.doc[:-1])
-        last = np.flatnonzero(ends)
+        last = np.flatnonzero(paragraph_ends(w, texts))
         first = np.concatenate([[0], last[:-1] + 1]) if n else last
         doc = w.doc[first]
         number = np.arange(len(first)) - np.searchsorted(doc, doc)
@@ -171,3 +183,70 @@ def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, bands:
     out = rooted.join(clusters, "root").select("doc_id", "paragraph", "start_word", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "copies")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("paragraph") == F.col("keep_paragraph"))
     return out.withColumn("removed", ~stays)
+
+
+class Pieces:
+    """The pieces of a block of texts: doc (index), start (word), digest; paragraph and last, the numbers of the paragraphs
+    of their first and last words."""
+
+    def __init__(self, texts: list[bytes]):
+        w = Words(texts, _WORDS)
+        n = len(w.hashes)
+        grams = np.zeros(max(n - PIECE + 1, 0), dtype=np.uint64)
+        for k in range(PIECE):
+            grams += w.hashes[k : k + len(grams)] * _STEP[k]
+        begin = np.flatnonzero(w.doc[: len(grams)] == w.doc[PIECE - 1 :][: len(grams)])
+        # Texts lie apart here, so that no choice depends on the texts beside.
+        at = begin + (w.doc[begin] + 1) * SPREAD
+        row = np.full((at[-1] if len(at) else 0) + SPREAD, np.iinfo(np.uint64).max, dtype=np.uint64)
+        row[at] = mix64(grams[begin])
+        runs = np.lib.stride_tricks.sliding_window_view(row, SPREAD)
+        least = runs.argmin(axis=1) + np.arange(len(runs))
+        chosen = np.zeros(len(row), dtype=bool)
+        chosen[least] = True
+        first = begin[chosen[at]]
+        self.doc, self.digest = w.doc[first], mix64(grams[first]).astype(np.int64)
+        self.start = first - w.first[self.doc]
+        number = np.concatenate([[0], np.cumsum(paragraph_ends(w, texts))])
+        head = number[w.first[self.doc]]
+        self.paragraph, self.last = number[first] - head, number[first + PIECE - 1] - head
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph, last, start_word, set (a digest of the piece's words)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_blocks([batch]):
+                p = Pieces(utf8(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(p.doc)), *map(pa.array, (p.paragraph, p.last, p.start, p.digest))], ["doc_id", "paragraph", "last", "start_word", "set"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, paragraph long, last long, start_word long, set long")
+
+
+def _piece_sets(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for part in text_blocks([batch]):
+                yield pa.RecordBatch.from_arrays([pa.array(Pieces(utf8(part.column("text"))).digest)], ["set"])
+
+    return docs.select("text").mapInArrow(run, "set long")
+
+
+def passages(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """One row for each repeated piece that lies in no paragraph of `listed` (rows of `repeats`), with the same columns."""
+    often = _piece_sets(docs).groupBy("set").agg(F.count("*").alias("copies")).where("copies > 1")
+    found = stored(pieces(docs).join(often, "set"), "pieces")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start_word"), F.col("paragraph"))
+    keep = found.groupBy("set").agg(F.min(place).alias("keep"))
+    covered = listed.select(F.col("doc_id").alias("_doc"), F.col("paragraph").alias("_paragraph")).distinct()
+    inside = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("paragraph") == F.col("_paragraph")) & (F.col("last") == F.col("_paragraph"))
+    out = found.join(covered, inside, "left_anti").join(keep, "set")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start_word") == F.col("keep.start_word"))
+    return out.select("doc_id", "paragraph", "start_word", F.lit(PIECE).cast("long").alias("n_words"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "copies", (~stays).alias("removed"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of `repeats` and of `passages`: all repeated paragraphs, and the repeated pieces that these do not contain."""
+    listed = stored(repeats(docs), "repeats")
+    return listed.unionByName(passages(docs, listed))

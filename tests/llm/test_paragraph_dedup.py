@@ -102,3 +102,32 @@ def test_all_pairs_of_a_bucket(spark):
     got = {r["doc_id"]: r["keep_doc_id"] for r in P.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     lost = {(i, j) for i, j in want if i not in got or got[i] != got.get(j)}
     assert not lost
+
+
+def test_short_sentences_and_mid_sentence(spark, tmp_path):
+    """The registered query finds planted passages of 50 words made of short sentences, or without any sentence end."""
+    from allelemill.llm import queries
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    some = lambda k: [word() for _ in range(k)]
+    texts, planted = [None, "", "two words"], []
+    for k in range(60):
+        passage = some(50)
+        if k % 2:
+            passage = [w + "." if i % 4 == 3 else w for i, w in enumerate(passage)]
+        for _ in range(2):
+            before, after = some(rng.randrange(15, 40)), some(rng.randrange(15, 40))
+            planted.append((len(texts), len(before)))
+            texts.append(" ".join([*before, *passage, *after]))
+    clean = range(len(texts), len(texts) + 20)
+    texts += [" ".join(some(120)) + "." for _ in clean]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_paragraph_dedup(spark, str(tmp_path)).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["doc_id"], []).append(r)
+    for (doc, at), (other, _) in zip(planted, [planted[i ^ 1] for i in range(len(planted))], strict=True):
+        assert all(r["start_word"] >= at and r["start_word"] + r["n_words"] <= at + 50 and r["copies"] == 2 for r in found[doc])
+        assert {(r["keep_doc_id"], r["removed"]) for r in found[doc]} == {(min(doc, other), doc > other)}
+    assert not set(clean) & set(found) and set(found) == {d for d, _ in planted}
