@@ -290,7 +290,7 @@ def path_count(spark, sf):
 
 @query()
 def paths(spark, sf):
-    return derived.names(spark, sf).select("key", "a", F.posexplode(arrow.paths("a", "b", F.lit(50))).alias("path", "vs")).select("key", "path", columns.allele_to_hgvs("vs", "a").alias("hgvs"))
+    return derived.names(spark, sf).select("key", "a", F.posexplode(arrow.paths("a", "b", F.lit(None).cast("int"))).alias("path", "vs")).select("key", "path", columns.allele_to_hgvs("vs", "a").alias("hgvs"))
 
 
 @query()
