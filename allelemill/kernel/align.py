@@ -68,29 +68,67 @@ def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Marks cells of a band that lie outside of the table.
+_NONE = -(1 << 28)
+
+
+def _band(a: np.ndarray, b: np.ndarray, gone: int, width: int) -> np.ndarray:
+    """The cells of _table with columns from row - gone on, `width` of them in each row."""
+    out = np.full((len(a) + 1, width), _NONE, dtype=np.int32)
+    column = np.arange(width) - gone
+    out[0][(column >= 0) & (column <= len(b))] = 0
+    facing = _facing(b, gone, len(a), width)
+    for i, symbol in enumerate(a):
+        best = out[i] + (facing[i] == symbol)
+        best[:-1] = np.maximum(best[:-1], out[i, 1:])
+        out[i + 1] = np.maximum.accumulate(best)
+        out[i + 1, max(0, len(b) + gone - i) :] = _NONE
+    return out
+
+
+def _facing(b: np.ndarray, gone: int, rows: int, width: int) -> np.ndarray:
+    """The symbol after each cell of a band, -1 outside of b."""
+    padded = np.full(rows + width + gone + len(b), -1, dtype=np.int64)
+    padded[gone : gone + len(b)] = b
+    return np.lib.stride_tricks.sliding_window_view(padded, width)
+
+
 class Alignments:
     """All minimal alignments of a reference window and its observed counterpart; results are shifted by `shift`."""
 
     def __init__(self, reference: str, observed: str, shift: int = 0):
-        if (len(reference) + 1) * (len(observed) + 1) > MOST_CELLS:
+        # Minimal alignments leave the diagonals by no more than they delete and insert, so a band of that width has them all.
+        self.distance = edit_distance(reference, observed)
+        self.banded = self.distance < len(observed)
+        if (len(reference) + 1) * (min(self.distance, len(observed)) + 1) > MOST_CELLS:
             raise ValueError("sequences are too long to align in full")
         self.a, self.b, self.shift = reference, observed, shift
         x, y = _codes(reference), _codes(observed)
-        self.front = _table(x, y)
-        self.back = _table(x[::-1], y[::-1])[::-1, ::-1]
-        self.length = int(self.front[-1, -1])
-        self.distance = len(reference) + len(observed) - 2 * self.length
-        i, j = np.nonzero((x[:, None] == y[None, :]) & (self.front[:-1, :-1] + 1 + self.back[1:, 1:] == self.length)) if len(x) and len(y) else (np.empty(0, int),) * 2
+        self.length = (len(x) + len(y) - self.distance) // 2
+        self.gone = len(x) - self.length
+        if self.banded:
+            width = self.distance + 1
+            self.front = _band(x, y, self.gone, width)
+            self.back = _band(x[::-1], y[::-1], self.gone, width)[::-1, ::-1]
+            match = (x[:, None] == _facing(y, self.gone, len(x), width)[: len(x)]) & (self.front[:-1] + 1 + self.back[1:] == self.length)
+        else:
+            self.front = _table(x, y)
+            self.back = _table(x[::-1], y[::-1])[::-1, ::-1]
+            match = (x[:, None] == y[None, :]) & (self.front[:-1, :-1] + 1 + self.back[1:, 1:] == self.length)
+        i, k = np.nonzero(match)
         self.cells: list[list[tuple[int, int]]] = [[] for _ in range(self.length)]
-        for r, c in zip(i.tolist(), j.tolist(), strict=True):
-            self.cells[int(self.front[r, c])].append((r, c))
+        ranks = self.front[i, k].tolist()
+        for r, c, rank in zip(i.tolist(), (i + k - self.gone if self.banded else k).tolist(), ranks, strict=True):
+            self.cells[rank].append((r, c))
 
     def unit_edits(self) -> list[tuple[int, str]]:
         """Every single deletion (position, "") and insertion (position, symbol) of some minimal alignment, sorted."""
-        gone = np.flatnonzero((self.front[:-1] + self.back[1:] == self.length).any(axis=1)) if self.a else []
+        on, before = (self.front[:-1, 1:], self.back[1:, :-1]) if self.banded else (self.front[:-1], self.back[1:])
+        gone = np.flatnonzero((on + before == self.length).any(axis=1)) if self.a else []
         found = {(int(i) + self.shift, "") for i in gone}
         if self.b:
             at, which = np.nonzero(self.front[:, :-1] + self.back[:, 1:] == self.length)
+            which = at + which - self.gone if self.banded else which
             found |= {(int(i) + self.shift, self.b[j]) for i, j in zip(at, which.tolist(), strict=True)}
         return sorted(found)
 

@@ -52,6 +52,7 @@ def relations(summarised: DataFrame, references: DataFrame, other: DataFrame | N
     """ref_id, lhs_id, rhs_id, relation, common, universe for pairs whose spanning edits touch; all other pairs are disjoint.
 
     Of one table its unordered pairs, of two tables all pairs. common and universe count unit edits of overlapping pairs.
+    An allele whose summary is an error is one row without a partner and without a relation: nothing is known of its pairs.
     """
     pairs = touching(_span(summarised), _span(summarised if other is None else other), bin_width, ordered=other is None)
     equal = F.col("l.supremal") == F.col("r.supremal")
@@ -68,7 +69,16 @@ def relations(summarised: DataFrame, references: DataFrame, other: DataFrame | N
     ladder = _ladder(F.col("equal"), F.col("apart"), F.col("l.distance"), F.col("r.distance"), F.col("between"), F.arrays_overlap("l.atoms", "r.atoms"))
     named = both.select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), ladder.alias("relation"), F.col("l.atoms").alias("la"), F.col("r.atoms").alias("ra"))
     told = F.when(F.col("relation") == OVERLAP, columns.overlap("la", "ra"))
-    return named.withColumn("sizes", told).select("ref_id", "lhs_id", "rhs_id", "relation", F.col("sizes.common").alias("common"), F.col("sizes.universe").alias("universe"))
+    out = named.withColumn("sizes", told).select("ref_id", "lhs_id", "rhs_id", "relation", F.col("sizes.common").alias("common"), F.col("sizes.universe").alias("universe"))
+    out = out.unionByName(_failed(summarised, "lhs_id", out))
+    return out if other is None else out.unionByName(_failed(other, "rhs_id", out))
+
+
+def _failed(summarised: DataFrame, side: str, like: DataFrame) -> DataFrame:
+    """A row of `like` for each allele whose summary is an error: its reference and its name, the rest null."""
+    names = {"ref_id": "ref_id", side: "allele_id"}
+    columns_of = [(F.col(names[f.name]) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in like.schema]
+    return summarised.where("error is not null").select(*columns_of)
 
 
 def all_relations(summarised: DataFrame, references: DataFrame, bin_width: int = BIN) -> DataFrame:
@@ -76,7 +86,8 @@ def all_relations(summarised: DataFrame, references: DataFrame, bin_width: int =
     found = relations(summarised, references, bin_width=bin_width)
     ids = summarised.where("error is null").select("ref_id", "allele_id")
     every = ids.select("ref_id", F.col("allele_id").alias("lhs_id")).join(ids.select("ref_id", F.col("allele_id").alias("rhs_id")), "ref_id").where("lhs_id < rhs_id")
-    return every.join(found, ["ref_id", "lhs_id", "rhs_id"], "left").withColumn("relation", F.coalesce("relation", F.lit(DISJOINT)))
+    told = every.join(found, ["ref_id", "lhs_id", "rhs_id"], "left").withColumn("relation", F.coalesce("relation", F.lit(DISJOINT)))
+    return told.unionByName(_failed(summarised, "lhs_id", told))
 
 
 def where_relation(found: DataFrame, relation: str) -> DataFrame:

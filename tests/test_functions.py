@@ -78,6 +78,15 @@ def test_summary_errors(spark, tables):
     assert got["z"]["error"] is None and got["z"]["distance"] == 0 and got["z"]["canonical"] == []
 
 
+def test_failed_alleles_stay_visible(spark):
+    r = spark.createDataFrame([("r", "ACGTACGTTTACG")], "ref_id string, sequence string")
+    a = spark.createDataFrame([("x", "r", [(1, 2, "")]), ("y", "r", [(0, 3, "A"), (1, 2, "")]), ("z", "r", [(1, 2, "")])], f"allele_id string, ref_id string, variants {V}")
+    done = summaries.summaries(a, r)
+    want = {("x", "z", "equivalent"), ("y", None, None)}
+    assert {(x["lhs_id"], x["rhs_id"], x["relation"]) for x in relations.relations(done, r).collect()} == want
+    assert {(x["lhs_id"], x["rhs_id"], x["relation"]) for x in relations.all_relations(done, r).collect()} == want
+
+
 def test_compare_flavours(spark):
     df = spark.createDataFrame([("CATATATC", [(7, 7, "AT")], [(5, 5, "T")])], f"reference string, lhs {V}, rhs {V}")
     want = align.relation("CATATATC", "CATATATATC", "CATATTATC")

@@ -139,3 +139,13 @@ def test_difference_adds_up():
         o = r[:3] + "".join(rng.choices("ACGT", k=3)) + r[5:]
         for d in align.difference(r, o):
             assert d["with_subtrahend"] in ("equivalent", "contains", "disjoint", "overlap", "is_contained")
+
+
+def test_small_edits_in_long_repeats():
+    """A band of the distance holds them; the whole table would have 144 million cells."""
+    n = 12_000
+    w = windowed("G" + "A" * n + "C", "G" + "A" * (n - 1) + "C")
+    assert w.distance == 1 and w.spanning() == Edit(1, n + 1, "A" * (n - 1)) and len(w.unit_edits()) == n
+    assert w.canonical() == [Edit(1, n + 1, "A" * (n - 1))]
+    w = windowed("G" + "AT" * (n // 2) + "C", "G" + "AT" * (n // 2) + "ATC")
+    assert w.distance == 2 and w.spanning() == Edit(1, n + 1, "AT" * (n // 2 + 1))
