@@ -188,10 +188,25 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "n_a", "vec_a", "n_b", "vec_b").mapInArrow(run, "a long, b long")
 
 
+def _nameless(docs: DataFrame, words: int) -> DataFrame:
+    """(set, text) of the rows without a doc_id, whose texts cannot be found by it."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_blocks([batch]):
+                sets = [digest(s) if len(s) else None for s in shingle_sets(utf8(part.column("text")), words)]
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), part.column("text").cast(pa.string())], ["set", "text"])
+
+    return docs.where("doc_id is null").select("text").mapInArrow(run, "set long, text string").where("set is not null")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough, as (u, v, overlap, n_u, n_v). One row of docs stands for a set."""
     wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    texts = docs.select("doc_id", "text").join(sets.join(wanted, "set").select("set", F.col("one").alias("doc_id")), "doc_id").select("set", "text")
+    chosen = sets.join(wanted, "set").select("set", F.col("one").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("set", "text")
+    nameless = _nameless(docs, words).join(chosen.where("doc_id is null").select("set"), "set").groupBy("set").agg(F.first("text").alias("text"))
+    texts = texts.unionByName(nameless)
     both = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):

@@ -207,3 +207,13 @@ def test_pipeline_stages(spark):
         before = spark.createDataFrame(after.collect(), docs.schema)
     pieces = corpus_pipeline.STAGES[-1][1](spark, before, sf)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == ids
+
+
+def test_jaccard_join_without_doc_ids(spark):
+    """A text without a doc_id bridges two others, and near copies without any are of one component."""
+    from allelemill.llm import jaccard_join
+
+    words = [f"w{i}" for i in range(104)]
+    texts = [(1, words[:90]), (None, words[7:97]), (2, words[14:104])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.classes(docs).collect()} == {(1, 1), (None, 1), (2, 1)}
