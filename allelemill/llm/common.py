@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -78,17 +79,6 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
             yield batch.slice(start)
 
 
-def _byte_table(lower: bool) -> np.ndarray:
-    table = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64)
-    if lower:
-        table[65:91] = table[97:123]
-    return table
-
-
-_TABLE, _BASE = _byte_table(True), np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads the bits of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -96,17 +86,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The bytes that count in a last lane of so many bytes; words beyond LONG bytes are hashed one by one.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+LONG = 32
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 class Words:
     """The words of a block of texts, as hashes: `hashes`, `starts` and `ends` (bytes in the joined texts), `doc` and
     `first` (index of each document's first word, and the end). A-Z counts as a-z; with `latin` also the capitals
     that UTF-8 writes as C3 80 to C3 9E, which keeps every offset."""
 
     def __init__(self, texts: list[bytes], is_word: np.ndarray, latin: bool = False):
-        data = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8)
+        joined = np.frombuffer(b"\0".join([*texts, b"", bytes(8)]), dtype=np.uint8)
+        data = joined[: len(joined) - 9]
+        self.data = _LOWER[joined]
         if latin:
-            data = data.copy()
-            high = data[1:]
-            high[(data[:-1] == 0xC3) & (high >= 0x80) & (high <= 0x9E) & (high != 0x97)] += 0x20
+            high = self.data[1:]
+            high[(joined[:-1] == 0xC3) & (high >= 0x80) & (high <= 0x9E) & (high != 0x97)] += 0x20
         inside = np.zeros(len(data) + 2, dtype=np.int8)
         inside[1:-1] = is_word[data]
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
@@ -114,37 +112,26 @@ class Words:
         inside[self.offsets[1:]] = 0  # the byte between two texts
         step = np.diff(inside)
         self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        powers = _powers(len(data))
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[data] * powers[: len(data)], out=self.sums[1:])
         self.hashes = self.spans(self.starts, self.ends)
         self.doc = np.searchsorted(self.offsets, self.starts, side="right") - 1
         self.first = np.searchsorted(self.starts, self.offsets)
         self.n = np.diff(self.first)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes from starts to ends, wherever they stand."""
-        value = (self.sums[ends] - self.sums[starts]) * _inverse_powers(len(self.sums))[starts]
-        return mix64(value ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-_kept: dict[str, np.ndarray] = {}
-
-
-def _run_of(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_kept.get(name, ())) < n:
-        run = np.full(max(n, BLOCK_BYTES + (1 << 16)), base, dtype=np.uint64)
-        run[0] = 1
-        _kept[name] = np.multiply.accumulate(run)
-    return _kept[name]
-
-
-def _powers(n: int) -> np.ndarray:
-    return _run_of("up", _BASE, n)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    return _run_of("down", _INVERSE, n)
+        """Hashes of the bytes from starts to ends, wherever they stand: eight bytes at a time, each time mixed."""
+        size = ends - starts
+        lanes = np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
+        out = mix64(lanes[starts] & _LANE[np.minimum(size, 8)] ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        more = np.flatnonzero(size > 8)
+        for at in range(8, LONG, 8):
+            if not len(more):
+                break
+            lane = lanes[starts[more] + at] & _LANE[np.minimum(size[more] - at, 8)]
+            out[more] = mix64(out[more] ^ mix64(lane + np.uint64(at)))
+            more = more[size[more] > at + 8]
+        for k in more.tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(self.data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def word_bytes(pattern_excludes: str) -> np.ndarray:
@@ -158,6 +145,43 @@ def word_bytes(pattern_excludes: str) -> np.ndarray:
     return ok
 
 
+def exact_shingles(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The distinct shingles of each text (null: none) as rising numbers. Within one call equal numbers stand for equal
+    words, not for equal hashes. A-Z counts as a-z; with fewer words the whole sequence is the one shingle."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    parent = np.asarray(pc.list_parent_indices(split))
+    flat = pc.list_flatten(split)
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    number = lambda x: np.asarray(pc.dictionary_encode(x).indices, dtype=np.int64)
+    ids = number(flat.filter(pa.array(full)))
+    first = np.searchsorted(parent[full], np.arange(len(texts) + 1))
+    runs, n = ids, 1
+    while n < words:  # two runs of n words, which may share some, name a run of up to 2 n
+        step = min(n, words - n)
+        runs, n = number(pa.array(runs[: max(len(runs) - step, 0)] * (int(runs.max(initial=0)) + 1) + runs[step:])), n + step
+    out, short = [], {}
+    for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+        if b - a >= words:
+            out.append(np.unique(runs[a : b - words + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(tuple(ids[a:b]), len(short))] if b > a else [], dtype=np.int64))
+    return out
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, by: str, hot: int = 1000, salts: int = 64) -> DataFrame:
+    """rows joined by `key` with facts, which has one row for each key and in `weight` how many rows have it.
+
+    A key that has more than a thousandth (1 / hot) of all rows, as at most `hot` keys can, is dealt to `salts` tasks by
+    the hash of `by`; its one fact goes to each of them.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    often = F.col(weight) * hot > total
+    marks = F.broadcast(facts.where(often).select(F.col(key).alias("_hot")))  # `hot` keys at most
+    dealt = rows.join(marks, rows[key] == marks["_hot"], "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(salts))).cast("int")).drop("_hot")
+    spread = facts.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as bytes; null is empty."""
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]

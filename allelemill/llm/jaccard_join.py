@@ -17,7 +17,7 @@ few times however many shingles it shares; their points that belong to different
 size, each a small R-tree.
 
 Sets are handled once: equal sets have equal 64-bit digests (two sets with one digest would be taken for one set, about
-n^2 / 2^65 for n sets). Shingles are compared as 64-bit hashes.
+n^2 / 2^65 for n sets). Candidates come from 64-bit hashes of shingles; their texts are then compared word for word.
 
 Defined results: null texts are empty; texts without words have no shingles and link with nothing; with fewer words than
 a shingle has, the whole sequence is the one shingle. Rows that repeat a doc_id are rows of their own, linked by their
@@ -31,9 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Words, mix64, stored, text_blocks, utf8, word_bytes
+from .common import Words, exact_shingles, mix64, salted_join, stored, text_blocks, utf8, word_bytes
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -41,6 +42,8 @@ WORDS, PERCENT = 5, 75
 OFTEN, WINDOW, FREQUENT = 4, 1 << 20, 1 << 17
 #: Points of a cell that all others meet; coordinates that any point may have.
 HUBS, PLENTY = 4, 512
+#: Rows of a cell that meet its hubs in one task.
+PART = 1000
 #: Points of a tile's two sides; points in a leaf of its tree; dimensions of the tree's boxes.
 SIDE_A, SIDE_B, LEAF, BOX = 256, 1024, 16, 16
 _WORDS = word_bytes("space")
@@ -188,41 +191,45 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "n_a", "vec_a", "n_b", "vec_b").mapInArrow(run, "a long, b long")
 
 
-def _nameless(docs: DataFrame, words: int) -> DataFrame:
-    """(set, text) of the rows without a doc_id, whose texts cannot be found by it."""
+def _own_texts(docs: DataFrame, words: int) -> DataFrame:
+    """(set, text) of docs (text), the set told from the text; rows without words are left out."""
 
     def run(batches):
         for batch in batches:
             for part in text_blocks([batch]):
-                sets = [digest(s) if len(s) else None for s in shingle_sets(utf8(part.column("text")), words)]
-                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), part.column("text").cast(pa.string())], ["set", "text"])
+                sets = pa.array([digest(s) if len(s) else None for s in shingle_sets(utf8(part.column("text")), words)], pa.int64())
+                yield pa.RecordBatch.from_arrays([sets, part.column("text").cast(pa.string())], ["set", "text"]).filter(sets.is_valid())
 
-    return docs.where("doc_id is null").select("text").mapInArrow(run, "set long, text string").where("set is not null")
+    return docs.select("text").mapInArrow(run, "set long, text string")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough, as (u, v, overlap, n_u, n_v). One row of docs stands for a set."""
+    """The pairs (a, b) whose texts are similar enough word for word, as (u, v, overlap, n_u, n_v).
+
+    One row of docs stands for a set. Each wanted text is fetched once (by doc_id where it has one) and told its set anew, as
+    a repeated doc_id can bring other texts; the pairs are compared by words, not by hashes.
+    """
     wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    chosen = sets.join(wanted, "set").select("set", F.col("one").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("set", "text")
-    nameless = _nameless(docs, words).join(chosen.where("doc_id is null").select("set"), "set").groupBy("set").agg(F.first("text").alias("text"))
-    texts = texts.unionByName(nameless)
+    chosen = sets.join(wanted, "set").select("set", F.col("one").alias("_one"))
+    named = docs.select("doc_id", "text").join(chosen.select("_one").distinct(), F.col("doc_id") == F.col("_one"), "left_semi")
+    told = _own_texts(named.unionByName(docs.select("doc_id", "text").where("doc_id is null")), words)
+    texts = told.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("text").alias("text"))
     both = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         for batch in batches:
             for part in text_blocks([batch]):
-                left, right = (shingle_sets(utf8(part.column(c)), words) for c in ("text", "text_b"))
+                both = exact_shingles(pa.concat_arrays([part.column("text"), part.column("text_b")]), words)
+                n = part.num_rows
                 rows = []
-                for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), left, right, strict=True):
-                    if digest(x) == a and digest(y) == b:  # a repeated doc_id can bring another text
-                        overlap = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * overlap >= percent * (len(x) + len(y) - overlap):
-                            rows.append((a, b, overlap, len(x), len(y)))
+                for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), both[:n], both[n:], strict=True):
+                    overlap = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * overlap >= percent * (len(x) + len(y) - overlap):
+                        rows.append((a, b, overlap, len(x), len(y)))
                 table = np.array(rows, dtype=np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(5)], ["u", "v", "overlap", "n_u", "n_v"])
 
-    return both.mapInArrow(run, "u long, v long, overlap long, n_u long, n_v long").distinct()
+    return both.mapInArrow(run, "u long, v long, overlap long, n_u long, n_v long")
 
 
 class _Side:
@@ -334,42 +341,102 @@ def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def links(docs: DataFrame, placed: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(links between sets: u, v, overlap, n_u, n_v; the sets: set, n, vec, one). placed: stored `points` of docs.
+def links(docs: DataFrame, placed: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(links between sets: u, v, overlap, n_u, n_v; the sets: set, n, vec, one, rows). placed: stored `points` of docs.
 
-    The links connect all that is similar; links within a component that others already connect may be missing.
+    The links connect all that is similar; links within a component that others already connect may be missing, unless
+    `every` link is asked for: then nothing is passed over, at the cost of as many comparisons as there are candidates.
     """
-    sets = stored(placed.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.min("doc_id").alias("one")), "sets")
+    sets = stored(placed.where("set is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("vec").alias("vec"), F.min("doc_id").alias("one"), F.count("*").alias("rows")), "sets")
     entered = entries(docs, frequent_shingles(placed), words, percent)
-    shared = entered.groupBy("cell").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi").select("cell")
+    shared = entered.groupBy("cell").agg(F.min("set").alias("lo"), F.max("set").alias("hi"), F.count("*").alias("held")).where("lo != hi").select("cell", "held")
     cells = stored(entered.join(shared, "cell").distinct(), "cells")
     # How central a set is: the share of its own cells that hold other sets too.
     entered_cells = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     central = cells.groupBy("set").agg(F.count("*").alias("in")).join(sets.select("set", "n"), "set").select("set", F.round(F.col("in") / entered_cells, 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.col("score").desc(), "set"))  # cut in each task first
-    hubs = stored(cells.join(central, "set").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("cell", F.col("set").alias("hub"), "rank"), "hubs")
-    star = cells.join(hubs, "cell").where("set != hub").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
+    hubs = stored(cells.join(central, "set").withColumn("rank", rank).where(F.col("rank") <= HUBS).select("cell", "held", F.col("set").alias("hub"), "rank"), "hubs")
+    met = _with_hubs(cells, hubs)
+    star = met.where("set != hub").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
     tried = stored(_bounded(star, sets, percent), "pairs")
     first = stored(_verified(tried, sets, docs, words, percent), "verified")
-    groups = cells.join(hubs.where("rank = 1"), "cell").select(F.col("hub").alias("cell"), "set").distinct()
-    more = stored(_tiles(groups, components(first), sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    groups = _with_hubs(cells, hubs.where("rank = 1")).select(F.col("hub").alias("cell"), "set").distinct()
+    roots = first.select(F.col("u").alias("node"), F.col("u").alias("root")).where("false") if every else components(first)
+    more = stored(_tiles(groups, roots, sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     second = stored(_verified(more, sets, docs, words, percent), "verified")
     return first.unionByName(second), sets
 
 
+def _with_hubs(cells: DataFrame, hubs: DataFrame) -> DataFrame:
+    """cells (cell, set, held) with each hub of the cell; a cell that more than PART sets entered is cut into parts of that
+    many, and its few hubs go to each."""
+    parts = F.ceil(F.col("held") / PART).cast("int")
+    dealt = cells.withColumn("_part", F.pmod(F.xxhash64("set"), parts)).drop("held")
+    return dealt.join(hubs.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("held"), ["cell", "_part"])
+
+
+def pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Every link between different sets, by the smallest doc_id that has each: doc_id, other_id, overlap, n, other_n.
+
+    Rows of equal sets are not expanded into pairs; `classes` tells them. By request only: where many texts are alike there
+    are as many rows as pairs.
+    """
+    found, sets = links(docs, stored(points(docs, words), "points"), words, percent, every=True)
+    names = sets.select("set", "one")
+    left = found.join(names.select(F.col("set").alias("u"), F.col("one").alias("doc_id")), "u")
+    return left.join(names.select(F.col("set").alias("v"), F.col("one").alias("other_id")), "v").select("doc_id", "other_id", "overlap", F.col("n_u").alias("n"), F.col("n_v").alias("other_n"))
+
+
+def _placed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the stored points of docs; set, rows, component_id of each set). A component is named on its sets, of which there
+    are no copies, so that no task gathers a group of equal or similar rows."""
+    told = stored(points(docs, words), "points")
+    found, sets = links(docs, told, words, percent)
+    rooted = sets.join(components(found), F.col("set") == F.col("node"), "left").select("set", "rows", "one", F.coalesce("root", "set").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("one").alias("component_id"), F.count("*").alias("sets"))
+    return told, stored(salted_join(rooted, names, "root", "sets", "set").select("set", "rows", "component_id"), "named")
+
+
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
-    told = stored(points(docs, words), "points")
-    found, _ = links(docs, told, words, percent)
-    placed = told.where("n >= 0")
-    roots = components(found)
-    rooted = placed.join(roots, placed["set"] == roots["node"], "left").select("doc_id", "n", "set", F.coalesce("root", "set").alias("root"))
-    names = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    told, named = _placed(docs, words, percent)
+    linked = salted_join(told.where("set is not null").select("doc_id", "n", "set"), named, "set", "rows", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = told.where("n >= 0 and set is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, without those linked to a row of smaller doc_id."""
-    label = classes(docs, words, percent).select(F.col("doc_id").alias("_own"), F.col("component_id").alias("_class")).distinct()
-    drop = stored(label.where("_own != _class").select("_own"), "dropped")
-    return docs.join(drop, docs["doc_id"] == drop["_own"], "left_anti")
+    """The rows of docs, with all their columns, without those linked to a row of smaller doc_id.
+
+    Rows that repeat a doc_id go or stay by their own text; a row without a doc_id goes if its component has one with.
+    """
+    told, named = _placed(docs, words, percent)
+    own = F.col("doc_id")
+    placed = salted_join(told.where("set is not null").select("doc_id", "set"), named, "set", "rows", "doc_id")
+    drop = placed.where(own.isNull() & F.col("component_id").isNotNull() | (own != F.col("component_id"))).select(own.alias("_own"), F.col("set").alias("_set")).distinct()
+    drop = stored(drop, "dropped")
+    # Only where a doc_id repeats can its rows differ in text; there, and without a doc_id, the text's own set decides.
+    often = stored(told.where("n >= 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(own.alias("_own")), "repeated")
+    column = F.col("doc_id")
+    if often.isEmpty():
+        return docs.join(drop, column.eqNullSafe(F.col("_own")), "left_anti")
+    keep = docs.join(often.unionByName(drop.select("_own")).distinct(), column.eqNullSafe(F.col("_own")), "left_anti")
+    alike = docs.join(often, column.eqNullSafe(F.col("_own")), "left_semi")
+    return keep.unionByName(_by_text(alike, drop, words))
+
+
+def _by_text(docs: DataFrame, drop: DataFrame, words: int) -> DataFrame:
+    """The rows of docs whose (doc_id, set) is not in drop (_own, _set), the set told from the text."""
+    names = docs.columns
+    plain = docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)))
+
+    def run(batches):
+        for batch in batches:
+            for part in text_blocks([batch]):
+                sets = pa.array([digest(s) if len(s) else None for s in shingle_sets(utf8(part.column("text")), words)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, sets], [*part.schema.names, "_mine"])
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("_mine", T.LongType())])
+    told = plain.mapInArrow(run, schema)
+    gone = told["doc_id"].eqNullSafe(F.col("_own")) & (told["_mine"] == F.col("_set"))
+    return told.join(drop, gone, "left_anti").drop("_mine").toDF(*names)
