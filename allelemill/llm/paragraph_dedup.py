@@ -2,40 +2,46 @@
 
 A paragraph ends at a line break or after a word that ends in a full stop, an exclamation or a question mark, so that a
 passage pasted into other text keeps its own paragraphs wherever it stands. Paragraphs of LEAST words or more are sets
-of five-word shingles; BANDS bands of ROWS minimal hashes each (tuned below: recall 0.98 at a similarity of 0.75, 0.99 at
-0.8) name buckets, all colliding paragraphs are compared, exact Jaccard similarity is verified, and the removals are
-clustered by connected components. Of each cluster the first occurrence (smallest doc_id, then paragraph) stays.
+of five-word shingles; BANDS bands of ROWS minimal hashes each (`recall` tells the chance that two sets share a bucket: 0.99
+at a similarity of 0.75) name buckets, all colliding paragraphs are compared, exact Jaccard similarity is verified on their
+words, and the removals are clustered by connected components. Of each cluster the first occurrence (smallest doc_id, then
+paragraph) stays.
 
 Equal paragraphs have equal 64-bit digests and are one node, however many there are; so groups of copies never meet in
 one task, and a bucket's pairs grow with its distinct paragraphs only. In a first round a bucket's paragraphs meet its two
 ends. Those that verified links have not joined by then meet in a second round, in tiles of bounded size (as in the Jaccard
-join), where a bound by counts of shingles, which loses no pair, comes before verification. Whole texts are cut.
+join), where a bound by counts of shingles, which loses no pair, comes before verification.
 
-Short paragraphs, and passages pasted in mid-sentence, which are glued to what surrounds them, are found as pieces: runs of
+Shorter paragraphs, and passages pasted in mid-sentence, which are glued to what surrounds them, are found as pieces: runs of
 PIECE words, across sentence ends and line breaks, at content-defined places (the least hash of each SPREAD neighbouring
 runs, at both ends of a text of those there are). Equal words choose equal places, so any passage of PIECE + SPREAD - 1
 words or more that repeats word for word shares a piece, wherever it stands. `passages` gives a row for each repeated
-piece that no listed paragraph contains; `deduplicated` gives both.
+piece that no listed paragraph contains; `deduplicated` gives both, and `texts` the documents without what was removed.
 
-Defined results: null and empty texts have no paragraphs, shorter paragraphs are covered by pieces only. A paragraph repeated within
-one document counts like any other. Rows that repeat a doc_id have equal places; of such an equal place every row stays
-or goes alike. Null doc_ids come last. Extra columns are ignored; an empty table gives an empty result.
+Shorter repeats are left alone on purpose: sentences of some ten words repeat by chance, and the documents that hold them
+are no copies of one another. Whole texts are read, once: paragraphs (with the words of each) and pieces are stored as they
+are met, and all that follows takes them from there.
+
+Defined results: null and empty texts have no paragraphs. A paragraph repeated within one document counts like any other.
+Rows that repeat a doc_id have equal places; of such an equal place every row stays or goes alike. Null doc_ids come last.
+Extra columns are ignored, but for `texts`, which keeps them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, mix64, stored, text_blocks, utf8, word_bytes
+from .common import Words, exact_shingles, mix64, salted_join, stored, text_blocks, utf8, word_bytes
 from .components import components
 from .jaccard_join import _tiles, vector
 
-WORDS, PERCENT, LEAST = 5, 75, 8
-BANDS, ROWS = 5, 2
-PIECE, SPREAD = 16, 16
+WORDS, PERCENT, LEAST = 5, 75, 20
+BANDS, ROWS = 9, 3
+PIECE, SPREAD = 24, 16
 _WORDS = word_bytes("space")
 _STEP = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(max(WORDS, PIECE))]
 _SEED = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -61,10 +67,11 @@ def paragraph_ends(w: Words, texts: list[bytes]) -> np.ndarray:
 class Paragraphs:
     """The paragraphs of a block of texts: doc (index), number, start (word), words; `shingles` and each one's `first`."""
 
-    def __init__(self, texts: list[bytes], least: int = LEAST):
-        w = Words(texts, _WORDS)
+    def __init__(self, texts: list[bytes], least: int = LEAST, w: Words | None = None, whole: bool = False):
+        w, least = w or Words(texts, _WORDS), max(least, WORDS)
         n = len(w.hashes)
-        last = np.flatnonzero(paragraph_ends(w, texts))
+        # With whole each text is one paragraph.
+        last = w.first[1:][w.n > 0] - 1 if whole else np.flatnonzero(paragraph_ends(w, texts))
         first = np.concatenate([[0], last[:-1] + 1]) if n else last
         doc = w.doc[first]
         number = np.arange(len(first)) - np.searchsorted(doc, doc)
@@ -75,10 +82,16 @@ class Paragraphs:
         for k in range(WORDS):
             grams += w.hashes[k : k + len(grams)] * _STEP[k]
         begin, count = first[long], self.words - WORDS + 1
+        self.begin, self.end = begin, last[long]
         self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         at = np.arange(self.first[-1]) - np.repeat(self.first[:-1] - begin, count)
         self.shingles = mix64(grams[at]) if len(at) else np.empty(0, dtype=np.uint64)
 
+    def text(self, k: int, w: Words, texts: list[bytes]) -> str:
+        """The text of the k-th paragraph."""
+        base = w.offsets[self.doc[k]]
+        return texts[self.doc[k]][w.starts[self.begin[k]] - base : w.ends[self.end[k]] - base].decode("utf-8", "replace")
+
     def _each(self, ufunc, values: np.ndarray) -> np.ndarray:
         return ufunc.reduceat(values, self.first[:-1]) if len(self.doc) else np.empty(0, dtype=np.uint64)
 
@@ -96,101 +109,117 @@ class Paragraphs:
         return np.array(out)
 
 
-def paragraphs(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, paragraph, start_word, n_words, set (a digest of its shingles)."""
+PARAGRAPHS = ["doc_id", "paragraph", "start_word", "n_words", "last", "set", "bands", "words"]
+
+
+def marks(docs: DataFrame, least: int = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each paragraph: doc_id, paragraph, start_word, n_words, set (a digest of its shingles), bands (its
+    buckets' keys) and words (its text; null where the same block has the set before). One row for each piece: doc_id,
+    paragraph and last (numbers of the paragraphs of its first and last words), start_word, n_words, set (a digest of its words)."""
 
     def run(batches):
         for batch in batches:
             for part in text_blocks([batch]):
-                p = Paragraphs(utf8(part.column("text")), least)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(p.doc)), pa.array(p.number), pa.array(p.start), pa.array(p.words), pa.array(p.digests())], ["doc_id", "paragraph", "start_word", "n_words", "set"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, paragraph long, start_word long, n_words long, set long")
+                texts = utf8(part.column("text"))
+                w = Words(texts, _WORDS)
+                p, q = Paragraphs(texts, least, w), Pieces(texts, w)
+                sets = p.digests()
+                new = np.zeros(len(sets), dtype=bool)
+                new[np.unique(sets, return_index=True)[1]] = True
+                keys = pa.ListArray.from_arrays(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32), p.buckets(bands, rows).T.ravel() if len(sets) else np.empty(0, np.int64))
+                words = [p.text(k, w, texts) if once else None for k, once in enumerate(new)]
+                ids = part.column("doc_id")
+                nothing = lambda n, kind: pa.nulls(n, kind)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.doc)), *map(pa.array, (p.number, p.start, p.words)), nothing(len(sets), pa.int64()), pa.array(sets), keys, pa.array(words, pa.string())], PARAGRAPHS)
+                n = len(q.doc)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q.doc)), pa.array(q.paragraph), pa.array(q.start), pa.array(np.full(n, PIECE)), pa.array(q.last), pa.array(q.digest), nothing(n, pa.list_(pa.int64())), nothing(n, pa.string())], PARAGRAPHS)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, paragraph long, start_word long, n_words long, last long, set long, bands array<long>, words string")
 
 
-def buckets(docs: DataFrame, least: int = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(bucket, set) for each band of each paragraph; equal sets of a block once."""
+def _vectors(sets: DataFrame) -> DataFrame:
+    """(set, n, vec) of (set, words): how many shingles are distinct, and the counts of their groups."""
 
     def run(batches):
         for batch in batches:
-            for part in text_blocks([batch]):
-                p = Paragraphs(utf8(part.column("text")), least)
-                sets, one = np.unique(p.digests(), return_index=True)
-                for keys in p.buckets(bands, rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[one]), pa.array(sets)], ["bucket", "set"])
+            for part in text_blocks([batch.rename_columns(["set", "text"])]):
+                p = Paragraphs(utf8(part.column("text")), 1, whole=True)
+                found = [np.unique(p.shingles[a:b]) for a, b in zip(p.first, p.first[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("set"), pa.array([len(x) for x in found], pa.int64()), pa.array([vector(x) for x in found], pa.binary())], ["set", "n", "vec"])
 
-    return docs.select("text").mapInArrow(run, "bucket long, set long")
+    return sets.select("set", "words").mapInArrow(run, "set long, n long, vec binary")
 
 
-def _shingles(docs: DataFrame, least: int) -> DataFrame:
-    """(set, shingles) for each paragraph, equal sets of a block once."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sufficient similarity, word for word, as (u, v)."""
 
     def run(batches):
         for batch in batches:
             for part in text_blocks([batch]):
-                p = Paragraphs(utf8(part.column("text")), least)
-                sets, one = np.unique(p.digests(), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array([p.shingles[p.first[k] : p.first[k + 1]].tobytes() for k in one], pa.binary())], ["set", "shingles"])
+                n = part.num_rows
+                both = exact_shingles(pa.concat_arrays([part.column("text"), part.column("text_b")]), WORDS)
+                good = []
+                for x, y in zip(both[:n], both[n:], strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return docs.select("text").mapInArrow(run, "set long, shingles binary")
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("words").alias("text")), "a").join(sets.select(F.col("set").alias("b"), F.col("words").alias("text_b")), "b")
+    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "text", "text_b").mapInArrow(run, "u long, v long")
 
 
-def _vectors(sets: DataFrame) -> DataFrame:
-    """(set, n, vec) of (set, shingles): how many shingles are distinct, and the counts of their groups."""
+def _grouped(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """found (doc_id, paragraph, start_word, n_words, set) with what is known of its set: keep, copies."""
+    return salted_join(found, sets, "set", "rows", "doc_id").select("doc_id", "paragraph", "start_word", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), F.col("keep.start_word").alias("_keep_word"), "copies")
 
-    def run(batches):
-        for batch in batches:
-            found = [np.unique(np.frombuffer(x, dtype=np.uint64)) for x in batch.column("shingles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([len(x) for x in found], pa.int64()), pa.array([vector(x) for x in found], pa.binary())], ["set", "n", "vec"])
 
-    return sets.select("set", "shingles").mapInArrow(run, "set long, n long, vec binary")
+def _marked(out: DataFrame) -> DataFrame:
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("start_word") == F.col("_keep_word"))
+    return out.withColumn("removed", ~stays).drop("_keep_word")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sufficient exact similarity, as (u, v)."""
-
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = set(np.frombuffer(x, dtype=np.uint64).tolist()), set(np.frombuffer(y, dtype=np.uint64).tolist())
-                common = len(p & q)
-                good.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(run, "u long, v long")
+def _place() -> Column:
+    """A place of a paragraph or a piece; the least of a group stays."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start_word"), F.col("paragraph"))
 
 
-def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each paragraph that has others like it: doc_id, paragraph, start_word, n_words, keep_doc_id,
-    keep_paragraph (the occurrence that stays), copies (paragraphs of the cluster), removed."""
-    found = stored(paragraphs(docs, least), "paragraphs")
-    entered = buckets(docs, least, bands, rows)
+def links(found: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(verified links between sets of paragraphs, u and v; the sets that met others: set, words). found: paragraphs of `marks`."""
+    entered = found.select("set", "bands").dropDuplicates(["set"]).select(F.explode("bands").alias("bucket"), "set")
     ends = entered.groupBy("bucket").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi")
     met = stored(entered.join(ends, "bucket").select("set", "lo", "hi").distinct(), "met")
     star = met.select("set", F.explode(F.array("lo", "hi")).alias("end")).where("set != end")
     pairs = stored(star.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct(), "pairs")
     wanted = met.select("set").distinct()
-    sets = stored(_shingles(docs, least).join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles")), "shingles")
-    linked = components(_verified(pairs, sets, percent))
+    sets = stored(found.where("words is not null").select("set", "words").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("words").alias("words")), "words")
+    first = stored(_verified(pairs, sets, percent), "verified")
     groups = met.select(F.col("lo").alias("cell"), "set").distinct()  # buckets of one lower end are put together
-    more = stored(_tiles(groups, linked, stored(_vectors(sets), "vectors"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_verified(more, sets, percent)))
-    rooted = found.join(roots, found["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set")).drop("node", "set")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("paragraph"))
-    clusters = rooted.groupBy("root").agg(F.count("*").alias("copies"), F.min(place).alias("keep")).where("copies > 1")
-    out = rooted.join(clusters, "root").select("doc_id", "paragraph", "start_word", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "copies")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("paragraph") == F.col("keep_paragraph"))
-    return out.withColumn("removed", ~stays)
+    more = stored(_tiles(groups, components(first), stored(_vectors(sets), "vectors"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return first.unionByName(_verified(more, sets, percent)), sets
+
+
+def _repeats(found: DataFrame, percent: int) -> DataFrame:
+    roots = components(links(found, percent)[0])
+    places = found.groupBy("set").agg(F.count("*").alias("rows"), F.min(_place()).alias("keep"))
+    rooted = stored(places.join(roots, F.col("set") == F.col("node"), "left").select("set", "rows", "keep", F.coalesce("root", "set").alias("root")), "rooted")
+    clusters = rooted.groupBy("root").agg(F.sum("rows").alias("copies"), F.count("*").alias("sets"), F.min("keep").alias("first")).where("copies > 1")
+    told = salted_join(rooted.select("set", "rows", "root"), clusters, "root", "sets", "set").select("set", "rows", "copies", F.col("first").alias("keep"))
+    return _marked(_grouped(found, stored(told, "clusters")))
+
+
+def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each paragraph that has others like it: doc_id, paragraph, start_word, n_words, keep_doc_id,
+    keep_paragraph (the occurrence that stays), copies (paragraphs of the cluster), removed."""
+    return _repeats(stored(marks(docs, least, bands, rows), "marks").where("last is null"), percent)
 
 
 class Pieces:
     """The pieces of a block of texts: doc (index), start (word), digest; paragraph and last, the numbers of the paragraphs
     of their first and last words."""
 
-    def __init__(self, texts: list[bytes]):
-        w = Words(texts, _WORDS)
+    def __init__(self, texts: list[bytes], w: Words | None = None):
+        w = w or Words(texts, _WORDS)
         n = len(w.hashes)
         grams = np.zeros(max(n - PIECE + 1, 0), dtype=np.uint64)
         for k in range(PIECE):
@@ -212,41 +241,52 @@ class Pieces:
         self.paragraph, self.last = number[first] - head, number[first + PIECE - 1] - head
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, last, start_word, set (a digest of the piece's words)."""
-
-    def run(batches):
-        for batch in batches:
-            for part in text_blocks([batch]):
-                p = Pieces(utf8(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(p.doc)), *map(pa.array, (p.paragraph, p.last, p.start, p.digest))], ["doc_id", "paragraph", "last", "start_word", "set"])
+def passages(pieces: DataFrame, listed: DataFrame) -> DataFrame:
+    """One row for each repeated piece that lies in no paragraph of `listed` (rows of `repeats`), with the same columns."""
+    often = stored(pieces.groupBy("set").agg(F.count("*").alias("rows"), F.min(_place()).alias("keep")).where("rows > 1").withColumn("copies", F.col("rows")), "often")
+    found = _grouped(pieces.select("doc_id", "paragraph", "last", "start_word", "n_words", "set").withColumn("paragraph", F.struct("paragraph", "last")), often)
+    covered = listed.select(F.col("doc_id").alias("_doc"), F.col("paragraph").alias("_paragraph")).distinct()
+    inside = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("paragraph.paragraph") == F.col("_paragraph")) & (F.col("paragraph.last") == F.col("_paragraph"))
+    return _marked(found.join(covered, inside, "left_anti").withColumn("paragraph", F.col("paragraph.paragraph")))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, paragraph long, last long, start_word long, set long")
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of `repeats` and of `passages`: all repeated paragraphs, and the repeated pieces that these do not contain."""
+    told = stored(marks(docs), "marks")
+    listed = stored(_repeats(told.where("last is null"), PERCENT), "repeats")
+    return listed.unionByName(passages(told.where("last is not null"), listed))
+
+
+def texts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs, with all columns, without the words that `found` (rows of `deduplicated`) removes; what is left keeps its place.
+
+    Rows without a doc_id lose what any row without one loses. A document's removals are as many as its own paragraphs.
+    """
+    names = docs.columns
+    spans = found.where("removed").groupBy(F.col("doc_id").alias("_own")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
+    plain = docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)))
+    joined = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("_own")), "left").drop("_own")
+
+    order = plain.columns
+
+    def cut(text: bytes, gone: list[dict]) -> str:
+        w = Words([text], _WORDS)
+        keep = np.ones(len(w.starts), dtype=bool)
+        for span in gone:
+            keep[span["start_word"] : span["start_word"] + span["n_words"]] = False
+        out, at = [], 0
+        for k in np.flatnonzero(~keep).tolist():
+            end = w.starts[k + 1] if k + 1 < len(keep) else len(text)
+            out.append(text[at : w.starts[k]])
+            at = end
+        return b"".join([*out, text[at:]]).decode("utf-8", "replace")
 
-def _piece_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in text_blocks([batch]):
-                yield pa.RecordBatch.from_arrays([pa.array(Pieces(utf8(part.column("text"))).digest)], ["set"])
-
-    return docs.select("text").mapInArrow(run, "set long")
-
-
-def passages(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """One row for each repeated piece that lies in no paragraph of `listed` (rows of `repeats`), with the same columns."""
-    often = _piece_sets(docs).groupBy("set").agg(F.count("*").alias("copies")).where("copies > 1")
-    found = stored(pieces(docs).join(often, "set"), "pieces")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start_word"), F.col("paragraph"))
-    keep = found.groupBy("set").agg(F.min(place).alias("keep"))
-    covered = listed.select(F.col("doc_id").alias("_doc"), F.col("paragraph").alias("_paragraph")).distinct()
-    inside = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("paragraph") == F.col("_paragraph")) & (F.col("last") == F.col("_paragraph"))
-    out = found.join(covered, inside, "left_anti").join(keep, "set")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start_word") == F.col("keep.start_word"))
-    return out.select("doc_id", "paragraph", "start_word", F.lit(PIECE).cast("long").alias("n_words"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "copies", (~stays).alias("removed"))
-
+                rows = zip(utf8(part.column("text")), part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True)
+                new = pa.array([cut(text, gone) if gone else whole for text, whole, gone in rows], pa.string())
+                at = part.schema.get_field_index("text")
+                yield part.set_column(at, "text", new).select(order)
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of `repeats` and of `passages`: all repeated paragraphs, and the repeated pieces that these do not contain."""
-    listed = stored(repeats(docs), "repeats")
-    return listed.unionByName(passages(docs, listed))
+    return joined.mapInArrow(run, T.StructType(plain.schema.fields)).toDF(*names)
