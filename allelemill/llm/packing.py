@@ -34,14 +34,17 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+
 
 @functools.lru_cache(2)
 def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a tokenizers file; its ids are the ranks of its merges."""
+    """The byte-level BPE of a tokenizers file; its ids are the ranks of its merges. Added tokens stand for themselves."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
-    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        whole = json.load(f)
+    added = {x["content"]: x["id"] for x in whole.get("added_tokens") or []}
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in whole.get("added_tokens") or []):
+        raise ValueError("added tokens that take their surroundings aren't supported")
+    ranks = {bytes(byte[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
@@ -49,7 +52,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
-        encode = encoder(path).encode_ordinary
+        encode = functools.partial(encoder(path).encode, allowed_special="all")
         for batch in batches:
             for part in text_blocks([batch]):
                 which, rows = [], []
