@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 #: The base phrases and the label of each.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -79,11 +79,14 @@ def spans(found: DataFrame, drift: int = DRIFT, gap: int = GAP, cover: float = C
     diagonal = F.col("pos") - F.col("at")
     voted = found.where("template is not null").groupBy(*KEY, "template", "pairs", "label", "exact", diagonal.alias("diagonal")).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("at").alias("ats"))
     base = voted.where(F.col("exact") & (F.size("ats") == F.col("pairs"))).select(*KEY, "template", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("pairs")).alias("end"), F.lit(1.0).alias("coverage"))
+    # First places: hits further than GAP from all before begin a new one. Within a place neighbouring diagonals are one span,
+    # whatever strays between them lies on.
     order = Window.partitionBy(*KEY, "template").orderBy("low", "diagonal")
     reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.lag("diagonal").over(order)
-    apart = before.isNull() | (F.abs(F.col("diagonal") - before) > drift) | (F.col("low") > reach + gap)
-    chained = voted.where(~F.col("exact")).withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(order))
+    placed = voted.where(~F.col("exact")).withColumn("far", F.coalesce(F.col("low") > reach + gap, F.lit(True)).cast("int")).withColumn("place", F.sum("far").over(order))
+    beside = Window.partitionBy(*KEY, "template", "place").orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(beside) > drift, F.lit(True))
+    chained = placed.withColumn("new", apart.cast("int")).withColumn("span", F.concat_ws(":", "place", F.sum("new").over(beside)))
     merged = chained.groupBy(*KEY, "template", "pairs", "label", "exact", "span").agg(F.min("low").alias("start"), (F.max("high") + 1).alias("end"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
     coverage = F.size("ats") / F.col("pairs")
     return base.unionByName(merged.where(coverage >= cover).select(*KEY, "template", "label", "exact", "start", "end", coverage.alias("coverage")))
@@ -93,7 +96,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     found = hits(docs, base, notices)
     # Few rows of a text are hits, so this carries little; the heads carry the texts without any.
-    once = found.groupBy(*KEY, "template", "pos", "at", "pairs", "label", "exact").agg(F.count("*").alias("copies"))
+    once = stored(found.groupBy(*KEY, "template", "pos", "at", "pairs", "label", "exact").agg(F.count("*").alias("copies")), "hits")
     heads = once.where("template is null").select(*KEY, F.col("copies"), *(F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("exact", "boolean"), ("start", "long"), ("coverage", "double"))))
     verified = spans(once).select(*KEY, F.lit(None).cast("long").alias("copies"), "label", "exact", "start", "coverage")
     exact = F.col("exact") & F.col("start").isNotNull()
