@@ -5,9 +5,10 @@ source's target. The mix is the documents in the order of these times (a global
 total budget is reached. A source whose target exceeds its size goes round again: the second copy of a document
 queues one source size after the first.
 
-The targets add up to the budget, and at virtual time 1 every source has been served exactly its target; so the
-truncation is at time 1, and needs no running sum over the whole order. What a source is being served just then is
-taken in part (its first words), so each source meets its target to a word.
+The queue is one narrow table of all copies, sorted globally by ranges of finish time; running totals (the words of all
+copies ahead) are taken within each range and added up over the ranges. The targets add up to the budget. At the cut each
+source has one document in service, which is taken in part (its first words); what these parts need is set aside, and every
+copy whose running total stays within the rest of the budget is taken whole. So each source meets its target to a word.
 
 Defined results: size counts the words of the text, 0 for null; a document without words takes nothing. Sources are
 ordered by code point with null last, and null is a source of its own. Documents are shuffled by the md5 of seed,
@@ -17,6 +18,8 @@ and so do tables without any words (target 0). Extra columns are ignored by `tak
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +28,8 @@ from .common import WORD, ordered_totals, stored
 
 WEIGHTS = (5, 2, 1)
 BUDGET, ROUNDS, SEED = 1.5, 2, "mix"
+#: Copies in a range of the global order, about.
+PER_RANGE = 100_000
 
 
 def words(text: Column) -> Column:
@@ -52,15 +57,15 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 
 
 def queue(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """sized (doc_id, source, size and more) with source_size, target and start: the words queued before it in its source."""
+    """sized (doc_id, source, size and more) with source_size, target, start (the words queued before it in its source), _key."""
     shuffle = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
-    placed = ordered_totals(sized.withColumn("_key", shuffle), ["source"], ["_key"], "size", "start").drop("_key")
+    placed = ordered_totals(sized.withColumn("_key", shuffle), ["source"], ["_key"], "size", "start")
     goal = targets(sized, weights, budget, rounds).withColumnRenamed("source", "_source")
     return placed.join(goal, placed["source"].eqNullSafe(goal["_source"])).drop("_source")
 
 
 def served(round_no: int) -> Column:
-    """Words that the mix takes of the document's copy of a round (from 0)."""
+    """Words that the document's copy of a round (from 0) is due by the cut."""
     begin = F.col("start") + round_no * F.col("source_size")
     return F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target")).cast("long") - begin))
 
@@ -69,12 +74,38 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", words(F.col("text")).alias("size"))
 
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken, finish (virtual time of its first copy)."""
-    queued = queue(stored(sized(docs), "sizes"), weights, budget, rounds, seed)
-    total = sum((served(r) for r in range(1, rounds)), served(0))
-    finish = F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target"))
-    return queued.select("doc_id", "source", "size", "source_size", "target", total.cast("long").alias("taken"), finish.alias("finish"))
+def line(queued: DataFrame, rounds: int = ROUNDS, per_range: int = PER_RANGE) -> DataFrame:
+    """All copies of `queued` in the order of their finish times, stored in ranges: with round, finish and ahead (the words of
+    all copies before). Of sources without a target (no words at all) finish is null, which comes last."""
+    copies = queued.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("finish", F.when(F.col("target") > 0, (F.col("start") + F.col("round") * F.col("source_size") + F.col("size")) / F.col("target")))
+    order = [F.col("finish").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("_key"), F.col("round")]
+    copies = stored(copies, "copies")
+    ranges = max(1, math.ceil(copies.count() / per_range))
+    ranged = stored(copies.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "line")
+    sums = ranged.groupBy("_range").agg(F.sum("size").alias("_sum"))  # one row a range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sums.select(F.col("_range").alias("_own"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")))
+    within = F.sum("size").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("_within", F.coalesce(within, F.lit(0))).join(starts, F.col("_range") == F.col("_own")).withColumn("ahead", F.col("_within") + F.col("_before")).drop("_own", "_within", "_before")
+
+
+def cut(copies: DataFrame) -> int:
+    """How many words of the budget go to whole documents: all but what the documents in service at the cut are due."""
+    whole = F.col("start") + F.col("round") * F.col("source_size") + F.col("size") <= F.floor("target")
+    each = copies.groupBy("source").agg(F.floor(F.first("target")).cast("long").alias("goal"), F.coalesce(F.sum(F.when(whole, F.col("size"))), F.lit(0)).alias("whole"))
+    found = each.agg(F.sum("goal").alias("budget"), F.sum(F.col("goal") - F.col("whole")).alias("due")).first()
+    return (found["budget"] or 0) - (found["due"] or 0)
+
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = SEED, per_range: int = PER_RANGE) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, taken, and of its first copy finish and ahead."""
+    copies = stored(line(queue(stored(sized(docs), "sizes"), weights, budget, rounds, seed), rounds, per_range), "ahead")
+    begin = F.col("start") + F.col("round") * F.col("source_size")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - begin))
+    own = F.when(F.col("ahead") + F.col("size") <= cut(copies), F.col("size")).otherwise(part)
+    rows = copies.withColumn("own", own).groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum("own").cast("long").alias("taken"), F.min("finish").alias("finish"), F.min("ahead").alias("ahead"), F.count("*").alias("n"))
+    # Documents without words may agree in all of this.
+    return rows.withColumn("_row", F.explode(F.sequence(F.lit(1), (F.col("n") / rounds).cast("int")))).drop("_row", "n", "start")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:

@@ -21,7 +21,7 @@ def op1_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "finish", "ahead")
 
 
 def op3_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +86,19 @@ WITH sized AS (
   FROM totals
 ), goals AS (
   SELECT source, source_size, least(2.0 * source_size, (SELECT max(unit) FROM filling) * w) AS target FROM filling
+), keyed AS (SELECT *, md5('mix:' || CAST(doc_id AS VARCHAR) || ':' || CAST(size AS VARCHAR)) AS key FROM sized
 ), queued AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix:' || CAST(doc_id AS VARCHAR) || ':' || CAST(size AS VARCHAR))
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized
+  SELECT k.*, g.source_size, CAST(g.target AS DOUBLE) AS target,
+         CAST(coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM keyed k JOIN goals g ON k.source IS NOT DISTINCT FROM g.source
+), copies AS (SELECT *, CAST(start + r * source_size + size AS DOUBLE) / nullif(target, 0) AS finish FROM queued, (VALUES (0), (1)) t(r)
+), line AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (ORDER BY finish NULLS LAST, source NULLS LAST, key, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+  FROM copies
 )
-SELECT q.doc_id, q.size, g.source_size, CAST(g.target AS DOUBLE) AS target,
-       CAST(greatest(0, least(q.size, floor(g.target) - q.start)) + greatest(0, least(q.size, floor(g.target) - q.start - g.source_size)) AS BIGINT) AS taken
-FROM queued q JOIN goals g ON q.source IS NOT DISTINCT FROM g.source
+SELECT doc_id, size, source_size, target, finish, ahead,
+       CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken
+FROM line WHERE r = 0
 """,
     "op4_jaccard_join": r"""
 WITH RECURSIVE w AS (
