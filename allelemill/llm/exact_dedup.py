@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, salted_join, stored
 
 SALTS = 16
 
@@ -51,8 +51,8 @@ def keyed(docs: DataFrame, digest=_digest) -> DataFrame:
 def groups(docs: DataFrame, salts: int = SALTS, digest=_digest) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    A digest is nearly always one text's, and then the row finds its group by the digest alone; rows of a digest that
-    several texts share find theirs by the whole text.
+    A digest is nearly always one text's, and then the row finds its group by the digest alone (digests that very many rows
+    have are dealt to many tasks); rows of a digest that several texts share find theirs by the whole text.
     """
     rows = keyed(docs.select("doc_id", "text"), digest)
     # min skips null doc_ids
@@ -61,7 +61,7 @@ def groups(docs: DataFrame, salts: int = SALTS, digest=_digest) -> DataFrame:
     # One row for each doc_id of a digest, counted: repeated rows never pile up in one task.
     ids = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
     columns = ["digest", "doc_id", "copies", "best", "n"]
-    both = ids.join(by_digest.where("texts = 1"), "digest").select(*columns)
+    both = salted_join(ids, by_digest.where("texts = 1"), "digest", "n", "doc_id").select(*columns)
     shared = by_digest.where("texts > 1").select("digest")
     if not shared.isEmpty():  # two texts with one digest: their rows are joined by the whole text
         apart = rows.join(shared, "digest", "left_semi").groupBy("digest", "norm", "doc_id").agg(F.count("*").alias("copies"))

@@ -29,7 +29,9 @@ def dictionary(texts: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(pieces)[-DICTIONARY_BYTES:]
+        # As much of each piece, so that none is left out; zstandard finds matches in the end of raw content most cheaply.
+        share = max(1, DICTIONARY_BYTES // max(1, len(pieces)))
+        return b" ".join(piece[:share] for piece in pieces)[:DICTIONARY_BYTES]
 
 
 class Sizes:
