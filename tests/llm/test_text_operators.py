@@ -60,7 +60,7 @@ def test_tiff_digests(docs, texts, nothing):
         raw = (texts[r["doc_id"]] or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        media = media_tiff.encode(payload)
+        media = media_tiff.stored_form(payload)
         assert r["media_sha256"] == hashlib.sha256(media).hexdigest() and r["media_bytes"] == len(media)
     assert media_tiff.digests(media_tiff.stored_texts(nothing)).count() == 0
 
@@ -73,6 +73,55 @@ def test_tiff_round_trip(compression, predictor):
     assert b"".join(p["pixels"] for p in found) == data and [p["height"] for p in found] == [130, 130, 40]
 
 
+@pytest.mark.parametrize("way", media_tiff.WAYS, ids=str)
+def test_every_stored_form_reads_back(way):
+    for n in (1, 15, 16, 63, 200):
+        data = np.random.default_rng(n).integers(0, 256, 64 * n, dtype=np.uint8).tobytes()
+        found = list(media_tiff.pages(media_tiff.encode(data, page_rows=70, **way)))
+        pixels = b"".join(p["pixels"] for p in found)
+        assert (np.packbits(np.frombuffer(pixels, dtype=np.uint8)).tobytes() if way.get("bits") == 1 else pixels) == data
+        assert all(p["tiled"] == ("tile" in way) and p["compression"] == way["compression"] for p in found)
+
+
+def page_of(data, width, height, **more):
+    """One strip of a little-endian page, by hand: more are further tags (name to value)."""
+    import struct
+
+    tags = {"width": 256, "height": 257, "bits": 258, "compression": 259, "samples": 277, "strip_rows": 278, "predictor": 317}
+    values = {"width": width, "height": height, "strip_rows": height, **more}
+    fields = sorted([(tags[k], 4, 1, v) for k, v in values.items()] + [(273, 4, 1, 8), (279, 4, 1, len(data))])
+    return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + b"\0\0\0\0"
+
+
+def test_foreign_bytes():
+    """The examples of the format's public specification (PackBits, LZW) and hand-made samples."""
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    plain = bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
+    assert media_tiff.unpack_packbits(packed, len(plain)) == plain
+    # The string 7 7 7 8 8 7 7 6 6 as codes 256 7 258 8 8 258 6 6 257 of nine bits each.
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    lzw = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    assert media_tiff.unpack_lzw(lzw, 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    (page,) = media_tiff.pages(page_of(bytes([0b10110000, 0b01010000]), 4, 2, bits=1, compression=1))
+    assert list(page["pixels"]) == [1, 0, 1, 1, 0, 1, 0, 1]
+    (page,) = media_tiff.pages(page_of(bytes([0x1F, 0x20, 0x34, 0x50]), 3, 2, bits=4, compression=1))
+    assert list(page["pixels"]) == [1, 15, 2, 3, 4, 5]
+    (page,) = media_tiff.pages(page_of(bytes([0b00011011]), 4, 1, bits=2, compression=1))
+    assert list(page["pixels"]) == [0, 1, 2, 3]
+    floats = np.array([[1.5, -2.25, 3.0], [0.0, 1e9, -7.5]], dtype="<f4")
+    shuffled = np.ascontiguousarray(floats.astype(">f4")).view(np.uint8).reshape(2, 3, 4).transpose(0, 2, 1).reshape(2, 12)
+    coded = np.concatenate([shuffled[:, :1], np.diff(shuffled, axis=1)], axis=1).astype(np.uint8).tobytes()
+    (page,) = media_tiff.pages(page_of(zlib.compress(coded), 3, 2, bits=32, compression=8, predictor=3))
+    assert (np.frombuffer(page["pixels"], dtype="<f4").reshape(2, 3) == floats).all()
+
+
+def test_malformed_pages_are_error_rows(spark):
+    broken = [page_of(b"x", 1 << 31, 1 << 31, bits=8, compression=8), page_of(b"x" * 9, 3, 3, bits=8, compression=1, samples=0), page_of(b"x", 70_000, 70_000, bits=8, compression=8), page_of(b"x" * 9, 3, 3, bits=7, compression=1), page_of(b"x", 3, 3, bits=8, compression=5), None, b""]
+    media = spark.createDataFrame([(i, 1, b) for i, b in enumerate(broken)], "doc_id long, n_bytes long, media binary")
+    for found in (media_tiff.media_pages(media).collect(), media_tiff.digests(media).collect()):
+        assert len(found) == len(broken) and all(r["error"] for r in found)
+
+
 def test_lzw_long_and_random():
     rng = np.random.default_rng(1)
     for n in (0, 1, 255, 4094, 60_000):
