@@ -61,26 +61,34 @@ def _text(edits: list[align.Edit], reference: str) -> str:
 def _extract(args: argparse.Namespace, reference: str) -> None:
     whole = align.windowed(reference, _observed(args, "observed", reference))
     print(notation.rich(whole.canonical(), reference))
-    if args.all:
-        for walk in whole.walks():
+    if args.all or args.atomics:
+        for walk in whole.walks(atomics=args.atomics):
             print(_text(walk, reference))
-    if args.atomics:
-        for position, symbol in whole.unit_edits():
-            print(notation.simple(align.Edit(position, position + (symbol == ""), symbol), reference))
     if args.distance:
         print(whole.distance)
     if args.dot:
-        print("\n".join(notation.dot((s for s in whole.steps() if whole.distance), reference, whole.spanning())))
+        print("\n".join(notation.dot((s for s in whole.steps() if whole.distance), reference, whole.spanning(), args.internal_labels, args.atomics)))
     if args.local_supremal:
-        print(_text(whole.local_spanning(), reference))
+        local = whole.local_spanning()
+        print(_text(local, reference), _raw(local))
     if args.supremal:
         s = whole.spanning()
-        print(f":{s.start}:{s.end - s.start}:{s.sequence}")
+        print(notation.simple(s, reference), f":{s.start}:{s.end - s.start}:{s.sequence}", _raw([s])[1:-1])
+
+
+def _raw(edits: list[align.Edit]) -> str:
+    return "[" + ", ".join(f"{e.start}:{e.end}/{e.sequence}" for e in edits) + "]"
+
+
+def _subtract(args: argparse.Namespace, reference: str) -> None:
+    """A line for each way to take an edit away: subtrahend, its relation, remainder, its relation, how both relate."""
+    for d in align.difference(reference, _observed(args, "observed", reference)):
+        print(notation.rich(d["subtrahend"], reference), d["with_subtrahend"], notation.rich(d["remainder"], reference), d["with_remainder"], d["between"])
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="allelemill", description=__doc__.split("\n")[0])
-    parser.add_argument("--random-sequence-min", type=int, default=0)
+    parser.add_argument("--random-sequence-min", type=int, help="by default the most")
     parser.add_argument("--random-sequence-max", type=int, default=1000)
     parser.add_argument("--random-variant-p", type=float)
     group = parser.add_mutually_exclusive_group()
@@ -92,16 +100,22 @@ def main(argv: list[str] | None = None) -> None:
     for name in ("lhs", "rhs"):
         _side(compare, name)
     extract = commands.add_parser("extract", help="the canonical allele")
-    for flag in ("all", "atomics", "distance", "dot", "local-supremal", "supremal"):
+    for flag in ("all", "atomics", "distance", "dot", "internal-labels", "local-supremal", "supremal"):
         extract.add_argument(f"--{flag}", action="store_true")
     _side(extract, "observed")
-    patch = commands.add_parser("patch", help="the observed sequence of an allele")
-    _side(patch, "variant")
+    subtract = commands.add_parser("subtract", help="what can be taken away from an allele")
+    _side(subtract, "observed")
+    patch = commands.add_parser("patch", help="the observed sequence of an allele").add_mutually_exclusive_group()
+    patch.add_argument("--hgvs", dest="variant_hgvs")
+    patch.add_argument("--spdi", dest="variant_spdi")
+    patch.add_argument("--random-variant", dest="variant_random_variant", action="store_true", help="the default")
     piece = commands.add_parser("slice", help="pieces of the reference")
     piece.add_argument("--positions", type=int, nargs="+", required=True)
     piece.add_argument("--reverse-complement", action="store_true")
     args = parser.parse_args(argv)
 
+    if args.random_sequence_min is None:
+        args.random_sequence_min = args.random_sequence_max
     if args.reference is not None:
         reference = args.reference
     elif args.reference_file:
@@ -113,7 +127,11 @@ def main(argv: list[str] | None = None) -> None:
         print(align.relation(reference, _observed(args, "lhs", reference), _observed(args, "rhs", reference)))
     elif args.command == "extract":
         _extract(args, reference)
+    elif args.command == "subtract":
+        _subtract(args, reference)
     elif args.command == "patch":
+        args.variant = args.variant_file = None
+        args.variant_random_variant = args.variant_hgvs is None and args.variant_spdi is None
         print(_observed(args, "variant", reference))
     else:
         at = args.positions

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from ..kernel import align, notation
+from .columns import _col, deleted_texts
 from ..schema import ARROW_ALLELE, ARROW_STRETCHES, ARROW_UNITS, ARROW_VARIANT
 
 ARROW_PARSED = pa.struct([("variants", ARROW_ALLELE), ("error", pa.string())])
-ARROW_SUMMARY = pa.struct([("distance", pa.int64()), ("supremal", ARROW_VARIANT), ("canonical", ARROW_ALLELE), ("local_supremal", ARROW_ALLELE), ("atoms", ARROW_UNITS), ("error", pa.string())])
+ARROW_SUMMARY = pa.struct([("distance", pa.int64()), ("supremal", ARROW_VARIANT), ("canonical", ARROW_ALLELE), ("local_supremal", ARROW_ALLELE), ("hgvs", pa.string()), ("atoms", ARROW_UNITS), ("error", pa.string())])
 
 
 CELL = pa.struct([("row", pa.int64()), ("col", pa.int64())])
@@ -84,18 +87,21 @@ def parse_hgvs_with(text: pa.Array, reference: pa.Array) -> pa.Array:
     return pa.array([_parsed(t, r) for t, r in zip(text.to_pylist(), reference.to_pylist(), strict=True)], ARROW_PARSED)
 
 
-def summary(reference: str, observed: str) -> dict:
-    try:
-        whole = align.windowed(reference, observed)
-    except ValueError as e:
-        return {"error": _error(e)}
-    return _summary(whole)
+def summary(reference: str, observed: str, shift: int = 0, whole_length: int | None = None) -> dict:
+    """Everything about one allele from a window at `shift` of a reference of whole_length (by default the window is the whole),
+    in the reference's places; error `narrow` if the window is too narrow to tell."""
+    found = align.told(reference, observed, shift == 0, whole_length is None or shift + len(reference) == whole_length)
+    if found is None:
+        return {"error": "narrow"}
+    return _placed(found, reference, shift)
 
 
-def _summary(whole: align.Alignments) -> dict:
+def _placed(found: align.Told, window: str, shift: int) -> dict:
+    at = lambda e: _told(align.moved(e, shift if found.distance else 0))
+    canonical = list(found.canonical)
     return {
-        "distance": whole.distance, "supremal": _told(whole.spanning()), "canonical": [_told(e) for e in whole.canonical()], "local_supremal": [_told(e) for e in whole.local_spanning()],
-        "atoms": [{"pos": p, "symbol": s} for p, s in whole.unit_edits()], "error": None,
+        "distance": found.distance, "supremal": at(found.spanning), "canonical": [at(e) for e in canonical], "local_supremal": [at(e) for e in found.local_spanning],
+        "hgvs": notation.rich(align.moved(canonical, shift), window, shift), "atoms": [{"pos": p + shift, "symbol": s} for p, s in found.units], "error": None,
     }
 
 
@@ -105,32 +111,15 @@ def summarise(reference: pa.Array, observed: pa.Array) -> pa.Array:
     return _each(summary, ARROW_SUMMARY, reference, observed)
 
 
-def _window_summary(reference: str, observed: str, shift: int, whole_length: int) -> dict:
-    """The same on a window at `shift` of a reference of whole_length; null if the window is too narrow to tell."""
-    found = summary(reference, observed)
-    if found.get("error"):
-        return found
-    s = found["supremal"]
-    if found["distance"]:
-        if (s["start"] == 0 and shift > 0) or (s["end"] == len(reference) and shift + len(reference) < whole_length):
-            return {"error": "narrow"}
-        for v in [s, *found["canonical"], *found["local_supremal"]]:
-            v["start"] += shift
-            v["end"] += shift
-        for atom in found["atoms"]:
-            atom["pos"] += shift
-    return found
-
-
 @arrow_udf(ARROW_SUMMARY)
 def summarise_window(reference: pa.Array, observed: pa.Array, shift: pa.Array, whole_length: pa.Array) -> pa.Array:
-    return _each(_window_summary, ARROW_SUMMARY, reference, observed, shift, whole_length)
+    return _each(summary, ARROW_SUMMARY, reference, observed, shift, whole_length)
 
 
 @arrow_udf(ARROW_SUMMARY)
 def summarise_supremal(reference: pa.Array, supremal: pa.Array) -> pa.Array:
     """The same from a spanning edit: only its window is aligned."""
-    return _each(lambda r, v: _summary(align.Alignments(r[v["start"] : v["end"]], v["sequence"], v["start"])), ARROW_SUMMARY, reference, supremal)
+    return _each(lambda r, v: _placed(align.told(r[v["start"] : v["end"]], v["sequence"]), r[v["start"] : v["end"]], v["start"]), ARROW_SUMMARY, reference, supremal)
 
 
 @arrow_udf(ARROW_ALLELE)
@@ -156,12 +145,12 @@ def stretches(reference: pa.Array, observed: pa.Array) -> pa.Array:
 
 @arrow_udf(ARROW_UNITS)
 def unit_edits(reference: pa.Array, observed: pa.Array) -> pa.Array:
-    return _each(lambda r, o: [{"pos": p, "symbol": s} for p, s in align.windowed(r, o).unit_edits()], ARROW_UNITS, reference, observed)
+    return _each(lambda r, o: [{"pos": p, "symbol": s} for p, s in align.told(r, o).units], ARROW_UNITS, reference, observed)
 
 
 @arrow_udf(ARROW_VARIANT)
 def supremal(reference: pa.Array, observed: pa.Array) -> pa.Array:
-    return _each(lambda r, o: _told(align.windowed(r, o).spanning()), ARROW_VARIANT, reference, observed)
+    return _each(lambda r, o: _told(align.told(r, o).spanning), ARROW_VARIANT, reference, observed)
 
 
 @arrow_udf(pa.int64())
@@ -175,16 +164,16 @@ def paths(reference: pa.Array, observed: pa.Array, limit: pa.Array) -> pa.Array:
 
 
 @arrow_udf(pa.list_(ARROW_ALLELE))
-def atomics(variant: pa.Array) -> pa.Array:
-    """All interleavings of unit edits; refused beyond 100,000 of them."""
-    from math import comb
+def atomic_paths(reference: pa.Array, observed: pa.Array, limit: pa.Array) -> pa.Array:
+    """The same with each edit in every way of single deletions and insertions."""
+    return _each(lambda r, o, n: [[_told(e) for e in w] for w in align.windowed(r, o).walks(n, True)], pa.list_(ARROW_ALLELE), reference, observed, limit, optional=1)
 
-    def one(v: dict) -> list:
-        if comb(v["end"] - v["start"] + len(v["sequence"]), len(v["sequence"])) > 100_000:
-            raise ValueError("too many atomic representations")
-        return [[_told(e) for e in way] for way in align.interleavings(_read(v))]
 
-    return _each(one, pa.list_(ARROW_ALLELE), variant)
+@arrow_udf(pa.list_(ARROW_ALLELE))
+def atomics(variant: pa.Array, limit: pa.Array) -> pa.Array:
+    """The interleavings of unit edits, the first `limit` of them; a null `limit` is none. `operators.expand.ways` gives rows
+    one by one, of which there may be very many."""
+    return _each(lambda v, n: [[_told(e) for e in way] for way in itertools.islice(align.interleavings(_read(v)), n)], pa.list_(ARROW_ALLELE), variant, limit, optional=1)
 
 
 @arrow_udf(ARROW_ALLELE)
@@ -193,16 +182,23 @@ def diagonal(reference: pa.Array, observed: pa.Array) -> pa.Array:
 
 
 @arrow_udf(pa.string())
-def rich_hgvs(variants: pa.Array, reference: pa.Array) -> pa.Array:
-    """HGVS with repeats, duplications and inversions; an allele with an empty variant is an error text."""
+def rich_hgvs_of(variants: pa.Array, deleted: pa.Array) -> pa.Array:
+    """HGVS with repeats, duplications and inversions, from variants and the texts that they delete; an allele with an empty
+    variant is an error text."""
 
-    def one(vs: list, r: str) -> str:
+    def one(vs: list, old: list) -> str:
         try:
-            return notation.rich([_read(v) for v in vs], r)
+            texts = [notation.rich_change(_read(v), o) for v, o in zip(vs, old, strict=True)]
         except ValueError as e:
             return _error(e)
+        return "=" if not texts else texts[0] if len(texts) == 1 else f"[{';'.join(texts)}]"
+
+    return _each(one, pa.string(), variants, deleted)
+
 
-    return _each(one, pa.string(), variants, reference)
+def rich_hgvs(variants, reference) -> Column:
+    """The same from the reference, of which only the deleted texts are shipped."""
+    return rich_hgvs_of(_col(variants), deleted_texts(variants, reference))
 
 
 @arrow_udf(pa.list_(pa.string()))
@@ -216,6 +212,17 @@ def dot(reference: pa.Array, observed: pa.Array) -> pa.Array:
     return _each(one, pa.list_(pa.string()), reference, observed)
 
 
+@arrow_udf(pa.list_(pa.string()))
+def internal_dot(reference: pa.Array, observed: pa.Array, atomics: pa.Array) -> pa.Array:
+    """The same with internal labels (places of nodes, raw edits); with atomics in every way of unit edits."""
+
+    def one(r: str, o: str, ways: bool) -> list[str]:
+        w = align.windowed(r, o)
+        return notation.dot((s for s in w.steps() if w.distance), r, w.spanning(), internal=True, atomics=ways)
+
+    return _each(one, pa.list_(pa.string()), reference, observed, atomics)
+
+
 @arrow_udf(ARROW_DIFFERENCE)
 def difference(reference: pa.Array, observed: pa.Array) -> pa.Array:
     return _each(lambda r, o: [{k: [_told(e) for e in v] if isinstance(v, list) else v for k, v in d.items()} for d in align.difference(r, o)], ARROW_DIFFERENCE, reference, observed)

@@ -21,6 +21,11 @@ def rest(text: Column, start: Column) -> Column:
     return part(text, start, F.length(text).cast("long"))
 
 
+def deleted_texts(vs, reference) -> Column:
+    """What each variant deletes."""
+    return F.transform(_col(vs), lambda v: part(_col(reference), v["start"], v["end"]))
+
+
 def variant(start, end, sequence) -> Column:
     return F.struct(_col(start).cast("long").alias("start"), _col(end).cast("long").alias("end"), _col(sequence).alias("sequence"))
 
@@ -28,7 +33,7 @@ def variant(start, end, sequence) -> Column:
 def variant_error(start, end) -> Column:
     """Why no variant can have these ends; null if one can."""
     start, end = _col(start), _col(end)
-    return F.when(start < 0, "ValueError: start must be greater or equal to 0").when(start > end, "ValueError: start must not be after end")
+    return F.when(start < 0, "ValueError: a variant cannot begin before the first symbol").when(start > end, "ValueError: a variant cannot end before it begins")
 
 
 def safe_variant(start, end, sequence) -> Column:
@@ -59,7 +64,7 @@ def parse_spdi(text) -> Column:
     number = lambda c: F.when(F.trim(c).rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(F.trim(c), F.lit("_"), F.lit("")).try_cast("bigint"))
     start = number(F.get(p, F.lit(1)))
     end = start + F.coalesce(number(F.get(p, F.lit(2))), F.length(F.get(p, F.lit(2))).cast("long"))
-    error = F.when(F.size(p) != 4, "ValueError: an SPDI expression has four parts").when(start.isNull(), "ValueError: the position is not a number").otherwise(variant_error(start, end))
+    error = F.when(F.size(p) != 4, "ValueError: four parts make an SPDI expression").when(start.isNull(), "ValueError: the position is not a number").otherwise(variant_error(start, end))
     allele = F.when(error.isNull(), F.array(variant(start, end, F.get(p, F.lit(3)))))
     return F.when(_col(text).isNull(), F.struct(F.lit(None).cast(ALLELE).alias("variants"), F.lit("TypeError: expression must be a string").alias("error"))).otherwise(F.struct(allele.alias("variants"), error.alias("error"))).cast(PARSED)
 
@@ -91,7 +96,7 @@ def allele_error(vs) -> Column:
     """Why the allele has no order (variants overlap or share a place); null if it has one."""
     v = in_order(vs)
     pairs = F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda a, b: (b["start"] < a["end"]) | ((a["start"] == b["start"]) & (a["end"] == b["end"])))
-    return F.when(F.exists(pairs, lambda x: x), "ValueError: unorderable variants")
+    return F.when(F.exists(pairs, lambda x: x), "ValueError: variants overlap or share a place")
 
 
 def allele_to_hgvs(vs, reference=None, only_substitutions: bool = True, sequence_prefix: bool = False, sort: bool = True) -> Column:

@@ -3,18 +3,23 @@
 With F[i, j] the length for the first i and j symbols and B[i, j] that for what follows, a cell (i, j) is a match of some
 minimal alignment if its symbols agree and F[i, j] + 1 + B[i+1, j+1] is the whole length; its rank is F[i, j]. All other
 results (unit edits, the spanning edit, edges, walks, normal forms) follow from the tables and the cells.
+
+Minimal alignments leave the diagonals by no more than they delete and insert, so a band of that width has them all. Only
+some rows of the forward table are kept; blocks of rows between them are made again, from the last block to the first, while
+the backward table is rolled along. So there is no size beyond which an alignment is refused.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 
-#: Cells of a table at most; beyond it the alignment is refused rather than run out of memory.
-MOST_CELLS = 1 << 26
 PAD = 4
+#: Cells of a block of rows, about; symbols of two windows up to which what is told of them is remembered, and how often.
+BLOCK_CELLS, SHORT, REMEMBERED = 1 << 22, 160, 1 << 14
 
 
 class Edit(NamedTuple):
@@ -31,8 +36,15 @@ class DistanceExceeded(ValueError):
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """Insertions and deletions that turn a into b; over `most` of them raise. Bit-parallel over the symbols of a."""
-    if most is not None and abs(len(a) - len(b)) > most:
-        raise DistanceExceeded("maximum distance exceeded")
+    if most is not None and len(a) + len(b) > SHORT:
+        return _bounded(a, b, most)
+    distance = len(a) + len(b) - 2 * _common(a, b)
+    if most is not None and distance > most:
+        raise DistanceExceeded("more than the distance allowed")
+    return distance
+
+
+def _common(a: str, b: str) -> int:
     places: dict[str, int] = {}
     for i, symbol in enumerate(a):
         places[symbol] = places.get(symbol, 0) | 1 << i
@@ -41,106 +53,165 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     for symbol in b:
         hit = state & places.get(symbol, 0)
         state = ((state + hit) | (state - hit)) & full
-    common = len(a) - state.bit_count()
-    distance = len(a) + len(b) - 2 * common
-    if most is not None and distance > most:
-        raise DistanceExceeded("maximum distance exceeded")
+    return len(a) - state.bit_count()
+
+
+def _bounded(a: str, b: str, most: int) -> int:
+    """The distance by a band of `most` diagonals; it stops at the first row that no such alignment reaches."""
+    if abs(len(a) - len(b)) > most:
+        raise DistanceExceeded("more than the distance allowed")
+    x, y = _codes(a), _codes(b)
+    gone = (most + len(a) - len(b)) // 2
+    band = _Table(x, y, gone, most + 1)
+    row = band.first()
+    column = np.arange(most + 1) - gone  # less the row: where the cell's diagonal lies
+    for i in range(len(x)):
+        row = band.rows(row, i, i + 1)[1]
+        # Unmatched so far in both, and what the ends still lack of each other at least.
+        left = 2 * i + 2 + column - 2 * row + np.abs(len(b) - len(a) - column)
+        if left.min() > most:
+            raise DistanceExceeded("more than the distance allowed")
+    distance = len(a) + len(b) - 2 * int(row[len(b) - len(a) + gone])
+    if distance > most:
+        raise DistanceExceeded("more than the distance allowed")
     return distance
 
 
 def common_ends(a: str, b: str) -> tuple[int, int]:
-    """Length of the common prefix, and of the common suffix of what remains of both."""
+    """Length of the common prefix, and of the common suffix of what remains of both; by halving."""
     n = min(len(a), len(b))
-    front = next((i for i in range(n) if a[i] != b[i]), n)
-    back = next((i for i in range(n - front) if a[-1 - i] != b[-1 - i]), n - front)
-    return front, back
+    front = _agreeing(n, lambda k: a.startswith(b[:k]))
+    return front, _agreeing(n - front, lambda k: k == 0 or a.endswith(b[-k:]))
+
+
+def _agreeing(most: int, agrees) -> int:
+    """The largest k up to most for which `agrees` holds (it holds for all smaller ones)."""
+    low, step = 0, 1
+    while step and low < most:
+        k = min(low + step, most)
+        if agrees(k):
+            low, step = k, step * 2
+        elif step > 1:
+            step = max(1, min(step, k - low) // 2)
+        else:
+            break
+    return low
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, symbol in enumerate(a):
-        best = np.maximum(out[i, 1:], out[i, :-1] + (b == symbol))
-        out[i + 1, 1:] = np.maximum.accumulate(best)
-    return out
-
-
 #: Marks cells of a band that lie outside of the table.
 _NONE = -(1 << 28)
 
 
-def _band(a: np.ndarray, b: np.ndarray, gone: int, width: int) -> np.ndarray:
-    """The cells of _table with columns from row - gone on, `width` of them in each row."""
-    out = np.full((len(a) + 1, width), _NONE, dtype=np.int32)
-    column = np.arange(width) - gone
-    out[0][(column >= 0) & (column <= len(b))] = 0
-    facing = _facing(b, gone, len(a), width)
-    for i, symbol in enumerate(a):
-        best = out[i] + (facing[i] == symbol)
-        best[:-1] = np.maximum(best[:-1], out[i, 1:])
-        out[i + 1] = np.maximum.accumulate(best)
-        out[i + 1, max(0, len(b) + gone - i) :] = _NONE
-    return out
-
+class _Table:
+    """Rows of common lengths: of all columns, or of a band of `width` columns that begins `gone` before the row's own."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, gone: int | None, width: int):
+        self.a, self.b, self.gone, self.width = a, b, gone, width
+        if gone is not None:
+            padded = np.full(len(a) + width + gone + len(b), -1, dtype=np.int64)
+            padded[gone : gone + len(b)] = b
+            self.facing = np.lib.stride_tricks.sliding_window_view(padded, width)  # the symbol after each cell, -1 outside
+
+    def first(self) -> np.ndarray:
+        if self.gone is None:
+            return np.zeros(self.width, dtype=np.int32)
+        column = np.arange(self.width) - self.gone
+        return np.where((column >= 0) & (column <= len(self.b)), 0, _NONE).astype(np.int32)
+
+    def rows(self, row: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Rows low to high, both included; `row` is row low."""
+        out = np.empty((high - low + 1, self.width), dtype=np.int32)
+        out[0] = row
+        for k, i in enumerate(range(low, high)):
+            here, there = out[k], out[k + 1]
+            if self.gone is None:
+                there[0] = 0
+                np.maximum.accumulate(np.maximum(here[1:], here[:-1] + (self.b == self.a[i])), out=there[1:])
+            else:
+                best = here + (self.facing[i] == self.a[i])
+                np.maximum(best[:-1], here[1:], out=best[:-1])
+                np.maximum.accumulate(best, out=there)
+                there[max(0, len(self.b) + self.gone - i) :] = _NONE
+        return out
 
-def _facing(b: np.ndarray, gone: int, rows: int, width: int) -> np.ndarray:
-    """The symbol after each cell of a band, -1 outside of b."""
-    padded = np.full(rows + width + gone + len(b), -1, dtype=np.int64)
-    padded[gone : gone + len(b)] = b
-    return np.lib.stride_tricks.sliding_window_view(padded, width)
+    def match(self, low: int, high: int) -> np.ndarray:
+        """Whether the symbols after the cells of rows low to high (not included) agree."""
+        if self.gone is None:
+            return self.a[low:high, None] == self.b[None, :]
+        return self.a[low:high, None] == self.facing[low:high]
 
 
 class Alignments:
     """All minimal alignments of a reference window and its observed counterpart; results are shifted by `shift`."""
 
     def __init__(self, reference: str, observed: str, shift: int = 0):
-        # Minimal alignments leave the diagonals by no more than they delete and insert, so a band of that width has them all.
-        self.distance = edit_distance(reference, observed)
-        self.banded = self.distance < len(observed)
-        if (len(reference) + 1) * (min(self.distance, len(observed)) + 1) > MOST_CELLS:
-            raise ValueError("sequences are too long to align in full")
         self.a, self.b, self.shift = reference, observed, shift
-        x, y = _codes(reference), _codes(observed)
-        self.length = (len(x) + len(y) - self.distance) // 2
-        self.gone = len(x) - self.length
-        if self.banded:
-            width = self.distance + 1
-            self.front = _band(x, y, self.gone, width)
-            self.back = _band(x[::-1], y[::-1], self.gone, width)[::-1, ::-1]
-            match = (x[:, None] == _facing(y, self.gone, len(x), width)[: len(x)]) & (self.front[:-1] + 1 + self.back[1:] == self.length)
-        else:
-            self.front = _table(x, y)
-            self.back = _table(x[::-1], y[::-1])[::-1, ::-1]
-            match = (x[:, None] == y[None, :]) & (self.front[:-1, :-1] + 1 + self.back[1:, 1:] == self.length)
-        i, k = np.nonzero(match)
-        self.cells: list[list[tuple[int, int]]] = [[] for _ in range(self.length)]
-        ranks = self.front[i, k].tolist()
-        for r, c, rank in zip(i.tolist(), (i + k - self.gone if self.banded else k).tolist(), ranks, strict=True):
-            self.cells[rank].append((r, c))
+        self.distance = edit_distance(reference, observed)
+        self.length = (len(reference) + len(observed) - self.distance) // 2
+        self._sweep(_codes(reference), _codes(observed))
+
+    def _sweep(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Matches by row (arrays row, column, rank), deleted places and insertions (row, column), block by block."""
+        n, whole = len(x), self.length
+        banded = self.distance < len(y)
+        gone, width = (n - whole, self.distance + 1) if banded else (None, len(y) + 1)
+        ahead, behind = _Table(x, y, gone, width), _Table(x[::-1], y[::-1], gone, width)
+        step = max(1, BLOCK_CELLS // width)
+        kept, row = [], ahead.first()
+        for low in range(0, max(n, 1), step):
+            kept.append((low, row))
+            if low + step < n:
+                row = ahead.rows(row, low, low + step)[-1].copy()
+        row = behind.first()
+        matches, gaps, puts = [], [], []
+        for low, first in reversed(kept):
+            high = min(low + step, n)
+            front = ahead.rows(first, low, high)
+            back = behind.rows(row, n - high, n - low)
+            row = back[-1]
+            back = back[::-1, ::-1]
+            last = high + (high == n)  # rows whose insertions are this block's
+            if banded:
+                hit = ahead.match(low, high) & (front[:-1] + 1 + back[1:] == whole)
+                gap = (front[:-1, 1:] + back[1:, :-1] == whole).any(axis=1)
+            else:
+                hit = ahead.match(low, high) & (front[:-1, :-1] + 1 + back[1:, 1:] == whole)
+                gap = (front[:-1] + back[1:] == whole).any(axis=1)
+            put = front[: last - low, :-1] + back[: last - low, 1:] == whole
+            i, k = np.nonzero(hit)
+            matches.append((i + low, i + low + k - gone if banded else k, front[i, k]))
+            gaps.append(np.flatnonzero(gap) + low)
+            i, k = np.nonzero(put)
+            puts.append((i + low, i + low + k - gone if banded else k))
+        self._rows, self._columns, self._of = (np.concatenate([m[c] for m in reversed(matches)]) for c in range(3))
+        self._gaps = np.concatenate(gaps[::-1])
+        self._puts = tuple(np.concatenate([p[c] for p in reversed(puts)]) for c in range(2))
+
+    @functools.cached_property
+    def cells(self) -> list[list[tuple[int, int]]]:
+        """The matches of each rank, by row."""
+        out: list[list[tuple[int, int]]] = [[] for _ in range(self.length)]
+        for r, c, rank in zip(self._rows.tolist(), self._columns.tolist(), self._of.tolist(), strict=True):
+            out[rank].append((r, c))
+        return out
 
     def unit_edits(self) -> list[tuple[int, str]]:
         """Every single deletion (position, "") and insertion (position, symbol) of some minimal alignment, sorted."""
-        on, before = (self.front[:-1, 1:], self.back[1:, :-1]) if self.banded else (self.front[:-1], self.back[1:])
-        gone = np.flatnonzero((on + before == self.length).any(axis=1)) if self.a else []
-        found = {(int(i) + self.shift, "") for i in gone}
-        if self.b:
-            at, which = np.nonzero(self.front[:, :-1] + self.back[:, 1:] == self.length)
-            which = at + which - self.gone if self.banded else which
-            found |= {(int(i) + self.shift, self.b[j]) for i, j in zip(at, which.tolist(), strict=True)}
+        found = {(i + self.shift, "") for i in self._gaps.tolist()}
+        found |= {(i + self.shift, self.b[j]) for i, j in zip(*(p.tolist() for p in self._puts), strict=True)}
         return sorted(found)
 
     def spanning(self) -> Edit:
         """The one edit that spans all unit edits; 0:0/ if there are none."""
-        units = self.unit_edits()
-        if not units:
+        if not self.distance:
             return Edit(0, 0, "")
-        start = units[0][0]
-        end = max(at + (symbol == "") for at, symbol in units)
-        low = start - self.shift
-        return Edit(start, end, self.b[low : end - self.shift + len(self.b) - len(self.a)])
+        low = min([*self._gaps[:1].tolist(), *self._puts[0][:1].tolist()])
+        high = max([*(self._gaps[-1:] + 1).tolist(), *self._puts[0][-1:].tolist()])
+        return Edit(low + self.shift, high + self.shift, self.b[low : high + len(self.b) - len(self.a)])
 
     def _ranks(self) -> list[list[tuple[int, int]]]:
         return [[(-1, -1)], *self.cells, [(len(self.a), len(self.b))]]
@@ -161,11 +232,13 @@ class Alignments:
         """The distinct edits between neighbouring matches, sorted."""
         return sorted({e for _, _, e in self.steps() if e.start < e.end or e.sequence})
 
-    def walks(self, limit: int | None = None) -> Iterator[list[Edit]]:
-        """Minimal alignments as lists of edits, at most `limit` of them; there may be exponentially many."""
+    def walks(self, limit: int | None = None, atomics: bool = False) -> Iterator[list[Edit]]:
+        """Minimal alignments as lists of edits, one by one, at most `limit` of them; there may be exponentially many.
+        With atomics each edit in every way of single deletions and insertions, in the order of `interleavings`."""
         after: dict[tuple[int, int], list] = {}
         for p, q, e in self.steps():
-            after.setdefault(p, []).append((q, e))
+            forms = [[]] if e.start == e.end and not e.sequence else list(interleavings(e)) if atomics else [[e]]
+            after.setdefault(p, []).extend((q, form) for form in forms)
         sink, given = (len(self.a), len(self.b)), 0
         stack: list[tuple[tuple[int, int], tuple[Edit, ...]]] = [((-1, -1), ())]
         while stack and (limit is None or given < limit):
@@ -174,8 +247,8 @@ class Alignments:
                 yield list(edits)
                 given += 1
                 continue
-            for q, e in reversed(after.get(cell, [])):
-                stack.append((q, (*edits, e) if e.start < e.end or e.sequence else edits))
+            for q, form in reversed(after.get(cell, [])):
+                stack.append((q, (*edits, *form)))
 
     def walk_count(self) -> int:
         """How many minimal alignments there are."""
@@ -243,6 +316,13 @@ def patched(reference: str, edits: list[Edit]) -> str:
     return "".join([*out, reference[at:]])
 
 
+def moved(edits, by: int):
+    """Edits, or one of them, so many symbols further on."""
+    if isinstance(edits, Edit):
+        return Edit(edits.start + by, edits.end + by, edits.sequence)
+    return [moved(e, by) for e in edits]
+
+
 def windowed(reference: str, observed: str) -> Alignments:
     """Alignments of a window around the difference, wide enough that nothing outside takes part.
 
@@ -261,6 +341,51 @@ def windowed(reference: str, observed: str) -> Alignments:
         pad *= 2
 
 
+class Told(NamedTuple):
+    """What a window tells of an allele, in the window's own places; wide: the spanning edit reaches an inner border."""
+
+    distance: int
+    spanning: Edit
+    canonical: tuple[Edit, ...]
+    local_spanning: tuple[Edit, ...]
+    units: tuple[tuple[int, str], ...]
+    wide: bool
+
+
+def _tell(reference: str, observed: str, at_start: bool, at_end: bool) -> Told:
+    whole = Alignments(reference, observed).spanning()
+    if whole.start == 0 and not at_start or whole.end == len(reference) and not at_end:
+        return Told(0, whole, (), (), (), True)
+    core = Alignments(reference[whole.start : whole.end], whole.sequence, whole.start)
+    return Told(core.distance, whole, tuple(core.canonical()), tuple(core.local_spanning()), tuple(core.unit_edits()), False)
+
+
+_remembered = functools.lru_cache(REMEMBERED)(_tell)
+
+
+def told(reference: str, observed: str, at_start: bool = True, at_end: bool = True) -> Told | None:
+    """Everything about an allele from a window of its reference and what the allele makes of it, in the window's places.
+
+    at_start and at_end: whether the window ends where its reference does. None if the window is too narrow to tell. Alleles
+    come with few different surroundings, so what is told of short windows is remembered.
+    """
+    if reference == observed:
+        return Told(0, Edit(0, 0, ""), (), (), (), False)
+    front, back = common_ends(reference, observed)
+    pad = PAD
+    while True:
+        low, tail = max(0, front - pad), max(0, back - pad)
+        a, b = reference[low : len(reference) - tail], observed[low : len(observed) - tail]
+        tell = _remembered if len(a) + len(b) <= SHORT else _tell
+        found = tell(a, b, low == 0 and at_start, tail == 0 and at_end)
+        if not found.wide:
+            units = tuple((p + low, s) for p, s in found.units)
+            return Told(found.distance, moved(found.spanning, low), tuple(moved(found.canonical, low)), tuple(moved(found.local_spanning, low)), units, False)
+        if low == 0 and tail == 0:
+            return None
+        pad *= 2
+
+
 def relation(reference: str, lhs: str, rhs: str) -> str:
     """How two observed sequences relate: equivalent, disjoint, contains, is_contained or overlap."""
     if lhs == rhs:
@@ -270,7 +395,7 @@ def relation(reference: str, lhs: str, rhs: str) -> str:
     by_distance = by_distances(left, right, apart)
     if by_distance:
         return by_distance
-    shared = set(windowed(reference, lhs).unit_edits()) & set(windowed(reference, rhs).unit_edits())
+    shared = set(told(reference, lhs).units) & set(told(reference, rhs).units)
     return "overlap" if shared else "disjoint"
 
 
@@ -286,53 +411,75 @@ def by_distances(left: int, right: int, apart: int) -> str | None:
 
 
 def interleavings(edit: Edit) -> Iterator[list[Edit]]:
-    """All ways to write an edit as deletions of one symbol and insertions (merged where they meet)."""
-    cut, new = edit.end - edit.start, len(edit.sequence)
+    """All ways to write an edit as deletions of one symbol and insertions, one by one.
 
-    def grow(gone: int, put: int, out: tuple[Edit, ...]) -> Iterator[list[Edit]]:
-        if gone == cut and put == new:
-            yield list(out)
+    A way says how many of the new symbols come before each place of the deleted stretch and how many after it: rising
+    numbers, one for each deleted symbol. Ways that insert earlier come first.
+    """
+    cut, new = edit.end - edit.start, len(edit.sequence)
+    put = [new] * cut  # how many new symbols stand before each deleted one
+    while True:
+        way, done = [], 0
+        for k, n in enumerate([*put, new]):
+            at = edit.start + k
+            if n > done:
+                way.append(Edit(at, at, edit.sequence[done:n]))
+            if k < cut:
+                way.append(Edit(at, at + 1, ""))
+            done = n
+        yield way
+        # The next smaller rising sequence: the last number that can fall does, what follows rises to all.
+        k = next((k for k in range(cut - 1, -1, -1) if put[k] > (put[k - 1] if k else 0)), None)
+        if k is None:
             return
-        at = edit.start + gone
-        if put < new:
-            if out and out[-1].start == out[-1].end == at:
-                yield from grow(gone, put + 1, (*out[:-1], Edit(at, at, out[-1].sequence + edit.sequence[put])))
-            else:
-                yield from grow(gone, put + 1, (*out, Edit(at, at, edit.sequence[put])))
-        if gone < cut:
-            yield from grow(gone + 1, put, (*out, Edit(at, at + 1, "")))
+        put[k:] = [put[k] - 1] + [new] * (cut - k - 1)
+
 
-    return grow(0, 0, ())
+def bridges(whole: Alignments) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """The matches (and both ends) that can follow each match of minimal alignments, in the order of row and column: the
+    pairs that delimit what can be taken away."""
+    points = np.array(sorted({c for rank in whole._ranks() for c in rank}))
+    out = {}
+    for p in points[:-1]:
+        after = points[(points[:, 0] > p[0]) & (points[:, 1] > p[1])]
+        out[tuple(p.tolist())] = [tuple(q) for q in after.tolist()]
+    return out
 
 
 def difference(reference: str, observed: str) -> list[dict]:
     """Ways to take one edit away from an allele: subtrahend (canonical), remainder and how they relate.
 
-    Any two matches of minimal alignments that can follow one another delimit an edit; what lies before the first and
-    after the second remains. Each distinct subtrahend is reported once, in the order of its delimiting matches.
+    Two points of the alignments split the allele in three: what lies between is one part, what lies before and after
+    the other. A part is made once for each distinct observed sequence that it leads to, since that decides its canonical
+    form; all relations follow from the parts' distances and unit edits, which are kept with them.
     """
     whole = windowed(reference, observed)
-    source, sink = (-1, -1), (len(whole.a), len(whole.b))
-    cells = sorted({c for rank in whole._ranks() for c in rank})
-    seen, out = set(), []
-    for k, p in enumerate(cells):
-        for q in cells[k + 1 :]:
-            if p[1] >= q[1] or p[0] >= q[0]:
-                continue
-            taken = [whole._edit(p, q)]
-            left = [*([whole._edit(source, p)] if p != source else []), *([whole._edit(q, sink)] if q != sink else [])]
-            taken_text, left_text = patched(reference, taken), patched(reference, left)
-            subtrahend = windowed(reference, taken_text).canonical()
-            if tuple(subtrahend) in seen:
+    ends = (-1, -1), (len(whole.a), len(whole.b))
+    source, sink = ends
+    parts: dict[str, Told] = {}
+
+    def part(edits: list[Edit]) -> tuple[str, Told]:
+        text = patched(reference, edits)
+        if text not in parts:
+            parts[text] = told(reference, text)
+        return text, parts[text]
+
+    def relate(x: tuple[str, Told], y: tuple[str, Told]) -> str:
+        if x[0] == y[0]:
+            return "equivalent"
+        found = by_distances(x[1].distance, y[1].distance, edit_distance(x[0], y[0]))
+        return found or ("overlap" if set(x[1].units) & set(y[1].units) else "disjoint")
+
+    minuend = part([whole._edit(source, sink)] if whole.distance else [])
+    out: dict[str, dict] = {}
+    for p, following in bridges(whole).items():
+        for q in following:
+            inner = part([whole._edit(p, q)])
+            if inner[0] in out:
                 continue
-            seen.add(tuple(subtrahend))
-            if patched(reference, sorted([*taken, *left])) != observed:
-                raise AssertionError("subtrahend and remainder do not add up")
-            out.append({
-                "subtrahend": subtrahend,
-                "remainder": windowed(reference, left_text).canonical(),
-                "with_subtrahend": relation(reference, observed, taken_text),
-                "with_remainder": relation(reference, observed, left_text),
-                "between": relation(reference, taken_text, left_text),
-            })
-    return out
+            outer = part([whole._edit(*side) for side in ((source, p), (q, sink)) if side[0] != side[1]])
+            out[inner[0]] = {
+                "subtrahend": list(inner[1].canonical), "remainder": list(outer[1].canonical),
+                "with_subtrahend": relate(minuend, inner), "with_remainder": relate(minuend, outer), "between": relate(inner, outer),
+            }
+    return list(out.values())

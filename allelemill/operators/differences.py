@@ -17,4 +17,4 @@ def differences(alleles: DataFrame, reference: str = "reference", variants: str
 
 def extract(df: DataFrame, reference: str = "reference", observed: str = "observed") -> DataFrame:
     """df with the canonical allele of an observed sequence, its HGVS, distance, spanning and local spanning edits."""
-    return df.withColumn("_s", arrow.summarise(reference, observed)).withColumns({k: F.col(f"_s.{k}") for k in ("canonical", "distance", "supremal", "local_supremal", "atoms")}).withColumn("hgvs", arrow.rich_hgvs("canonical", reference)).drop("_s")
+    return df.withColumn("_s", arrow.summarise(reference, observed)).withColumns({k: F.col(f"_s.{k}") for k in ("canonical", "distance", "supremal", "local_supremal", "atoms", "hgvs")}).drop("_s")

@@ -36,8 +36,21 @@ def touching(lhs: DataFrame, rhs: DataFrame, bin_width: int = BIN, ordered: bool
 
 
 def _span(summarised: DataFrame) -> DataFrame:
-    fields = ["distance", "supremal", "atoms"]
-    return summarised.where("error is null").select(F.col("allele_id").alias("id"), "ref_id", F.col("supremal.start").alias("start"), F.col("supremal.end").alias("end"), *fields)
+    """What the join of intervals needs, and no more: unit edits and windows are as long as the edits may be."""
+    return summarised.where("error is null").select(F.col("allele_id").alias("id"), "ref_id", F.col("supremal.start").alias("start"), F.col("supremal.end").alias("end"), "distance", F.col("supremal.sequence").alias("sequence"))
+
+
+def _facts(summarised: DataFrame, side: str) -> DataFrame:
+    return summarised.where("error is null").select(F.struct("allele_id", "ref_id").alias(f"{side}_key"), F.col("atoms").alias(f"{side}_atoms"), F.col("shift").alias(f"{side}_shift"), F.col("window").alias(f"{side}_window"))
+
+
+def _text(low: Column, high: Column) -> Column:
+    """The reference from low to high out of two windows that meet or overlap; of each what the other lacks."""
+    first = F.col("l_shift") <= F.col("r_shift")
+    one, other = F.when(first, F.col("l_window")).otherwise(F.col("r_window")), F.when(first, F.col("r_window")).otherwise(F.col("l_window"))
+    begin, next_begin = F.least("l_shift", "r_shift"), F.greatest("l_shift", "r_shift")
+    joined = F.concat(one, columns.rest(other, F.greatest(begin + F.length(one) - next_begin, F.lit(0))))
+    return columns.part(joined, low - begin, high - begin)
 
 
 def _ladder(equal: Column, apart: Column, left: Column, right: Column, between: Column, shared: Column) -> Column:
@@ -48,28 +61,36 @@ def _ladder(equal: Column, apart: Column, left: Column, right: Column, between:
     )
 
 
-def relations(summarised: DataFrame, references: DataFrame, other: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
+def relations(summarised: DataFrame, references: DataFrame | None = None, other: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
     """ref_id, lhs_id, rhs_id, relation, common, universe for pairs whose spanning edits touch; all other pairs are disjoint.
 
     Of one table its unordered pairs, of two tables all pairs. common and universe count unit edits of overlapping pairs.
     An allele whose summary is an error is one row without a partner and without a relation: nothing is known of its pairs.
+    Intervals are joined narrow; unit edits and windows are fetched for pairs that equality and disjointness leave open. The
+    windows that the summaries carry suffice, so references are not needed again (the argument is kept for callers).
     """
-    pairs = touching(_span(summarised), _span(summarised if other is None else other), bin_width, ordered=other is None)
-    equal = F.col("l.supremal") == F.col("r.supremal")
-    nothing = (columns.variant_length("l.supremal") == 0) | (columns.variant_length("r.supremal") == 0)
-    apart = ~equal & (nothing | columns.variant_is_disjoint("l.supremal", "r.supremal"))
+    right = summarised if other is None else other
+    pairs = touching(_span(summarised), _span(right), bin_width, ordered=other is None)
+    edit = lambda v: columns.variant(F.col(f"{v}.start"), F.col(f"{v}.end"), F.col(f"{v}.sequence"))
+    a, b = edit("l"), edit("r")
+    nothing = (columns.variant_length(a) == 0) | (columns.variant_length(b) == 0)
+    equal = (F.col("l.start") == F.col("r.start")) & (F.col("l.end") == F.col("r.end")) & (F.col("l.sequence") == F.col("r.sequence"))
+    native = F.when(equal, EQUIVALENT).when(nothing | columns.variant_is_disjoint(a, b), DISJOINT)
+    marked = pairs.withColumn("relation", native)
+    none = F.lit(None).cast("int")
+    decided = marked.where("relation is not null").select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "relation", none.alias("common"), none.alias("universe"))
+    key = lambda v: F.struct(F.col(f"{v}.id").alias("allele_id"), F.col(f"{v}.ref_id").alias("ref_id"))
+    left_open = marked.where("relation is null").drop("relation").withColumn("l_key", key("l")).withColumn("r_key", key("r"))
+    fetched = left_open.join(_facts(summarised, "l"), "l_key").join(_facts(right, "r"), "r_key")
     low, high = F.least("l.start", "r.start"), F.greatest("l.end", "r.end")
-    marked = pairs.withColumns({"equal": equal, "apart": apart, "low": low, "high": high})
-    decided = marked.where("equal or apart")
-    # The window of the reference that both edits lie in, and what either allele makes of it.
-    open_pairs = marked.where("not (equal or apart)").join(references.select(F.col("ref_id").alias("_ref"), "sequence"), F.col("l.ref_id") == F.col("_ref")).withColumn("window", columns.part(F.col("sequence"), F.col("low"), F.col("high"))).drop("sequence", "_ref")
-    seen = lambda v: F.concat(columns.part(F.col("window"), F.lit(0), F.col(f"{v}.start") - F.col("low")), F.col(f"{v}.supremal.sequence"), columns.rest(F.col("window"), F.col(f"{v}.end") - F.col("low")))
-    measured = open_pairs.withColumn("between", arrow.edit_distance(seen("l"), seen("r"))).drop("window")
-    both = decided.withColumn("between", F.lit(None).cast("long")).unionByName(measured)
-    ladder = _ladder(F.col("equal"), F.col("apart"), F.col("l.distance"), F.col("r.distance"), F.col("between"), F.arrays_overlap("l.atoms", "r.atoms"))
-    named = both.select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), ladder.alias("relation"), F.col("l.atoms").alias("la"), F.col("r.atoms").alias("ra"))
-    told = F.when(F.col("relation") == OVERLAP, columns.overlap("la", "ra"))
-    out = named.withColumn("sizes", told).select("ref_id", "lhs_id", "rhs_id", "relation", F.col("sizes.common").alias("common"), F.col("sizes.universe").alias("universe"))
+    near = fetched.withColumn("low", low).withColumn("window", _text(low, high))
+    seen = lambda v: F.concat(columns.part(F.col("window"), F.lit(0), F.col(f"{v}.start") - F.col("low")), F.col(f"{v}.sequence"), columns.rest(F.col("window"), F.col(f"{v}.end") - F.col("low")))
+    measured = near.withColumn("between", arrow.edit_distance(seen("l"), seen("r")))
+    never = F.lit(False)
+    ladder = _ladder(never, never, F.col("l.distance"), F.col("r.distance"), F.col("between"), F.arrays_overlap("l_atoms", "r_atoms"))
+    named = measured.withColumn("relation", ladder).withColumn("sizes", F.when(F.col("relation") == OVERLAP, columns.overlap("l_atoms", "r_atoms")))
+    found = named.select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "relation", F.col("sizes.common").alias("common"), F.col("sizes.universe").alias("universe"))
+    out = decided.unionByName(found)
     out = out.unionByName(_failed(summarised, "lhs_id", out))
     return out if other is None else out.unionByName(_failed(other, "rhs_id", out))
 
@@ -81,7 +102,7 @@ def _failed(summarised: DataFrame, side: str, like: DataFrame) -> DataFrame:
     return summarised.where("error is not null").select(*columns_of)
 
 
-def all_relations(summarised: DataFrame, references: DataFrame, bin_width: int = BIN) -> DataFrame:
+def all_relations(summarised: DataFrame, references: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
     """relations(), with the disjoint pairs of each reference added: quadratic in a reference's alleles, by request only."""
     found = relations(summarised, references, bin_width=bin_width)
     ids = summarised.where("error is null").select("ref_id", "allele_id")

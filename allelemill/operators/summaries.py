@@ -1,7 +1,8 @@
-"""One summary for each distinct allele: distance, spanning edit, normal forms and unit edits.
+"""One summary for each distinct allele: distance, spanning edit, normal forms, their HGVS and unit edits.
 
-Alleles are joined to their references and patched natively; only a window around the edits goes to the kernel. The few
-alleles whose spanning edit reaches the window's border (repeats) are done again on the whole reference.
+Alleles meet tiles of their references and are patched natively; only a window around the edits goes to the kernel, which
+remembers what it told of equal windows. Alleles whose spanning edit reaches the window's border (repeats) are done again
+with windows WIDEN times as wide, round by round; there are few of them, and fewer in each round.
 """
 
 from __future__ import annotations
@@ -11,39 +12,49 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow, columns
 from ..store import stored
+from .references import with_text
 
-PAD = 32
+PAD, WIDEN = 32, 16
 
 
 def with_windows(alleles: DataFrame, references: DataFrame, pad: int = PAD) -> DataFrame:
     """alleles (allele_id, ref_id, variants) with whole_length, shift, window and observed_window (null if unorderable)."""
     low = F.greatest(F.lit(0), F.array_min(F.transform("variants", lambda v: v["start"])) - pad)
     high = F.array_max(F.transform("variants", lambda v: v["end"])) + pad
-    placed = alleles.withColumn("low", F.coalesce(low, F.lit(0))).withColumn("high", F.coalesce(high, F.lit(0)))
-    # Of the reference only the window goes on.
-    joined = placed.join(references.select(F.col("ref_id").alias("_ref"), "sequence"), F.col("ref_id") == F.col("_ref"))
-    cut = joined.select("allele_id", "ref_id", "variants", F.col("low").alias("shift"), F.length("sequence").cast("long").alias("whole_length"), columns.part(F.col("sequence"), F.col("low"), F.col("high")).alias("window"))
+    placed = alleles.select("allele_id", "ref_id", "variants", F.coalesce(low, F.lit(0)).alias("low"), F.coalesce(high, F.lit(0)).alias("high"))
+    cut = with_text(placed, references).withColumnRenamed("low", "shift").drop("high")
     moved = F.transform("variants", lambda v: columns.variant(v["start"] - F.col("shift"), v["end"] - F.col("shift"), v["sequence"]))
     return cut.withColumn("observed_window", columns.patch("window", moved))
 
 
+FIELDS = ("distance", "supremal", "canonical", "local_supremal", "hgvs", "atoms")
+
+
 def summaries(alleles: DataFrame, references: DataFrame, pad: int = PAD) -> DataFrame:
-    """allele_id, ref_id, variants and the summary's fields. alleles: allele_id, ref_id, variants; references: ref_id, sequence.
+    """allele_id, ref_id, variants, the summary's fields, and shift and window (a part of the reference, from `shift` on, that
+    holds the spanning edit and a symbol on either side, where there is one). alleles: allele_id, ref_id, variants;
+    references: ref_id, sequence.
 
     Defined results: an allele without variants, or of net identity, has distance 0, spanning edit 0:0/ and empty lists;
     overlapping variants, and ends beyond the reference, give an error and null fields; alleles of unknown references are left out.
     """
-    near = with_windows(alleles, references, pad)
     beyond = F.exists("variants", lambda v: v["end"] > F.col("whole_length"))
-    error = F.coalesce(columns.allele_error("variants"), F.when(beyond, "ValueError: invalid range in reference"))
-    # One kernel call for each distinct window and observed text.
-    good = near.withColumn("problem", error)
-    first = stored(good.withColumn("s", arrow.summarise_window("window", F.when(F.col("problem").isNull(), F.col("observed_window")), "shift", "whole_length")).drop("window", "observed_window"), "summaries")
-    wide = first.where("s.error = 'narrow'").join(references.select(F.col("ref_id").alias("_ref"), "sequence"), F.col("ref_id") == F.col("_ref"))
-    again = wide.withColumn("s", arrow.summarise("sequence", columns.patch("sequence", "variants")))
-    fields = ["distance", "supremal", "canonical", "local_supremal", "atoms"]
-    chosen = [F.col("allele_id"), F.col("ref_id"), F.col("variants"), *(F.col(f"s.{f}").alias(f) for f in fields), F.coalesce(F.col("problem"), F.col("s.error")).alias("error")]
-    return first.where("s.error is null or s.error != 'narrow'").select(*chosen).unionByName(again.select(*chosen))
+    problem = F.coalesce(columns.allele_error("variants"), F.when(beyond, "ValueError: the range ends beyond the reference"))
+    parts, left = [], alleles
+    while True:
+        near = with_windows(left, references, pad).withColumn("problem", problem)
+        told = arrow.summarise_window("window", F.when(F.col("problem").isNull(), F.col("observed_window")), "shift", "whole_length")
+        done = stored(near.withColumn("s", told).drop("observed_window"), "summaries")
+        narrow = F.col("s.error").eqNullSafe("narrow")
+        parts.append(done.where(~narrow))
+        left = done.where(narrow).select("allele_id", "ref_id", "variants")
+        if left.isEmpty():
+            break
+        pad = max(pad, 1) * WIDEN
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("allele_id", "ref_id", "variants", *(F.col(f"s.{f}").alias(f) for f in FIELDS), F.coalesce(F.col("problem"), F.col("s.error")).alias("error"), "shift", "window")
 
 
 def equivalence_classes(summarised: DataFrame) -> DataFrame:

@@ -8,22 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrow, columns
-from ..operators import differences, relations, summaries
+from ..operators import differences, expand, relations, summaries
 from ..sources import random as random_sources
-from . import derived
+from . import derived, oracles
 from .derived import SQL, distance_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SELECT that follows the derived tables in SQL."""
+def query(sql: str | None = None, whole: str | None = None):
+    """Registers a query under its function's name, with the SELECT that follows the derived tables in SQL, or all the SQL."""
 
     def put(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = SQL + sql
+        if sql or whole:
+            ORACLES[f.__name__] = whole or SQL + sql
         return f
 
     return put
@@ -87,13 +87,13 @@ def allele_hgvs(spark, sf):
     return _with_reference(spark, sf).select(*KEY, columns.allele_to_hgvs(F.array(far, "v"), "sequence").alias("hgvs"))
 
 
-@query("SELECT concat('id:', vstart, ':', CASE WHEN vend % 2 = 0 THEN CAST(vend - vstart AS VARCHAR) ELSE repeat('N', CAST(vend - vstart AS INT)) END, ':', seq) AS text, vstart, vend, seq FROM edits WHERE vend % 2 = 0 OR vend > vstart")
+@query("SELECT concat('id:', vstart, ':', CASE WHEN vend % 2 = 0 OR vend = vstart THEN CAST(vend - vstart AS VARCHAR) ELSE repeat('N', CAST(vend - vstart AS INT)) END, ':', seq) AS text, vstart, vend, seq FROM edits")
 def parse_spdi(spark, sf):
-    size = F.when(F.col("vend") % 2 == 0, (F.col("vend") - F.col("vstart")).cast("string")).otherwise(F.repeat(F.lit("N"), (F.col("vend") - F.col("vstart")).cast("int")))
+    """Deletions as letters or as their number; an insertion's is the number 0."""
+    size = F.when((F.col("vend") % 2 == 0) | (F.col("vend") == F.col("vstart")), (F.col("vend") - F.col("vstart")).cast("string")).otherwise(F.repeat(F.lit("N"), (F.col("vend") - F.col("vstart")).cast("int")))
     text = F.concat(F.lit("id:"), F.col("vstart").cast("string"), F.lit(":"), size, F.lit(":"), F.col("seq"))
-    rows = _edits(spark, sf).where("vend % 2 = 0 or vend > vstart").select(text.alias("text"))  # an empty deleted text is no number
     v = columns.parse_spdi("text")["variants"][0]
-    return rows.select("text", v["start"].alias("vstart"), v["end"].alias("vend"), v["sequence"].alias("seq"))
+    return _edits(spark, sf).select(text.alias("text")).select("text", v["start"].alias("vstart"), v["end"].alias("vend"), v["sequence"].alias("seq"))
 
 
 @query(f"SELECT {_HGVS} AS text, vstart, vend, seq FROM edits JOIN dna USING (ref_id)")
@@ -176,12 +176,12 @@ def rel_is_contained(spark, sf):
     return relations.is_contained(relations.compare_sequences(derived.names(spark, sf), "a", "b", "c")).select("key")
 
 
-@query()
+@query(whole=oracles.relation_of_names("disjoint", _D))
 def rel_disjoint(spark, sf):
     return relations.are_disjoint(relations.compare_sequences(derived.names(spark, sf), "a", "b", "c")).select("key")
 
 
-@query()
+@query(whole=oracles.relation_of_names("overlap", _D))
 def rel_overlap(spark, sf):
     return relations.have_overlap(relations.compare_sequences(derived.names(spark, sf), "a", "b", "c")).select("key")
 
@@ -190,7 +190,7 @@ def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.summaries(derived.alleles(spark, sf), derived.references(spark, sf))
 
 
-@query()
+@query(whole=oracles.SUPREMAL)
 def supremal(spark, sf):
     return _summaries(spark, sf).select("allele_id", "distance", columns.variant_text("supremal").alias("supremal"))
 
@@ -201,17 +201,17 @@ def identity_alleles(spark, sf):
     return _summaries(spark, sf).select("allele_id", (columns.variant_text("supremal") == "0:0/").alias("same"))
 
 
-@query()
+@query(whole=oracles.UNIQ_ATOMICS)
 def uniq_atomics(spark, sf):
     return _summaries(spark, sf).select("allele_id", F.explode("atoms").alias("atom")).select("allele_id", "atom.pos", "atom.symbol")
 
 
-@query()
+@query(whole=oracles.LOCAL_SUPREMAL)
 def local_supremal(spark, sf):
     return _summaries(spark, sf).select("allele_id", F.explode("local_supremal").alias("v")).select("allele_id", columns.variant_text("v").alias("variant"))
 
 
-@query()
+@query(whole=oracles.CANONICAL)
 def canonical(spark, sf):
     return _summaries(spark, sf).select("allele_id", F.explode("canonical").alias("v")).select("allele_id", columns.variant_text("v").alias("variant"))
 
@@ -229,10 +229,9 @@ def local_supremal_patch(spark, sf):
     return done.select("allele_id", F.md5(columns.patch("sequence", "local_supremal")).alias("observed"))
 
 
-@query()
+@query(whole=oracles.CANONICAL_HGVS)
 def canonical_hgvs(spark, sf):
-    done = _summaries(spark, sf).join(derived.references(spark, sf), "ref_id")
-    return done.select("allele_id", arrow.rich_hgvs("canonical", "sequence").alias("hgvs"))
+    return _summaries(spark, sf).select("allele_id", "hgvs")
 
 
 _OBSERVED = "concat(substr(sequence, 1, CAST(vstart AS INT)), seq, substr(sequence, CAST(vend AS INT) + 1))"
@@ -244,10 +243,10 @@ def equivalence_classes(spark, sf):
 
 
 def _relations(spark: SparkSession, sf: str) -> DataFrame:
-    return relations.relations(_summaries(spark, sf), derived.references(spark, sf))
+    return relations.relations(_summaries(spark, sf))
 
 
-@query()
+@query(whole=oracles.RELATION_COMPARE)
 def relation_compare(spark, sf):
     return _relations(spark, sf)
 
@@ -258,81 +257,86 @@ def equivalent_pairs(spark, sf):
     return relations.are_equivalent(_relations(spark, sf)).select("ref_id", "lhs_id", "rhs_id")
 
 
-@query()
+@query(whole=oracles.RELATION_HISTOGRAM)
 def relation_histogram(spark, sf):
     return relations.histogram(_relations(spark, sf))
 
 
-@query()
+@query(whole=oracles.OVERLAP_SIZES)
 def overlap_sizes(spark, sf):
     return relations.have_overlap(_relations(spark, sf)).select("lhs_id", "rhs_id", "common", "universe")
 
 
-@query()
+@query(whole=oracles.EDGES)
 def edges(spark, sf):
     return derived.names(spark, sf).select("key", F.explode(arrow.edges("a", "b")).alias("v")).select("key", columns.variant_text("v").alias("edge"))
 
 
-@query()
+@query(whole=oracles.GRAPH_STEPS)
 def graph_steps(spark, sf):
     return derived.names(spark, sf).select("key", F.explode(arrow.steps("a", "b")).alias("s")).select("key", "s.source.row", "s.source.col", columns.variant_text("s.variant").alias("edge"))
 
 
-@query()
+@query(whole=oracles.GRAPH_NODES)
 def graph_nodes(spark, sf):
     return derived.names(spark, sf).select("key", F.explode(arrow.stretches("a", "b")).alias("n")).select("key", "n.row", "n.col", "n.length")
 
 
-@query()
+@query(whole=oracles.PATH_COUNT)
 def path_count(spark, sf):
     return derived.names(spark, sf).select("key", arrow.path_count("a", "b").alias("paths"))
 
 
-@query()
+@query(whole=oracles.PATHS)
 def paths(spark, sf):
-    return derived.names(spark, sf).select("key", "a", F.posexplode(arrow.paths("a", "b", F.lit(None).cast("int"))).alias("path", "vs")).select("key", "path", columns.allele_to_hgvs("vs", "a").alias("hgvs"))
+    return expand.paths(derived.names(spark, sf).select("key", "a", "b"), "a", "b").select("key", "path", columns.allele_to_hgvs("variants", "a").alias("hgvs"))
 
 
-@query()
+@query(whole=oracles.ATOMICS)
 def atomics_expand(spark, sf):
-    ways = _edits(spark, sf).select(*KEY, F.posexplode(arrow.atomics("v")).alias("way", "vs"))
-    return ways.select(*KEY, "way", F.array_join(F.transform("vs", columns.variant_text), ";").alias("edits"))
+    ways = expand.ways(_edits(spark, sf).select(*KEY, "v"), "v")
+    return ways.select(*KEY, "way", F.array_join(F.transform("variants", columns.variant_text), ";").alias("edits"))
 
 
-@query("SELECT ref_id, vstart, vend, seq, CAST(concat('1', repeat('0', 0)) AS BIGINT) * (CASE CAST(length(seq) AS INT) WHEN 0 THEN 1 WHEN 1 THEN vend - vstart + 1 WHEN 2 THEN (vend - vstart + 2) * (vend - vstart + 1) // 2 ELSE (vend - vstart + 3) * (vend - vstart + 2) * (vend - vstart + 1) // 6 END) AS ways FROM edits")
+@query("SELECT ref_id, vstart, vend, seq, (CASE CAST(length(seq) AS INT) WHEN 0 THEN 1 WHEN 1 THEN vend - vstart + 1 WHEN 2 THEN (vend - vstart + 2) * (vend - vstart + 1) // 2 ELSE (vend - vstart + 3) * (vend - vstart + 2) * (vend - vstart + 1) // 6 END) AS ways FROM edits")
 def atomics_count(spark, sf):
     """As many ways as there are to choose the insertions' places among all unit edits."""
-    return _edits(spark, sf).select(*KEY, F.size(arrow.atomics("v")).cast("long").alias("ways"))
+    return _edits(spark, sf).select(*KEY, F.size(arrow.atomics("v", F.lit(None).cast("int"))).cast("long").alias("ways"))
 
 
-@query()
+@query(whole=oracles.DIAGONAL)
 def diagonal(spark, sf):
     return derived.names(spark, sf).select("key", F.explode(arrow.diagonal("a", "b")).alias("v")).select("key", columns.variant_text("v").alias("variant"))
 
 
-@query()
+@query(whole=oracles.DOT_LINES)
 def dot_lines(spark, sf):
     return derived.names(spark, sf).select("key", F.posexplode(arrow.dot("a", "b")).alias("line_no", "line"))
 
 
-@query("SELECT md5(concat(sequence, 'ACGT')) AS digest FROM dna")
+@query("SELECT ref_id, md5(concat(sequence, 'ACGT')) AS digest FROM dna")
 def fasta_parse(spark, sf):
     text = F.concat(F.lit(">"), F.col("ref_id").cast("string"), F.lit("\n"), F.col("sequence"), F.lit("  \n>more\nACGT\n"))
-    return derived.references(spark, sf).select(F.md5(columns.fasta_sequence(text)).alias("digest"))
+    return derived.references(spark, sf).select("ref_id", F.md5(columns.fasta_sequence(text)).alias("digest"))
 
 
-@query("SELECT ref_id, vstart, vend, seq FROM edits WHERE vend > vstart AND seq <> ''")
+@query("""SELECT ref_id, CASE WHEN flank THEN vstart - 1 ELSE vstart END AS vstart, vend, CASE WHEN flank THEN concat('N', seq) ELSE seq END AS seq
+FROM (SELECT *, (vend = vstart OR seq = '') AND vstart > 0 AS flank FROM edits) WHERE NOT (vstart = 0 AND (vend = vstart OR seq = ''))
+UNION ALL SELECT ref_id, vstart, vend + 1, concat(seq, 'N') FROM edits WHERE vstart = 0 AND (vend = vstart OR seq = '')""")
 def vcf_parse(spark, sf):
-    """VCF needs text in both columns, so pure insertions and deletions cannot be written without their flank."""
-    cells = [F.lit("chr"), (F.col("vstart") + 1).cast("string"), F.lit("."), F.repeat(F.lit("N"), (F.col("vend") - F.col("vstart")).cast("int")), F.col("seq"), F.lit("99 PASS")]
-    lines = derived.edits(spark, sf).where("vend > vstart and seq != ''").select("ref_id", F.concat_ws("\t", *cells).alias("line"))
+    """All edits as VCF lines: insertions and deletions with the symbol before them (at the first place, the one after)."""
+    pure = (F.col("vend") == F.col("vstart")) | (F.col("seq") == "")
+    before, after = F.when(pure & (F.col("vstart") > 0), "N").otherwise(""), F.when(pure & (F.col("vstart") == 0), "N").otherwise("")
+    gone = F.concat(before, F.repeat(F.lit("N"), (F.col("vend") - F.col("vstart")).cast("int")), after)
+    cells = [F.lit("chr"), (F.col("vstart") + 1 - F.length(before)).cast("string"), F.lit("."), gone, F.concat(before, "seq", after), F.lit("99 PASS")]
+    lines = derived.edits(spark, sf).select("ref_id", F.concat_ws("\t", *cells).alias("line"))
     v = columns.vcf_variant("line")
     return lines.select("ref_id", v["start"].alias("vstart"), v["end"].alias("vend"), v["sequence"].alias("seq"))
 
 
 @query()
 def difference(spark, sf):
-    return differences.differences(derived.names(spark, sf).select("key", F.col("a").alias("reference"), F.array(columns.variant(F.lit(1), F.lit(4), F.substring("b", 1, 3))).alias("variants")).where("length(reference) >= 4")).select("key", "subtrahend_hgvs", "remainder_hgvs", "with_subtrahend", "with_remainder", "between")
+    return differences.differences(derived.names(spark, sf).select("key", F.col("a").alias("reference"), F.array(columns.variant(F.least(F.lit(1), F.length("a")), F.least(F.lit(4), F.length("a")), F.substring("b", 1, 3))).alias("variants"))).select("key", "subtrahend_hgvs", "remainder_hgvs", "with_subtrahend", "with_remainder", "between")
 
 
 @query()

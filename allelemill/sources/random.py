@@ -39,22 +39,24 @@ def random_sequences(spark: SparkSession, n: int, max_length: int, min_length: i
 
 
 def random_allele(reference: str, seed: int, p: float | None = None, mean_deletion: float = 1.0, mean_insertion: float = 1.0) -> list[dict]:
-    """Edits from left to right, never adjoining: at each place one begins with chance p, of exponential lengths."""
-    draw, at, out = random.Random(seed), 0, []
+    """Edits that never adjoin: a place begins one with chance p (1 in the reference's length by default), if no earlier one
+    reaches it; lengths are whole parts of exponential draws. Each place has its own draws, from the seed and the place.
+
+    Places are drawn first, lengths next, and last the texts: where symbols are replaced, each differs from what it stands for.
+    """
     chance = p if p is not None else 1 / max(1, len(reference))
-    while at < len(reference):
-        cut = 0
-        if draw.random() <= chance:
-            cut = min(int(draw.expovariate(1 / mean_deletion)), len(reference) - at)
-            put = int(draw.expovariate(1 / mean_insertion))
-            if cut + put == 0:
-                cut = put = 1
-            gone = reference[at : at + cut]
-            # While symbols are replaced, each differs from the one it stands for.
-            new = [draw.choice([x for x in NUCLEOTIDES if k >= cut or x != gone[k]]) for k in range(max(put, cut) if put else 0)]
-            out.append({"start": at, "end": at + cut, "sequence": "".join(new)})
-        at += cut + 1
-    return out
+    draws = random.Random(seed)
+    places = [at for at in range(len(reference)) if draws.random() <= chance]
+    sizes = [(int(draws.expovariate(1 / mean_deletion)), int(draws.expovariate(1 / mean_insertion))) for _ in places]
+    free, edits = 0, []
+    for at, (cut, put) in zip(places, sizes, strict=True):
+        if at >= free:
+            cut, put = (min(cut, len(reference) - at), put) if cut or put else (1, 1)
+            edits.append((at, at + cut, max(put, cut) if put else 0))
+            free = at + cut + 1
+    other = {"": NUCLEOTIDES} | {x: NUCLEOTIDES.replace(x, "") for x in set(reference)}
+    text = lambda old, size: "".join(draws.choice(other[old[k] if k < len(old) else ""]) for k in range(size))
+    return [{"start": start, "end": end, "sequence": text(reference[start:end], size)} for start, end, size in edits]
 
 
 def random_variants(p: float | None = None, mean_deletion: float = 1.0, mean_insertion: float = 1.0):
