@@ -145,6 +145,21 @@ class _Table:
         return self.a[low:high, None] == self.facing[low:high]
 
 
+def _lengths(a: str, b: str) -> list[list[int]]:
+    """The table of common lengths, whole."""
+    rows = [[0] * (len(b) + 1)]
+    for symbol in a:
+        above, row, best = rows[-1], [0], 0
+        for j, other in enumerate(b):
+            if symbol == other:
+                best = above[j] + 1
+            elif above[j + 1] > best:
+                best = above[j + 1]
+            row.append(best)
+        rows.append(row)
+    return rows
+
+
 class Alignments:
     """All minimal alignments of a reference window and its observed counterpart; results are shifted by `shift`."""
 
@@ -152,7 +167,29 @@ class Alignments:
         self.a, self.b, self.shift = reference, observed, shift
         self.distance = edit_distance(reference, observed)
         self.length = (len(reference) + len(observed) - self.distance) // 2
-        self._sweep(_codes(reference), _codes(observed))
+        if len(reference) + len(observed) <= SHORT:
+            self._fill()
+        else:
+            self._sweep(_codes(reference), _codes(observed))
+
+    def _fill(self) -> None:
+        """What `_sweep` finds, by whole tables of a few symbols, which take less time than calls of numpy for each row."""
+        a, b, n, m, whole = self.a, self.b, len(self.a), len(self.b), self.length
+        ahead, behind = _lengths(a, b), [row[::-1] for row in _lengths(a[::-1], b[::-1])[::-1]]
+        matches, gaps, puts = [], [], []
+        for i in range(n + 1):
+            low = max(0, i - n + whole)  # the band's columns of this row
+            high = min(m, i - n + whole + self.distance)
+            front, here = ahead[i], behind[i]
+            if i < n:
+                below, symbol = behind[i + 1], a[i]
+                matches += [(i, j, front[j]) for j in range(low, min(high + 1, m)) if b[j] == symbol and front[j] + 1 + below[j + 1] == whole]
+                if any(front[j] + below[j] == whole for j in range(low, high + 1)):
+                    gaps.append(i)
+            puts += [(i, j) for j in range(low, min(high + 1, m)) if front[j] + here[j + 1] == whole]
+        self._rows, self._columns, self._of = np.array(matches, dtype=np.int64).reshape(-1, 3).T
+        self._gaps = np.array(gaps, dtype=np.int64)
+        self._puts = tuple(np.array(puts, dtype=np.int64).reshape(-1, 2).T)
 
     def _sweep(self, x: np.ndarray, y: np.ndarray) -> None:
         """Matches by row (arrays row, column, rank), deleted places and insertions (row, column), block by block."""

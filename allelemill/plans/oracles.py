@@ -146,18 +146,19 @@ _OUT = -1000
 
 def _band(name: str, source: str, x: str, y: str, off: str, width: int) -> str:
     """Rows (id, i, f0, f1, ...) of the table of x against y: column k of row i is column i + off + k of the table.
-    source: id, and what the expressions x, y and off use."""
+    source: id, and what the expressions x, y and off use. Lengths are columns of their own, as DuckDB remembers what one column's
+    dictionary tells, which a recursion makes anew each time."""
     column = lambda k: f"(i + 1 + o + {k})"
-    first = ", ".join(f"CASE WHEN o + {k} BETWEEN 0 AND length(y) THEN 0 ELSE {_OUT} END AS f{k}" for k in range(width))
+    first = ", ".join(f"CASE WHEN o + {k} BETWEEN 0 AND ny THEN 0 ELSE {_OUT} END AS f{k}" for k in range(width))
     grown = []
     for k in range(width):
         match = f"w.f{k} + CASE WHEN i + o + {k} >= 0 AND substr(x, CAST(i + 1 AS INT), 1) = substr(y, CAST(i + o + {k} + 1 AS INT), 1) THEN 1 ELSE 0 END"
         options = [match] + ([f"w.f{k + 1}"] if k + 1 < width else []) + ([f"n{k - 1}"] if k else [])
-        grown.append(f"CASE WHEN {column(k)} BETWEEN 0 AND length(y) THEN greatest({', '.join(options)}) ELSE {_OUT} END AS n{k}")
-    return f"""{name}_texts AS MATERIALIZED (SELECT id, {x} AS x, {y} AS y, CAST({off} AS BIGINT) AS o FROM {source}), {name} AS (
+        grown.append(f"CASE WHEN {column(k)} BETWEEN 0 AND ny THEN greatest({', '.join(options)}) ELSE {_OUT} END AS n{k}")
+    return f"""{name}_texts AS MATERIALIZED (SELECT id, {x} AS x, {y} AS y, CAST({off} AS BIGINT) AS o, CAST(length({x}) AS BIGINT) AS nx, CAST(length({y}) AS BIGINT) AS ny FROM {source}), {name} AS (
   SELECT id, CAST(0 AS BIGINT) AS i, {first} FROM {name}_texts
   UNION ALL
-  SELECT id, i + 1, {", ".join(f"n{k}" for k in range(width))} FROM (SELECT w.id, i, {", ".join(grown)} FROM {name} w JOIN {name}_texts t ON t.id = w.id WHERE i < length(x))
+  SELECT id, i + 1, {", ".join(f"n{k}" for k in range(width))} FROM (SELECT w.id, i, {", ".join(grown)} FROM {name} w JOIN {name}_texts t ON t.id = w.id WHERE i < nx)
 )"""
 
 
@@ -172,18 +173,18 @@ def _told(tag: str, pad: int, source: str) -> str:
   SELECT id, ref_id, low, length(sequence) AS whole, substr(sequence, CAST(low + 1 AS INT), CAST(high - low AS INT)) AS a,
     concat(substr(sequence, CAST(low + 1 AS INT), CAST(vstart - low AS INT)), seq, substr(sequence, CAST(vend + 1 AS INT), CAST(high - vend AS INT))) AS b, high - low AS n, high - low - (vend - vstart) + length(seq) AS m
   FROM (SELECT *, greatest(0, vstart - {pad}) AS low, least(length(sequence), vend + {pad}) AS high FROM {source})
-), {_band(f"fore{tag}", f"win{tag}", "a", "b", f"-{half}", ONE)}, {_band(f"back{tag}", f"win{tag}", "reverse(a)", "reverse(b)", f"m - n - {half}", ONE)}, full{tag} AS MATERIALIZED (
+), {_band(f"fore{tag}", f"win{tag}", "a", "b", f"-{half}", ONE)}, {_band(f"back{tag}", f"win{tag}", "reverse(a)", "reverse(b)", f"m - n - {half}", ONE)}, filled{tag} AS MATERIALIZED (
   SELECT w.id, w.ref_id, low, whole, a, b, n, m, {_list("f", ONE)}[m - n + {half} + 1] AS l FROM win{tag} w JOIN fore{tag} f ON f.id = w.id AND f.i = w.n
 ), pairs{tag} AS (
-  SELECT w.id, w.low, w.a, w.b, w.n, w.m, w.l, f.i, {_list("f", ONE)} AS f, {_list("h", ONE, True)} AS here, {_list("g", ONE, True)} AS next, unnest(range(0, {ONE})) AS k
-  FROM full{tag} w JOIN fore{tag} f ON f.id = w.id JOIN back{tag} h ON h.id = w.id AND h.i = w.n - f.i LEFT JOIN back{tag} g ON g.id = w.id AND g.i = w.n - f.i - 1
+  SELECT w.id, w.low, w.a, w.b, w.n, w.m, w.l, f.i, {_list("f", ONE)} AS f, {_list("h", ONE, True)} AS here, {_list("g", ONE, True)} AS next, k
+  FROM filled{tag} w JOIN fore{tag} f ON f.id = w.id JOIN back{tag} h ON h.id = w.id AND h.i = w.n - f.i LEFT JOIN back{tag} g ON g.id = w.id AND g.i = w.n - f.i - 1 CROSS JOIN (SELECT range AS k FROM range(0, {ONE})) t
 ), units{tag} AS MATERIALIZED (
   SELECT DISTINCT id, i + low AS pos, '' AS symbol FROM pairs{tag} WHERE i < n AND k > 0 AND f[k + 1] + next[k] = l
   UNION SELECT id, i + low, substr(b, CAST(i - {half} + k + 1 AS INT), 1) FROM pairs{tag} WHERE k < {ONE - 1} AND i - {half} + k BETWEEN 0 AND m - 1 AND f[k + 1] + here[k + 2] = l
 ), span{tag} AS MATERIALIZED (
   SELECT *, substr(b, CAST(vstart - low + 1 AS INT), CAST(vend - vstart + m - n AS INT)) AS seq, n + m - 2 * l AS distance,
     (vstart = low AND low > 0) OR (vend = low + n AND low + n < whole) AS narrow
-  FROM (SELECT w.*, u.vstart, u.vend FROM full{tag} w JOIN (SELECT id, min(pos) AS vstart, max(pos + CASE WHEN symbol = '' THEN 1 ELSE 0 END) AS vend FROM units{tag} GROUP BY id) u ON u.id = w.id)
+  FROM (SELECT w.*, u.vstart, u.vend FROM filled{tag} w JOIN (SELECT id, min(pos) AS vstart, max(pos + CASE WHEN symbol = '' THEN 1 ELSE 0 END) AS vend FROM units{tag} GROUP BY id) u ON u.id = w.id)
 )"""
 
 
