@@ -43,6 +43,8 @@ def summaries(alleles: DataFrame, references: DataFrame, pad: int = PAD) -> Data
     parts, left = [], alleles
     while True:
         near = with_windows(left, references, pad).withColumn("problem", problem)
+        # The kernel's work is by alleles, not by bytes: few bytes would be left to few tasks, a hot tile to one.
+        near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "allele_id")
         told = arrow.summarise_window("window", F.when(F.col("problem").isNull(), F.col("observed_window")), "shift", "whole_length")
         done = stored(near.withColumn("s", told).drop("observed_window"), "summaries")
         narrow = F.col("s.error").eqNullSafe("narrow")
