@@ -116,6 +116,17 @@ def summarise_window(reference: pa.Array, observed: pa.Array, shift: pa.Array, w
     return _each(summary, ARROW_SUMMARY, reference, observed, shift, whole_length)
 
 
+@arrow_udf(ARROW_SUMMARY)
+def summarise_allele(window: pa.Array, variants: pa.Array, shift: pa.Array, whole_length: pa.Array) -> pa.Array:
+    """The same from sorted or unsorted variants, in the reference's places, that do not overlap."""
+
+    def one(text: str, vs: list, low: int, whole: int) -> dict:
+        edits = sorted(align.moved(_read(v), -low) for v in vs)
+        return summary(text, align.patched(text, edits), low, whole)
+
+    return _each(one, ARROW_SUMMARY, window, variants, shift, whole_length)
+
+
 @arrow_udf(ARROW_SUMMARY)
 def summarise_supremal(reference: pa.Array, supremal: pa.Array) -> pa.Array:
     """The same from a spanning edit: only its window is aligned."""

@@ -129,15 +129,30 @@ def test_random(spark):
         assert all(x != "ACGTACGTAC"[e.start + i] for e in edits for i, x in enumerate(e.sequence[: e.end - e.start]))
 
 
-def test_stream(spark, tmp_path):
+def normalised_stream(spark, tmp_path, rows, refs):
     from allelemill.streaming import normalised
 
     (tmp_path / "in").mkdir()
-    spark.createDataFrame([("x", "R", "3GA[3]"), ("y", "R", "oops")], "allele_id string, ref_id string, hgvs string").write.mode("overwrite").parquet(str(tmp_path / "in"))
-    refs = spark.createDataFrame([("R", "TTGAGAGAGATT")], "ref_id string, sequence string")
+    spark.createDataFrame(rows, "allele_id string, ref_id string, hgvs string").write.mode("overwrite").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("allele_id string, ref_id string, hgvs string").parquet(str(tmp_path / "in"))
-    run = normalised(stream, refs).writeStream.format("memory").queryName("norm").option("checkpointLocation", str(tmp_path / "cp")).start()
+    run = normalised(stream, spark.createDataFrame(refs, "ref_id string, sequence string")).writeStream.format("memory").queryName("norm").option("checkpointLocation", str(tmp_path / "cp")).start()
     run.processAllAvailable()
     run.stop()
-    got = {x["allele_id"]: x for x in spark.table("norm").collect()}
+    return {x["allele_id"]: x for x in spark.table("norm").collect()}
+
+
+def test_stream(spark, tmp_path):
+    got = normalised_stream(spark, tmp_path, [("x", "R", "3GA[3]"), ("y", "R", "oops"), ("z", "R", "[1del;3del]"), ("u", "R", "99del")], [("R", "TTGAGAGAGATT")])
     assert got["x"]["canonical_hgvs"] == "3_10GA[3]" and got["y"]["error"] is not None
+    assert got["z"]["supremal"] is not None and got["u"]["error"].startswith("ValueError")
+
+
+@pytest.mark.parametrize("repeats", [10, 200, 3000, 10_000])
+def test_stream_of_alleles_in_long_repeats(spark, tmp_path, repeats):
+    """The spanning edit of a lost copy is the whole repeat, which exceeds windows of 32, 512 and 8,192 in turn."""
+    before, body = "ACGGTTCAGATTACA" * 50, "CA" * repeats
+    reference = before + "G" + body + "TTT" + before
+    at = len(before) + 1
+    got = normalised_stream(spark, tmp_path, [("x", "R", f"{at + repeats + 1}_{at + repeats + 2}del")], [("R", reference)])["x"]
+    assert got["error"] is None and (got["supremal"]["start"], got["supremal"]["end"]) == (at, at + 2 * repeats)
+    assert got["canonical_hgvs"] == f"{at + 1}_{at + 2 * repeats}CA[{repeats - 1}]"
