@@ -1,11 +1,13 @@
 """Phrase collocation mining: candidates from a sketch's upper bounds, counted by automata.
 
-1. A sketch of all phrases of 2 to LONGEST words of each language: two rows of slots, each the number of the phrases that fall there,
-   counted up to the threshold and no further (a sum of such numbers reaches the threshold exactly if the sum of all does). Tasks
-   send what isn't zero of their sketch, in blocks; the blocks are summed, and one bit for each slot is left: whether it can reach the
-   threshold. The number of slots grows with the text, up to MOST_SLOTS; a fuller sketch lets more candidates through, none fewer.
-2. A phrase is a candidate if both its bits are set and all phrases within it are candidates at their places. Candidates and
-   their words, whatever their language, are distinct texts, dealt to shards of about SHARD texts by their hash.
+1. A sketch of the phrases of two words of each language: two rows of slots, each the number of the phrases that fall there, counted up
+   to the threshold and no further (a sum of such numbers reaches the threshold exactly if the sum of all does). Tasks send what
+   isn't zero of their sketch, in blocks; the blocks are summed, and one bit for each slot is left: whether it can reach the
+   threshold. A second sketch has the phrases of 3 to LONGEST words all of whose pairs of neighbours may reach it. The number
+   of slots grows with the text, up to MOST_SLOTS; a fuller sketch lets more candidates through, none fewer.
+2. A phrase is a candidate if both its bits are set and all phrases within it are candidates at their places. Tasks send the
+   candidates and their words that they meet, whatever their language, in blocks by ranges of their hash; the blocks of a range are merged, and the
+   distinct texts dealt to shards of about SHARD texts.
 3. Each shard is compiled into an Aho-Corasick automaton over " word word "; texts are written as words between single spaces, with a line
    break between pieces, so a match begins and ends where words do. Shards of the texts are scanned by each automaton, overlapping
    matches are counted by language, and sums below the threshold fall.
@@ -19,6 +21,7 @@ table gives an empty result. Phrases are named by 64-bit hashes within a task un
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 import zlib
@@ -33,7 +36,7 @@ from .common import Words, mix64, stored, text_blocks, utf8
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text for a slot; slots of a row of the sketch at most; slots of a block; texts of an automaton.
-BYTES, MOST_SLOTS, BLOCK, SHARD = 32, 1 << 26, 1 << 16, 200_000
+BYTES, MOST_SLOTS, BLOCK, SHARD = 64, 1 << 26, 1 << 16, 200_000
 ROWS, UNKNOWN = 2, "und"
 HARD = b".,;:!?\n\x0b\x0c\r"
 
@@ -64,9 +67,9 @@ class Phrases:
             self.hashes[k] = mix64(self.hashes[k - 1][:more] * _ODD + own[k - 1 :][:more])
             self.within[k] = piece[:more] == piece[k - 1 :][:more]
 
-    def text(self, at: int, k: int) -> str:
+    def text(self, at: int, k: int) -> bytes:
         w = self.words
-        return b" ".join(w.data[a:b].tobytes() for a, b in zip(w.starts[at : at + k], w.ends[at : at + k], strict=True)).decode("utf-8", "replace")
+        return b" ".join(w.data[a:b].tobytes() for a, b in zip(w.starts[at : at + k], w.ends[at : at + k], strict=True))
 
 
 def _slots(hashes: np.ndarray, row: int, slots: int) -> np.ndarray:
@@ -82,16 +85,28 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
 
 
-def sketch(docs: DataFrame, slots: int, longest: int = LONGEST, least: int = LEAST) -> np.ndarray:
-    """Bits [row, slot / 8]: whether so many phrases fall into a slot."""
+def _may(p: Phrases, k: int, pairs: np.ndarray) -> np.ndarray:
+    """Whether all pairs of neighbours among the k words from each word on may be frequent; pairs: whether a pair may."""
+    out = pairs[: max(len(pairs) - k + 2, 0)].copy()
+    for i in range(1, k - 1):
+        out &= pairs[i : i + len(out)]
+    return out
+
+
+def sketch(docs: DataFrame, slots: int, longest: int = LONGEST, least: int = LEAST, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Bits [row, slot / 8]: whether so many phrases fall into a slot. Of two words, or with the bits of these, of 3 to `longest`."""
     kind = np.min_scalar_type(least)
 
     def count(batches):
         held = np.zeros((ROWS, slots), dtype=kind)
         for batch in batches:
             for part in text_blocks([batch]):
-                p = Phrases(utf8(part.column("text")), part.column("lang").to_pylist(), longest)
-                found = np.concatenate([p.hashes[k][p.within[k]] for k in range(2, longest + 1)])
+                p = Phrases(utf8(part.column("text")), part.column("lang").to_pylist(), 2 if pairs is None else longest)
+                if pairs is None:
+                    found = p.hashes[2][p.within[2]]
+                else:
+                    ok = p.within[2] & _set(pairs, p.hashes[2])
+                    found = np.concatenate([p.hashes[2][:0], *(p.hashes[k][p.within[k] & _may(p, k, ok)] for k in range(3, longest + 1))])
                 for row in range(ROWS):
                     at, n = np.unique(_slots(found, row, slots), return_counts=True)
                     held[row, at] = np.minimum(held[row, at].astype(np.int64) + n, least)
@@ -99,33 +114,42 @@ def sketch(docs: DataFrame, slots: int, longest: int = LONGEST, least: int = LEA
             for block in range(slots // BLOCK):
                 own = held[row, block * BLOCK : (block + 1) * BLOCK]
                 if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["row", "block", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([_packed(own.tobytes())], pa.binary())], ["row", "block", "counts"])
 
-    def add(batches):
-        """Blocks come in order; one is summed at a time."""
-        now, total = None, None
-
-        def bits():
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["row", "block", "bits"])
-
-        for batch in batches:
-            for row, block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (row, block) != now:
-                    if now:
-                        yield bits()
-                    now, total = (row, block), np.zeros(BLOCK, dtype=np.int64)
-                total += np.frombuffer(zlib.decompress(counts), dtype=kind)
-        if now:
-            yield bits()
+    def add(key, blocks):
+        total = np.zeros(BLOCK, dtype=np.int64)
+        for counts in blocks:
+            total += np.frombuffer(zlib.decompress(counts), dtype=kind)
+        yield np.packbits(total >= least).tobytes()
 
     parts = _texts(docs).mapInArrow(count, "row int, block int, counts binary")
-    summed = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(add, "row int, block int, bits binary")
     out = np.zeros((ROWS, slots // 8), dtype=np.uint8)
-    for r in summed.toLocalIterator():
+    for r in _merged(parts, add, ["row", "block"], "bits", "binary").toLocalIterator():
         out[r["row"], r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 
 
+def _packed(data: bytes) -> bytes:
+    """Runs of zeros and small numbers pack best by runs."""
+    made = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_RLE)
+    return made.compress(data) + made.flush()
+
+
+def _merged(parts: DataFrame, merge, keys: list[str], name: str, kind: str) -> DataFrame:
+    """(keys, name): what merge(key, blocks) yields for the blocks (the last column of parts) of each key, which come one by one."""
+    schema = ", ".join([*(f"{k} int" for k in keys), f"{name} {kind}"])
+    arrow = pa.binary() if kind == "binary" else pa.string()
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for key, group in itertools.groupby(rows, lambda r: r[:-1]):
+            values = merge(key, (r[-1] for r in group))
+            while some := list(itertools.islice(values, 10_000)):
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(some), pa.int32()) for k in key), pa.array(some, arrow)], [*keys, name])
+
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether all rows' bits of these phrases are set."""
     out = np.ones(len(hashes), dtype=bool)
@@ -135,19 +159,30 @@ def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """(phrase, null, null): the candidates and their words, some more than once; (null, lang, words): words of parts of the texts."""
+def candidates(docs: DataFrame, pairs: np.ndarray, bits: np.ndarray, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """(phrase: the candidates and their words, each once; lang, words: how many words parts of the texts have)."""
+    ranges = max(16, bits.shape[1] * 8 // BLOCK)
 
     def run(batches):
         seen: set[int] = set()
+        held: list[list[bytes]] = [[] for _ in range(ranges)]
+        words: dict[str, int] = {}
+
+        def rows():
+            full = [k for k in range(ranges) if held[k]]
+            none = len(full) * [None]
+            yield pa.RecordBatch.from_arrays([pa.array([*full, *([None] * len(words))], pa.int32()), pa.array([*none, *words], pa.string()), pa.array([*none, *words.values()], pa.int64()), pa.array([*(zlib.compress(b"\n".join(held[k]), 1) for k in full), *([None] * len(words))], pa.binary())], ["range", "lang", "words", "phrases"])
+            words.clear()
+            for k in full:
+                held[k] = []
+
         for batch in batches:
             for part in text_blocks([batch]):
                 langs = part.column("lang").to_pylist()
                 p = Phrases(utf8(part.column("text")), langs, longest)
-                found: list[str] = []
                 may = None
                 for k in range(2, longest + 1):
-                    ok = p.within[k] & _set(bits, p.hashes[k])
+                    ok = p.within[k] & _set(pairs if k == 2 else bits, p.hashes[k])
                     if may is not None and len(ok):
                         ok &= may[:-1] & may[1:]
                     may = ok
@@ -157,15 +192,27 @@ def candidates(docs: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> Dat
                     for size, at in starts:
                         new, first = np.unique(p.hashes[size][at], return_index=True)
                         for h, i in zip(new.tolist(), at[first].tolist(), strict=True):
-                            if (size, h) not in seen:
-                                seen.add((size, h))
-                                found.append(p.text(i, size))
-                if len(seen) > 1 << 20:
+                            if h not in seen:
+                                seen.add(h)
+                                text = p.text(i, size)
+                                held[zlib.crc32(text) % ranges].append(text)
+                for lang, n in zip(langs, np.bincount(p.words.doc, minlength=len(langs)).tolist(), strict=True):
+                    words[lang] = words.get(lang, 0) + n
+                if len(seen) > 1 << 20 or len(words) > 1 << 12:
+                    yield from rows()
                     seen.clear()
-                n = np.bincount(p.words.doc, minlength=len(langs))
-                yield pa.RecordBatch.from_arrays([pa.array([*found, *([None] * len(langs))], pa.string()), pa.array([*([None] * len(found)), *langs], pa.string()), pa.array([*([None] * len(found)), *n.tolist()], pa.int64())], ["phrase", "lang", "words"])
+        yield from rows()
+
+    told = stored(_texts(docs).mapInArrow(run, "range int, lang string, words long, phrases binary"), "candidates")
+
+    def distinct(key, blocks):
+        found: set[bytes] = set()
+        for block in blocks:
+            found.update(zlib.decompress(block).split(b"\n"))
+        return (x.decode("utf-8", "replace") for x in sorted(found))
 
-    return _texts(docs).mapInArrow(run, "phrase string, lang string, words long")
+    phrases = _merged(told.where("phrases is not null").select("range", "phrases"), distinct, ["range"], "phrase", "string").select("phrase")
+    return phrases, told.where("lang is not null").select("lang", "words")
 
 
 #: The automaton that a worker made last, by its name.
@@ -217,8 +264,10 @@ def matches(docs: DataFrame, phrases: list[str]) -> DataFrame:
 
 def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f: all candidates, and their words, that occur so often; lang, n: how many words a language has)."""
-    told = stored(candidates(docs, sketch(docs, slots_for(docs), longest, least), longest), "candidates")
-    phrases = told.where("phrase is not null").select("phrase").distinct()
+    slots = slots_for(docs)
+    pairs = sketch(docs, slots, longest, least)
+    found, sizes = candidates(docs, pairs, sketch(docs, slots, longest, least, pairs), longest)
+    phrases = stored(found, "phrases")
     shards = max(1, -(-phrases.count() // shard))
     dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int"))
     dealt = stored(dealt.withColumn("id", F.row_number().over(Window.partitionBy("shard").orderBy("phrase")) - 1), "shards")
@@ -229,7 +278,7 @@ def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard:
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    sums = told.where("phrase is null").groupBy("lang").agg(F.sum("words").alias("n"))
+    sums = sizes.groupBy("lang").agg(F.sum("words").alias("n"))
     return stored(found.join(dealt, ["shard", "id"]).select("lang", "phrase", "f"), "counted"), stored(sums, "words")
 
 

@@ -116,7 +116,7 @@ def test_foreign_bytes():
 
 
 def test_malformed_pages_are_error_rows(spark):
-    broken = [page_of(b"x", 1 << 31, 1 << 31, bits=8, compression=8), page_of(b"x" * 9, 3, 3, bits=8, compression=1, samples=0), page_of(b"x", 70_000, 70_000, bits=8, compression=8), page_of(b"x" * 9, 3, 3, bits=7, compression=1), page_of(b"x", 3, 3, bits=8, compression=5), None, b""]
+    broken = [page_of(b"x", 1 << 31, 1 << 31, bits=8, compression=8), page_of(b"x" * 9, 3, 3, bits=8, compression=1, samples=0), page_of(b"x", 70_000, 70_000, bits=8, compression=8), page_of(b"x" * (4 << 20), 170_000, 170_000, bits=8, compression=8), page_of(b"x" * (4 << 20), 30_000, 30_000, bits=8, compression=8), page_of(b"x" * 9, 3, 3, bits=7, compression=1), page_of(b"x", 3, 3, bits=8, compression=5), None, b""]
     media = spark.createDataFrame([(i, 1, b) for i, b in enumerate(broken)], "doc_id long, n_bytes long, media binary")
     for found in (media_tiff.media_pages(media).collect(), media_tiff.digests(media).collect()):
         assert len(found) == len(broken) and all(r["error"] for r in found)
@@ -342,3 +342,10 @@ def test_patterns_hold_all_pieces(histogram):
     assert held == histogram
     room = sum(times for _, times in plan) * 256
     assert len(histogram) < 200 or sum(n * c for n, c in histogram.items()) / room > 0.98
+
+
+def test_dictionary_of_little_text_is_all_of_it():
+    texts = [b"one text", b"another", b"x" * 100_000]
+    assert quality_zstd.dictionary(texts[:2]) == b"one text another"
+    made = quality_zstd.dictionary([bytes([k]) * 3 for k in range(5)])
+    assert made == b" ".join(bytes([k]) * 3 for k in range(5)) or made[:4] == b"\x37\xa4\x30\xec"
