@@ -310,32 +310,36 @@ def _sizes(f: dict, limit: int) -> tuple:
 
 #: No compression that is read makes more than so many bytes of one (deflate: 1032; samples of one bit become bytes).
 EXPANSION = 1032 * 8
+#: Bytes of samples that a page may have: one row holds no more. Larger pages are an error of their medium.
+PAGE_BYTES = 1 << 30
 
 
 def pages(data: bytes) -> Iterator[dict]:
     """The pages of a TIFF: width, height, samples, bits, compression, predictor, tiled, pixels (rows of samples, of one byte
     each up to 8 bits)."""
     for order, f in directories(data):
-        width, height, samples, bits, how, predictor, tiled, across, down, planes, depth, columns, lines = _sizes(f, len(data) * EXPANSION)
-        kind = np.dtype(np.uint8 if bits <= 8 else f"{order}u{bits // 8}")
-        whole = np.zeros((planes, height, width * depth), dtype=kind)
-        for k, (start, size) in enumerate(zip(f["offsets"], f["counts"], strict=True)):
-            if k >= planes * columns * lines:
-                break
-            plane, (row, column) = k // (columns * lines), divmod(k % (columns * lines), columns)
-            tall = down if tiled else min(down, height - row * down)
+        width, height, samples, bits, how, predictor, tiled, across, down, planes, depth, columns, lines = _sizes(f, min(len(data) * EXPANSION, PAGE_BYTES))
+
+        def block(k: int) -> np.ndarray:
+            start, size = f["offsets"][k], f["counts"][k]
+            tall = down if tiled else min(down, height - k % lines * down)
             if start + size > len(data):
                 raise BrokenTiff("a strip or tile is out of range")
             need = tall * (-(-across * depth * bits // 8))
             raw = _unpacked(data[start : start + size], how, need)
             if len(raw) < need:
                 raise BrokenTiff("a strip or tile is too short")
-            block = _unfolded(raw, bits, tall, across * depth, order)
-            if predictor > 1:
-                block = _undifferenced(block, raw, predictor, depth, order)
-            part = whole[plane, row * down : row * down + tall, column * across * depth : (column + 1) * across * depth]
-            part[...] = block[: part.shape[0], : part.shape[1]]
-        pixels = np.moveaxis(whole.reshape(planes, height, width, depth), 0, 2).reshape(height, width, samples)
+            samples_of = _unfolded(raw, bits, tall, across * depth, order)
+            return _undifferenced(samples_of, raw, predictor, depth, order) if predictor > 1 else samples_of
+
+        # A page grows by what its strips or tiles hold: nothing is made room for that a file only claims.
+        parts = []
+        for row in range(planes * lines):
+            wide = [block(row * columns + column) for column in range(columns)]
+            parts.append((np.hstack(wide) if columns > 1 else wide[0])[: min(down, height - row % lines * down), : width * depth])
+        kind = np.dtype(np.uint8 if bits <= 8 else f"{order}u{bits // 8}")
+        whole = np.concatenate(parts).astype(kind, copy=False).reshape(planes, height, width, depth)
+        pixels = np.moveaxis(whole, 0, 2).reshape(height, width, samples)
         yield {"width": width, "height": height, "samples": samples, "bits": bits, "compression": how, "predictor": predictor, "tiled": tiled, "pixels": pixels.tobytes()}
 
 
