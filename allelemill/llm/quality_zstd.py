@@ -24,14 +24,12 @@ SAMPLE, DICTIONARY_BYTES, LEVEL, PIECE = 1500, 64 << 10, 3, 2048
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A zstandard dictionary of the texts, cut into pieces; raw content where there is too little to train one."""
+    """A zstandard dictionary of the texts, cut into pieces; the texts themselves, whole, where there is too little to train one."""
     pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        # As much of each piece, so that none is left out; zstandard finds matches in the end of raw content most cheaply.
-        share = max(1, DICTIONARY_BYTES // max(1, len(pieces)))
-        return b" ".join(piece[:share] for piece in pieces)[:DICTIONARY_BYTES]
+        return b" ".join(texts)  # too few pieces to train on are little to keep
 
 
 class Sizes:
