@@ -18,8 +18,8 @@ runs, at both ends of a text of those there are). Equal words choose equal place
 words or more that repeats word for word shares a piece, wherever it stands. `passages` gives a row for each repeated
 piece that no listed paragraph contains; `deduplicated` gives both, and `texts` the documents without what was removed.
 
-Shorter repeats are left alone on purpose: sentences of some ten words repeat by chance, and the documents that hold them
-are no copies of one another. Whole texts are read, once: paragraphs (with the words of each) and pieces are stored as they
+Paragraphs below LEAST words are left alone: so few words repeat by chance, and the documents that hold them are no copies
+of one another. Whole texts are read, once: paragraphs (with the words of each) and pieces are stored as they
 are met, and all that follows takes them from there.
 
 Defined results: null and empty texts have no paragraphs. A paragraph repeated within one document counts like any other.
@@ -39,9 +39,9 @@ from .common import Words, exact_shingles, mix64, salted_join, stored, text_bloc
 from .components import components
 from .jaccard_join import _tiles, vector
 
-WORDS, PERCENT, LEAST = 5, 75, 20
+WORDS, PERCENT, LEAST = 5, 75, 8
 BANDS, ROWS = 9, 3
-PIECE, SPREAD = 24, 16
+PIECE, SPREAD = 16, 12
 _WORDS = word_bytes("space")
 _STEP = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(max(WORDS, PIECE))]
 _SEED = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
