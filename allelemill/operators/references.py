@@ -20,31 +20,28 @@ def level_of(low: Column, high: Column, least: int = LEVEL) -> Column:
     return F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(high - low, F.lit(1)))).cast("int"))
 
 
-def tiles(references: DataFrame, levels: list[int]) -> DataFrame:
-    """ref_id, level, tile, begin, piece, whole_length: the tiles of each level."""
+def tiles(references: DataFrame, levels: DataFrame) -> DataFrame:
+    """ref_id, level, tile, begin, piece: the tiles of each level of `levels` (level; a few rows)."""
     n = F.length("sequence").cast("long")
-    each = references.select("ref_id", "sequence", n.alias("whole_length"), F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    each = references.select("ref_id", "sequence").join(F.broadcast(levels))
     size = F.pow(F.lit(2), F.col("level")).cast("long")
-    cut = each.withColumn("size", size).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("whole_length") - 1, F.lit(0)) / F.col("size")))))
+    cut = each.withColumn("size", size).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(n - 1, F.lit(0)) / F.col("size")))))
     begin = F.col("tile") * F.col("size")
-    return cut.select("ref_id", "level", "tile", begin.alias("begin"), columns.part(F.col("sequence"), begin, begin + 2 * F.col("size")).alias("piece"), "whole_length")
+    return cut.select("ref_id", "level", "tile", begin.alias("begin"), columns.part(F.col("sequence"), begin, begin + 2 * F.col("size")).alias("piece"))
 
 
 def with_text(rows: DataFrame, references: DataFrame, least: int = LEVEL) -> DataFrame:
     """rows (ref_id, low, high and more) with window (the reference from low to high, cut at its end) and whole_length.
 
-    Rows whose window begins beyond the reference's end get an empty window; rows of unknown references are left out. At
-    most a few levels are in use; the driver learns which.
+    Rows whose window begins beyond the reference's end get an empty window; rows of unknown references are left out. The levels in
+    use are at most 31 numbers, and the only thing that is broadcast. Nothing runs until the result is asked for.
     """
-    placed = rows.withColumn("level", level_of(F.col("low"), F.col("high"), least))
-    levels = sorted(r["level"] for r in placed.select("level").distinct().collect())
-    if not levels:
-        return rows.join(references.select("ref_id", F.lit("").alias("window"), F.length("sequence").cast("long").alias("whole_length")), "ref_id").limit(0)
-    placed = placed.withColumn("tile", F.floor(F.col("low") / F.pow(F.lit(2), F.col("level"))))
-    joined = placed.join(tiles(references, levels), ["ref_id", "level", "tile"], "left")
-    window = columns.part(F.col("piece"), F.col("low") - F.col("begin"), F.col("high") - F.col("begin"))
-    names = [*rows.columns, "window", "whole_length"]
-    found = joined.withColumn("window", window)
     lengths = references.select("ref_id", F.length("sequence").cast("long").alias("whole_length"))
-    beyond = found.where("piece is null").drop("whole_length", "window").join(lengths, "ref_id").withColumn("window", F.lit(""))
-    return found.where("piece is not null").select(*names).unionByName(beyond.select(*names))
+    placed = rows.withColumn("level", level_of(F.col("low"), F.col("high"), least)).join(lengths, "ref_id")
+    size = F.pow(F.lit(2), F.col("level"))
+    # Beyond the end the last tile answers, with nothing.
+    placed = placed.withColumn("tile", F.least(F.floor(F.col("low") / size), F.floor(F.greatest(F.col("whole_length") - 1, F.lit(0)) / size)))
+    levels = rows.select(level_of(F.col("low"), F.col("high"), least).alias("level")).distinct()
+    joined = placed.join(tiles(references, levels), ["ref_id", "level", "tile"])
+    window = columns.part(F.col("piece"), F.col("low") - F.col("begin"), F.col("high") - F.col("begin"))
+    return joined.select(*(F.col(c) for c in rows.columns), window.alias("window"), "whole_length")

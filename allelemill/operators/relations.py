@@ -40,7 +40,7 @@ def _span(summarised: DataFrame) -> DataFrame:
     return summarised.where("error is null").select(F.col("allele_id").alias("id"), "ref_id", F.col("supremal.start").alias("start"), F.col("supremal.end").alias("end"), "distance", F.col("supremal.sequence").alias("sequence"))
 
 
-def _facts(summarised: DataFrame, side: str) -> DataFrame:
+def facts(summarised: DataFrame, side: str) -> DataFrame:
     return summarised.where("error is null").select(F.struct("allele_id", "ref_id").alias(f"{side}_key"), F.col("atoms").alias(f"{side}_atoms"), F.col("shift").alias(f"{side}_shift"), F.col("window").alias(f"{side}_window"))
 
 
@@ -61,16 +61,9 @@ def _ladder(equal: Column, apart: Column, left: Column, right: Column, between:
     )
 
 
-def relations(summarised: DataFrame, references: DataFrame | None = None, other: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
-    """ref_id, lhs_id, rhs_id, relation, common, universe for pairs whose spanning edits touch; all other pairs are disjoint.
-
-    Of one table its unordered pairs, of two tables all pairs. common and universe count unit edits of overlapping pairs.
-    An allele whose summary is an error is one row without a partner and without a relation: nothing is known of its pairs.
-    Intervals are joined narrow; unit edits and windows are fetched for pairs that equality and disjointness leave open. The
-    windows that the summaries carry suffice, so references are not needed again (the argument is kept for callers).
-    """
-    right = summarised if other is None else other
-    pairs = touching(_span(summarised), _span(right), bin_width, ordered=other is None)
+def told(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """ref_id, lhs_id, rhs_id, relation, common, universe of pairs (structs l and r of id, ref_id, start, end, distance, sequence);
+    left and right: the `facts` of either side."""
     edit = lambda v: columns.variant(F.col(f"{v}.start"), F.col(f"{v}.end"), F.col(f"{v}.sequence"))
     a, b = edit("l"), edit("r")
     nothing = (columns.variant_length(a) == 0) | (columns.variant_length(b) == 0)
@@ -81,7 +74,7 @@ def relations(summarised: DataFrame, references: DataFrame | None = None, other:
     decided = marked.where("relation is not null").select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "relation", none.alias("common"), none.alias("universe"))
     key = lambda v: F.struct(F.col(f"{v}.id").alias("allele_id"), F.col(f"{v}.ref_id").alias("ref_id"))
     left_open = marked.where("relation is null").drop("relation").withColumn("l_key", key("l")).withColumn("r_key", key("r"))
-    fetched = left_open.join(_facts(summarised, "l"), "l_key").join(_facts(right, "r"), "r_key")
+    fetched = left_open.join(left, "l_key").join(right, "r_key")
     low, high = F.least("l.start", "r.start"), F.greatest("l.end", "r.end")
     near = fetched.withColumn("low", low).withColumn("window", _text(low, high))
     seen = lambda v: F.concat(columns.part(F.col("window"), F.lit(0), F.col(f"{v}.start") - F.col("low")), F.col(f"{v}.sequence"), columns.rest(F.col("window"), F.col(f"{v}.end") - F.col("low")))
@@ -90,7 +83,20 @@ def relations(summarised: DataFrame, references: DataFrame | None = None, other:
     ladder = _ladder(never, never, F.col("l.distance"), F.col("r.distance"), F.col("between"), F.arrays_overlap("l_atoms", "r_atoms"))
     named = measured.withColumn("relation", ladder).withColumn("sizes", F.when(F.col("relation") == OVERLAP, columns.overlap("l_atoms", "r_atoms")))
     found = named.select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "relation", F.col("sizes.common").alias("common"), F.col("sizes.universe").alias("universe"))
-    out = decided.unionByName(found)
+    return decided.unionByName(found)
+
+
+def relations(summarised: DataFrame, references: DataFrame | None = None, other: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
+    """ref_id, lhs_id, rhs_id, relation, common, universe for pairs whose spanning edits touch; all other pairs are disjoint.
+
+    Of one table its unordered pairs, of two tables all pairs. common and universe count unit edits of overlapping pairs.
+    An allele whose summary is an error is one row without a partner and without a relation: nothing is known of its pairs.
+    Intervals are joined narrow; unit edits and windows are fetched for pairs that equality and disjointness leave open. The
+    windows that the summaries carry suffice, so references are not needed again (the argument is kept for callers).
+    """
+    right = summarised if other is None else other
+    pairs = touching(_span(summarised), _span(right), bin_width, ordered=other is None)
+    out = told(pairs, facts(summarised, "l"), facts(right, "r"))
     out = out.unionByName(_failed(summarised, "lhs_id", out))
     return out if other is None else out.unionByName(_failed(other, "rhs_id", out))
 

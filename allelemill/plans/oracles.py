@@ -300,3 +300,17 @@ RELATIONS = ALLELES + f""", met AS MATERIALIZED (
 RELATION_COMPARE = RELATIONS + " SELECT ref_id, lhs_id, rhs_id, relation, CASE WHEN relation = 'overlap' THEN CAST(common AS INT) END AS common, CASE WHEN relation = 'overlap' THEN CAST(universe AS INT) END AS universe FROM related"
 RELATION_HISTOGRAM = RELATIONS + " SELECT relation, count(*) AS pairs FROM related GROUP BY relation"
 OVERLAP_SIZES = RELATIONS + " SELECT lhs_id, rhs_id, CAST(common AS INT) AS common, CAST(universe AS INT) AS universe FROM related WHERE relation = 'overlap'"
+
+_REAL = "(ls < le OR lq <> '') AND (rs < re OR rq <> '')"
+_MIRROR = "CASE relation WHEN 'contains' THEN 'is_contained' WHEN 'is_contained' THEN 'contains' ELSE relation END"
+CLASS_RELATIONS = RELATIONS + f""", classes AS (SELECT ref_id, vstart, vend, seq, min(id) AS class, count(*) AS members FROM told GROUP BY ALL
+), of_class AS (SELECT t.id, class, members FROM told t JOIN classes c ON c.ref_id = t.ref_id AND c.vstart = t.vstart AND c.vend = t.vend AND c.seq = t.seq
+), turned AS (
+  SELECT r.ref_id, least(a.class, b.class) AS lhs_id, greatest(a.class, b.class) AS rhs_id, CASE WHEN a.class <= b.class THEN relation ELSE {_MIRROR} END AS relation,
+    CASE WHEN relation = 'overlap' THEN CAST(common AS INT) END AS common, CASE WHEN relation = 'overlap' THEN CAST(universe AS INT) END AS universe,
+    CASE WHEN a.class <= b.class THEN a.members ELSE b.members END AS lhs_members, CASE WHEN a.class <= b.class THEN b.members ELSE a.members END AS rhs_members
+  FROM related r JOIN met m ON m.lhs_id = r.lhs_id AND m.rhs_id = r.rhs_id JOIN of_class a ON a.id = r.lhs_id JOIN of_class b ON b.id = r.rhs_id WHERE a.class = b.class OR ({_REAL})
+) SELECT *, count(*) AS pairs FROM turned GROUP BY ALL"""
+
+SUPREMAL_COMPARE = RELATIONS + f" SELECT r.ref_id, r.lhs_id, r.rhs_id, relation FROM related r JOIN met m ON m.lhs_id = r.lhs_id AND m.rhs_id = r.rhs_id WHERE {_REAL}"
+SUPREMAL_CONTAINS = RELATIONS + """ SELECT ref_id, lhs_id, rhs_id FROM related WHERE relation = 'contains' UNION ALL SELECT ref_id, rhs_id, lhs_id FROM related WHERE relation = 'is_contained'"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrow, columns
-from ..operators import differences, expand, relations, summaries
+from ..operators import classes, differences, expand, relations, summaries
 from ..sources import random as random_sources
 from . import derived, oracles
 from .derived import SQL, distance_sql
@@ -262,6 +262,21 @@ def relation_histogram(spark, sf):
     return relations.histogram(_relations(spark, sf))
 
 
+@query(whole=oracles.CLASS_RELATIONS)
+def class_relations(spark, sf):
+    return classes.class_relations(_summaries(spark, sf))
+
+
+@query(whole=oracles.SUPREMAL_COMPARE)
+def supremal_compare(spark, sf):
+    return classes.supremal_relations(classes.spans(_summaries(spark, sf)), derived.references(spark, sf))
+
+
+@query(whole=oracles.SUPREMAL_CONTAINS)
+def supremal_contains(spark, sf):
+    return classes.supremal_contains(classes.spans(_summaries(spark, sf)), derived.references(spark, sf))
+
+
 @query(whole=oracles.OVERLAP_SIZES)
 def overlap_sizes(spark, sf):
     return relations.have_overlap(_relations(spark, sf)).select("lhs_id", "rhs_id", "common", "universe")
