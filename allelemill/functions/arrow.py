@@ -20,7 +20,9 @@ ARROW_SUMMARY = pa.struct([("distance", pa.int64()), ("supremal", ARROW_VARIANT)
 
 CELL = pa.struct([("row", pa.int64()), ("col", pa.int64())])
 ARROW_STEPS = pa.list_(pa.struct([("source", CELL), ("sink", CELL), ("variant", ARROW_VARIANT)]))
-ARROW_DIFFERENCE = pa.list_(pa.struct([("subtrahend", ARROW_ALLELE), ("remainder", ARROW_ALLELE), ("with_subtrahend", pa.string()), ("with_remainder", pa.string()), ("between", pa.string())]))
+ARROW_DIFFERENCE = pa.struct([("subtrahend", ARROW_ALLELE), ("remainder", ARROW_ALLELE), ("with_subtrahend", pa.string()), ("with_remainder", pa.string()), ("between", pa.string())])
+POINT = ("row", "col", "h1", "u1", "x1", "h2", "u2", "x2")
+ARROW_CORE = pa.struct([("shift", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("points", pa.list_(pa.struct([(c, pa.int64()) for c in POINT])))])
 
 
 def arrow_udf(kind: pa.DataType):
@@ -234,6 +236,23 @@ def internal_dot(reference: pa.Array, observed: pa.Array, atomics: pa.Array) ->
     return _each(one, pa.list_(pa.string()), reference, observed, atomics)
 
 
+@arrow_udf(ARROW_CORE)
+def core_points(reference: pa.Array, observed: pa.Array) -> pa.Array:
+    """The window of an allele's spanning edit (shift, a, b), and the matches and ends within it, with what names parts between them."""
+
+    def one(r: str, o: str) -> dict:
+        w = align.windowed(r, o)
+        return {"shift": w.shift, "a": w.a, "b": w.b, "points": [dict(zip(POINT, p, strict=True)) for p in align.named_points(w)]}
+
+    return _each(one, ARROW_CORE, reference, observed)
+
+
 @arrow_udf(ARROW_DIFFERENCE)
-def difference(reference: pa.Array, observed: pa.Array) -> pa.Array:
-    return _each(lambda r, o: [{k: [_told(e) for e in v] if isinstance(v, list) else v for k, v in d.items()} for d in align.difference(r, o)], ARROW_DIFFERENCE, reference, observed)
+def difference_part(reference: pa.Array, shift: pa.Array, a: pa.Array, b: pa.Array, p_row: pa.Array, p_col: pa.Array, q_row: pa.Array, q_col: pa.Array) -> pa.Array:
+    """What lies between two points of an allele's alignments, what remains, and how they and the allele relate."""
+
+    def one(r: str, at: int, x: str, y: str, i: int, j: int, k: int, m: int) -> dict:
+        told = align.split(r, at, x, y, (i, j), (k, m))
+        return {f: [_told(e) for e in v] if isinstance(v, list) else v for f, v in told.items()}
+
+    return _each(one, ARROW_DIFFERENCE, reference, shift, a, b, p_row, p_col, q_row, q_col)

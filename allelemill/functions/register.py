@@ -13,7 +13,7 @@ SQL = {
     "to_spdi(id STRING, v STRUCT<start: BIGINT, end: BIGINT, sequence: STRING>) RETURNS STRING": "concat_ws(':', id, v.start, v.end - v.start, v.sequence)",
 }
 
-ARROW = ("edit_distance", "bounded_distance", "sequence_relation", "parse_hgvs", "parse_hgvs_with", "summarise", "summarise_window", "summarise_supremal", "edges", "steps", "stretches", "unit_edits", "supremal", "path_count", "paths", "atomics", "atomic_paths", "diagonal", "rich_hgvs_of", "dot", "internal_dot", "difference")
+ARROW = ("edit_distance", "bounded_distance", "sequence_relation", "parse_hgvs", "parse_hgvs_with", "summarise", "summarise_window", "summarise_supremal", "edges", "steps", "stretches", "unit_edits", "supremal", "path_count", "paths", "atomics", "atomic_paths", "diagonal", "rich_hgvs_of", "dot", "internal_dot", "summarise_allele", "core_points", "difference_part")
 
 
 def register(spark: SparkSession) -> None:

@@ -472,51 +472,70 @@ def interleavings(edit: Edit) -> Iterator[list[Edit]]:
         put[k:] = [put[k] - 1] + [new] * (cut - k - 1)
 
 
-def bridges(whole: Alignments) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """The matches (and both ends) that can follow each match of minimal alignments, in the order of row and column: the
-    pairs that delimit what can be taken away."""
-    points = np.array(sorted({c for rank in whole._ranks() for c in rank}))
-    out = {}
-    for p in points[:-1]:
-        after = points[(points[:, 0] > p[0]) & (points[:, 1] > p[1])]
-        out[tuple(p.tolist())] = [tuple(q) for q in after.tolist()]
+#: Primes below 2**31, and the base, of the names of parts.
+MODULI, BASE = (2147483647, 2147483629), 1000003
+
+
+def _prefixes(text: str, modulus: int) -> list[int]:
+    """Names of a text's prefixes: sums of symbols times rising powers of the base."""
+    out, power = [0], 1
+    for symbol in text:
+        out.append((out[-1] + (ord(symbol) + 1) * power) % modulus)
+        power = power * BASE % modulus
     return out
 
 
-def difference(reference: str, observed: str) -> list[dict]:
-    """Ways to take one edit away from an allele: subtrahend (canonical), remainder and how they relate.
+def named_points(whole: Alignments) -> list[tuple[int, ...]]:
+    """The matches and both ends, by row and column: row, column, and for each modulus h, u, x.
 
-    Two points of the alignments split the allele in three: what lies between is one part, what lies before and after
-    the other. A part is made once for each distinct observed sequence that it leads to, since that decides its canonical
-    form; all relations follow from the parts' distances and unit edits, which are kept with them.
+    (h of p + u of p * x of q) % modulus names the text that p and q make: the reference up to p, what is observed between
+    them, and the reference from q on.
     """
-    whole = windowed(reference, observed)
-    ends = (-1, -1), (len(whole.a), len(whole.b))
-    source, sink = ends
-    parts: dict[str, Told] = {}
-
-    def part(edits: list[Edit]) -> tuple[str, Told]:
-        text = patched(reference, edits)
-        if text not in parts:
-            parts[text] = told(reference, text)
-        return text, parts[text]
+    found = sorted({c for rank in whole._ranks() for c in rank})
+    columns = []
+    for modulus in MODULI:
+        ahead, seen = _prefixes(whole.a, modulus), _prefixes(whole.b, modulus)
+        power = lambda k, m=modulus: pow(BASE, k, m)
+        own = []
+        for r, c in found:
+            u = power(r - c)
+            here = ahead[r + 1] if r < len(whole.a) else 0, seen[c + 1] if c < len(whole.b) else 0
+            rest = power(c - r) * (ahead[-1] - ahead[max(r, 0)])
+            own.append(((here[0] - u * here[1]) % modulus, u, (seen[max(c, 0)] + rest) % modulus))
+        columns.append(own)
+    return [(*point, *one, *two) for point, one, two in zip(found, *columns, strict=True)]
+
+
+def split(reference: str, shift: int, a: str, b: str, p: tuple[int, int], q: tuple[int, int]) -> dict:
+    """What lies between two points of an allele's alignments (a to b, at `shift` of the reference) taken away: subtrahend and remainder
+    (canonical), and how they and the allele relate."""
+    before, after = reference[:shift], reference[shift + len(a) :]
+    inner = a[: p[0] + 1] + b[p[1] + 1 : q[1]] + a[q[0] :]
+    outer = b[: p[1] + 1] + a[p[0] + 1 : q[0]] + b[q[1] :]
+    parts = [(text, told(reference, before + text + after)) for text in (b, inner, outer)]
 
     def relate(x: tuple[str, Told], y: tuple[str, Told]) -> str:
         if x[0] == y[0]:
             return "equivalent"
+        # What surrounds both is equal, and no distance depends on it.
         found = by_distances(x[1].distance, y[1].distance, edit_distance(x[0], y[0]))
         return found or ("overlap" if set(x[1].units) & set(y[1].units) else "disjoint")
 
-    minuend = part([whole._edit(source, sink)] if whole.distance else [])
-    out: dict[str, dict] = {}
-    for p, following in bridges(whole).items():
-        for q in following:
-            inner = part([whole._edit(p, q)])
-            if inner[0] in out:
-                continue
-            outer = part([whole._edit(*side) for side in ((source, p), (q, sink)) if side[0] != side[1]])
-            out[inner[0]] = {
-                "subtrahend": list(inner[1].canonical), "remainder": list(outer[1].canonical),
-                "with_subtrahend": relate(minuend, inner), "with_remainder": relate(minuend, outer), "between": relate(inner, outer),
-            }
-    return list(out.values())
+    minuend, subtrahend, remainder = parts
+    return {
+        "subtrahend": list(subtrahend[1].canonical), "remainder": list(remainder[1].canonical),
+        "with_subtrahend": relate(minuend, subtrahend), "with_remainder": relate(minuend, remainder), "between": relate(subtrahend, remainder),
+    }
+
+
+def difference(reference: str, observed: str) -> list[dict]:
+    """All distinct ways to take one edit away from an allele, one by one; `operators.differences` makes them of many alleles."""
+    whole = windowed(reference, observed)
+    points, seen, out = sorted({c for rank in whole._ranks() for c in rank}), set(), []
+    for p in points:
+        for q in points:
+            text = whole.a[: p[0] + 1] + whole.b[p[1] + 1 : q[1]] + whole.a[q[0] :]
+            if p[0] < q[0] and p[1] < q[1] and text not in seen:
+                seen.add(text)
+                out.append(split(reference, whole.shift, whole.a, whole.b, p, q))
+    return out

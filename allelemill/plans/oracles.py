@@ -7,7 +7,7 @@ are narrow first, and wide for the few alleles whose spanning edit reaches the b
 
 from __future__ import annotations
 
-from .derived import SQL
+from .derived import SQL, distance_sql
 
 RECURSIVE = SQL.replace("WITH dna", "WITH RECURSIVE dna", 1)
 
@@ -244,9 +244,8 @@ def _place(start: str, end: str) -> str:
     return f"CASE WHEN {end} = {start} THEN concat({start}, '_', {start} + 1) WHEN {end} - {start} = 1 THEN CAST({end} AS VARCHAR) ELSE concat({start} + 1, '_', {end}) END"
 
 
-CANONICAL_HGVS = FORMS + f""", variants AS (
-  SELECT v.id, v.vstart, v.vend, v.seq, substr(k.sequence, CAST(v.vstart + 1 AS INT), CAST(v.vend - v.vstart AS INT)) AS old {_EACH.format(_CANONICAL).replace("FROM (", "FROM (SELECT * FROM (", 1)}) v JOIN known k ON k.id = v.id
-), units_of AS (SELECT *, {_period("old")} AS po, {_period("seq")} AS pn FROM variants
+#: Rich HGVS of each row of `variants` (id, vstart, vend, seq, old), as `texts` (id, vstart, text).
+_TEXTS = f"""units_of AS (SELECT *, {_period("old")} AS po, {_period("seq")} AS pn FROM variants
 ), lead AS (SELECT *, CASE WHEN pn > po THEN left(seq, CAST(pn AS INT)) ELSE left(old, CAST(po AS INT)) END AS unit, CASE WHEN pn > po THEN length(seq) % pn WHEN po > 0 THEN length(old) % po ELSE 0 END AS over FROM units_of
 ), read AS (
   SELECT *, length(unit) AS u,
@@ -271,7 +270,11 @@ CANONICAL_HGVS = FORMS + f""", variants AS (
     WHEN e - s = 1 AND length(put) = 1 THEN concat(e, gone, '>', put)
     ELSE concat({_place("s", "e")}, 'del', CASE WHEN put = '' THEN '' ELSE concat('ins', put) END) END AS text
   FROM copies
-)
+)"""
+
+CANONICAL_HGVS = FORMS + f""", variants AS (
+  SELECT v.id, v.vstart, v.vend, v.seq, substr(k.sequence, CAST(v.vstart + 1 AS INT), CAST(v.vend - v.vstart AS INT)) AS old {_EACH.format(_CANONICAL).replace("FROM (", "FROM (SELECT * FROM (", 1)}) v JOIN known k ON k.id = v.id
+), {_TEXTS}
 SELECT k.id AS allele_id, CASE coalesce(n, 0) WHEN 0 THEN '=' WHEN 1 THEN all_of ELSE concat('[', all_of, ']') END AS hgvs
 FROM known k LEFT JOIN (SELECT id, count(*) AS n, string_agg(text, ';' ORDER BY vstart) AS all_of FROM texts GROUP BY id) t ON t.id = k.id"""
 
@@ -314,3 +317,62 @@ CLASS_RELATIONS = RELATIONS + f""", classes AS (SELECT ref_id, vstart, vend, seq
 
 SUPREMAL_COMPARE = RELATIONS + f" SELECT r.ref_id, r.lhs_id, r.rhs_id, relation FROM related r JOIN met m ON m.lhs_id = r.lhs_id AND m.rhs_id = r.rhs_id WHERE {_REAL}"
 SUPREMAL_CONTAINS = RELATIONS + """ SELECT ref_id, lhs_id, rhs_id FROM related WHERE relation = 'contains' UNION ALL SELECT ref_id, rhs_id, lhs_id FROM related WHERE relation = 'is_contained'"""
+
+
+def _of_pairs(source: str, tag: str) -> str:
+    """The tables of NAMES for another table of pairs (key, a, b)."""
+    out = NAMES[len(RECURSIVE) :].replace("names", source)
+    for name in ("ahead", "behind", "sizes", "matches", "cells", "steps", "edits_of"):
+        out = out.replace(name, name + tag)
+    return out
+
+
+def _fewest(name: str, ends: str, turn: str) -> str:
+    """Edits needed at least to reach each cell of `cells_p` from one end."""
+    near, far = ("p", "q") if turn == "+" else ("q", "p")
+    return f"""{name} AS (
+  SELECT key, rank, r, c, 0 AS cost FROM cells_p WHERE {ends}
+  UNION ALL
+  SELECT s.key, s.rank {"+ 1" if turn == "+" else ""}, s.{far}r, s.{far}c, min(w.cost + CASE WHEN s.vstart = s.vend AND s.seq = '' THEN 0 ELSE 1 END)
+  FROM {name} w JOIN steps_p s ON s.key = w.key AND s.rank {"" if turn == "+" else "+ 1"} = w.rank AND s.{near}r = w.r AND s.{near}c = w.c GROUP BY s.key, s.rank, s.{far}r, s.{far}c
+)"""
+
+
+def _relate(x: str, y: str) -> str:
+    """How two parts (key, text, distance) relate; d{x}{y} is the distance between them."""
+    shared = f"EXISTS (SELECT 1 FROM units_p u JOIN units_p v ON v.pos = u.pos AND v.symbol = u.symbol WHERE u.key = {x}k AND v.key = {y}k)"
+    return f"CASE WHEN {x}t = {y}t THEN 'equivalent' WHEN {x}d + {y}d = d{x}{y} THEN 'disjoint' WHEN {x}d - {y}d = d{x}{y} THEN 'contains' WHEN {y}d - {x}d = d{x}{y} THEN 'is_contained' WHEN {shared} THEN 'overlap' ELSE 'disjoint' END"
+
+
+DIFFERENCE = RECURSIVE + f""", whole AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) AS key, a, b FROM (SELECT DISTINCT a, b FROM names)
+), {_of_pairs("whole", "_w").lstrip(" ,")}, core_of AS MATERIALIZED (
+  SELECT s.key, s.a, s.b, s.n, s.m, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM sizes_w s LEFT JOIN (SELECT key, min(vstart) AS low, max(vend) AS high FROM edits_of_w GROUP BY key) e ON e.key = s.key
+), points AS MATERIALIZED (
+  SELECT c.key, r, c FROM cells_w c JOIN core_of o ON o.key = c.key WHERE rank >= 0 AND r >= low AND r < high AND c.c >= low AND c.c < high + m - n AND rank < (SELECT l FROM sizes_w z WHERE z.key = c.key)
+  UNION ALL SELECT key, low - 1, low - 1 FROM core_of UNION ALL SELECT key, high, high + m - n FROM core_of
+), pairs AS MATERIALIZED (
+  SELECT key, a, b, it, arg_min(ot, [pr, pc, qr, qc]) AS ot FROM (
+    SELECT o.key, a, b, p.r AS pr, p.c AS pc, q.r AS qr, q.c AS qc,
+      concat(left(a, CAST(p.r + 1 AS INT)), substr(b, CAST(p.c + 2 AS INT), CAST(q.c - p.c - 1 AS INT)), substr(a, CAST(q.r + 1 AS INT))) AS it,
+      concat(left(b, CAST(p.c + 1 AS INT)), substr(a, CAST(p.r + 2 AS INT), CAST(q.r - p.r - 1 AS INT)), substr(b, CAST(q.c + 1 AS INT))) AS ot
+    FROM points p JOIN points q ON q.key = p.key AND q.r > p.r AND q.c > p.c JOIN core_of o ON o.key = p.key)
+  GROUP BY key, a, b, it
+), parts AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY a, b) AS key, a, b FROM (SELECT a, it AS b FROM pairs UNION SELECT a, ot FROM pairs UNION SELECT a, b FROM pairs)
+), {_of_pairs("parts", "_p").lstrip(" ,")}, units_p AS MATERIALIZED ({_UNITS.format(edges="edits_of_p")}
+), {_fewest("cheap_p", "rank = -1", "+")}, {_fewest("dear_p", "rank = (SELECT l FROM sizes_p z WHERE z.key = cells_p.key)", "-")}, kept_p AS (
+  SELECT x.key, x.rank, x.r, x.c FROM cheap_p x JOIN dear_p y ON y.key = x.key AND y.rank = x.rank AND y.r = x.r AND y.c = x.c QUALIFY x.cost + y.cost = min(x.cost + y.cost) OVER (PARTITION BY x.key)
+), variants AS (
+  SELECT id, vstart, vend, seq, substr(a, CAST(vstart + 1 AS INT), CAST(vend - vstart AS INT)) AS old FROM (
+    SELECT o.key AS id, s.a, lag(r) OVER w + 1 AS vstart, r AS vend, substr(s.b, CAST(lag(c) OVER w + 2 AS INT), CAST(c - lag(c) OVER w - 1 AS INT)) AS seq
+    FROM (SELECT key, rank, min(r) AS r, min(c) AS c FROM kept_p GROUP BY key, rank HAVING count(*) = 1) o JOIN sizes_p s ON s.key = o.key WINDOW w AS (PARTITION BY o.key ORDER BY rank)
+  ) WHERE vstart IS NOT NULL AND (vstart < vend OR seq <> '')
+), {_TEXTS}, told_p AS MATERIALIZED (
+  SELECT s.key, s.a, s.b, s.n + s.m - 2 * s.l AS distance, CASE coalesce(t.n, 0) WHEN 0 THEN '=' WHEN 1 THEN all_of ELSE concat('[', all_of, ']') END AS hgvs
+  FROM sizes_p s LEFT JOIN (SELECT id, count(*) AS n, string_agg(text, ';' ORDER BY vstart) AS all_of FROM texts GROUP BY id) t ON t.id = s.key
+), joined AS MATERIALIZED (
+  SELECT p.a, p.b, i.hgvs AS subtrahend_hgvs, o.hgvs AS remainder_hgvs, w.key AS wk, w.b AS wt, w.distance AS wd, i.key AS ik, i.b AS it, i.distance AS id, o.key AS ok, o.b AS ot, o.distance AS od,
+    {distance_sql("w.b", "i.b")} AS dwi, {distance_sql("w.b", "o.b")} AS dwo, {distance_sql("i.b", "o.b")} AS dio
+  FROM pairs p JOIN told_p w ON w.a = p.a AND w.b = p.b JOIN told_p i ON i.a = p.a AND i.b = p.it JOIN told_p o ON o.a = p.a AND o.b = p.ot
+), named AS (SELECT a, b, subtrahend_hgvs, remainder_hgvs, {_relate("w", "i")} AS with_subtrahend, {_relate("w", "o")} AS with_remainder, {_relate("i", "o")} AS "between" FROM joined)
+SELECT n.key, subtrahend_hgvs, remainder_hgvs, with_subtrahend, with_remainder, "between" FROM names n JOIN named d ON d.a = n.a AND d.b = n.b"""

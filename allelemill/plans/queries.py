@@ -349,9 +349,12 @@ def vcf_parse(spark, sf):
     return lines.select("ref_id", v["start"].alias("vstart"), v["end"].alias("vend"), v["sequence"].alias("seq"))
 
 
-@query()
+@query(whole=oracles.DIFFERENCE)
 def difference(spark, sf):
-    return differences.differences(derived.names(spark, sf).select("key", F.col("a").alias("reference"), F.array(columns.variant(F.least(F.lit(1), F.length("a")), F.least(F.lit(4), F.length("a")), F.substring("b", 1, 3))).alias("variants"))).select("key", "subtrahend_hgvs", "remainder_hgvs", "with_subtrahend", "with_remainder", "between")
+    """The allele that makes b of a is one edit of all of a."""
+    whole = columns.variant(F.lit(0), F.length("a"), F.col("b"))
+    rows = derived.names(spark, sf).select("key", F.col("a").alias("reference"), F.array(whole).alias("variants"))
+    return differences.differences(rows).select("key", "subtrahend_hgvs", "remainder_hgvs", "with_subtrahend", "with_remainder", "between")
 
 
 @query()
