@@ -37,7 +37,8 @@ from .common import Words, mix64, stored, text_blocks, utf8
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text for a slot; slots of a row of the sketch at most; slots of a block; texts of an automaton.
 BYTES, MOST_SLOTS, BLOCK, SHARD = 64, 1 << 26, 1 << 16, 200_000
-ROWS, UNKNOWN = 2, "und"
+#: Rows of the sketch; counts of a block of matches.
+ROWS, COUNTS, UNKNOWN = 2, 1 << 12, "und"
 HARD = b".,;:!?\n\x0b\x0c\r"
 
 _IN_WORD = np.ones(256, dtype=np.int8)
@@ -120,11 +121,11 @@ def sketch(docs: DataFrame, slots: int, longest: int = LONGEST, least: int = LEA
         total = np.zeros(BLOCK, dtype=np.int64)
         for counts in blocks:
             total += np.frombuffer(zlib.decompress(counts), dtype=kind)
-        yield np.packbits(total >= least).tobytes()
+        yield (np.packbits(total >= least).tobytes(),)
 
     parts = _texts(docs).mapInArrow(count, "row int, block int, counts binary")
     out = np.zeros((ROWS, slots // 8), dtype=np.uint8)
-    for r in _merged(parts, add, ["row", "block"], "bits", "binary").toLocalIterator():
+    for r in _merged(parts, add, "row int, block int", "bits binary").toLocalIterator():
         out[r["row"], r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 
@@ -135,19 +136,24 @@ def _packed(data: bytes) -> bytes:
     return made.compress(data) + made.flush()
 
 
-def _merged(parts: DataFrame, merge, keys: list[str], name: str, kind: str) -> DataFrame:
-    """(keys, name): what merge(key, blocks) yields for the blocks (the last column of parts) of each key, which come one by one."""
-    schema = ", ".join([*(f"{k} int" for k in keys), f"{name} {kind}"])
-    arrow = pa.binary() if kind == "binary" else pa.string()
+#: Arrow's types of the columns that blocks have.
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _merged(parts: DataFrame, merge, keys: str, more: str) -> DataFrame:
+    """Columns `keys` and `more`: the rows that merge(key, blocks) yields of the blocks (the last column of parts) of each key, which come
+    one by one, in the order of keys."""
+    names, kinds = zip(*((c.split()[0], _KINDS[c.split()[1]]) for c in f"{keys}, {more}".split(", ")), strict=True)
+    by = names[: keys.count(",") + 1]
 
     def run(batches):
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for key, group in itertools.groupby(rows, lambda r: r[:-1]):
-            values = merge(key, (r[-1] for r in group))
+            values = (key + v for v in merge(key, (r[-1] for r in group)))
             while some := list(itertools.islice(values, 10_000)):
-                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(some), pa.int32()) for k in key), pa.array(some, arrow)], [*keys, name])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], list(names))
 
-    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"{keys}, {more}")
 
 
 def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -209,9 +215,9 @@ def candidates(docs: DataFrame, pairs: np.ndarray, bits: np.ndarray, longest: in
         found: set[bytes] = set()
         for block in blocks:
             found.update(zlib.decompress(block).split(b"\n"))
-        return (x.decode("utf-8", "replace") for x in sorted(found))
+        return ((x.decode("utf-8", "replace"),) for x in sorted(found))
 
-    phrases = _merged(told.where("phrases is not null").select("range", "phrases"), distinct, ["range"], "phrase", "string").select("phrase")
+    phrases = _merged(told.where("phrases is not null").select("range", "phrases"), distinct, "range int", "phrase string").select("phrase")
     return phrases, told.where("lang is not null").select("lang", "words")
 
 
@@ -232,18 +238,21 @@ def _automaton(name: str, phrases: list[str]):
     return _made[name]
 
 
-def matches(docs: DataFrame, phrases: list[str]) -> DataFrame:
-    """lang, id (index in phrases), n: overlapping matches of the phrases in parts of the texts."""
+def matches(docs: DataFrame, phrases: list[str], least: int = LEAST) -> DataFrame:
+    """lang, id (index in phrases), f: overlapping matches of the phrases in all texts, where there are so many. Tasks send what isn't
+    zero of their counts, in blocks."""
     name = uuid.uuid4().hex
 
-    def run(batches):
+    def count(batches):
         automaton = _automaton(name, phrases)
         held: dict[str, np.ndarray] = {}
 
-        def counts():
+        def blocks():
             for lang, n in held.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "id", "n"])
+                for block in range(-(-len(n) // COUNTS)):
+                    own = n[block * COUNTS : (block + 1) * COUNTS]
+                    if own.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([block], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["lang", "block", "counts"])
             held.clear()
 
         for batch in batches:
@@ -255,11 +264,20 @@ def matches(docs: DataFrame, phrases: list[str]) -> DataFrame:
                     plain = re.sub(rb" +", b" ", b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ")).decode("utf-8", "replace")
                     ids = np.fromiter((k for _, k in automaton.iter(f" {plain} ")), dtype=np.int64)
                     if len(held) >= 64 and lang not in held:
-                        yield from counts()
+                        yield from blocks()
                     held[lang] = held.get(lang, 0) + np.bincount(ids, minlength=len(phrases))
-        yield from counts()
+        yield from blocks()
+
+    def add(key, blocks):
+        total = np.zeros(COUNTS, dtype=np.int64)
+        for counts in blocks:
+            own = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
+            total[: len(own)] += own
+        at = np.flatnonzero(total >= least)
+        return zip((at + key[1] * COUNTS).tolist(), total[at].tolist(), strict=True)
 
-    return _texts(docs).mapInArrow(run, "lang string, id int, n long")
+    parts = _texts(docs).mapInArrow(count, "lang string, block int, counts binary")
+    return _merged(parts, add, "lang string, block int", "id int, f long").select("lang", "id", "f")
 
 
 def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +292,7 @@ def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard:
     parts = []
     for k in range(shards):
         own = [r["phrase"] for r in dealt.where(F.col("shard") == k).orderBy("id").select("phrase").toLocalIterator()]
-        parts.append(stored(matches(docs, own).groupBy("lang", "id").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("shard", F.lit(k)), "matches"))
+        parts.append(stored(matches(docs, own, least).withColumn("shard", F.lit(k)), "matches"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
