@@ -3,7 +3,8 @@
 A paragraph ends at a line break or after a word that ends in a full stop, an exclamation or a question mark, so that a
 passage pasted into other text keeps its own paragraphs wherever it stands. Paragraphs of LEAST words or more are sets
 of five-word shingles; BANDS bands of ROWS minimal hashes each (`recall` tells the chance that two sets share a bucket: 0.99
-at a similarity of 0.75) name buckets, all colliding paragraphs are compared, exact Jaccard similarity is verified on their
+at a similarity of 0.75) name buckets; of FEW shingles or fewer, of which a band of three would be most of the set, the least
+hashes are buckets themselves, as many as cannot all be missing in a similar set, so that none is lost. All colliding paragraphs are compared, exact Jaccard similarity is verified on their
 words, and the removals are clustered by connected components. Of each cluster the first occurrence (smallest doc_id, then
 paragraph) stays.
 
@@ -41,7 +42,9 @@ from .jaccard_join import _tiles, vector
 
 WORDS, PERCENT, LEAST = 5, 75, 8
 BANDS, ROWS = 9, 3
-PIECE, SPREAD = 16, 12
+#: Sets of so many shingles or fewer take their least hashes for bands.
+FEW = 15
+PIECE, SPREAD = 16, 16
 _WORDS = word_bytes("space")
 _STEP = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(max(WORDS, PIECE))]
 _SEED = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -109,12 +112,32 @@ class Paragraphs:
         return np.array(out)
 
 
+def keys(p: Paragraphs, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all paragraphs: where each one's begin (and the end), and their keys. Sets that may be similar to one of `few` shingles
+    have their least hashes too: of n hashes n - ceil(n * percent / 100) + 1, as a similar set lacks fewer."""
+    owner = np.repeat(np.arange(len(p.doc)), np.diff(p.first))
+    order = np.lexsort((p.shingles, owner))
+    hashes, owner = p.shingles[order], owner[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    n = np.bincount(owner, minlength=len(p.doc))
+    rank = np.arange(len(owner)) - np.concatenate([[0], np.cumsum(n)])[owner]
+    least = (rank < (n + (-n * percent) // 100 + 1)[owner]) & (100 * few >= percent * n)[owner]
+    many = np.flatnonzero(n > few)
+    matrix = p.buckets(bands, rows)[:, many] if len(many) else np.empty((0, 0), dtype=np.int64)
+    owners = np.concatenate([owner[least], np.repeat(many[None, :], len(matrix), axis=0).ravel()])
+    found = np.concatenate([mix64(hashes[least] ^ _SEED[254]).astype(np.int64), matrix.ravel()])
+    order = np.argsort(owners, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(p.doc)))]).astype(np.int32), found[order]
+
+
 PARAGRAPHS = ["doc_id", "paragraph", "start_word", "n_words", "last", "set", "bands", "words"]
 
 
 def marks(docs: DataFrame, least: int = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each paragraph: doc_id, paragraph, start_word, n_words, set (a digest of its shingles), bands (its
-    buckets' keys) and words (its text; null where the same block has the set before). One row for each piece: doc_id,
+    buckets' keys) and words (its text), both null where the same block has the set before. One row for each piece: doc_id,
     paragraph and last (numbers of the paragraphs of its first and last words), start_word, n_words, set (a digest of its words)."""
 
     def run(batches):
@@ -126,11 +149,12 @@ def marks(docs: DataFrame, least: int = LEAST, bands: int = BANDS, rows: int = R
                 sets = p.digests()
                 new = np.zeros(len(sets), dtype=bool)
                 new[np.unique(sets, return_index=True)[1]] = True
-                keys = pa.ListArray.from_arrays(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32), p.buckets(bands, rows).T.ravel() if len(sets) else np.empty(0, np.int64))
+                at, own = keys(p, bands, rows)
+                own = pa.ListArray.from_arrays(pa.array(at), pa.array(own)).take(pa.array(np.where(new, np.arange(len(sets)), -1), mask=~new))
                 words = [p.text(k, w, texts) if once else None for k, once in enumerate(new)]
                 ids = part.column("doc_id")
                 nothing = lambda n, kind: pa.nulls(n, kind)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.doc)), *map(pa.array, (p.number, p.start, p.words)), nothing(len(sets), pa.int64()), pa.array(sets), keys, pa.array(words, pa.string())], PARAGRAPHS)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.doc)), *map(pa.array, (p.number, p.start, p.words)), nothing(len(sets), pa.int64()), pa.array(sets), own, pa.array(words, pa.string())], PARAGRAPHS)
                 n = len(q.doc)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q.doc)), pa.array(q.paragraph), pa.array(q.start), pa.array(np.full(n, PIECE)), pa.array(q.last), pa.array(q.digest), nothing(n, pa.list_(pa.int64())), nothing(n, pa.string())], PARAGRAPHS)
 
@@ -186,7 +210,7 @@ def _place() -> Column:
 
 def links(found: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(verified links between sets of paragraphs, u and v; the sets that met others: set, words). found: paragraphs of `marks`."""
-    entered = found.select("set", "bands").dropDuplicates(["set"]).select(F.explode("bands").alias("bucket"), "set")
+    entered = found.where("bands is not null").select("set", "bands").dropDuplicates(["set"]).select(F.explode("bands").alias("bucket"), "set")
     ends = entered.groupBy("bucket").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi")
     met = stored(entered.join(ends, "bucket").select("set", "lo", "hi").distinct(), "met")
     star = met.select("set", F.explode(F.array("lo", "hi")).alias("end")).where("set != end")

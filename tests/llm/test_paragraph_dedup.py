@@ -96,9 +96,10 @@ def test_all_pairs_of_a_bucket(spark):
     p = P.Paragraphs([t.encode() for t in texts])
     sets = [set(p.shingles[a:b].tolist()) for a, b in itertools.pairwise(p.first)]
     near = lambda i, j: 100 * len(sets[i] & sets[j]) >= P.PERCENT * len(sets[i] | sets[j])
-    keys = p.buckets()
-    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (keys[:, i] == keys[:, j]).any() and near(i, j)}
-    assert len(want) > 140 and len(set(keys.ravel().tolist())) < keys.size / 2
+    at, keys = P.keys(p)
+    own = [set(keys[a:b].tolist()) for a, b in itertools.pairwise(at)]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if own[i] & own[j] and near(i, j)}
+    assert len(want) > 140 and len(set(keys.tolist())) < keys.size / 2
     got = {r["doc_id"]: r["keep_doc_id"] for r in P.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     lost = {(i, j) for i, j in want if i not in got or got[i] != got.get(j)}
     assert not lost
@@ -121,6 +122,53 @@ def test_recall_with_shared_boilerplate(spark):
     assert right == len(found) and right >= 0.95 * 400
 
 
+def recalled(spark, pairs):
+    """The share of pairs of texts of which the second is removed for the first, and whether nothing else is."""
+    texts = [t for pair in pairs for t in pair]
+    found = P.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("removed").collect()
+    assert all(r["doc_id"] == r["keep_doc_id"] + 1 and r["doc_id"] % 2 for r in found)
+    return len({r["doc_id"] for r in found}) / len(pairs)
+
+
+@pytest.mark.parametrize(("words", "changed", "least"), [(8, 0, 1), (12, 0, 1), (18, 0, 1), (19, 1, 1), (24, 1, 1), (60, 1, 0.95), (74, 5, 0.95)])
+def test_recall_of_paragraphs(spark, words, changed, least):
+    """Whole paragraphs from 8 words on, equal or of a similarity of 0.75 to 0.87 (changed words at the end: as many shingles)."""
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    pairs = []
+    for _ in range(200):
+        own = [word() for _ in range(words)]
+        other = list(own)
+        for k in range(changed):
+            other[-1 - k if words < 60 else rng.randrange(words) if changed < 5 else -1 - 2 * k] = word()
+        texts = [" ".join([*(word() for _ in range(9))]) + ".\n" + " ".join(x) + ".\n" + " ".join([*(word() for _ in range(9))]) for x in (own, other)]
+        if 100 * len(shingles(own) & shingles(other)) >= 75 * len(shingles(own) | shingles(other)):
+            pairs.append(texts)
+    assert len(pairs) > 100 and recalled(spark, pairs) >= least
+
+
+@pytest.mark.parametrize(("words", "least"), [(31, 1), (40, 1), (24, 0.4)])
+def test_recall_of_passages_glued_into_text(spark, words, least):
+    """Word for word, without sentence ends: all of PIECE + SPREAD - 1 words and more."""
+    rng = random.Random(words)
+    some = lambda k: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(k)]
+    pairs = []
+    for _ in range(200):
+        own = some(words)
+        pairs.append([" ".join([*some(rng.randrange(20, 60)), *own, *some(rng.randrange(20, 60))]) for _ in range(2)])
+    assert recalled(spark, pairs) >= least
+
+
+def test_few_shingles_lose_no_pair():
+    rng = random.Random(8)
+    lists = [[rng.choice("abcdefg") for _ in range(rng.randrange(5, 26))] for _ in range(400)]
+    p = P.Paragraphs([" ".join(x).encode() for x in lists], 1)
+    at, found = P.keys(p)
+    own, sets = [set(found[a:b].tolist()) for a, b in itertools.pairwise(at)], [shingles(x) for x in lists]
+    near = [(i, j) for i, j in itertools.combinations(range(400), 2) if len(sets[i]) <= P.FEW and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert len(near) > 20 and all(own[i] & own[j] for i, j in near)
+
+
 def test_texts(spark, rows):
     """Removed words go, others stay where they were; other columns stay; documents without removals stay as they are."""
     long = " ".join(f"w{i}" for i in range(60))
