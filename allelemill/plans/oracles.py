@@ -340,7 +340,7 @@ def _fewest(name: str, ends: str, turn: str) -> str:
 
 def _relate(x: str, y: str) -> str:
     """How two parts (key, text, distance) relate; d{x}{y} is the distance between them."""
-    shared = f"EXISTS (SELECT 1 FROM units_p u JOIN units_p v ON v.pos = u.pos AND v.symbol = u.symbol WHERE u.key = {x}k AND v.key = {y}k)"
+    shared = f"({x}k, {y}k) IN (SELECT (xk, yk) FROM shared_p)"
     return f"CASE WHEN {x}t = {y}t THEN 'equivalent' WHEN {x}d + {y}d = d{x}{y} THEN 'disjoint' WHEN {x}d - {y}d = d{x}{y} THEN 'contains' WHEN {y}d - {x}d = d{x}{y} THEN 'is_contained' WHEN {shared} THEN 'overlap' ELSE 'disjoint' END"
 
 
@@ -367,12 +367,15 @@ DIFFERENCE = RECURSIVE + f""", whole AS MATERIALIZED (SELECT row_number() OVER (
     SELECT o.key AS id, s.a, lag(r) OVER w + 1 AS vstart, r AS vend, substr(s.b, CAST(lag(c) OVER w + 2 AS INT), CAST(c - lag(c) OVER w - 1 AS INT)) AS seq
     FROM (SELECT key, rank, min(r) AS r, min(c) AS c FROM kept_p GROUP BY key, rank HAVING count(*) = 1) o JOIN sizes_p s ON s.key = o.key WINDOW w AS (PARTITION BY o.key ORDER BY rank)
   ) WHERE vstart IS NOT NULL AND (vstart < vend OR seq <> '')
-), {_TEXTS}, told_p AS MATERIALIZED (
+), {_TEXTS.replace("range(0, 7000)", "range(0, 40)")}, told_p AS MATERIALIZED (
   SELECT s.key, s.a, s.b, s.n + s.m - 2 * s.l AS distance, CASE coalesce(t.n, 0) WHEN 0 THEN '=' WHEN 1 THEN all_of ELSE concat('[', all_of, ']') END AS hgvs
   FROM sizes_p s LEFT JOIN (SELECT id, count(*) AS n, string_agg(text, ';' ORDER BY vstart) AS all_of FROM texts GROUP BY id) t ON t.id = s.key
 ), joined AS MATERIALIZED (
   SELECT p.a, p.b, i.hgvs AS subtrahend_hgvs, o.hgvs AS remainder_hgvs, w.key AS wk, w.b AS wt, w.distance AS wd, i.key AS ik, i.b AS it, i.distance AS id, o.key AS ok, o.b AS ot, o.distance AS od,
     {distance_sql("w.b", "i.b")} AS dwi, {distance_sql("w.b", "o.b")} AS dwo, {distance_sql("i.b", "o.b")} AS dio
   FROM pairs p JOIN told_p w ON w.a = p.a AND w.b = p.b JOIN told_p i ON i.a = p.a AND i.b = p.it JOIN told_p o ON o.a = p.a AND o.b = p.ot
+), met_p AS MATERIALIZED (SELECT wk AS xk, ik AS yk FROM joined UNION SELECT wk, ok FROM joined UNION SELECT ik, ok FROM joined
+), one_p AS MATERIALIZED (SELECT xk, yk, pos, symbol FROM met_p JOIN units_p ON key = xk
+), shared_p AS MATERIALIZED (SELECT DISTINCT xk, yk FROM one_p o JOIN units_p v ON v.key = o.yk AND v.pos = o.pos AND v.symbol = o.symbol
 ), named AS (SELECT a, b, subtrahend_hgvs, remainder_hgvs, {_relate("w", "i")} AS with_subtrahend, {_relate("w", "o")} AS with_remainder, {_relate("i", "o")} AS "between" FROM joined)
 SELECT n.key, subtrahend_hgvs, remainder_hgvs, with_subtrahend, with_remainder, "between" FROM names n JOIN named d ON d.a = n.a AND d.b = n.b"""
