@@ -12,6 +12,7 @@ the backward table is rolled along. So there is no size beyond which an alignmen
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -269,30 +270,45 @@ class Alignments:
         """The distinct edits between neighbouring matches, sorted."""
         return sorted({e for _, _, e in self.steps() if e.start < e.end or e.sequence})
 
-    def walks(self, limit: int | None = None, atomics: bool = False) -> Iterator[list[Edit]]:
-        """Minimal alignments as lists of edits, one by one, at most `limit` of them; there may be exponentially many.
-        With atomics each edit in every way of single deletions and insertions, in the order of `interleavings`."""
-        after: dict[tuple[int, int], list] = {}
+    @functools.cached_property
+    def _after(self) -> dict[tuple[int, int], list[tuple[tuple[int, int], Edit]]]:
+        """The matches that follow each match, in order, and the edits between."""
+        out: dict[tuple[int, int], list] = {}
         for p, q, e in self.steps():
-            forms = [[]] if e.start == e.end and not e.sequence else list(interleavings(e)) if atomics else [[e]]
-            after.setdefault(p, []).extend((q, form) for form in forms)
-        sink, given = (len(self.a), len(self.b)), 0
-        stack: list[tuple[tuple[int, int], tuple[Edit, ...]]] = [((-1, -1), ())]
-        while stack and (limit is None or given < limit):
-            cell, edits = stack.pop()
-            if cell == sink:
-                yield list(edits)
-                given += 1
-                continue
-            for q, form in reversed(after.get(cell, [])):
-                stack.append((q, (*edits, *form)))
-
-    def walk_count(self) -> int:
+            out.setdefault(p, []).append((q, e))
+        return out
+
+    def _ways(self, atomics: bool) -> dict[tuple[int, int], int]:
+        """How many ways lead from each match to the end."""
+        ways = {(len(self.a), len(self.b)): 1}
+        for rank in self._ranks()[-2::-1]:
+            for p in rank:
+                ways[p] = sum(ways[q] * (forms(e) if atomics else 1) for q, e in self._after.get(p, ()))
+        return ways
+
+    def walks(self, limit: int | None = None, atomics: bool = False, first: int = 0) -> Iterator[list[Edit]]:
+        """Minimal alignments as lists of edits, one by one, from number `first` on, at most `limit` of them; there may be
+        exponentially many. With atomics each edit in every way of single deletions and insertions, in the order of
+        `interleavings`. A walk is made from its number and the counts of ways alone, so any range of them can be made anywhere."""
+        ways, sink = self._ways(atomics), (len(self.a), len(self.b))
+        total = ways[-1, -1]
+        for number in range(first, total if limit is None else min(total, first + limit)):
+            cell, edits, left = (-1, -1), [], number
+            while cell != sink:
+                for q, e in self._after[cell]:
+                    own = ways[q] * (forms(e) if atomics else 1)
+                    if left < own:
+                        break
+                    left -= own
+                form, left = divmod(left, ways[q])
+                if e.start < e.end or e.sequence:
+                    edits += interleaving(e, form) if atomics else [e]
+                cell = q
+            yield edits
+
+    def walk_count(self, atomics: bool = False) -> int:
         """How many minimal alignments there are."""
-        ways = {(-1, -1): 1}
-        for p, q, _ in self.steps():
-            ways[q] = ways.get(q, 0) + ways[p]
-        return ways[len(self.a), len(self.b)]
+        return self._ways(atomics)[-1, -1]
 
     def _between(self, ranks: list[list[tuple[int, int]]]) -> list[Edit]:
         fixed = [cells[0] for cells in ranks if len(cells) == 1]
@@ -447,29 +463,37 @@ def by_distances(left: int, right: int, apart: int) -> str | None:
     return None
 
 
-def interleavings(edit: Edit) -> Iterator[list[Edit]]:
-    """All ways to write an edit as deletions of one symbol and insertions, one by one.
+def forms(edit: Edit) -> int:
+    """In how many ways an edit is one of single deletions and insertions."""
+    return math.comb(edit.end - edit.start + len(edit.sequence), len(edit.sequence))
+
+
+def interleaving(edit: Edit, number: int) -> list[Edit]:
+    """The way of that number to write an edit as deletions of one symbol and insertions.
 
     A way says how many of the new symbols come before each place of the deleted stretch and how many after it: rising
     numbers, one for each deleted symbol. Ways that insert earlier come first.
     """
     cut, new = edit.end - edit.start, len(edit.sequence)
-    put = [new] * cut  # how many new symbols stand before each deleted one
-    while True:
-        way, done = [], 0
-        for k, n in enumerate([*put, new]):
-            at = edit.start + k
-            if n > done:
-                way.append(Edit(at, at, edit.sequence[done:n]))
-            if k < cut:
-                way.append(Edit(at, at + 1, ""))
-            done = n
-        yield way
-        # The next smaller rising sequence: the last number that can fall does, what follows rises to all.
-        k = next((k for k in range(cut - 1, -1, -1) if put[k] > (put[k - 1] if k else 0)), None)
-        if k is None:
-            return
-        put[k:] = [put[k] - 1] + [new] * (cut - k - 1)
+    way, done = [], 0
+    for k in range(cut):
+        put = new
+        # So many ways have this number here: the numbers that follow are no smaller.
+        while number >= (own := math.comb(new - put + cut - k - 1, cut - k - 1)):
+            number -= own
+            put -= 1
+        if put > done:
+            way.append(Edit(edit.start + k, edit.start + k, edit.sequence[done:put]))
+        way.append(Edit(edit.start + k, edit.start + k + 1, ""))
+        done = put
+    return [*way, Edit(edit.end, edit.end, edit.sequence[done:])] if new > done else way
+
+
+def interleavings(edit: Edit, limit: int | None = None, first: int = 0) -> Iterator[list[Edit]]:
+    """All ways to write an edit as deletions of one symbol and insertions, one by one, from number `first` on."""
+    total = forms(edit)
+    for number in range(first, total if limit is None else min(total, first + limit)):
+        yield interleaving(edit, number)
 
 
 #: Primes below 2**31, and the base, of the names of parts.

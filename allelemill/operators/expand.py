@@ -1,44 +1,73 @@
-"""Minimal alignments and atomic ways as rows, made one by one: there may be exponentially many, and no list holds them."""
+"""Minimal alignments and atomic ways as rows. There may be exponentially many of one row, and no list or task holds them.
+
+First each row is counted, by the table of its alignments, and becomes ranges of RANGE numbers; these are dealt to all tasks,
+where each number is turned into its alignment by the counts alone. So one row's alignments are made by many tasks, and what a
+lost executor had is made again range by range.
+"""
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..kernel import align
 from ..schema import ALLELE, ARROW_ALLELE
 
-#: Rows of a batch.
-BATCH = 1000
+#: Alleles of a range, and of a batch.
+RANGE, BATCH = 10_000, 1000
 
 
-def _rows(df: DataFrame, columns: list[str], name: str, many) -> DataFrame:
-    """df with `name` (a number from 0) and `variants`, a row for each allele that many(*values of columns) yields."""
+def _ranged(df: DataFrame, columns: list[str], count: Callable[..., int], size: int) -> DataFrame:
+    """df with _first and _size, a row for each range of the numbers that count(*values of columns) tells."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches):
         for batch in batches:
             values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
             for i, row in enumerate(zip(*values, strict=True)):
-                if any(x is None for x in row):
-                    continue
-                ways = enumerate(many(*row))
+                n = 0 if any(x is None for x in row) else count(*row)
+                starts = iter(range(0, n, size))
+                while some := list(itertools.islice(starts, BATCH)):
+                    own = [c.take(pa.array([i] * len(some))) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(some, pa.int64()), pa.array([min(size, n - k) for k in some], pa.int64())], [*batch.schema.names, "_first", "_size"])
+
+    return df.mapInArrow(run, f"{fields}, _first long, _size long")
+
+
+def _rows(df: DataFrame, columns: list[str], name: str, count: Callable[..., int], many: Callable[..., Iterator], size: int) -> DataFrame:
+    """df with `name` (a number from 0) and `variants`, a row for each allele: count(*values of columns) of them, of which
+    many(*values, first, size) yields a range."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    dealt = _ranged(df, columns, count, size).repartition(F.xxhash64(*(f"`{c}`" for c in columns), "_first"))
+
+    def run(batches):
+        for batch in batches:
+            values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*columns, "_first", "_size")]
+            for i, row in enumerate(zip(*values, strict=True)):
+                ways = enumerate(many(*row), row[-2])
                 while some := list(itertools.islice(ways, BATCH)):
-                    same = pa.array([i] * len(some))
-                    own = [c.take(same) for c in batch.columns]
+                    own = [c.take(pa.array([i] * len(some))) for c in batch.columns[:-2]]
                     variants = pa.array([[e._asdict() for e in way] for _, way in some], ARROW_ALLELE)
-                    yield pa.RecordBatch.from_arrays([*own, pa.array([k for k, _ in some], pa.int32()), variants], [*batch.schema.names, name, "variants"])
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([k for k, _ in some], pa.int64()), variants], [*batch.schema.names[:-2], name, "variants"])
+
+    return dealt.mapInArrow(run, f"{fields}, {name} long, variants {ALLELE}")
+
 
-    return df.mapInArrow(run, f"{fields}, {name} int, variants {ALLELE}")
+def _up_to(limit: int | None, n: int) -> int:
+    return n if limit is None else min(limit, n)
 
 
-def paths(df: DataFrame, reference: str = "reference", observed: str = "observed", atomics: bool = False, limit: int | None = None) -> DataFrame:
+def paths(df: DataFrame, reference: str = "reference", observed: str = "observed", atomics: bool = False, limit: int | None = None, size: int = RANGE) -> DataFrame:
     """df with path and variants: a row for each minimal alignment, at most `limit` for each row of df (none by default)."""
-    return _rows(df, [reference, observed], "path", lambda r, o: align.windowed(r, o).walks(limit, atomics))
+    count = lambda r, o: _up_to(limit, align.windowed(r, o).walk_count(atomics))
+    return _rows(df, [reference, observed], "path", count, lambda r, o, first, n: align.windowed(r, o).walks(n, atomics, first), size)
 
 
-def ways(df: DataFrame, variant: str = "variant", limit: int | None = None) -> DataFrame:
+def ways(df: DataFrame, variant: str = "variant", limit: int | None = None, size: int = RANGE) -> DataFrame:
     """df with way and variants: a row for each way to write a variant as single deletions and insertions."""
-    return _rows(df, [variant], "way", lambda v: itertools.islice(align.interleavings(align.Edit(v["start"], v["end"], v["sequence"])), limit))
+    read = lambda v: align.Edit(v["start"], v["end"], v["sequence"])
+    return _rows(df, [variant], "way", lambda v: _up_to(limit, align.forms(read(v))), lambda v, first, n: align.interleavings(read(v), n, first), size)

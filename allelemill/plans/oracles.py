@@ -68,7 +68,7 @@ PATHS = NAMES + f""", walks AS (
   UNION ALL
   SELECT s.key, s.rank + 1, s.qr, s.qc, list_concat(places, [s.qr, s.qc]), CASE WHEN s.vstart = s.vend AND s.seq = '' THEN texts ELSE list_append(texts, {_hgvs("z.a", "s.vstart", "s.vend", "s.seq")}) END
   FROM walks w JOIN steps s ON s.key = w.key AND s.rank = w.rank AND s.pr = w.r AND s.pc = w.c JOIN sizes z ON z.key = s.key
-) SELECT w.key, CAST(row_number() OVER (PARTITION BY w.key ORDER BY places) - 1 AS INT) AS path,
+) SELECT w.key, CAST(row_number() OVER (PARTITION BY w.key ORDER BY places) - 1 AS BIGINT) AS path,
   CASE len(texts) WHEN 0 THEN '=' WHEN 1 THEN texts[1] ELSE concat('[', array_to_string(texts, ';'), ']') END AS hgvs
 FROM walks w JOIN sizes s ON s.key = w.key AND w.rank = s.l"""
 
@@ -133,7 +133,7 @@ ATOMICS = SQL.replace("WITH dna", "WITH RECURSIVE dna", 1) + """, ways AS (
          ELSE list_append(texts, concat(vstart + gone, ':', vstart + gone, '/', substr(seq, CAST(put + 1 AS INT), 1))) END
   FROM ways, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) t(ins) WHERE CASE ins WHEN 1 THEN put < length(seq) ELSE gone < vend - vstart END
 )
-SELECT ref_id, vstart, vend, seq, CAST(row_number() OVER (PARTITION BY ref_id, vstart, vend, seq ORDER BY turns) - 1 AS INT) AS way, array_to_string(texts, ';') AS edits
+SELECT ref_id, vstart, vend, seq, CAST(row_number() OVER (PARTITION BY ref_id, vstart, vend, seq ORDER BY turns) - 1 AS BIGINT) AS way, array_to_string(texts, ';') AS edits
 FROM ways WHERE gone = vend - vstart AND put = length(seq)"""
 
 # ---- alleles: bands ------------------------------------------------------------------------------------------------------
