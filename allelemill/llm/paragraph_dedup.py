@@ -2,8 +2,8 @@
 
 A paragraph ends at a line break or after a word that ends in a full stop, an exclamation or a question mark, so that a
 passage pasted into other text keeps its own paragraphs wherever it stands. Paragraphs of LEAST words or more are sets
-of five-word shingles; BANDS bands of ROWS minimal hashes each (`recall` tells the chance that two sets share a bucket: 0.99
-at a similarity of 0.75) name buckets; of FEW shingles or fewer, of which a band of three would be most of the set, the least
+of five-word shingles; BANDS bands of ROWS minimal hashes each (`recall` tells the chance that two sets share a bucket: 0.984
+at a similarity of 0.75) name buckets; of FEW shingles or fewer, of which bands would be most of the set, the least
 hashes are buckets themselves, as many as cannot all be missing in a similar set, so that none is lost. All colliding paragraphs are compared, exact Jaccard similarity is verified on their
 words, and the removals are clustered by connected components. Of each cluster the first occurrence (smallest doc_id, then
 paragraph) stays.
@@ -41,7 +41,7 @@ from .components import components
 from .jaccard_join import _tiles, vector
 
 WORDS, PERCENT, LEAST = 5, 75, 8
-BANDS, ROWS = 9, 3
+BANDS, ROWS = 5, 2
 #: Sets of so many shingles or fewer take their least hashes for bands.
 FEW = 15
 PIECE, SPREAD = 16, 16
@@ -132,13 +132,13 @@ def keys(p: Paragraphs, bands: int = BANDS, rows: int = ROWS, percent: int = PER
     return np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(p.doc)))]).astype(np.int32), found[order]
 
 
-PARAGRAPHS = ["doc_id", "paragraph", "start_word", "n_words", "last", "set", "bands", "words"]
+PARAGRAPHS = ["doc_id", "paragraph", "start_word", "n_words", "last", "set", "words"]
 
 
-def marks(docs: DataFrame, least: int = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each paragraph: doc_id, paragraph, start_word, n_words, set (a digest of its shingles), bands (its
-    buckets' keys) and words (its text), both null where the same block has the set before. One row for each piece: doc_id,
-    paragraph and last (numbers of the paragraphs of its first and last words), start_word, n_words, set (a digest of its words)."""
+def marks(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row for each paragraph: doc_id, paragraph, start_word, n_words, set (a digest of its shingles) and words (its text; null
+    where the same block has the set before). One row for each piece: doc_id, paragraph and last (numbers of the paragraphs of
+    its first and last words), start_word, n_words, set (a digest of its words)."""
 
     def run(batches):
         for batch in batches:
@@ -149,17 +149,49 @@ def marks(docs: DataFrame, least: int = LEAST, bands: int = BANDS, rows: int = R
                 sets = p.digests()
                 new = np.zeros(len(sets), dtype=bool)
                 new[np.unique(sets, return_index=True)[1]] = True
-                at, own = keys(p, bands, rows)
-                own = pa.ListArray.from_arrays(pa.array(at), pa.array(own)).take(pa.array(np.where(new, np.arange(len(sets)), -1), mask=~new))
                 words = [p.text(k, w, texts) if once else None for k, once in enumerate(new)]
                 ids = part.column("doc_id")
-                nothing = lambda n, kind: pa.nulls(n, kind)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.doc)), *map(pa.array, (p.number, p.start, p.words)), nothing(len(sets), pa.int64()), pa.array(sets), own, pa.array(words, pa.string())], PARAGRAPHS)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p.doc)), *map(pa.array, (p.number, p.start, p.words)), pa.nulls(len(sets), pa.int64()), pa.array(sets), pa.array(words, pa.string())], PARAGRAPHS)
                 n = len(q.doc)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q.doc)), pa.array(q.paragraph), pa.array(q.start), pa.array(np.full(n, PIECE)), pa.array(q.last), pa.array(q.digest), nothing(n, pa.list_(pa.int64())), nothing(n, pa.string())], PARAGRAPHS)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q.doc)), pa.array(q.paragraph), pa.array(q.start), pa.array(np.full(n, PIECE)), pa.array(q.last), pa.array(q.digest), pa.nulls(n, pa.string())], PARAGRAPHS)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, paragraph long, start_word long, n_words long, last long, set long, bands array<long>, words string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, paragraph long, start_word long, n_words long, last long, set long, words string")
+
+
+def _entries(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(bucket, set) for each bucket of (set, words)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_blocks([batch.rename_columns(["set", "text"])]):
+                p = Paragraphs(utf8(part.column("text")), 1, whole=True)
+                at, own = keys(p, bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(own), part.column("set").take(pa.array(p.doc)).take(pa.array(np.repeat(np.arange(len(p.doc)), np.diff(at))))], ["bucket", "set"])
+
+    return sets.select("set", "words").mapInArrow(run, "bucket long, set long")
+
+
+def _meetings(entered: DataFrame) -> DataFrame:
+    """(set, lo, before) for each set of a bucket but the first, lo: that, and the one before; of rows that come sorted."""
+
+    def run(batches):
+        first = last = None  # the bucket's first set; the row before: bucket, set
+        for batch in batches:
+            bucket, own = batch.column("bucket").to_numpy(), batch.column("set").to_numpy()
+            if not len(own):
+                continue
+            begins = np.ones(len(own), dtype=bool)
+            begins[1:] = bucket[1:] != bucket[:-1]
+            begins[0] = last is None or bucket[0] != last[0]
+            before = np.concatenate([[own[0] if last is None else last[1]], own[:-1]])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(own)), -1))
+            lo = np.where(at < 0, own[0] if first is None else first, own[np.maximum(at, 0)])
+            more = ~begins & (own != before)
+            yield pa.RecordBatch.from_arrays([pa.array(own[more]), pa.array(lo[more]), pa.array(before[more])], ["set", "lo", "before"])
+            first, last = lo[-1], (bucket[-1], own[-1])
+
+    return entered.repartition("bucket").sortWithinPartitions("bucket", "set").mapInArrow(run, "set long, lo long, before long")
 
 
 def _vectors(sets: DataFrame) -> DataFrame:
@@ -208,23 +240,21 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start_word"), F.col("paragraph"))
 
 
-def links(found: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def links(found: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(verified links between sets of paragraphs, u and v; the sets that met others: set, words). found: paragraphs of `marks`."""
-    entered = found.where("bands is not null").select("set", "bands").dropDuplicates(["set"]).select(F.explode("bands").alias("bucket"), "set")
-    ends = entered.groupBy("bucket").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo != hi")
-    met = stored(entered.join(ends, "bucket").select("set", "lo", "hi").distinct(), "met")
-    star = met.select("set", F.explode(F.array("lo", "hi")).alias("end")).where("set != end")
+    every = stored(found.where("words is not null").select("set", "words").dropDuplicates(["set"]), "sets")
+    met = stored(_meetings(_entries(every, bands, rows)).distinct(), "met")
+    star = met.select("set", F.explode(F.array("lo", "before")).alias("end"))
     pairs = stored(star.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct(), "pairs")
-    wanted = met.select("set").distinct()
-    sets = stored(found.where("words is not null").select("set", "words").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("words").alias("words")), "words")
+    groups = stored(met.select(F.col("lo").alias("cell"), "set").unionByName(met.select(F.col("lo").alias("cell"), F.col("lo").alias("set"))).distinct(), "groups")  # buckets of one lower end are put together
+    sets = stored(every.join(groups.select("set").distinct(), "set", "left_semi"), "words")
     first = stored(_verified(pairs, sets, percent), "verified")
-    groups = met.select(F.col("lo").alias("cell"), "set").distinct()  # buckets of one lower end are put together
     more = stored(_tiles(groups, components(first), stored(_vectors(sets), "vectors"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     return first.unionByName(_verified(more, sets, percent)), sets
 
 
-def _repeats(found: DataFrame, percent: int) -> DataFrame:
-    roots = components(links(found, percent)[0])
+def _repeats(found: DataFrame, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    roots = components(links(found, percent, bands, rows)[0])
     places = found.groupBy("set").agg(F.count("*").alias("rows"), F.min(_place()).alias("keep"))
     rooted = stored(places.join(roots, F.col("set") == F.col("node"), "left").select("set", "rows", "keep", F.coalesce("root", "set").alias("root")), "rooted")
     clusters = rooted.groupBy("root").agg(F.sum("rows").alias("copies"), F.count("*").alias("sets"), F.min("keep").alias("first")).where("copies > 1")
@@ -235,7 +265,7 @@ def _repeats(found: DataFrame, percent: int) -> DataFrame:
 def repeats(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each paragraph that has others like it: doc_id, paragraph, start_word, n_words, keep_doc_id,
     keep_paragraph (the occurrence that stays), copies (paragraphs of the cluster), removed."""
-    return _repeats(stored(marks(docs, least, bands, rows), "marks").where("last is null"), percent)
+    return _repeats(stored(marks(docs, least), "marks").where("last is null"), percent, bands, rows)
 
 
 class Pieces:
