@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from . import arrow
+from . import arrow, tables
 
 #: Functions that SQL can say itself; parameters are named in the text.
 SQL = {
@@ -17,8 +17,9 @@ ARROW = ("edit_distance", "bounded_distance", "sequence_relation", "parse_hgvs",
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to the session under their own names."""
+    """Makes the functions known to the session under their own names, and the table functions under those of `tables.TABLES`."""
     for name in ARROW:
         spark.udf.register(name, getattr(arrow, name))
     for head, body in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    tables.register(spark)

@@ -379,3 +379,19 @@ DIFFERENCE = RECURSIVE + f""", whole AS MATERIALIZED (SELECT row_number() OVER (
 ), shared_p AS MATERIALIZED (SELECT DISTINCT xk, yk FROM one_p o JOIN units_p v ON v.key = o.yk AND v.pos = o.pos AND v.symbol = o.symbol
 ), named AS (SELECT a, b, subtrahend_hgvs, remainder_hgvs, {_relate("w", "i")} AS with_subtrahend, {_relate("w", "o")} AS with_remainder, {_relate("i", "o")} AS "between" FROM joined)
 SELECT n.key, subtrahend_hgvs, remainder_hgvs, with_subtrahend, with_remainder, "between" FROM names n JOIN named d ON d.a = n.a AND d.b = n.b"""
+
+
+def _interleaved(source: str, key: str) -> str:
+    """The ways of each edit of `source` (key columns, vstart, vend, seq) as single deletions and insertions: a step puts or deletes one symbol."""
+    return f"""turns AS (
+  SELECT {key}, vstart, vend, seq, CAST(0 AS BIGINT) AS gone, CAST(0 AS BIGINT) AS put, '' AS last, CAST([] AS VARCHAR[]) AS texts FROM {source}
+  UNION ALL
+  SELECT {key}, vstart, vend, seq, gone + (1 - ins), put + ins, CASE ins WHEN 1 THEN '0' ELSE '1' END,
+    CASE WHEN ins = 0 THEN list_append(texts, concat(vstart + gone, ':', vstart + gone + 1, '/'))
+         WHEN last = '0' THEN list_append(texts[1:len(texts) - 1], concat(texts[len(texts)], substr(seq, CAST(put + 1 AS INT), 1)))
+         ELSE list_append(texts, concat(vstart + gone, ':', vstart + gone, '/', substr(seq, CAST(put + 1 AS INT), 1))) END
+  FROM turns, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) t(ins) WHERE CASE ins WHEN 1 THEN put < length(seq) ELSE gone < vend - vstart END
+)"""
+
+
+ATOMIC_STEPS = NAMES + ", " + _interleaved("edits_of", "key, pr, pc, qr, qc") + " SELECT key, pr AS row, pc AS col, array_to_string(texts, ';') AS edits FROM turns WHERE gone = vend - vstart AND put = length(seq)"

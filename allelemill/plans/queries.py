@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrow, columns
+from ..functions import arrow, columns, tables
 from ..operators import classes, differences, expand, relations, summaries
 from ..sources import random as random_sources
 from . import derived, oracles
@@ -349,6 +349,31 @@ def vcf_parse(spark, sf):
     return lines.select("ref_id", v["start"].alias("vstart"), v["end"].alias("vend"), v["sequence"].alias("seq"))
 
 
+def _lateral(spark: SparkSession, rows: DataFrame, text: str) -> DataFrame:
+    """SQL over `rows` (as {rows}) with the table functions."""
+    tables.register(spark)
+    return spark.sql(text, rows=rows)
+
+
+@query(whole=oracles.EDGES)
+def lateral_edges(spark, sf):
+    found = _lateral(spark, derived.names(spark, sf), "SELECT key, edge FROM {rows} t, LATERAL edges_of(t.a, t.b)")
+    return found.select("key", columns.variant_text("edge").alias("edge"))
+
+
+@query(whole=oracles.PATHS)
+def lateral_paths(spark, sf):
+    found = _lateral(spark, derived.names(spark, sf), "SELECT key, a, path, variants FROM {rows} t, LATERAL paths_of(t.a, t.b)")
+    return found.select("key", "path", columns.allele_to_hgvs("variants", "a").alias("hgvs"))
+
+
+@query(whole=oracles.ATOMIC_STEPS)
+def graph_atomics(spark, sf):
+    """The traversal with each edge in every way of single deletions and insertions."""
+    found = _lateral(spark, derived.names(spark, sf), "SELECT key, source_row, source_col, variants FROM {rows} t, LATERAL steps_of(t.a, t.b, true)")
+    return found.select("key", F.col("source_row").alias("row"), F.col("source_col").alias("col"), F.array_join(F.transform("variants", columns.variant_text), ";").alias("edits"))
+
+
 @query(whole=oracles.DIFFERENCE)
 def difference(spark, sf):
     """The allele that makes b of a is one edit of all of a."""

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -149,3 +150,43 @@ def test_small_edits_in_long_repeats():
     assert w.canonical() == [Edit(1, n + 1, "A" * (n - 1))]
     w = windowed("G" + "AT" * (n // 2) + "C", "G" + "AT" * (n // 2) + "ATC")
     assert w.distance == 2 and w.spanning() == Edit(1, n + 1, "AT" * (n // 2 + 1))
+
+
+def _by_bits(a, b):
+    return len(a) + len(b) - 2 * align._common(a, b)
+
+
+def test_fronts_tell_the_distance():
+    rng = random.Random(12)
+    for k in range(1500):
+        a = "".join(rng.choices("ACG"[: rng.randrange(1, 4)], k=rng.randrange(0, 40)))
+        b = list(a) if k % 2 else rng.choices("ACG", k=rng.randrange(0, 40))
+        for _ in range(rng.randrange(4) if b else 0):
+            b[rng.randrange(len(b))] = rng.choice(["A", "", "CC"])
+        b = "".join(b)
+        distance = _by_bits(a, b)
+        assert align._fronts(a, b) == distance == align._fronts(b, a)
+        for most in range(max(0, distance - 1), distance + 2):
+            if most < distance:
+                with pytest.raises(align.DistanceExceeded):
+                    align._fronts(a, b, most)
+            else:
+                assert align._fronts(a, b, most) == distance
+
+
+def test_distances_of_long_texts():
+    """A large deletion, few edits of 200,000 symbols, and texts that have nothing to do with each other."""
+    rng = random.Random(13)
+    whole = "".join(rng.choices("ACGT", k=1753))
+    assert align.edit_distance(whole, whole[:400] + whole[1277:]) == 877
+    long = rng.choices("ACGT", k=200_000)
+    other = list(long)
+    for at in range(0, 200_000, 10_000):
+        other[at] = ""
+    begin = time.perf_counter()
+    assert align.edit_distance("".join(long), "".join(other)) == 20
+    assert time.perf_counter() - begin < 1
+    a, b = ("".join(rng.choices("ACGT", k=900)) for _ in range(2))
+    assert align.edit_distance(a, b) == _by_bits(a, b)
+    with pytest.raises(align.DistanceExceeded):
+        align.edit_distance("".join(long), "".join(other), 19)
