@@ -395,3 +395,34 @@ def _interleaved(source: str, key: str) -> str:
 
 
 ATOMIC_STEPS = NAMES + ", " + _interleaved("edits_of", "key, pr, pc, qr, qc") + " SELECT key, pr AS row, pc AS col, array_to_string(texts, ';') AS edits FROM turns WHERE gone = vend - vstart AND put = length(seq)"
+
+#: What is told of the alleles that make b of a: canonical forms, spanning edits, distances.
+_EXTRACTED = RECURSIVE + ", " + _of_pairs("names", "_p").lstrip(" ,") + f""", {_fewest("cheap_p", "rank = -1", "+")}, {_fewest("dear_p", "rank = (SELECT l FROM sizes_p z WHERE z.key = cells_p.key)", "-")}, kept_p AS (
+  SELECT x.key, x.rank, x.r, x.c FROM cheap_p x JOIN dear_p y ON y.key = x.key AND y.rank = x.rank AND y.r = x.r AND y.c = x.c QUALIFY x.cost + y.cost = min(x.cost + y.cost) OVER (PARTITION BY x.key)
+), variants AS (
+  SELECT id, vstart, vend, seq, substr(a, CAST(vstart + 1 AS INT), CAST(vend - vstart AS INT)) AS old FROM (
+    SELECT o.key AS id, s.a, lag(r) OVER w + 1 AS vstart, r AS vend, substr(s.b, CAST(lag(c) OVER w + 2 AS INT), CAST(c - lag(c) OVER w - 1 AS INT)) AS seq
+    FROM (SELECT key, rank, min(r) AS r, min(c) AS c FROM kept_p GROUP BY key, rank HAVING count(*) = 1) o JOIN sizes_p s ON s.key = o.key WINDOW w AS (PARTITION BY o.key ORDER BY rank)
+  ) WHERE vstart IS NOT NULL AND (vstart < vend OR seq <> '')
+), {_TEXTS.replace("range(0, 7000)", "range(0, 40)")}, extracted AS (
+  SELECT s.key, CAST(s.n + s.m - 2 * s.l AS BIGINT) AS distance, CASE coalesce(t.n, 0) WHEN 0 THEN '=' WHEN 1 THEN all_of ELSE concat('[', all_of, ']') END AS hgvs,
+    coalesce(low, 0) AS vstart, coalesce(high, 0) AS vend, CASE WHEN low IS NULL THEN '' ELSE substr(s.b, CAST(low + 1 AS INT), CAST(high + s.m - s.n - low AS INT)) END AS seq
+  FROM sizes_p s LEFT JOIN (SELECT id, count(*) AS n, string_agg(text, ';' ORDER BY vstart) AS all_of FROM texts GROUP BY id) t ON t.id = s.key
+  LEFT JOIN (SELECT key, min(vstart) AS low, max(vend) AS high FROM edits_of_p GROUP BY key) e ON e.key = s.key
+)"""
+EXTRACTED = _EXTRACTED + " SELECT key, distance, hgvs, concat(vstart, ':', vend, '/', seq) AS supremal FROM extracted"
+REPORT = _EXTRACTED + " SELECT concat(key, ' ', key, ':g.', hgvs, ' ', key, ':', vstart, ':', vend - vstart, ':', seq) AS line FROM extracted"
+ATOMS_DISJOINT = _sides() + " SELECT key, key NOT IN (SELECT key FROM shared) AS is_disjoint FROM names"
+
+RICH_HGVS = SQL + """, shown AS (
+  SELECT *, substr(sequence, CAST(vstart + 1 AS INT), CAST(vend - vstart AS INT)) AS old, substr(sequence, CAST(vstart + 1 AS INT), 1) AS one, CASE WHEN vend - vstart = 1 THEN CAST(vend AS VARCHAR) ELSE concat(vstart + 1, '_', vend) END AS place
+  FROM edits JOIN dna USING (ref_id) WHERE vend > vstart
+), kinds AS (
+  SELECT *, (vstart + vend) % 7 AS kind, length(sequence) - vstart - length(ltrim(substr(sequence, CAST(vstart + 1 AS INT)), one)) AS copies FROM shown
+)
+SELECT ref_id, CASE kind WHEN 0 THEN concat(place, 'dup', CASE WHEN seq = '' THEN old ELSE '' END) WHEN 1 THEN concat('x:g.', place, 'inv') WHEN 2 THEN concat(place, CASE WHEN seq = '' THEN '' ELSE old END, '=')
+    WHEN 3 THEN concat(place, 'delins[A', seq, '[2];C[3]]') WHEN 4 THEN concat(CASE WHEN vend - vstart = 1 THEN concat(vend, '_', vend + 1) ELSE place END, 'G', seq, '[3]') WHEN 5 THEN concat(vstart + 1, one, '[4]') ELSE concat('[', length(sequence) + 1, '_', length(sequence) + 2, '=;', place, 'del', old, 'ins', seq, 'T]') END AS text,
+  CASE kind WHEN 0 THEN concat(vstart, ':', vend, '/', old, old) WHEN 1 THEN concat(vstart, ':', vend, '/', reverse(translate(old, 'ACGT', 'TGCA'))) WHEN 2 THEN ''
+    WHEN 3 THEN concat(vstart, ':', vend, '/A', seq, 'A', seq, 'CCC') WHEN 4 THEN CASE WHEN vend - vstart = 1 AND vend + 1 > length(sequence) THEN 'ValueError' ELSE concat(CASE WHEN vend - vstart = 1 THEN vend - 1 ELSE vstart END, ':', CASE WHEN vend - vstart = 1 THEN vend + 1 ELSE vend END, '/G', seq, 'G', seq, 'G', seq) END
+    WHEN 5 THEN concat(vstart, ':', vstart + copies, '/', repeat(one, 4)) ELSE concat(vstart, ':', vend, '/', seq, 'T') END AS edits
+FROM kinds"""

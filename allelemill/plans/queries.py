@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import arrow, columns, tables
 from ..operators import classes, differences, expand, relations, summaries
 from ..sources import random as random_sources
+from ..sources import readers, writers
+from ..store import shared_folder
 from . import derived, oracles
 from .derived import SQL, distance_sql
 
@@ -349,6 +352,73 @@ def vcf_parse(spark, sf):
     return lines.select("ref_id", v["start"].alias("vstart"), v["end"].alias("vend"), v["sequence"].alias("seq"))
 
 
+@query(whole=oracles.RICH_HGVS)
+def parse_rich_hgvs(spark, sf):
+    """Duplications, inversions, no change, compound insertions, repeats by range and by reference, lists: one shape for each edit."""
+    rows = _with_reference(spark, sf).where("vend > vstart").withColumn("old", columns.part(F.col("sequence"), F.col("vstart"), F.col("vend"))).withColumn("one", columns.part(F.col("sequence"), F.col("vstart"), F.col("vstart") + 1))
+    n, text = F.length("sequence"), lambda c: c.cast("string")
+    place = F.when(F.expr("vend - vstart = 1"), text(F.col("vend"))).otherwise(F.concat(text(F.col("vstart") + 1), F.lit("_"), text(F.col("vend"))))
+    two = F.when(F.expr("vend - vstart = 1"), F.concat(text(F.col("vend")), F.lit("_"), text(F.col("vend") + 1))).otherwise(place)
+    bare = F.col("seq") == ""
+    shapes = [
+        F.concat(place, F.lit("dup"), F.when(bare, F.col("old")).otherwise("")), F.concat(F.lit("x:g."), place, F.lit("inv")), F.concat(place, F.when(bare, "").otherwise(F.col("old")), F.lit("=")),
+        F.concat(place, F.lit("delins[A"), "seq", F.lit("[2];C[3]]")), F.concat(two, F.lit("G"), "seq", F.lit("[3]")), F.concat(text(F.col("vstart") + 1), "one", F.lit("[4]")),
+        F.concat(F.lit("["), text(n + 1), F.lit("_"), text(n + 2), F.lit("=;"), place, F.lit("del"), "old", F.lit("ins"), "seq", F.lit("T]")),
+    ]
+    kind, shape = F.expr("(vstart + vend) % 7"), F.lit(None).cast("string")
+    for k, s in enumerate(shapes):
+        shape = F.when(kind == k, s).otherwise(shape)
+    parsed = rows.select("ref_id", shape.alias("text"), "sequence").withColumn("p", arrow.parse_hgvs_with("text", "sequence"))
+    told = F.array_join(F.transform("p.variants", columns.variant_text), ";")
+    return parsed.select("ref_id", "text", F.coalesce(told, F.substring_index("p.error", ":", 1)).alias("edits"))
+
+
+@query(whole=oracles.EXTRACTED)
+def extract_sequence(spark, sf):
+    found = differences.extract(derived.names(spark, sf), "a", "b")
+    return found.select("key", "distance", "hgvs", columns.variant_text("supremal").alias("supremal"))
+
+
+@query(whole=oracles.EXTRACTED)
+def extract_supremal(spark, sf):
+    """The same from the spanning edits alone."""
+    spanning = derived.names(spark, sf).select("key", "a", arrow.supremal("a", "b").alias("v"))
+    found = spanning.withColumn("s", arrow.summarise_supremal("a", "v"))
+    return found.select("key", "s.distance", "s.hgvs", columns.variant_text("s.supremal").alias("supremal"))
+
+
+@query(whole=oracles.REPORT)
+def normalised_report(spark, sf):
+    """Lines as the writer of reports has them."""
+    name = F.col("key").cast("string")
+    rows = derived.names(spark, sf).select(name.alias("allele_id"), name.alias("ref_id"), F.col("a").alias("reference"), F.col("b").alias("observed"))
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    writers.write_normalised(differences.extract(rows), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(whole=oracles.ATOMS_DISJOINT)
+def graph_is_disjoint(spark, sf):
+    atoms = derived.names(spark, sf).select("key", arrow.unit_edits("a", "b").alias("l"), arrow.unit_edits("a", "c").alias("r"))
+    return atoms.select("key", columns.atoms_disjoint("l", "r").alias("is_disjoint"))
+
+
+@query("SELECT ref_id, vstart, vend, seq, CASE WHEN vstart >= 2 AND vstart - 2 <= vend - 3 THEN concat(vstart - 2, ':', vend - 3, '/', seq) END AS text, CASE WHEN vstart < 2 OR vstart - 2 > vend - 3 THEN 'ValueError' END AS error FROM edits")
+def safe_construct(spark, sf):
+    """Variants whose ends may be out of order or before the first symbol."""
+    start, end = F.col("vstart") - 2, F.col("vend") - 3
+    return _edits(spark, sf).select(*KEY, columns.variant_text(columns.safe_variant(start, end, F.col("seq"))).alias("text"), F.substring_index(columns.variant_error(start, end), ":", 1).alias("error"))
+
+
+@query(f"SELECT concat_ws(':', ref_id, vstart, vend, seq) AS allele_id, {_HGVS} AS hgvs, concat(vstart, ':', vend, '/', seq) AS edit FROM edits JOIN dna USING (ref_id)")
+def label_file(spark, sf):
+    """Lines of labels and HGVS, written and read again."""
+    line = F.concat(F.concat_ws(":", *KEY), F.lit(" "), columns.to_hgvs("v", "sequence"))
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    _with_reference(spark, sf).select(line).write.text(path)
+    return readers.read_labels(spark, path).select("allele_id", "hgvs", F.array_join(F.transform("variants", columns.variant_text), ";").alias("edit"))
+
+
 def _lateral(spark: SparkSession, rows: DataFrame, text: str) -> DataFrame:
     """SQL over `rows` (as {rows}) with the table functions."""
     tables.register(spark)
