@@ -18,6 +18,7 @@ ARROW_PARSED = pa.struct([("variants", ARROW_ALLELE), ("error", pa.string())])
 ARROW_SUMMARY = pa.struct([("distance", pa.int64()), ("supremal", ARROW_VARIANT), ("canonical", ARROW_ALLELE), ("local_supremal", ARROW_ALLELE), ("hgvs", pa.string()), ("atoms", ARROW_UNITS), ("error", pa.string())])
 
 
+ARROW_SPAN = pa.struct([("distance", pa.int64()), ("supremal", ARROW_VARIANT), ("error", pa.string())])
 CELL = pa.struct([("row", pa.int64()), ("col", pa.int64())])
 ARROW_STEPS = pa.list_(pa.struct([("source", CELL), ("sink", CELL), ("variant", ARROW_VARIANT)]))
 ARROW_DIFFERENCE = pa.struct([("subtrahend", ARROW_ALLELE), ("remainder", ARROW_ALLELE), ("with_subtrahend", pa.string()), ("with_remainder", pa.string()), ("between", pa.string())])
@@ -118,6 +119,19 @@ def summarise_window(reference: pa.Array, observed: pa.Array, shift: pa.Array, w
     return _each(summary, ARROW_SUMMARY, reference, observed, shift, whole_length)
 
 
+def _span(reference: str, observed: str, shift: int, whole_length: int) -> dict:
+    found = align.told(reference, observed, shift == 0, shift + len(reference) == whole_length, whole=False)
+    if found is None:
+        return {"error": "narrow"}
+    return {"distance": found.distance, "supremal": _told(align.moved(found.spanning, shift if found.distance else 0)), "error": None}
+
+
+@arrow_udf(ARROW_SPAN)
+def span_window(reference: pa.Array, observed: pa.Array, shift: pa.Array, whole_length: pa.Array) -> pa.Array:
+    """The distance and the spanning edit alone, as of summarise_window."""
+    return _each(_span, ARROW_SPAN, reference, observed, shift, whole_length)
+
+
 @arrow_udf(ARROW_SUMMARY)
 def summarise_allele(window: pa.Array, variants: pa.Array, shift: pa.Array, whole_length: pa.Array) -> pa.Array:
     """The same from sorted or unsorted variants, in the reference's places, that do not overlap."""

@@ -433,22 +433,26 @@ class Told(NamedTuple):
     wide: bool
 
 
-def _tell(reference: str, observed: str, at_start: bool, at_end: bool) -> Told:
-    whole = Alignments(reference, observed).spanning()
-    if whole.start == 0 and not at_start or whole.end == len(reference) and not at_end:
-        return Told(0, whole, (), (), (), True)
-    core = Alignments(reference[whole.start : whole.end], whole.sequence, whole.start)
-    return Told(core.distance, whole, tuple(core.canonical()), tuple(core.local_spanning()), tuple(core.unit_edits()), False)
+def _tell(reference: str, observed: str, at_start: bool, at_end: bool, whole: bool) -> Told:
+    spread = Alignments(reference, observed)
+    edit = spread.spanning()
+    if edit.start == 0 and not at_start or edit.end == len(reference) and not at_end:
+        return Told(0, edit, (), (), (), True)
+    if not whole:
+        return Told(spread.distance, edit, (), (), (), False)
+    core = Alignments(reference[edit.start : edit.end], edit.sequence, edit.start)
+    return Told(core.distance, edit, tuple(core.canonical()), tuple(core.local_spanning()), tuple(core.unit_edits()), False)
 
 
 _remembered = functools.lru_cache(REMEMBERED)(_tell)
 
 
-def told(reference: str, observed: str, at_start: bool = True, at_end: bool = True) -> Told | None:
+def told(reference: str, observed: str, at_start: bool = True, at_end: bool = True, whole: bool = True) -> Told | None:
     """Everything about an allele from a window of its reference and what the allele makes of it, in the window's places.
 
     at_start and at_end: whether the window ends where its reference does. None if the window is too narrow to tell. Alleles
-    come with few different surroundings, so what is told of short windows is remembered.
+    come with few different surroundings, so what is told of short windows is remembered. Without `whole` only the distance and
+    the spanning edit.
     """
     if reference == observed:
         return Told(0, Edit(0, 0, ""), (), (), (), False)
@@ -458,7 +462,7 @@ def told(reference: str, observed: str, at_start: bool = True, at_end: bool = Tr
         low, tail = max(0, front - pad), max(0, back - pad)
         a, b = reference[low : len(reference) - tail], observed[low : len(observed) - tail]
         tell = _remembered if len(a) + len(b) <= SHORT else _tell
-        found = tell(a, b, low == 0 and at_start, tail == 0 and at_end)
+        found = tell(a, b, low == 0 and at_start, tail == 0 and at_end, whole)
         if not found.wide:
             units = tuple((p + low, s) for p, s in found.units)
             return Told(found.distance, moved(found.spanning, low), tuple(moved(found.canonical, low)), tuple(moved(found.local_spanning, low)), units, False)

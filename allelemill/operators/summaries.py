@@ -30,7 +30,16 @@ def with_windows(alleles: DataFrame, references: DataFrame, pad: int = PAD) -> D
 FIELDS = ("distance", "supremal", "canonical", "local_supremal", "hgvs", "atoms")
 
 
-def summaries(alleles: DataFrame, references: DataFrame, pad: int = PAD) -> DataFrame:
+#: What the spanning edit alone tells.
+SPAN = ("distance", "supremal")
+
+
+def spanning(alleles: DataFrame, references: DataFrame, pad: int = PAD) -> DataFrame:
+    """summaries() with distance and supremal alone, for less than half the kernel's work."""
+    return summaries(alleles, references, pad, SPAN)
+
+
+def summaries(alleles: DataFrame, references: DataFrame, pad: int = PAD, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """allele_id, ref_id, variants, the summary's fields, and shift and window (a part of the reference, from `shift` on, that
     holds the spanning edit and a symbol on either side, where there is one). alleles: allele_id, ref_id, variants;
     references: ref_id, sequence.
@@ -45,7 +54,7 @@ def summaries(alleles: DataFrame, references: DataFrame, pad: int = PAD) -> Data
         near = with_windows(left, references, pad).withColumn("problem", problem)
         # The kernel's work is by alleles, not by bytes: few bytes would be left to few tasks, a hot tile to one.
         near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "allele_id")
-        told = arrow.summarise_window("window", F.when(F.col("problem").isNull(), F.col("observed_window")), "shift", "whole_length")
+        told = (arrow.span_window if set(fields) <= set(SPAN) else arrow.summarise_window)("window", F.when(F.col("problem").isNull(), F.col("observed_window")), "shift", "whole_length")
         done = stored(near.withColumn("s", told).drop("observed_window"), "summaries")
         narrow = F.col("s.error").eqNullSafe("narrow")
         parts.append(done.where(~narrow))
@@ -56,7 +65,7 @@ def summaries(alleles: DataFrame, references: DataFrame, pad: int = PAD) -> Data
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole.select("allele_id", "ref_id", "variants", *(F.col(f"s.{f}").alias(f) for f in FIELDS), F.coalesce(F.col("problem"), F.col("s.error")).alias("error"), "shift", "window")
+    return whole.select("allele_id", "ref_id", "variants", *(F.col(f"s.{f}").alias(f) for f in fields), F.coalesce(F.col("problem"), F.col("s.error")).alias("error"), "shift", "window")
 
 
 def equivalence_classes(summarised: DataFrame) -> DataFrame:

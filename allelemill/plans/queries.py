@@ -193,15 +193,19 @@ def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.summaries(derived.alleles(spark, sf), derived.references(spark, sf))
 
 
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.spanning(derived.alleles(spark, sf), derived.references(spark, sf))
+
+
 @query(whole=oracles.SUPREMAL)
 def supremal(spark, sf):
-    return _summaries(spark, sf).select("allele_id", "distance", columns.variant_text("supremal").alias("supremal"))
+    return _spans(spark, sf).select("allele_id", "distance", columns.variant_text("supremal").alias("supremal"))
 
 
 @query("SELECT concat_ws(':', ref_id, vstart, vend, seq) AS allele_id, substr(sequence, CAST(vstart + 1 AS INT), CAST(vend - vstart AS INT)) = seq AS same FROM edits JOIN dna USING (ref_id)")
 def identity_alleles(spark, sf):
     """An allele changes nothing exactly if its spanning edit is 0:0/."""
-    return _summaries(spark, sf).select("allele_id", (columns.variant_text("supremal") == "0:0/").alias("same"))
+    return _spans(spark, sf).select("allele_id", (columns.variant_text("supremal") == "0:0/").alias("same"))
 
 
 @query(whole=oracles.UNIQ_ATOMICS)
@@ -242,7 +246,7 @@ _OBSERVED = "concat(substr(sequence, 1, CAST(vstart AS INT)), seq, substr(sequen
 
 @query(f"SELECT ref_id, min(concat_ws(':', ref_id, vstart, vend, seq)) AS allele_id, count(*) AS members FROM edits JOIN dna USING (ref_id) GROUP BY ref_id, md5({_OBSERVED})")
 def equivalence_classes(spark, sf):
-    return summaries.equivalence_classes(_summaries(spark, sf)).drop("supremal")
+    return summaries.equivalence_classes(_spans(spark, sf)).drop("supremal")
 
 
 def _relations(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,12 +276,12 @@ def class_relations(spark, sf):
 
 @query(whole=oracles.SUPREMAL_COMPARE)
 def supremal_compare(spark, sf):
-    return classes.supremal_relations(classes.spans(_summaries(spark, sf)), derived.references(spark, sf))
+    return classes.supremal_relations(classes.spans(_spans(spark, sf)), derived.references(spark, sf))
 
 
 @query(whole=oracles.SUPREMAL_CONTAINS)
 def supremal_contains(spark, sf):
-    return classes.supremal_contains(classes.spans(_summaries(spark, sf)), derived.references(spark, sf))
+    return classes.supremal_contains(classes.spans(_spans(spark, sf)), derived.references(spark, sf))
 
 
 @query(whole=oracles.OVERLAP_SIZES)
