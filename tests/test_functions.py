@@ -156,3 +156,20 @@ def test_stream_of_alleles_in_long_repeats(spark, tmp_path, repeats):
     got = normalised_stream(spark, tmp_path, [("x", "R", f"{at + repeats + 1}_{at + repeats + 2}del")], [("R", reference)])["x"]
     assert got["error"] is None and (got["supremal"]["start"], got["supremal"]["end"]) == (at, at + 2 * repeats)
     assert got["canonical_hgvs"] == f"{at + 1}_{at + 2 * repeats}CA[{repeats - 1}]"
+
+
+def test_table_functions(spark):
+    register.register(spark)
+    spark.createDataFrame([(1, "AAAT", "ATT"), (2, None, "A"), (3, "A", "A")], "key int, a string, b string").createOrReplaceTempView("pairs")
+    whole = align.windowed("AAAT", "ATT")
+    edits = lambda vs: [align.Edit(*v) for v in vs]
+    got = spark.sql("SELECT key, path, variants FROM pairs t, LATERAL paths_of(t.a, t.b)").collect()
+    assert [edits(r["variants"]) for r in sorted(got, key=lambda r: r["path"]) if r["key"] == 1] == list(whole.walks())
+    assert [r["variants"] for r in got if r["key"] == 3] == [[]] and not [r for r in got if r["key"] == 2]
+    assert sorted(tuple(r["edge"]) for r in spark.sql("SELECT edge FROM pairs t, LATERAL edges_of(t.a, t.b)").collect()) == sorted(map(tuple, whole.edges()))
+    steps = spark.sql("SELECT s.* FROM pairs t, LATERAL steps_of(t.a, t.b, true) s").collect()
+    assert len(steps) == sum(align.forms(e) for _, _, e in whole.steps() if e.start < e.end or e.sequence)
+    ways = spark.sql("SELECT variants FROM ways_of(1, 3, 'AC') ORDER BY way").collect()
+    assert [edits(r["variants"]) for r in ways] == list(align.interleavings(align.Edit(1, 3, "AC")))
+    apart = spark.sql("SELECT between FROM pairs t, LATERAL differences_of(t.a, t.b) WHERE key = 1").collect()
+    assert sorted(r["between"] for r in apart) == sorted(d["between"] for d in align.difference("AAAT", "ATT"))
