@@ -349,3 +349,17 @@ def test_dictionary_of_little_text_is_all_of_it():
     assert quality_zstd.dictionary(texts[:2]) == b"one text another"
     made = quality_zstd.dictionary([bytes([k]) * 3 for k in range(5)])
     assert made == b" ".join(bytes([k]) * 3 for k in range(5)) or made[:4] == b"\x37\xa4\x30\xec"
+
+
+def test_pieces_have_added_tokens_as_the_tokenizer_does(spark):
+    """The call that the operator makes, on texts with what the tokenizer knows as a token of its own."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|>\n", "<|endoftext|", "x <|ENDOFTEXT|> é", "<|endoftext|>" * 2000, None, ""]
+    found = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path()).collect()
+    for k, text in enumerate(texts):
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 0]
+        own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in found if r["doc_id"] == k)
+        assert sum(n for _, n, _ in own) == len(ids) and own[0][0] == 0
+        assert all(c == zlib.crc32(np.array(ids[at : at + n], dtype="<u4").tobytes()) for at, n, c in own)
