@@ -15,6 +15,8 @@ from ..functions import arrow, columns
 from ..schema import CONTAINS, DISJOINT, EQUIVALENT, IS_CONTAINED, OVERLAP
 
 BIN = 512
+#: Fields of a summary that relations are told by.
+NEEDS = ("distance", "supremal", "atoms")
 
 
 def touching(lhs: DataFrame, rhs: DataFrame, bin_width: int = BIN, ordered: bool = True) -> DataFrame:
