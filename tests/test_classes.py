@@ -118,3 +118,35 @@ def test_a_range_of_very_many_alignments_is_made_alone():
     (last,) = whole.walks(first=total - 1)
     (middle,) = whole.walks(1, first=total // 2)
     assert align.patched("ACGT" * 12, last) == align.patched("ACGT" * 12, middle) == "TGCA" * 12 and last != middle
+
+
+def test_equal_texts_and_few_ways_are_dealt_in_whole_batches(spark):
+    """Many rows with equal texts, and variants of equal shape, each have all their own alignments and ways."""
+    pairs = spark.range(300).selectExpr("id", "'AAGTAAGT' AS reference", "'GTAGAA' AS observed")
+    n = align.windowed("AAGTAAGT", "GTAGAA").walk_count()
+    assert {r["count"] for r in expand.paths(pairs, size=3).groupBy("id").count().collect()} == {n} and n > 3
+    at = spark.range(40).selectExpr("id", "named_struct('start', id, 'end', id + id % 4, 'sequence', substr('ACG', 1, int(id % 3) + 1)) AS variant")
+    got = {}
+    for r in expand.ways(at).select("id", "way", "variants").collect():
+        got.setdefault(r["id"], {})[r["way"]] = [tuple(e) for e in r["variants"]]
+    edit = lambda k: align.Edit(k, k + k % 4, "ACG"[: k % 3 + 1])
+    assert got == {k: {w: [tuple(e) for e in align.interleaving(edit(k), w)] for w in range(align.forms(edit(k)))} for k in range(40)}
+    counted = {r["id"]: r["n"] for r in at.select("id", columns.way_count("variant").alias("n")).collect()}
+    assert counted == {k: align.forms(edit(k)) for k in range(40)}
+
+
+def test_windows_that_differ_in_names_are_told_once():
+    align._small.cache_clear()
+    for letters in ("ACGT", "TGCA", "CATG", "XYZW"):
+        a, b = ("GGATCATCATTT".translate(str.maketrans("ACGT", letters)), "GGATCATTT".translate(str.maketrans("ACGT", letters)))
+        told = align.told(a, b)
+        assert align.patched(a, [told.spanning]) == b and list(told.units) == sorted(align.Alignments(a, b).unit_edits())
+    assert align._small.cache_info().currsize == align._small.cache_info().misses <= 3
+
+
+def test_summaries_keep_a_window_no_wider_than_the_edit(spark):
+    refs = spark.createDataFrame([("r", "ACGTTGCATGCCATGACCAGTCATGACGTACGTTTGACC")], "ref_id string, sequence string")
+    one = spark.createDataFrame([("x", "r", [(18, 19, "")])], f"allele_id string, ref_id string, variants {V}")
+    (row,) = summaries.summaries(one, refs, fields=relations.NEEDS).collect()
+    assert row["shift"] == row["supremal"]["start"] - 1 and len(row["window"]) == row["supremal"]["end"] - row["supremal"]["start"] + 2
+    assert not {"canonical", "hgvs", "local_supremal"} & set(row.asDict())
