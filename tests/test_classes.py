@@ -150,3 +150,12 @@ def test_summaries_keep_a_window_no_wider_than_the_edit(spark):
     (row,) = summaries.summaries(one, refs, fields=relations.NEEDS).collect()
     assert row["shift"] == row["supremal"]["start"] - 1 and len(row["window"]) == row["supremal"]["end"] - row["supremal"]["start"] + 2
     assert not {"canonical", "hgvs", "local_supremal"} & set(row.asDict())
+
+
+def test_table_functions_of_distinct_texts_reach_all_keys(spark):
+    from allelemill.plans import queries
+
+    names = spark.range(8).selectExpr("id AS key", "'AAAT' AS a", "'ATT' AS b")
+    found = queries._lateral(spark, names, "SELECT a, b, edge FROM {rows} t, LATERAL edges_of(t.a, t.b)")
+    edges = align.windowed("AAAT", "ATT").edges()
+    assert sorted((r["key"], tuple(r["edge"])) for r in found.collect()) == sorted((k, tuple(e)) for k in range(8) for e in edges)
