@@ -4,10 +4,12 @@ import itertools
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from allelemill.functions import arrow
 from allelemill.kernel import align, notation
 from allelemill.kernel.align import Alignments, Edit, edit_distance, patched, relation, windowed
 
@@ -190,3 +192,38 @@ def test_distances_of_long_texts():
     assert align.edit_distance(a, b) == _by_bits(a, b)
     with pytest.raises(align.DistanceExceeded):
         align.edit_distance("".join(long), "".join(other), 19)
+
+
+def test_spans_tell_what_whole_alignments_tell():
+    """All windows at once, of any symbols, among them equal, empty and long ones, and repeats that reach a border."""
+    draw = random.Random(5)
+    pairs = [("", ""), ("", "AC"), ("ACA", ""), ("GATTACA", "GATTACA"), ("é€é€é", "é€é"), ("A" * 2000, "A" * 1999), ("CAAAT", "CAAT"), ("AAAT", "AAT")]
+    for _ in range(400):
+        a = "".join(draw.choices("ACGT", k=draw.randrange(60)))
+        at = draw.randrange(len(a) + 1)
+        pairs.append((a, a[:at] + "".join(draw.choices("ACGT", k=draw.randrange(5))) + a[at + draw.randrange(5) :]))
+    for ends in (True, False):
+        found = align.spans([a for a, _ in pairs], [b for _, b in pairs], [ends] * len(pairs), [ends] * len(pairs))
+        for (a, b), distance, low, high, narrow in zip(pairs, *(x.tolist() for x in found), strict=True):
+            whole = align.Alignments(a, b)
+            edit = whole.spanning()
+            assert narrow == (a != b and not ends and (edit.start == 0 or edit.end == len(a)))
+            if not narrow:
+                assert (distance, low, high) == (whole.distance, edit.start, edit.end)
+                told = align.core(a[low:high], edit.sequence)
+                assert list(told.canonical) == align.moved(whole.canonical(), -low) and list(told.units) == [(p - low, x) for p, x in whole.unit_edits()]
+                assert notation.rich(whole.canonical(), a) == arrow._hgvs(told.canonical, a[low:high], low)
+
+
+def test_equal_cores_are_told_once(monkeypatch):
+    """A task's alleles with one spanning edit's texts cost one alignment, wherever they lie."""
+    made = []
+    monkeypatch.setattr(align, "_small_core", lambda old, new: made.append(old) or align._core(old, new))
+    align._known_core.cache_clear()
+    tell = getattr(arrow.window_summary(("distance", "supremal", "hgvs")), "func")
+    flanks = ["".join(random.Random(k).choices("ACGT", k=12)) for k in range(50)]
+    windows = [f"{x}GCAATG{x}" for x in flanks]
+    seen, shifts = [f"{x}GCATG{x}" for x in flanks], [1000 * k for k in range(50)]
+    out = tell(*(pa.array(c) for c in (windows, seen, shifts, [10**6] * 50))).to_pylist()
+    assert len(made) == 1
+    assert [r["hgvs"] for r in out] == [notation.rich(align.moved(align.told(w, o).canonical, k), w, k) for w, o, k in zip(windows, seen, shifts, strict=True)]
