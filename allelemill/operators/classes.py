@@ -17,7 +17,7 @@ from ..functions import arrow, columns
 from ..schema import CONTAINS, EQUIVALENT, IS_CONTAINED
 from ..store import stored
 from .references import with_text
-from .relations import facts, told
+from .relations import _text, facts, told
 
 #: The least level: bins of 2**9 symbols.
 LEVEL = 9
@@ -64,11 +64,12 @@ def members(summarised: DataFrame) -> DataFrame:
     return summarised.where("error is null").select("ref_id", "supremal", "allele_id").join(ids, ["ref_id", "supremal"]).select("ref_id", "class_id", "allele_id")
 
 
-def spans(summarised: DataFrame) -> DataFrame:
-    """id, ref_id, start, end, distance, sequence of the spanning edits that change something."""
+def spans(summarised: DataFrame, windows: bool = False) -> DataFrame:
+    """id, ref_id, start, end, distance, sequence of the spanning edits that change something; with windows also shift and window,
+    the part of the reference that the summary kept, so that pairs need no other text."""
     s = F.col("supremal")
     rows = summarised.where(F.col("error").isNull() & (columns.variant_length("supremal") > 0))
-    return rows.select(F.col("allele_id").alias("id"), "ref_id", s["start"].alias("start"), s["end"].alias("end"), "distance", s["sequence"].alias("sequence"))
+    return rows.select(F.col("allele_id").alias("id"), "ref_id", s["start"].alias("start"), s["end"].alias("end"), "distance", s["sequence"].alias("sequence"), *(("shift", "window") if windows else ()))
 
 
 def class_relations(summarised: DataFrame, least: int = LEVEL) -> DataFrame:
@@ -109,16 +110,21 @@ def _seen(side: str, low: Column) -> Column:
     return F.concat(columns.part(F.col("window"), F.lit(0), F.col(f"{side}.start") - low), F.col(f"{side}.sequence"), columns.rest(F.col("window"), F.col(f"{side}.end") - low))
 
 
-def _windowed(pairs: DataFrame, references: DataFrame) -> DataFrame:
-    """pairs with low and the window of the reference that both edits span, out of tiles of the references."""
+def _windowed(pairs: DataFrame, references: DataFrame | None) -> DataFrame:
+    """pairs with low and the window of the reference that both edits span: out of the edits' own windows, or tiles of the references."""
+    if references is None:
+        kept = {f"{side}_{c}": F.col(f"{side}.{c}") for side in "lr" for c in ("shift", "window")}
+        low, high = F.least("l.start", "r.start"), F.greatest("l.end", "r.end")
+        return pairs.withColumns(kept).select("l", "r", F.col("l.ref_id").alias("ref_id"), low.alias("low"), _text(low, high).alias("window"))
     placed = pairs.select("l", "r", F.col("l.ref_id").alias("ref_id"), F.least("l.start", "r.start").alias("low"), F.greatest("l.end", "r.end").alias("high"))
     return with_text(placed, references)
 
 
-def supremal_relations(edits: DataFrame, references: DataFrame, other: DataFrame | None = None, least: int = LEVEL) -> DataFrame:
+def supremal_relations(edits: DataFrame, references: DataFrame | None, other: DataFrame | None = None, least: int = LEVEL) -> DataFrame:
     """ref_id, lhs_id, rhs_id, relation of spanning edits (id, ref_id, start, end, sequence) that meet; edits that change nothing are left
     out, pairs that are not listed are disjoint. Only the window that two edits span is read and aligned, and unit edits are only
-    asked for where distances leave a pair open."""
+    asked for where distances leave a pair open. Without references the edits bring windows (of `spans`): pairs are joined once then,
+    and no tiles of the references with them."""
     real = lambda df: df.where("end > start or sequence != ''")
     pairs = meeting(real(edits), real(edits if other is None else other), ordered=other is None, least=least)
     edit = lambda v: columns.variant(F.col(f"{v}.start"), F.col(f"{v}.end"), F.col(f"{v}.sequence"))
@@ -130,9 +136,9 @@ def supremal_relations(edits: DataFrame, references: DataFrame, other: DataFrame
     return named.where("relation is not null").select(*shown).unionByName(aligned.select(*shown))
 
 
-def supremal_contains(edits: DataFrame, references: DataFrame, other: DataFrame | None = None, least: int = LEVEL) -> DataFrame:
+def supremal_contains(edits: DataFrame, references: DataFrame | None, other: DataFrame | None = None, least: int = LEVEL) -> DataFrame:
     """ref_id, lhs_id, rhs_id: pairs in which the edit lhs contains the edit rhs. A container spans what it contains, so only nested
-    intervals are joined, and three distances tell: no unit edits at all."""
+    intervals are joined, and three distances tell: no unit edits at all. References as of `supremal_relations`."""
     real = lambda df: df.where("end > start or sequence != ''")
     pairs = meeting(real(edits), real(edits if other is None else other), ordered=False, least=least, containing=True)
     edit = lambda v: F.struct(F.col(f"{v}.start"), F.col(f"{v}.end"), F.col(f"{v}.sequence"))

@@ -45,6 +45,14 @@ def test_classes_expand_to_all_pairs(done):
     assert classes.class_relations(told.limit(0)).count() == 0
 
 
+def test_edits_with_windows_need_no_references(done):
+    _, refs, told = done
+    plain, own = classes.spans(told), classes.spans(told, windows=True)
+    for compare in (classes.supremal_relations, classes.supremal_contains):
+        found = compare(own, None)
+        assert rows(found, *found.columns) == rows(compare(plain, refs), *found.columns)
+
+
 def test_equal_alleles_are_one_row(spark):
     refs = spark.createDataFrame([("r", "ACGTTTTACG")], "ref_id string, sequence string")
     many = spark.range(300).select(F.concat(F.lit("x"), F.col("id")).alias("allele_id"), F.lit("r").alias("ref_id"), F.expr("array(named_struct('start', 3L + id % 4, 'end', 4L + id % 4, 'sequence', ''))").alias("variants"))
