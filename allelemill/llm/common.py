@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..store import shared_folder, stored
+from ..store import dropped, shared_folder, stored
 
-__all__ = ["shared_folder", "stored"]
+__all__ = ["dropped", "shared_folder", "stored"]
 
 #: The white space of the word rules, for Java and DuckDB patterns.
 SPACE = r"[\x20\x09-\x0D]+"

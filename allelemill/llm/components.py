@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     now, before = stored(edges.where("u != v").select("u", "v").distinct(), "links"), None
     for _ in range(most):
-        now = stored(_stars(_stars(now, True), False), "links")
+        last, now = now, stored(_stars(_stars(now, True), False), "links")
+        dropped(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break

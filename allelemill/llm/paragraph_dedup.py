@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, exact_shingles, mix64, salted_join, stored, text_blocks, utf8, word_bytes
+from .common import Words, dropped, exact_shingles, mix64, salted_join, stored, text_blocks, utf8, word_bytes
 from .components import components
 from .jaccard_join import _tiles, vector
 
@@ -248,8 +248,10 @@ def links(found: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
     pairs = stored(star.select(F.least("set", "end").alias("a"), F.greatest("set", "end").alias("b")).distinct(), "pairs")
     groups = stored(met.select(F.col("lo").alias("cell"), "set").unionByName(met.select(F.col("lo").alias("cell"), F.col("lo").alias("set"))).distinct(), "groups")  # buckets of one lower end are put together
     sets = stored(every.join(groups.select("set").distinct(), "set", "left_semi"), "words")
-    first = stored(_verified(pairs, sets, percent), "verified")
-    more = stored(_tiles(groups, components(first), stored(_vectors(sets), "vectors"), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    dropped(every, met)
+    first, vectors = stored(_verified(pairs, sets, percent), "verified"), stored(_vectors(sets), "vectors")
+    more = stored(_tiles(groups, components(first), vectors, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    dropped(groups, pairs, vectors)
     return first.unionByName(_verified(more, sets, percent)), sets
 
 

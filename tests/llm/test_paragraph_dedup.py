@@ -209,3 +209,26 @@ def test_short_sentences_and_mid_sentence(spark, tmp_path):
         assert all(r["start_word"] >= at and r["start_word"] + r["n_words"] <= at + 50 and r["copies"] == 2 for r in found[doc])
         assert {(r["keep_doc_id"], r["removed"]) for r in found[doc]} == {(min(doc, other), doc > other)}
     assert not set(clean) & set(found) and set(found) == {d for d, _ in planted}
+
+
+def test_tables_and_shuffle_files_are_removed_after_use(spark, rows, monkeypatch):
+    import os
+
+    from allelemill import store
+
+    made = []
+    real = store.stored
+
+    def noted(df, name):
+        out = real(df, name)
+        made.append((name, out.stored_path))
+        return out
+
+    monkeypatch.setattr(P, "stored", noted)
+    before = spark.conf.get(store.CLEANUP, None)
+    found = P.deduplicated(spark.createDataFrame(rows, DOCS))
+    left = {name for name, path in made if os.path.exists(path)}
+    assert {"sets", "met", "groups", "vectors"} <= {name for name, _ in made}
+    assert not left & {"sets", "met", "groups", "vectors"}
+    assert spark.conf.get(store.CLEANUP, None) == before
+    assert found.count()  # what is still to run finds its tables
