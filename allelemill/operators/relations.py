@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import arrow, columns
 from ..schema import CONTAINS, DISJOINT, EQUIVALENT, IS_CONTAINED, OVERLAP
 
-BIN = 512
+#: Symbols of a bin, not many more than most edits span: all of a bin's edits are tried with one another, so that wide bins cost as
+#: many tries as their edits squared.
+BIN = 16
 #: Fields of a summary that relations are told by.
 NEEDS = ("distance", "supremal", "atoms")
 
@@ -43,7 +45,7 @@ def _span(summarised: DataFrame) -> DataFrame:
 
 
 def facts(summarised: DataFrame, side: str) -> DataFrame:
-    return summarised.where("error is null").select(F.struct("allele_id", "ref_id").alias(f"{side}_key"), F.col("atoms").alias(f"{side}_atoms"), F.col("shift").alias(f"{side}_shift"), F.col("window").alias(f"{side}_window"))
+    return summarised.where("error is null").select(F.struct("allele_id", "ref_id").alias(f"{side}_key"), columns.atom_numbers("atoms").alias(f"{side}_atoms"), F.col("shift").alias(f"{side}_shift"), F.col("window").alias(f"{side}_window"))
 
 
 def _text(low: Column, high: Column) -> Column:

@@ -167,3 +167,14 @@ def test_table_functions_of_distinct_texts_reach_all_keys(spark):
     found = queries._lateral(spark, names, "SELECT a, b, edge FROM {rows} t, LATERAL edges_of(t.a, t.b)")
     edges = align.windowed("AAAT", "ATT").edges()
     assert sorted((r["key"], tuple(r["edge"])) for r in found.collect()) == sorted((k, tuple(e)) for k in range(8) for e in edges)
+
+
+def test_unit_edits_meet_as_numbers(spark):
+    """Arrays of numbers are hashed; of arrays of structs each element is compared with each."""
+    atoms = "array<struct<pos: bigint, symbol: string>>"
+    df = spark.createDataFrame([([(3, "A"), (3, ""), (70_000_000_000, "T")], [(3, ""), (3, "C"), (70_000_000_000, "T")]), ([], [(0, "G")])], f"l {atoms}, r {atoms}")
+    number = columns.atom_numbers
+    got = df.select(columns.overlap("l", "r").alias("s"), columns.overlap(number("l"), number("r")).alias("n"), F.arrays_overlap(number("l"), number("r")).alias("o")).collect()
+    assert [(tuple(x["s"]), tuple(x["n"]), x["o"]) for x in got] == [((2, 4), (2, 4), True), ((0, 1), (0, 1), False)]
+    told = spark.createDataFrame([], f"allele_id string, ref_id string, atoms {atoms}, shift bigint, window string, error string")
+    assert dict(relations.facts(told, "l").dtypes)["l_atoms"] == "array<bigint>"
