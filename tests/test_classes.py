@@ -178,3 +178,33 @@ def test_unit_edits_meet_as_numbers(spark):
     assert [(tuple(x["s"]), tuple(x["n"]), x["o"]) for x in got] == [((2, 4), (2, 4), True), ((0, 1), (0, 1), False)]
     told = spark.createDataFrame([], f"allele_id string, ref_id string, atoms {atoms}, shift bigint, window string, error string")
     assert dict(relations.facts(told, "l").dtypes)["l_atoms"] == "array<bigint>"
+
+
+def test_alleles_with_windows_need_no_join(spark):
+    """They are told of where they are: nothing is read of the references unless a spanning edit reaches its window's border."""
+    text = "ACGTTGCA" * 3 + "GATTACA" + "A" * 40 + "CC"
+    refs = spark.createDataFrame([("r", text)], "ref_id string, sequence string")
+    edits = [(3, 5, "G"), (26, 28, ""), (0, 0, "T"), (40, 41, ""), (len(text), len(text), "GG")]
+    rows = [(f"{i}", "r", [(i, j, s)], len(text), max(0, i - 16), text[max(0, i - 16) : j + 16]) for i, j, s in edits]
+    brought = spark.createDataFrame(rows, f"allele_id string, ref_id string, variants {V}, whole_length long, shift long, window string")
+    plain = brought.select("allele_id", "ref_id", "variants")
+    want = {repr(r) for r in summaries.summaries(plain, refs).drop("variants", "shift", "window").collect()}
+    got = summaries.summaries(brought, refs, windows=False)
+    assert {repr(r) for r in got.collect()} == want and got.columns == ["allele_id", "ref_id", *summaries.FIELDS, "error"]
+    assert summaries.summaries(brought.where("allele_id != '40'"), None, windows=False).count() == 4
+
+
+def test_parts_of_binary_references(spark):
+    """References of one byte a symbol are patched as binary, with one variant or several."""
+    alleles = [[], [(0, 0, "T")], [(2, 5, "")], [(7, 8, "GG")], [(1, 2, "A"), (4, 4, "CC"), (6, 8, "")]]
+    rows = spark.createDataFrame([("ACGTACGT", a) for a in alleles], f"s string, v {V}")
+    both = rows.select(columns.patch("s", "v").alias("a"), columns.patch(F.col("s").cast("binary"), "v").alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both] == ["ACGTACGT", "TACGTACGT", "ACCGT", "ACGTACGGG", "AAGTCCAC"]
+
+
+def test_nucleotides_of_documents(spark):
+    """Letters A to Z alone, of any text, as the SQL has them."""
+    from allelemill.plans import derived
+
+    rows = spark.createDataFrame([("Ab-Z é ßıKz\n9",), ("",), (None,)], "t string")
+    assert [tuple(r) for r in rows.select(derived.dna("t"), derived.letters("t")).collect()] == [("ACCGC", 5), ("", 0), (None, None)]

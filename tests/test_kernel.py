@@ -227,3 +227,23 @@ def test_equal_cores_are_told_once(monkeypatch):
     out = tell(*(pa.array(c) for c in (windows, seen, shifts, [10**6] * 50))).to_pylist()
     assert len(made) == 1
     assert [r["hgvs"] for r in out] == [notation.rich(align.moved(align.told(w, o).canonical, k), w, k) for w, o, k in zip(windows, seen, shifts, strict=True)]
+
+
+def test_few_edits_tell_the_spanning_edit_of_long_texts():
+    """As whole tables do, among repeats; and texts of 8,000 symbols cost hardly more than short ones."""
+    draw = random.Random(17)
+    for _ in range(1500):
+        letters = "ACGT"[: draw.randrange(1, 5)]
+        a = "".join(draw.choices(letters, k=draw.randrange(9))) + "".join(draw.choices(letters, k=draw.randrange(1, 5))) * draw.randrange(9) + "".join(draw.choices(letters, k=draw.randrange(9)))
+        at = draw.randrange(len(a) + 1)
+        b = a[:at] + "".join(draw.choices(letters, k=draw.randrange(4))) + a[at + draw.randrange(4) :]
+        if a != b:
+            whole = Alignments(a, b)
+            assert align.few_edits(a, b) == (whole.distance, whole.spanning())
+            assert align.few_edits(a, b, whole.distance - 1) is None
+    pairs = [("T" + "ACG" * k + "T", "T" + "ACG" * (k - 1) + "T") for k in range(2600, 2700)]
+    begin = time.perf_counter()
+    found = align.spans([a for a, _ in pairs], [b for _, b in pairs], [False] * 100, [False] * 100)
+    assert time.perf_counter() - begin < 2
+    assert found.distance.tolist() == [3] * 100 and not found.narrow.any()
+    assert found.low.tolist() == [1] * 100 and found.high.tolist() == [1 + 3 * k for k in range(2600, 2700)]
