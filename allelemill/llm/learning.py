@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Texts of at most `per_class` documents of each label (0 and 1), and how many each label has.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text and y (the label) of at most `per_class` documents of each label (0 and 1), and how many each label has.
 
     Labels that aren't 0 or 1, null doc_ids and documents with both labels are left out. Documents are taken in the
     order of md5 of doc_id, so the sample is the same each time; at most 2 * per_class doc_ids are broadcast.
@@ -17,7 +17,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
     number = {int(r["y"]): r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
     some = marked.where("y = 0").orderBy(*order).limit(per_class).unionByName(marked.where("y = 1").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").collect()
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id"), number
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Texts and labels of `labelled_rows`, by doc_id."""
+    found, number = labelled_rows(docs, labels, label, train_rows, per_class)
+    rows = found.collect()
     return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))], number
 
 

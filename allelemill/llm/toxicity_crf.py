@@ -19,12 +19,14 @@ are scored alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from .common import Words, mix64, text_blocks, utf8, word_bytes
-from .learning import class_weights, labelled_sample, logistic, sigmoid
+from .learning import class_weights, labelled_rows, logistic, sigmoid
 
 SAMPLE, KEPT, BITS, ROW = 1500, 8192, 20, 64
 PREFIXES = (4, 5, 6, 7, 8)
@@ -152,6 +154,15 @@ def forward_backward(grid: Grid, emission: np.ndarray, trans: np.ndarray, start:
     return out, joint, opening
 
 
+def _added(found: np.ndarray, count: np.ndarray, more: np.ndarray, much: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables of rising keys and their counts as one."""
+    keys = np.union1d(found, more)
+    sums = np.zeros(len(keys), dtype=np.int64)
+    sums[np.searchsorted(keys, found)] += count
+    sums[np.searchsorted(keys, more)] += much
+    return keys, sums
+
+
 class Model:
     """The field and its calibration, fitted on (text, label) rows; number: of all labelled rows, by label."""
 
@@ -162,18 +173,22 @@ class Model:
         y = np.array([label for _, label in sample], dtype=np.int64)
         if set(y.tolist()) != {0, 1}:
             return
-        blocks = []
         texts = [t.encode("utf-8", "replace") for t, _ in sample]
-        for at in range(0, len(texts), 250):
-            w = Words(texts[at : at + 250], _TOKENS, latin=True)
-            blocks.append((features(w), w.n[: len(texts[at : at + 250])], w.doc))
-        # Document frequencies of features among toxic and other documents.
-        own: list[list[np.ndarray]] = [[], []]
-        for k, (f, n, _) in enumerate(blocks):
+
+        def pieces():
+            """Features, numbers of tokens and documents of 250 texts at a time: made twice, so that they are never held together."""
+            for at in range(0, len(texts), 250):
+                w = Words(texts[at : at + 250], _TOKENS, latin=True)
+                yield features(w), w.n[: len(texts[at : at + 250])], w.doc
+
+        # Document frequencies of features among toxic and other documents, summed block by block.
+        both = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)) for _ in range(2)]
+        for k, (f, n, _) in enumerate(pieces()):
             end = np.cumsum(n)
-            for i in range(len(n)):
-                own[y[250 * k + i]].append(np.unique(f[:, end[i] - n[i] : end[i]]))
-        both = [np.unique(np.concatenate(x), return_counts=True) for x in own]
+            for label in (0, 1):
+                own = [np.unique(f[:, end[i] - n[i] : end[i]]) for i in np.flatnonzero(y[250 * k : 250 * k + len(n)] == label).tolist()]
+                if own:
+                    both[label] = _added(*both[label], *np.unique(np.concatenate(own), return_counts=True))
         hashes = np.union1d(both[0][0], both[1][0])
         hashes = hashes[hashes > 0]
         seen = np.zeros((2, len(hashes)))
@@ -188,7 +203,7 @@ class Model:
         toxic = np.zeros(len(best) + 1, dtype=bool)
         toxic[1:] = (odds[best] > np.log(ODDS)) & (seen[1, best] >= max(LEAST, SUPPORT * many[1]))
         size = len(toxic)
-        blocks = [(self.known.numbers(f), n, doc) for f, n, doc in blocks]
+        blocks = [(self.known.numbers(f), n, doc) for f, n, doc in pieces()]
         grids = [Grid(n) for _, n, _ in blocks]
         tags = [toxic[f].any(axis=0) & (y[250 * k + doc] == 1) for k, (f, _, doc) in enumerate(blocks)]
         w = np.zeros(size)
@@ -280,4 +295,13 @@ def kept(docs: DataFrame, model: Model, limit: float) -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int = SAMPLE) -> Model:
-    return Model(*labelled_sample(docs, labels, "toxic", train_rows, per_class))
+    """The model, fitted by a task on the bounded sample: the driver gets neither its texts nor what the fit holds."""
+    sample, number = labelled_rows(docs, labels, "toxic", train_rows, per_class)
+
+    def fit(batches):
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)]
+        model = Model([(text, int(y)) for _, text, y in sorted(rows, key=lambda r: r[:2])], number)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(found["model"]) if found else Model([], number)

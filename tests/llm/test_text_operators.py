@@ -363,3 +363,19 @@ def test_pieces_have_added_tokens_as_the_tokenizer_does(spark):
         own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in found if r["doc_id"] == k)
         assert sum(n for _, n, _ in own) == len(ids) and own[0][0] == 0
         assert all(c == zlib.crc32(np.array(ids[at : at + n], dtype="<u4").tobytes()) for at, n, c in own)
+
+
+def test_the_driver_gets_a_fitted_field_without_its_texts(spark, monkeypatch):
+    """A task fits it, as it would be fitted here; without labels every score is 0."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"plain words here {k} " + ("vile1 vile2 " if k % 3 == 0 else "kind one ") * 3, int(k % 3 == 0)) for k in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    here = toxicity_crf.Model([r[1:] for r in rows], {0: 80, 1: 40})
+    made, fit = [], toxicity_crf.Model.__init__
+    monkeypatch.setattr(toxicity_crf.Model, "__init__", lambda *a, **k: made.append(a) or fit(*a, **k))
+    there = toxicity_crf.fitted(docs, labels, F.lit(True))
+    texts = [r[1].encode() for r in rows] + [b"", b"vile1"]
+    assert not made and there.score(texts).tolist() == here.score(texts).tolist()
+    assert toxicity_crf.fitted(docs, labels, F.lit(False)).score(texts).tolist() == [0.0] * len(texts)
