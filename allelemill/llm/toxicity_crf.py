@@ -57,6 +57,9 @@ class Known:
         where = hashes & np.uint64((1 << BITS) - 1)
         self.slots[where[::-1]] = np.arange(len(hashes), 0, -1)
 
+    def __reduce__(self):
+        return Known, (self.keys[1:],)  # the slots, nearly all of a model's bytes, are made again where it is read
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         at = self.slots[hashes & np.uint64((1 << BITS) - 1)]
         return np.where(self.keys[at] == hashes, at, 0)

@@ -367,6 +367,8 @@ def test_pieces_have_added_tokens_as_the_tokenizer_does(spark):
 
 def test_the_driver_gets_a_fitted_field_without_its_texts(spark, monkeypatch):
     """A task fits it, as it would be fitted here; without labels every score is 0."""
+    import pickle
+
     from pyspark.sql import functions as F
 
     rows = [(k, f"plain words here {k} " + ("vile1 vile2 " if k % 3 == 0 else "kind one ") * 3, int(k % 3 == 0)) for k in range(120)]
@@ -378,4 +380,5 @@ def test_the_driver_gets_a_fitted_field_without_its_texts(spark, monkeypatch):
     there = toxicity_crf.fitted(docs, labels, F.lit(True))
     texts = [r[1].encode() for r in rows] + [b"", b"vile1"]
     assert not made and there.score(texts).tolist() == here.score(texts).tolist()
+    assert len(pickle.dumps(there)) < 1 << 20 and pickle.loads(pickle.dumps(there)).score(texts).tolist() == here.score(texts).tolist()
     assert toxicity_crf.fitted(docs, labels, F.lit(False)).score(texts).tolist() == [0.0] * len(texts)
