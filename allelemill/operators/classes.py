@@ -3,9 +3,9 @@
 Equal spanning edits are one class however many alleles have them, so k equal alleles are one row and not k * k / 2 of them, and
 each pair of distinct edits is told once. `expanded` gives the alleles' own pairs, by request.
 
-Edits meet through an interval join on levels. An edit's level is the power of two that its length needs; on each level that is in
-use, from its own one up, an edit covers two bins at most, however long it is. Two edits meet on the level of the longer one, in the
-bin in which the later one begins: once. Edits that change nothing are left out, as they are disjoint with all others.
+Edits meet through joins of intervals (`intervals`): short ones in narrow bins, long ones on levels. A long edit's level is the power
+of two that its length needs; on each level that is in use, from its own one up, it covers two bins at most, however long it is. Two
+edits meet once. Edits that change nothing are left out, as they are disjoint with all others.
 """
 
 from __future__ import annotations
@@ -16,46 +16,16 @@ from pyspark.sql import functions as F
 from ..functions import arrow, columns
 from ..schema import CONTAINS, EQUIVALENT, IS_CONTAINED
 from ..store import stored
+from .intervals import LEVEL, level_of, meeting, paired  # noqa: F401
 from .references import with_text
-from .relations import _text, facts, told
-
-#: The least level: bins of 2**9 symbols.
-LEVEL = 9
-
-
-def level_of(start: Column, end: Column, least: int = LEVEL) -> Column:
-    """The level whose bins are at least as wide as the edit."""
-    return F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(end - start, F.lit(1)))).cast("int"))
-
-
-def meeting(lhs: DataFrame, rhs: DataFrame, ordered: bool = True, least: int = LEVEL, containing: bool = False) -> DataFrame:
-    """Pairs of rows of (id, ref_id, start, end, more) with one ref_id whose closed intervals meet, as structs l and r.
-
-    ordered keeps pairs with l.id < r.id (a self join's unordered pairs); containing keeps those in which l spans r. There are
-    as many levels as bits of the longest edit, at most 31; they are the only thing broadcast.
-    """
-    level = level_of(F.col("start"), F.col("end"), least)
-    levels = lhs.select(level.alias("on")).unionByName(rhs.select(level.alias("on"))).distinct()
-
-    def entered(df: DataFrame, name: str) -> DataFrame:
-        own = df.select(F.struct(*df.columns).alias(name), level.alias(f"{name}_level")).join(F.broadcast(levels), F.col("on") >= F.col(f"{name}_level"))
-        bins = F.sequence(F.expr(f"shiftright({name}.start, on)"), F.expr(f"shiftright({name}.end, on)"))
-        return own.select(name, f"{name}_level", F.col(f"{name}.ref_id").alias(f"{name}_ref"), F.col("on").alias(f"{name}_on"), F.explode(bins).alias(f"{name}_bin"))
-
-    a, b = entered(lhs, "l"), entered(rhs, "r")
-    meet = (F.col("l.start") <= F.col("r.end")) & (F.col("r.start") <= F.col("l.end"))
-    if containing:
-        meet &= (F.col("l.start") <= F.col("r.start")) & (F.col("r.end") <= F.col("l.end"))
-    once = (F.col("l_on") == F.greatest("l_level", "r_level")) & (F.col("l_bin") == F.expr("shiftright(greatest(l.start, r.start), l_on)"))
-    same = (F.col("l_ref") == F.col("r_ref")) & (F.col("l_on") == F.col("r_on")) & (F.col("l_bin") == F.col("r_bin"))
-    return a.join(b, same & once & meet & (F.col("l.id") < F.col("r.id") if ordered else F.lit(True))).select("l", "r")
-
+from .relations import rows, told, window_of
 
 def classes(summarised: DataFrame) -> DataFrame:
-    """One row for each spanning edit of each reference: allele_id (the smallest of its alleles), members, and what the summary tells."""
-    best = F.min_by(F.struct("distance", "atoms", "shift", "window"), "allele_id")
-    grouped = summarised.where("error is null").groupBy("ref_id", "supremal").agg(F.min("allele_id").alias("allele_id"), F.count("*").alias("members"), best.alias("b"))
-    return grouped.select("ref_id", "allele_id", "supremal", "members", *(F.col(f"b.{c}").alias(c) for c in ("distance", "atoms", "shift", "window")), F.lit(None).cast("string").alias("error"))
+    """One row for each spanning edit of each reference: that of the smallest of its alleles, as `rows`, with members."""
+    own = rows(summarised)
+    rest = [c for c in own.columns if c not in ("id", "ref_id", "start", "end", "sequence")]
+    grouped = own.groupBy("ref_id", "start", "end", "sequence").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.min_by(F.struct(*rest), "id").alias("b"))
+    return grouped.select(*(F.col(f"b.{c}").alias(c) if c in rest else F.col(c) for c in own.columns), "members")
 
 
 def members(summarised: DataFrame) -> DataFrame:
@@ -78,12 +48,11 @@ def class_relations(summarised: DataFrame, least: int = LEVEL) -> DataFrame:
     Pairs of classes that are not listed are disjoint. Alleles with an error are left out: nothing is known of their pairs.
     """
     each = stored(classes(summarised), "classes")
-    own = spans(each)
-    found = told(meeting(own, own, least=least), facts(each, "l"), facts(each, "r"))
-    size = lambda side: each.select("ref_id", F.col("allele_id").alias(f"{side}_id"), F.col("members").alias(f"{side}_members"))
-    sized = found.join(size("lhs"), ["ref_id", "lhs_id"]).join(size("rhs"), ["ref_id", "rhs_id"]).withColumn("pairs", F.col("lhs_members") * F.col("rhs_members"))
+    own = each.where("end > start or sequence != ''")
+    sizes = (F.col(f"{side[0]}.members").alias(f"{side}_members") for side in ("lhs", "rhs"))
+    sized = told(paired(own, own, least=least), *sizes).withColumn("pairs", F.col("lhs_members") * F.col("rhs_members"))
     none, n = F.lit(None).cast("int"), F.col("members")
-    within = each.where("members > 1").select("ref_id", F.col("allele_id").alias("lhs_id"), F.col("allele_id").alias("rhs_id"), F.lit(EQUIVALENT).alias("relation"), none.alias("common"), none.alias("universe"), n.alias("lhs_members"), n.alias("rhs_members"), F.expr("members * (members - 1) div 2").alias("pairs"))
+    within = each.where("members > 1").select("ref_id", F.col("id").alias("lhs_id"), F.col("id").alias("rhs_id"), F.lit(EQUIVALENT).alias("relation"), none.alias("common"), none.alias("universe"), n.alias("lhs_members"), n.alias("rhs_members"), F.expr("members * (members - 1) div 2").alias("pairs"))
     return sized.select(within.columns).unionByName(within)
 
 
@@ -110,37 +79,38 @@ def _seen(side: str, low: Column) -> Column:
     return F.concat(columns.part(F.col("window"), F.lit(0), F.col(f"{side}.start") - low), F.col(f"{side}.sequence"), columns.rest(F.col("window"), F.col(f"{side}.end") - low))
 
 
-def _windowed(pairs: DataFrame, references: DataFrame | None) -> DataFrame:
+def _windowed(pairs: DataFrame, references: DataFrame | None, *more: str) -> DataFrame:
     """pairs with low and the window of the reference that both edits span: out of the edits' own windows, or tiles of the references."""
+    low, high = F.least("l.start", "r.start"), F.greatest("l.end", "r.end")
     if references is None:
-        kept = {f"{side}_{c}": F.col(f"{side}.{c}") for side in "lr" for c in ("shift", "window")}
-        low, high = F.least("l.start", "r.start"), F.greatest("l.end", "r.end")
-        return pairs.withColumns(kept).select("l", "r", F.col("l.ref_id").alias("ref_id"), low.alias("low"), _text(low, high).alias("window"))
-    placed = pairs.select("l", "r", F.col("l.ref_id").alias("ref_id"), F.least("l.start", "r.start").alias("low"), F.greatest("l.end", "r.end").alias("high"))
-    return with_text(placed, references)
+        return pairs.select("l", "r", *more, F.col("l.ref_id").alias("ref_id"), low.alias("low"), window_of(low, high).alias("window"))
+    return with_text(pairs.select("l", "r", *more, F.col("l.ref_id").alias("ref_id"), low.alias("low"), high.alias("high")), references)
 
 
 def supremal_relations(edits: DataFrame, references: DataFrame | None, other: DataFrame | None = None, least: int = LEVEL) -> DataFrame:
     """ref_id, lhs_id, rhs_id, relation of spanning edits (id, ref_id, start, end, sequence) that meet; edits that change nothing are left
     out, pairs that are not listed are disjoint. Only the window that two edits span is read and aligned, and unit edits are only
     asked for where distances leave a pair open. Without references the edits bring windows (of `spans`): pairs are joined once then,
-    and no tiles of the references with them."""
-    real = lambda df: df.where("end > start or sequence != ''")
-    pairs = meeting(real(edits), real(edits if other is None else other), ordered=other is None, least=least)
+    and no tiles of the references with them; pairs that need no alignment go to the kernel as nulls."""
+    real = lambda df: df.where("end > start or sequence != ''").drop("distance")
+    pairs = paired(real(edits), real(edits if other is None else other), other is None, least)
     edit = lambda v: columns.variant(F.col(f"{v}.start"), F.col(f"{v}.end"), F.col(f"{v}.sequence"))
     a, b = edit("l"), edit("r")
     named = pairs.withColumn("relation", F.when(a == b, EQUIVALENT).when(columns.variant_is_disjoint(a, b), "disjoint"))
     shown = [F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "relation"]
-    near = _windowed(named.where("relation is null"), references)
-    aligned = near.withColumn("relation", arrow.sequence_relation("window", _seen("l", F.col("low")), _seen("r", F.col("low"))))
+    near = _windowed(named if references is None else named.where("relation is null"), references, "relation")
+    near = near.withColumn("window", F.when(F.col("relation").isNull(), F.col("window")))
+    aligned = near.withColumn("relation", F.coalesce("relation", arrow.sequence_relation("window", _seen("l", F.col("low")), _seen("r", F.col("low")))))
+    if references is None:
+        return aligned.select(*shown)
     return named.where("relation is not null").select(*shown).unionByName(aligned.select(*shown))
 
 
 def supremal_contains(edits: DataFrame, references: DataFrame | None, other: DataFrame | None = None, least: int = LEVEL) -> DataFrame:
     """ref_id, lhs_id, rhs_id: pairs in which the edit lhs contains the edit rhs. A container spans what it contains, so only nested
     intervals are joined, and three distances tell: no unit edits at all. References as of `supremal_relations`."""
-    real = lambda df: df.where("end > start or sequence != ''")
-    pairs = meeting(real(edits), real(edits if other is None else other), ordered=False, least=least, containing=True)
+    real = lambda df: df.where("end > start or sequence != ''").drop("distance")
+    pairs = paired(real(edits), real(edits if other is None else other), False, least, True)
     edit = lambda v: F.struct(F.col(f"{v}.start"), F.col(f"{v}.end"), F.col(f"{v}.sequence"))
     near = _windowed(pairs.where(edit("l") != edit("r")), references)
     one, two = _seen("l", F.col("low")), _seen("r", F.col("low"))

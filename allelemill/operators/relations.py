@@ -1,8 +1,8 @@
 """Relations of pairs of alleles through a binned range join.
 
 Pairs whose spanning edits lie apart are disjoint; so only pairs whose edits touch are joined: each allele enters the bins
-that its edit covers, bins are joined by equality, and a pair is taken in the bin of its later start only. Equality of the
-edits decides equivalence natively; distances over the union of both windows are computed for the rest, and shared unit
+that its edit covers, bins are joined by equality, and a pair is taken in the bin of its later start only (`intervals`). Equality
+of the edits decides equivalence natively; distances over the union of both windows are computed for the rest, and shared unit
 edits decide what distances leave open.
 """
 
@@ -13,46 +13,30 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow, columns
 from ..schema import CONTAINS, DISJOINT, EQUIVALENT, IS_CONTAINED, OVERLAP
+from .intervals import BIN, paired, touching  # noqa: F401
 
-#: Symbols of a bin, not many more than most edits span: all of a bin's edits are tried with one another, so that wide bins cost as
-#: many tries as their edits squared.
-BIN = 16
 #: Fields of a summary that relations are told by.
 NEEDS = ("distance", "supremal", "atoms")
 
 
-def touching(lhs: DataFrame, rhs: DataFrame, bin_width: int = BIN, ordered: bool = True) -> DataFrame:
-    """Pairs of rows of (id, ref_id, start, end, more) with one ref_id whose closed intervals meet, as structs l and r.
-
-    ordered keeps pairs with l.id < r.id (a self join's unordered pairs). Hot bins are left to AQE's skew handling:
-    both sides are split by rows there, no side is aggregated.
-    """
-
-    def entered(df: DataFrame, name: str) -> DataFrame:
-        bins = F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width))
-        return df.select(F.struct(*df.columns).alias(name), F.col("ref_id").alias(f"{name}_ref"), F.explode(bins).alias(f"{name}_bin"))
-
-    a, b = entered(lhs, "l"), entered(rhs, "r")
-    meet = (F.col("l.start") <= F.col("r.end")) & (F.col("r.start") <= F.col("l.end"))
-    once = F.col("l_bin") == F.greatest(F.floor(F.col("l.start") / bin_width), F.floor(F.col("r.start") / bin_width))
-    same = (F.col("l_ref") == F.col("r_ref")) & (F.col("l_bin") == F.col("r_bin")) & meet & once
-    return a.join(b, same & (F.col("l.id") < F.col("r.id")) if ordered else same).select("l", "r")
-
-
-def _span(summarised: DataFrame) -> DataFrame:
-    """What the join of intervals needs, and no more: unit edits and windows are as long as the edits may be."""
-    return summarised.where("error is null").select(F.col("allele_id").alias("id"), "ref_id", F.col("supremal.start").alias("start"), F.col("supremal.end").alias("end"), "distance", F.col("supremal.sequence").alias("sequence"))
+def facts(summarised: DataFrame, side: str, *more: Column) -> DataFrame:
+    return summarised.where("error is null").select(F.struct("allele_id", "ref_id").alias(f"{side}_key"), columns.atom_numbers("atoms").alias(f"{side}_atoms"), F.col("shift").alias(f"{side}_shift"), F.col("window").alias(f"{side}_window"), *more)
 
 
-def facts(summarised: DataFrame, side: str) -> DataFrame:
-    return summarised.where("error is null").select(F.struct("allele_id", "ref_id").alias(f"{side}_key"), columns.atom_numbers("atoms").alias(f"{side}_atoms"), F.col("shift").alias(f"{side}_shift"), F.col("window").alias(f"{side}_window"))
+def rows(summarised: DataFrame, *more: str) -> DataFrame:
+    """id, ref_id, start, end, distance, sequence, atoms, shift, window (and more): all that pairs are told by."""
+    found = facts(summarised, "own", "distance", "supremal", *more)
+    own = (F.col(f"own_{c}").alias(c) for c in ("atoms", "shift", "window"))
+    edit = (F.col(f"supremal.{c}").alias(c) for c in ("start", "end"))
+    return found.select(F.col("own_key.allele_id").alias("id"), F.col("own_key.ref_id").alias("ref_id"), *edit, "distance", F.col("supremal.sequence").alias("sequence"), *own, *more)
 
 
-def _text(low: Column, high: Column) -> Column:
-    """The reference from low to high out of two windows that meet or overlap; of each what the other lacks."""
-    first = F.col("l_shift") <= F.col("r_shift")
-    one, other = F.when(first, F.col("l_window")).otherwise(F.col("r_window")), F.when(first, F.col("r_window")).otherwise(F.col("l_window"))
-    begin, next_begin = F.least("l_shift", "r_shift"), F.greatest("l_shift", "r_shift")
+def window_of(low: Column, high: Column) -> Column:
+    """The reference from low to high out of the windows of l and r, which meet or overlap; of each what the other lacks."""
+    l_shift, r_shift = F.col("l.shift"), F.col("r.shift")
+    first = l_shift <= r_shift
+    one, other = F.when(first, F.col("l.window")).otherwise(F.col("r.window")), F.when(first, F.col("r.window")).otherwise(F.col("l.window"))
+    begin, next_begin = F.least(l_shift, r_shift), F.greatest(l_shift, r_shift)
     joined = F.concat(one, columns.rest(other, F.greatest(begin + F.length(one) - next_begin, F.lit(0))))
     return columns.part(joined, low - begin, high - begin)
 
@@ -65,42 +49,33 @@ def _ladder(equal: Column, apart: Column, left: Column, right: Column, between:
     )
 
 
-def told(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """ref_id, lhs_id, rhs_id, relation, common, universe of pairs (structs l and r of id, ref_id, start, end, distance, sequence);
-    left and right: the `facts` of either side."""
+def told(pairs: DataFrame, *more: Column) -> DataFrame:
+    """ref_id, lhs_id, rhs_id, relation, common, universe (and more) of pairs (structs l and r of `rows`). Pairs that equality and
+    disjointness tell go to the kernel as nulls, so that all are one pass over the joined pairs."""
     edit = lambda v: columns.variant(F.col(f"{v}.start"), F.col(f"{v}.end"), F.col(f"{v}.sequence"))
     a, b = edit("l"), edit("r")
     nothing = (columns.variant_length(a) == 0) | (columns.variant_length(b) == 0)
     equal = (F.col("l.start") == F.col("r.start")) & (F.col("l.end") == F.col("r.end")) & (F.col("l.sequence") == F.col("r.sequence"))
     native = F.when(equal, EQUIVALENT).when(nothing | columns.variant_is_disjoint(a, b), DISJOINT)
-    marked = pairs.withColumn("relation", native)
-    none = F.lit(None).cast("int")
-    decided = marked.where("relation is not null").select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "relation", none.alias("common"), none.alias("universe"))
-    key = lambda v: F.struct(F.col(f"{v}.id").alias("allele_id"), F.col(f"{v}.ref_id").alias("ref_id"))
-    left_open = marked.where("relation is null").drop("relation").withColumn("l_key", key("l")).withColumn("r_key", key("r"))
-    fetched = left_open.join(left, "l_key").join(right, "r_key")
     low, high = F.least("l.start", "r.start"), F.greatest("l.end", "r.end")
-    near = fetched.withColumn("low", low).withColumn("window", _text(low, high))
+    near = pairs.withColumn("native", native).withColumn("low", low).withColumn("window", F.when(F.col("native").isNull(), window_of(low, high)))
     seen = lambda v: F.concat(columns.part(F.col("window"), F.lit(0), F.col(f"{v}.start") - F.col("low")), F.col(f"{v}.sequence"), columns.rest(F.col("window"), F.col(f"{v}.end") - F.col("low")))
     measured = near.withColumn("between", arrow.edit_distance(seen("l"), seen("r")))
     never = F.lit(False)
-    ladder = _ladder(never, never, F.col("l.distance"), F.col("r.distance"), F.col("between"), F.arrays_overlap("l_atoms", "r_atoms"))
-    named = measured.withColumn("relation", ladder).withColumn("sizes", F.when(F.col("relation") == OVERLAP, columns.overlap("l_atoms", "r_atoms")))
-    found = named.select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "relation", F.col("sizes.common").alias("common"), F.col("sizes.universe").alias("universe"))
-    return decided.unionByName(found)
+    ladder = _ladder(never, never, F.col("l.distance"), F.col("r.distance"), F.col("between"), F.arrays_overlap("l.atoms", "r.atoms"))
+    named = measured.withColumn("relation", F.coalesce("native", ladder)).withColumn("sizes", F.when(F.col("relation") == OVERLAP, columns.overlap("l.atoms", "r.atoms")))
+    return named.select(F.col("l.ref_id").alias("ref_id"), F.col("l.id").alias("lhs_id"), F.col("r.id").alias("rhs_id"), "relation", F.col("sizes.common").alias("common"), F.col("sizes.universe").alias("universe"), *more)
 
 
-def relations(summarised: DataFrame, references: DataFrame | None = None, other: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
+def relations(summarised: DataFrame, references: DataFrame | None = None, other: DataFrame | None = None, bin_width: int = 2 * BIN) -> DataFrame:
     """ref_id, lhs_id, rhs_id, relation, common, universe for pairs whose spanning edits touch; all other pairs are disjoint.
 
     Of one table its unordered pairs, of two tables all pairs. common and universe count unit edits of overlapping pairs.
     An allele whose summary is an error is one row without a partner and without a relation: nothing is known of its pairs.
-    Intervals are joined narrow; unit edits and windows are fetched for pairs that equality and disjointness leave open. The
-    windows that the summaries carry suffice, so references are not needed again (the argument is kept for callers).
+    The windows that the summaries carry suffice, so references are not needed again (the argument is kept for callers).
     """
-    right = summarised if other is None else other
-    pairs = touching(_span(summarised), _span(right), bin_width, ordered=other is None)
-    out = told(pairs, facts(summarised, "l"), facts(right, "r"))
+    own = rows(summarised)
+    out = told(paired(own, own if other is None else rows(other), other is None, bin_width=bin_width))
     out = out.unionByName(_failed(summarised, "lhs_id", out))
     return out if other is None else out.unionByName(_failed(other, "rhs_id", out))
 

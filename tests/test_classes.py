@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from allelemill.functions import columns
 from allelemill.kernel import align
-from allelemill.operators import classes, differences, expand, references, relations, summaries
+from allelemill.operators import classes, differences, expand, intervals, references, relations, summaries
 
 V = "array<struct<start: bigint, end: bigint, sequence: string>>"
 
@@ -208,3 +209,66 @@ def test_nucleotides_of_documents(spark):
 
     rows = spark.createDataFrame([("Ab-Z é ßıKz\n9",), ("",), (None,)], "t string")
     assert [tuple(r) for r in rows.select(derived.dna("t"), derived.letters("t")).collect()] == [("ACCGC", 5), ("", 0), (None, None)]
+
+
+def test_long_and_short_rows_pair_once(spark):
+    """Whole rows come out of each of the joins, by names and by texts; nothing meets twice."""
+    rng = random.Random(5)
+    spans = [(f"s{k:03}", rng.choice("xy"), s, s + rng.choice([0, 1, 3, 9, 40, 700]), "A" * rng.choice([0, 0, 1, 2, 50]), k) for k in range(150) for s in [rng.randrange(600)]]
+    df = spark.createDataFrame(spans, "id string, ref_id string, start long, end long, sequence string, more int")
+    touch = lambda a, b: a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]
+    got = lambda df: sorted((tuple(r["l"]), tuple(r["r"])) for r in df.collect())
+    for short in (0, 4, 32, 1000):
+        assert got(intervals.paired(df, df, least=2, bin_width=8, short=short)) == sorted((a, b) for a, b in itertools.combinations(spans, 2) if touch(a, b))
+    nested = sorted((a, b) for a in spans for b in spans if a[1] == b[1] and a[2] <= b[2] and b[3] <= a[3])
+    assert got(intervals.paired(df, df, ordered=False, containing=True, short=4)) == nested
+    one, two = df.where("more < 60"), df.where("more >= 60")
+    assert got(intervals.paired(one, two, ordered=False, short=4)) == sorted((a, b) for a in spans[:60] for b in spans[60:] if touch(a, b))
+
+
+@pytest.mark.parametrize("compare", ["supremal_relations", "supremal_contains", "relations", "class_relations"])
+def test_rows_are_shuffled_once_for_their_pairs(done, spark, compare):
+    """The windows of short edits, which are nearly all, go into one shuffle that all joins read; no join of pairs fetches them."""
+    _, _, told = done
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(kept, ("false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        if compare in ("relations", "class_relations"):
+            found = (relations if compare == "relations" else classes).__dict__[compare](told)
+        else:
+            found = classes.__dict__[compare](classes.spans(told, windows=True), None)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    binned = [line for line in plan if re.search(r"Exchange hashpartitioning\([lr]_ref#\d+L?, [lr]_bin", line) and "Reused" not in line]
+    # One of whole rows, and one of the names of the long ones.
+    assert len(binned) == 2, binned
+    assert not any("Join [l_key" in line for line in plan)
+
+
+def test_class_relations_leave_no_summaries(done, spark):
+    """Classes are stored with unit edits as numbers, and the summaries' files go once they are."""
+    import pathlib
+
+    from allelemill import store
+    from allelemill.plans import queries
+
+    folder = pathlib.Path(store.shared_folder(spark))
+    names = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    before = names()
+    found = queries.class_relations(spark, "/root/testdata/sf0.001")
+    assert {name.split("-")[0] for name in names() - before} == {"classes"}
+    assert found.count() > 0
+    assert dict(classes.classes(done[2]).dtypes)["atoms"] == "array<bigint>"
+
+
+def test_equal_edits_are_made_one_where_they_are_made(spark):
+    """They are of one reference, by which line items and references were dealt: no third shuffle brings their windows together."""
+    from allelemill.plans import derived
+
+    for windows in (False, True):
+        edits = derived.edits(spark, "/root/testdata/sf0.001", windows)
+        plan = edits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 2 and edits.count() == edits.select("ref_id", "vstart", "vend", "seq").distinct().count()
