@@ -6,14 +6,14 @@
    threshold. A second sketch has the phrases of 3 to LONGEST words all of whose pairs of neighbours may reach it. The number
    of slots grows with the text, up to MOST_SLOTS; a fuller sketch lets more candidates through, none fewer.
 2. A phrase is a candidate if both its bits are set and all phrases within it are candidates at their places. Tasks send the
-   candidates and their words that they meet, whatever their language, in blocks by ranges of their hash; the blocks of a range are merged, and the
-   distinct texts dealt to shards of about SHARD texts.
+   candidates and their words that they meet, with the group of their language, in blocks by ranges of their hash; the blocks of a range are merged,
+   and the distinct texts dealt to shards of about SHARD texts: a large group to several, small groups together to one.
 3. Each shard is compiled into an Aho-Corasick automaton over " word word "; texts are written as words between single spaces, with a line
-   break between pieces, so a match begins and ends where words do. Shards of the texts are scanned by each automaton, overlapping
-   matches are counted by language, and sums below the threshold fall.
+   break between pieces, so a match begins and ends where words do. A shard has candidates of some groups of languages, and its automaton
+   scans the texts of these groups alone. Overlapping matches are counted by language, and sums below the threshold fall.
 4. What remains is exact and is joined with itself: the parts of each cut, the phrases within longer ones, the best by language.
 
-The driver holds the bits (MOST_SLOTS / 4 bytes at most) and one shard of texts at a time; each shard is one more scan.
+The driver holds the bits (MOST_SLOTS / 4 bytes at most) and one shard of texts at a time; each shard is one more scan of its groups' texts.
 
 Defined results: null texts are empty; null languages are `und`. All rows count, repeated ones too. Extra columns are ignored, an empty
 table gives an empty result. Phrases are named by 64-bit hashes within a task until they are texts, and by their texts from then on.
@@ -36,7 +36,9 @@ from .common import Words, mix64, stored, text_blocks, utf8
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text for a slot; slots of a row of the sketch at most; slots of a block; texts of an automaton.
-BYTES, MOST_SLOTS, BLOCK, SHARD = 64, 1 << 26, 1 << 16, 200_000
+BYTES, MOST_SLOTS, BLOCK, SHARD = 64, 1 << 26, 1 << 16, 600_000
+#: Groups of languages, by their hash; counts of matches that a task holds at most, of all languages.
+GROUPS, HELD = 256, 12_800_000
 #: Rows of the sketch; counts of a block of matches.
 ROWS, COUNTS, UNKNOWN = 2, 1 << 12, "und"
 HARD = b".,;:!?\n\x0b\x0c\r"
@@ -86,6 +88,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
 
 
+def _group(lang: str) -> int:
+    return zlib.crc32(lang.encode("utf-8", "surrogatepass")) % GROUPS
+
+
+def _of_groups(docs: DataFrame, groups: list[int]) -> DataFrame:
+    """The rows whose language is of these groups."""
+    return docs.where(F.pmod(F.crc32(F.coalesce("lang", F.lit(UNKNOWN))), F.lit(GROUPS)).isin(groups))
+
+
 def _may(p: Phrases, k: int, pairs: np.ndarray) -> np.ndarray:
     """Whether all pairs of neighbours among the k words from each word on may be frequent; pairs: whether a pair may."""
     out = pairs[: max(len(pairs) - k + 2, 0)].copy()
@@ -166,7 +177,7 @@ def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, pairs: np.ndarray, bits: np.ndarray, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """(phrase: the candidates and their words, each once; lang, words: how many words parts of the texts have)."""
+    """(group, phrase: the candidates and their words, each once in a group; lang, words: how many words parts of the texts have)."""
     ranges = max(16, bits.shape[1] * 8 // BLOCK)
 
     def run(batches):
@@ -185,6 +196,7 @@ def candidates(docs: DataFrame, pairs: np.ndarray, bits: np.ndarray, longest: in
         for batch in batches:
             for part in text_blocks([batch]):
                 langs = part.column("lang").to_pylist()
+                group = {lang: b"%d\t" % _group(lang) for lang in set(langs)}
                 p = Phrases(utf8(part.column("text")), langs, longest)
                 may = None
                 for k in range(2, longest + 1):
@@ -200,7 +212,7 @@ def candidates(docs: DataFrame, pairs: np.ndarray, bits: np.ndarray, longest: in
                         for h, i in zip(new.tolist(), at[first].tolist(), strict=True):
                             if h not in seen:
                                 seen.add(h)
-                                text = p.text(i, size)
+                                text = group[langs[p.words.doc[i]]] + p.text(i, size)
                                 held[zlib.crc32(text) % ranges].append(text)
                 for lang, n in zip(langs, np.bincount(p.words.doc, minlength=len(langs)).tolist(), strict=True):
                     words[lang] = words.get(lang, 0) + n
@@ -215,9 +227,11 @@ def candidates(docs: DataFrame, pairs: np.ndarray, bits: np.ndarray, longest: in
         found: set[bytes] = set()
         for block in blocks:
             found.update(zlib.decompress(block).split(b"\n"))
-        return ((x.decode("utf-8", "replace"),) for x in sorted(found))
+        for x in sorted(found):
+            group, phrase = x.split(b"\t")
+            yield int(group), phrase.decode("utf-8", "replace")
 
-    phrases = _merged(told.where("phrases is not null").select("range", "phrases"), distinct, "range int", "phrase string").select("phrase")
+    phrases = _merged(told.where("phrases is not null").select("range", "phrases"), distinct, "range int", "group int, phrase string").select("group", "phrase")
     return phrases, told.where("lang is not null").select("lang", "words")
 
 
@@ -263,7 +277,7 @@ def matches(docs: DataFrame, phrases: list[str], least: int = LEAST) -> DataFram
                 for lang, texts in by_lang.items():
                     plain = re.sub(rb" +", b" ", b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ")).decode("utf-8", "replace")
                     ids = np.fromiter((k for _, k in automaton.iter(f" {plain} ")), dtype=np.int64)
-                    if len(held) >= 64 and lang not in held:
+                    if held and lang not in held and (len(held) + 1) * len(phrases) > HELD:
                         yield from blocks()
                     held[lang] = held.get(lang, 0) + np.bincount(ids, minlength=len(phrases))
         yield from blocks()
@@ -280,19 +294,40 @@ def matches(docs: DataFrame, phrases: list[str], least: int = LEAST) -> DataFram
     return _merged(parts, add, "lang string, block int", "id int, f long").select("lang", "id", "f")
 
 
+def dealt_groups(sizes: dict[int, int], shard: int) -> tuple[dict[int, tuple[int, int]], list[list[int]]]:
+    """(the first shard and how many each group has, the groups of each shard), of about `shard` phrases each."""
+    places, shards, room = {}, [], 0
+    for group, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if n > shard:
+            many = -(-n // shard)
+            places[group] = len(shards), many
+            shards += [[group] for _ in range(many)]
+            continue
+        if n > room:
+            shards.append([])
+            room = shard
+        places[group] = len(shards) - 1, 1
+        shards[-1].append(group)
+        room -= n
+    return places, shards
+
+
 def counted(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f: all candidates, and their words, that occur so often; lang, n: how many words a language has)."""
     slots = slots_for(docs)
     pairs = sketch(docs, slots, longest, least)
     found, sizes = candidates(docs, pairs, sketch(docs, slots, longest, least, pairs), longest)
     phrases = stored(found, "phrases")
-    shards = max(1, -(-phrases.count() // shard))
-    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int"))
+    places, shards = dealt_groups({r["group"]: r["count"] for r in phrases.groupBy("group").count().collect()}, shard)
+    if not shards:  # no candidates
+        places, shards = {0: (0, 1)}, [[0]]
+    first, many = (F.create_map(*(F.lit(x) for g, place in places.items() for x in (g, place[k])))[F.col("group")] for k in range(2))
+    dealt = phrases.select("phrase", (first + F.pmod(F.xxhash64("phrase"), many)).cast("int").alias("shard")).distinct()
     dealt = stored(dealt.withColumn("id", F.row_number().over(Window.partitionBy("shard").orderBy("phrase")) - 1), "shards")
     parts = []
-    for k in range(shards):
+    for k, groups in enumerate(shards):
         own = [r["phrase"] for r in dealt.where(F.col("shard") == k).orderBy("id").select("phrase").toLocalIterator()]
-        parts.append(stored(matches(docs, own, least).withColumn("shard", F.lit(k)), "matches"))
+        parts.append(stored(matches(_of_groups(docs, groups), own, least).withColumn("shard", F.lit(k)), "matches"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

@@ -78,3 +78,26 @@ def test_products_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", "a", 3 * 10**9), ("en", "b", 4 * 10**9), ("en", "a b", 2 * 10**9)], "lang string, phrase string, f long")
     totals = spark.createDataFrame([("en", 7 * 10**12)], "lang string, n long")
     assert collocations.scored(counts, totals).first()["score"] == 1000 * 2 * 10**9 * 7 * 10**12 // (3 * 10**9 * 4 * 10**9)
+
+
+def test_automata_scan_the_texts_of_their_languages_alone(spark, monkeypatch):
+    """Many automata do not each read all texts: a language's candidates are sought in its texts."""
+    rows = [(" ".join(f"{lang}{w}" for w in (k % 3, 1, 2, 3, k % 2)), lang) for lang in ("aa", "bb", "cc", None) for k in range(30)]
+    seen, scan = [], collocations.matches
+
+    def noted(docs, phrases, least):
+        seen.append((len(phrases), {r["lang"] for r in docs.select("lang").distinct().collect()}))
+        return scan(docs, phrases, least)
+
+    monkeypatch.setattr(collocations, "matches", noted)
+    assert found(spark, rows, least=6, shard=12) == plain(rows, 6)
+    assert len(seen) >= 4 and all(len(langs) == 1 for _, langs in seen)
+    assert {x for _, langs in seen for x in langs} == {"aa", "bb", "cc", None}
+    seen.clear()
+    assert found(spark, rows, least=6) == plain(rows, 6)
+    assert len(seen) == 1 and len(seen[0][1]) == 4
+
+
+def test_groups_are_dealt_to_shards():
+    places, shards = collocations.dealt_groups({1: 25, 2: 4, 3: 5, 4: 6, 5: 10}, 10)
+    assert places == {1: (0, 3), 5: (3, 1), 4: (4, 1), 3: (5, 1), 2: (5, 1)} and shards == [[1], [1], [1], [5], [4], [3, 2]]
